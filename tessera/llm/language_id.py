@@ -36,7 +36,7 @@ GRAM = 4
 BITS_PER_GRAM = 12
 HASHES = 3
 #: The pipeline rejects documents whose language is unknown or decided by less than this share.
-MIN_SCORE = 0.3
+MIN_SCORE = 0.2
 #: ASCII letters in lower case; all other ASCII bytes count as a space.
 FOLD = bytes((c | 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Odd multipliers of the hash functions (fixed values).

@@ -1,8 +1,9 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans.
 
 ``fit`` labels tokens of a bounded sample of labelled documents (a token is toxic where its
-document is and its word is far more frequent among toxic documents), trains the field by
-gradient ascent on forward-backward marginals and calibrates document scores.  ``score`` runs
+document is and its word, or a stem of it, is far more frequent among toxic documents), trains the
+field by gradient ascent on forward-backward marginals and calibrates document scores.  Emissions
+sum the weights of a word and of its prefixes, so inflected forms of a toxic stem count too.  ``score`` runs
 forward-backward over every token of every text and returns a score and the offending offsets.
 
 Defined cases: null and empty texts have no tokens and get the calibrated score of a text without
@@ -30,14 +31,19 @@ WORD = re.compile(r"[^\W_]+")
 
 #: Labelled documents of each class that the field learns from, chosen by a hash of their id.
 SAMPLE_PER_CLASS = 4000
-#: Words whose token labels and weights the field may learn.
-MAX_WORDS = 50_000
+#: Words and prefixes whose weights the field may learn, and the lengths of the prefixes.
+MAX_FEATURES = 60_000
+PREFIXES = (4, 5, 6)
 #: Windows of the sample that training sees, and their length in tokens.
-MAX_WINDOWS = 20_000
+MAX_WINDOWS = 8_000
 WINDOW = 64
-#: A word marks toxic tokens from this many toxic documents and this log ratio on.
+#: Words whose emission a task keeps at a time.
+CACHE = 200_000
+#: A word or prefix marks toxic tokens from this many toxic documents, this log ratio of document
+#: rates and this likelihood ratio statistic (chance alone rarely passes) on.
 MIN_TOXIC_DOCS = 3
 MIN_LOG_RATIO = 2.5
+MIN_EVIDENCE = 18.0
 #: Blocks of the blocked forward-backward scan.
 BLOCK = 128
 THRESHOLD = 0.3
@@ -46,10 +52,10 @@ CLIP = 30.0
 
 @dataclass
 class ToxicityModel:
-    """Word emissions (log odds of tag 1), transition weights and calibration."""
+    """Feature weights and bias (log odds of tag 1), transition weights and calibration."""
 
-    words: dict[str, int] = field(default_factory=dict)
-    emission: np.ndarray = field(default_factory=lambda: np.zeros(1))  # last: unknown words
+    weights: dict[str, float] = field(default_factory=dict)
+    bias: float = 0.0
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: float = 0.0
     calibration: np.ndarray | None = None
@@ -122,36 +128,61 @@ def forward_backward(e: np.ndarray, lens: np.ndarray, model: ToxicityModel) -> t
 # ---------------------------------------------------------------- training
 
 
-def train_field(sequences: list[np.ndarray], tags: list[np.ndarray], n_words: int, steps: int = 60, rate: float = 0.5, l2: float = 2.0) -> ToxicityModel:
-    """Maximum likelihood with Adagrad.  ``sequences`` hold word numbers below ``n_words`` + 1; the last stands for unknown words."""
-    lens = np.array([len(s) for s in sequences])
-    ids, y = np.concatenate(sequences), np.concatenate(tags).astype(float)
-    model = ToxicityModel(emission=np.zeros(n_words + 1), trans=np.array([[0.0, -1.0], [-1.0, 0.0]]), start=-1.0)
-    bias = -2.0
-    begin = np.zeros(len(ids), bool)
+def features(word: str) -> list[str]:
+    """The word and its prefixes."""
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
+
+
+class Emissions(dict):
+    """Word to emission; at most ``CACHE`` words are kept."""
+
+    def __init__(self, model: ToxicityModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE:
+            self.clear()
+        get = self.model.weights.get
+        value = self[word] = self.model.bias + sum(get(x, 0.0) for x in features(word))
+        return value
+
+
+def train_field(found: np.ndarray, lens: np.ndarray, tags: np.ndarray, names: list[str], steps: int = 40, rate: float = 0.5, l2: float = 2.0) -> ToxicityModel:
+    """Maximum likelihood with Adagrad.  ``found`` has a row of feature numbers for each token,
+    padded with ``len(names)``; sequences of ``lens`` tokens stand one after another."""
+    pad = len(names)
+    y = tags.astype(float)
+    model = ToxicityModel(trans=np.array([[0.0, -1.0], [-1.0, 0.0]]), start=-1.0)
+    theta, bias = np.zeros(pad + 1), -2.0
+    begin = np.zeros(len(y), bool)
     begin[np.cumsum(lens) - lens] = True
     prev = np.flatnonzero(~begin) - 1
     cur = prev + 1
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[prev].astype(int), y[cur].astype(int)), 1)
-    squares = [np.full(n_words + 1, 1e-6), np.full((2, 2), 1e-6), 1e-6, 1e-6]
-    counts = np.bincount(ids, minlength=n_words + 1)
+    squares = [np.full(pad + 1, 1e-6), np.full((2, 2), 1e-6), 1e-6, 1e-6]
+    shrink = l2 / np.sqrt(1 + np.bincount(found.ravel(), minlength=pad + 1))
     for _ in range(steps):
-        f, b, p = forward_backward(model.emission[ids] + bias, lens, model)
+        e = theta[found].sum(1) + bias
+        f, b, p = forward_backward(e, lens, model)
         diff = y - p
-        g_word = np.bincount(ids, weights=diff, minlength=n_words + 1) - l2 * model.emission / np.sqrt(1 + counts)
-        g_word[-1] = 0  # unknown words carry the bias alone
-        w, a = np.exp(np.clip(model.emission[ids[cur]] + bias, -CLIP, CLIP)), np.exp(model.trans)
+        g_theta = -shrink * theta
+        for k in range(found.shape[1]):
+            g_theta += np.bincount(found[:, k], weights=diff, minlength=pad + 1)
+        g_theta[pad] = 0
+        w, a = np.exp(np.clip(e[cur], -CLIP, CLIP)), np.exp(model.trans)
         pair = np.stack([np.full(len(cur), a[0, 0]), a[0, 1] * w * b[cur], a[1, 0] * f[prev], a[1, 1] * f[prev] * w * b[cur]])
         g_trans = seen - (pair / pair.sum(0)).sum(1).reshape(2, 2) - l2 * model.trans
         g_start, g_bias = diff[begin].sum() - l2 * model.start, diff.sum() - l2 * bias
-        for k, g in enumerate((g_word, g_trans, g_start, g_bias)):
+        for k, g in enumerate((g_theta, g_trans, g_start, g_bias)):
             squares[k] = squares[k] + g * g
-        model.emission += rate * g_word / np.sqrt(squares[0])
+        theta += rate * g_theta / np.sqrt(squares[0])
         model.trans = model.trans + rate * g_trans / np.sqrt(squares[1])
         model.start += rate * g_start / np.sqrt(squares[2])
         bias += rate * g_bias / np.sqrt(squares[3])
-    model.emission += bias
+    model.bias = float(bias)
+    model.weights = {x: float(theta[k]) for k, x in enumerate(names) if abs(theta[k]) > 1e-3}
     return model
 
 
@@ -170,21 +201,28 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFra
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), sizes
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.dropDuplicates(["text", "toxic"]), sizes  # copies say nothing new
 
 
-def _word_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _feature_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen = (Counter(), Counter())
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            seen[toxic].update(set(_words(text)))
+            seen[toxic].update({x for w in set(_words(text)) for x in features(w)})
         words = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "clean_docs": [seen[0][w] for w in words], "toxic_docs": [seen[1][w] for w in words]})
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(words, pa.string()), "clean_docs": [seen[0][w] for w in words], "toxic_docs": [seen[1][w] for w in words]})
+
+
+def _evidence(a: int, n_a: int, b: int, n_b: int) -> float:
+    """Likelihood ratio statistic of the rates a / n_a and b / n_b against one common rate."""
+    whole = (a + b) / (n_a + n_b)
+    return 2 * sum(k * np.log(k / (n * q)) for x, n in ((a, n_a), (b, n_b)) for k, q in ((x, whole), (n - x, 1 - whole)) if k > 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
     """Learn from at most ``per_class`` documents of each class; word counts are made by Spark,
-    and what reaches the driver is bounded by ``MAX_WORDS`` and ``MAX_WINDOWS``."""
+    and what reaches the driver is bounded by ``MAX_FEATURES`` and ``MAX_WINDOWS``."""
     small_batches(docs.sparkSession)
     sample, sizes = _sample(docs, labels, per_class)
     total = sum(sizes.values())
@@ -192,25 +230,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     if len(sizes) < 2:
         return ToxicityModel(prior=prior)
     n = {y: min(k, per_class) for y, k in sizes.items()}
-    words = sample.mapInArrow(_word_documents, "word string, clean_docs long, toxic_docs long").groupBy("word").agg(F.sum("clean_docs").alias("clean_docs"), F.sum("toxic_docs").alias("toxic_docs"))
+    words = sample.mapInArrow(_feature_documents, "feature string, clean_docs long, toxic_docs long").groupBy("feature").agg(F.sum("clean_docs").alias("clean_docs"), F.sum("toxic_docs").alias("toxic_docs"))
     ratio = F.log((F.col("toxic_docs") + 0.5) / (n[1] + 1)) - F.log((F.col("clean_docs") + 0.5) / (n[0] + 1))
     counts = (
         words.withColumn("ratio", ratio)
         .where(F.col("clean_docs") + F.col("toxic_docs") >= 2)
-        .orderBy(F.desc(F.col("clean_docs") + F.col("toxic_docs")), "word")
-        .limit(MAX_WORDS)
+        .orderBy(F.desc(F.col("clean_docs") + F.col("toxic_docs")), "feature")
+        .limit(MAX_FEATURES)
         .collect()
     )
-    vocabulary = {r["word"]: k for k, r in enumerate(counts)}
-    toxic_words = {r["word"] for r in counts if r["toxic_docs"] >= MIN_TOXIC_DOCS and r["ratio"] >= MIN_LOG_RATIO}
-    if not toxic_words:
+    names = [r["feature"] for r in counts]
+    candidates = {r["feature"]: r for r in counts if r["toxic_docs"] >= MIN_TOXIC_DOCS and r["ratio"] >= MIN_LOG_RATIO and _evidence(r["toxic_docs"], n[1], r["clean_docs"], n[0]) >= MIN_EVIDENCE}
+    toxic_features = {
+        x for x, k in _contexts(sample, set(candidates)).items()
+        if k >= MIN_TOXIC_DOCS and _evidence(min(k, candidates[x]["toxic_docs"]), n[1], candidates[x]["clean_docs"], n[0]) >= MIN_EVIDENCE
+    }
+    if not toxic_features:
         return ToxicityModel(prior=prior)
-    windows = _training_windows(sample, vocabulary, toxic_words).collect()
-    model = train_field([np.array(r["ids"]) for r in windows], [np.array(r["tags"]) for r in windows], len(vocabulary))
-    model.words = {w: k for w, k in vocabulary.items() if abs(model.emission[k] - model.emission[-1]) > 1e-3}
-    keep = np.fromiter(model.words.values(), int, len(model.words))
-    model.emission = np.append(model.emission[keep], model.emission[-1])
-    model.words = {w: k for k, w in enumerate(model.words)}
+    windows = _training_windows(sample, {x: k for k, x in enumerate(names)}, toxic_features).collect()
+    width = 1 + len(PREFIXES)
+    found = np.array([k for r in windows for k in r["found"]], np.int64).reshape(-1, width)
+    model = train_field(found, np.array([len(r["tags"]) for r in windows]), np.array([t for r in windows for t in r["tags"]]), names)
     model.prior = prior
     rows = sample.mapInArrow(lambda batches: _features(batches, model), "toxic int, top double, mass double").collect()
     x = np.array([[1.0, r["top"], r["mass"]] for r in rows])
@@ -220,24 +260,45 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return model
 
 
-def _training_windows(sample: DataFrame, vocabulary: dict[str, int], toxic_words: set[str]) -> DataFrame:
-    """Windows as word numbers and tags: those with toxic tokens first, then others by hash."""
+def _contexts(sample: DataFrame, candidates: set[str]) -> dict[str, int]:
+    """Distinct preceding words of each candidate in toxic documents.  Near copies of one toxic
+    document repeat its words in the same places, so their number is no evidence."""
+    if not candidates:
+        return {}
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text in batch["text"].to_pylist():
+                last = ""
+                for w in _words(text):
+                    found.update((x, last) for x in features(w) if x in candidates)
+                    last = w
+            yield pa.RecordBatch.from_pydict({"feature": pa.array([x for x, _ in found], pa.string()), "before": pa.array([y for _, y in found], pa.string())})
+
+    rows = sample.where("toxic = 1").mapInArrow(pairs, "feature string, before string").distinct().groupBy("feature").count().collect()
+    return {r["feature"]: r["count"] for r in rows}
+
+
+def _training_windows(sample: DataFrame, numbers: dict[str, int], toxic_features: set[str]) -> DataFrame:
+    """Windows as feature numbers and tags: as many with toxic tokens as without, by hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unknown = len(vocabulary)
+        pad, width = len(numbers), 1 + len(PREFIXES)
         for batch in batches:
             out = []
             for doc_id, text, toxic in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
                 words = _words(text)
                 for at in range(0, len(words), WINDOW):
-                    part = words[at : at + WINDOW]
-                    tags = [int(toxic and w in toxic_words) for w in part]
-                    out.append({"doc_id": doc_id, "at": at, "ids": [vocabulary.get(w, unknown) for w in part], "tags": tags, "marked": int(any(tags))})
-            yield pa.RecordBatch.from_pylist(out, pa.schema({"doc_id": pa.int64(), "at": pa.int64(), "ids": pa.list_(pa.int32()), "tags": pa.list_(pa.int32()), "marked": pa.int32()}))
+                    part = [features(w) for w in words[at : at + WINDOW]]
+                    tags = [int(toxic and not toxic_features.isdisjoint(x)) for x in part]
+                    found = [k for x in part for k in ([numbers.get(y, pad) for y in x] + [pad] * width)[:width]]
+                    out.append({"doc_id": doc_id, "at": at, "found": found, "tags": tags, "marked": int(any(tags))})
+            yield pa.RecordBatch.from_pylist(out, pa.schema({"doc_id": pa.int64(), "at": pa.int64(), "found": pa.list_(pa.int32()), "tags": pa.list_(pa.int32()), "marked": pa.int32()}))
 
-    cuts = sample.mapInArrow(cut, "doc_id long, at long, ids array<int>, tags array<int>, marked int")
+    cuts = sample.mapInArrow(cut, "doc_id long, at long, found array<int>, tags array<int>, marked int")
     ranked = [cuts.where(F.col("marked") == m).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(MAX_WINDOWS // 2) for m in (0, 1)]
-    return ranked[0].unionByName(ranked[1]).select("ids", "tags")
+    return ranked[0].unionByName(ranked[1]).select("found", "tags")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0) -> np.ndarray:
@@ -258,13 +319,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0)
 # ---------------------------------------------------------------- scoring
 
 
-def _marginals(texts: list[str], model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+def _marginals(texts: list[str | None], model: ToxicityModel, emissions: Emissions) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of all tokens of the texts, one after another, and the texts' token counts."""
-    get, unknown = model.words.get, len(model.words)
-    lists = [[get(w, unknown) for w in _words(t)] for t in texts]
-    lens = np.array([len(x) for x in lists], int)
-    ids = np.concatenate([np.array(x, np.int32) for x in lists]) if len(lists) else np.zeros(0, np.int32)
-    return forward_backward(model.emission[ids], lens, model)[2], lens
+    parts = [np.array([emissions[w] for w in _words(t)]) for t in texts]
+    lens = np.array([len(x) for x in parts], int)
+    return forward_backward(np.concatenate(parts) if parts else np.zeros(0), lens, model)[2], lens
 
 
 def _aggregate(p: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,9 +339,10 @@ def _aggregate(p: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _features(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
+    emissions = Emissions(model)
     for batch in batches:
         if batch.num_rows:
-            top, mass = _aggregate(*_marginals(batch["text"].to_pylist(), model))
+            top, mass = _aggregate(*_marginals(batch["text"].to_pylist(), model, emissions))
             yield pa.RecordBatch.from_pydict({"toxic": batch["toxic"], "top": top, "mass": mass})
 
 
@@ -303,12 +363,14 @@ def _spans(text: str, p: np.ndarray) -> str:
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """Add ``tox_score``, ``tox_predicted`` and ``tox_spans`` (offsets into the lower-cased text) to all rows."""
 
+    emissions = Emissions(model)
+
     def run(texts: list[str | None]) -> list:
         spans = [""] * len(texts)
         if model.calibration is None:
             value = np.full(len(texts), model.prior)
         else:
-            p, lens = _marginals(texts, model)
+            p, lens = _marginals(texts, model, emissions)
             top, mass = _aggregate(p, lens)
             z = np.stack([np.ones(len(top)), top, mass], 1) @ model.calibration
             value = 1 / (1 + np.exp(-np.clip(z, -CLIP, CLIP)))
