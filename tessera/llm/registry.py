@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "toxicity",
     "language_id",
+    "simhash",
 )
 
 
