@@ -11,6 +11,7 @@ MODULES = (
     "toxicity",
     "language_id",
     "simhash",
+    "mixing",
 )
 
 
