@@ -12,6 +12,7 @@ MODULES = (
     "language_id",
     "simhash",
     "mixing",
+    "packing",
 )
 
 
