@@ -13,6 +13,7 @@ MODULES = (
     "simhash",
     "mixing",
     "packing",
+    "minhash",
 )
 
 
