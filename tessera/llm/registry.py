@@ -13,6 +13,8 @@ MODULES = (
     "simhash",
     "mixing",
     "packing",
+    "gif_media",
+    "license_scan",
     "minhash",
 )
 
