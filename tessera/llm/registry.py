@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "url_filters",
+    "chat_format",
     "toxicity",
     "language_id",
     "simhash",
