@@ -53,16 +53,16 @@ def fold(events: DataFrame) -> DataFrame:
     )
     message = Window.partitionBy("conv_id", "message_id")
     restart = F.max(F.when(F.col("event") != "delta", F.col("seq"))).over(message)
-    marked = known.withColumns({"restart": restart, "opened": F.min("seq").over(message)}).where(F.col("restart").isNull() | (F.col("seq") >= F.col("restart")))
+    named = F.max_by("role", F.when(F.col("role") != "", F.col("seq"))).over(message)  # the last role that an event gives
+    marked = known.withColumns({"restart": restart, "opened": F.min("seq").over(message), "role": F.coalesce(named, F.lit(""))}).where(F.col("restart").isNull() | (F.col("seq") >= F.col("restart")))
     # a text that an event brings in counts from the last event that is no delta; a regeneration brings none
     part = F.struct("seq", (F.col("event") == "delta").alias("later"), "event", F.when(F.col("event") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text"))
-    messages = marked.groupBy("conv_id", "message_id", "opened").agg(
+    messages = marked.groupBy("conv_id", "message_id", "opened", "role").agg(
         F.sort_array(F.collect_list(part)).alias("parts"),
-        F.max_by("role", F.when(F.col("role") != "", F.col("seq"))).alias("role"),
         F.max(F.col("event") == "delete").alias("deleted"),
     )
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    whole = messages.where("not deleted").select("conv_id", F.struct("opened", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), "message_id").alias("m"))
+    whole = messages.where("not deleted").select("conv_id", F.struct("opened", "role", text.alias("text"), "message_id").alias("m"))
     turns = whole.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
     return turns.select("conv_id", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 

@@ -77,7 +77,10 @@ def add_columns(docs: DataFrame, new: dict[str, str], fn: Callable[[list], list]
     carried columns pass through untouched, so nulls and large integers stay exact."""
     small_batches(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
-    read = docs.select(*carry, F.col("text").alias("__text"))
+    read_as = "__text"
+    while read_as in carry:
+        read_as += "_"
+    read = docs.select(*carry, F.col("text").alias(read_as))
     schema = docs.select(*carry).schema
     for name, kind in new.items():
         schema = schema.add(name, kind)
@@ -85,7 +88,7 @@ def add_columns(docs: DataFrame, new: dict[str, str], fn: Callable[[list], list]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = fn(batch.column("__text").to_pylist())
+                made = fn(batch.column(read_as).to_pylist())
                 arrays = [pa.array(v, getattr(pa, _ARROW[kind])()) for v, kind in zip(made, new.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + arrays, names=[*carry, *new])
 

@@ -118,11 +118,12 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataF
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (``doc_id``, ``text`` not null, ``fp``) with ``next_text`` and ``next_fp`` of the next row by
+    """``doc_id``, ``text`` (not null) and ``fp`` of all rows, with ``next_text`` and ``next_fp`` of the next row by
     descending id; the last is followed by the first."""
+    docs = docs.select("doc_id", "text", "fp")
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     ids = docs.select(key.alias("key"))
-    n, least = ids.agg(F.count("*"), F.min("key")).first()
+    n = ids.count()
     parts = max(1, n // RANGE_ROWS)
     bounds = sorted(set(ids.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
     where = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("key"))) if bounds else F.lit(0)

@@ -90,24 +90,24 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
 
     ``redirects`` may add edges (``from``, ``to``) that a crawl has seen.
     """
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    urls = pages.select(*names).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    links = page_links(pages)
+    new = ("host", "path", "rule", "verdict")
+    row = F.struct(*[c for c in pages.columns if c not in new]).alias("row")
+    urls = pages.select(row, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    links = page_links(pages.select("url", "html"))
     if redirects is not None:
         links = links.unionByName(redirects.select("from", "to"))
-    nodes = F.col("from").alias("url"), F.col("to").alias("url")
     edges = materialize(links.select(node_of(F.col("from")).alias("a"), node_of(F.col("to")).alias("b"), "from", "to").where("a <> b"), "url-edges")
     out = urls.join(matched(urls, rules), ["host", "path"], "left")
     if edges.isEmpty():
-        return out.select(*names, "host", "path", "rule", F.coalesce("own", F.lit(DEFAULT)).alias("verdict"))
-    ends = edges.select(nodes[0]).unionByName(edges.select(nodes[1])).distinct()
+        return out.select("row.*", "host", "path", "rule", F.coalesce("own", F.lit(DEFAULT)).alias("verdict"))
+    ends = edges.select(F.col("from").alias("url")).unionByName(edges.select(F.col("to").alias("url"))).distinct()
     ends = ends.select(node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
     member = components(edges.select("a", "b"))
     decided = ends.join(matched(ends, rules), ["host", "path"]).join(member, "node")
     spread = decided.groupBy("component").agg(F.min("own").alias("spread"))  # allow sorts before block
     aliases = member.join(spread, "component").select("node", "spread")
     out = out.withColumn("node", node_of(F.col("url"))).join(aliases, "node", "left")
-    return out.select(*names, "host", "path", "rule", F.coalesce("own", "spread", F.lit(DEFAULT)).alias("verdict"))
+    return out.select("row.*", "host", "path", "rule", F.coalesce("own", "spread", F.lit(DEFAULT)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
