@@ -1 +1 @@
-
+"""Retrieval, evaluation, telemetry and message operators on DataFrames."""
