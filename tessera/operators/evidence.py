@@ -22,20 +22,20 @@ RISK = {"high": 2, "medium": 1, "low": 0}
 CONFIDENCE = {"high": 1, "medium": 0, "low": -1}
 
 
-def field_evidence(field: str, text: Column, query_text: Column, query_tokens: Column) -> Column:
+def field_evidence(field: str, phrases: Column, query_text: Column, query_tokens: Column) -> Column:
     """Struct of ``value`` and ``strong``: the best phrase and a part of the next two.
 
-    A phrase counts in full if it stands in the query, by its coverage if at least half of its
-    tokens do, and a little if one of two does.
+    ``phrases`` come from ``phrase_tokens`` of the card's field.  A phrase counts in full if it stands
+    in the query, by its coverage if at least half of its tokens do, and a little if one of two does.
     """
 
-    def judge(phrase: Column) -> Column:
-        def with_tokens(own: Column) -> Column:
-            hits = F.size(F.array_intersect(own, query_tokens))
-            n = F.size(own)
+    def judge(p: Column) -> Column:
+        n = F.size(p["tokens"])
+        multi = (n >= 2) | (F.length(F.regexp_replace(p["phrase"], f"[^{T.HAN}]", "")) >= 3)
+
+        def score(seen: Column) -> Column:
+            hits, exact = seen["hits"], seen["exact"]
             coverage = hits / F.greatest(n, F.lit(1))
-            exact = T.contains_term(query_text, query_tokens, phrase)
-            multi = (n >= 2) | (F.length(F.regexp_replace(phrase, f"[^{T.HAN}]", "")) >= 3)
             short = exact & ~multi & (F.size(query_tokens) <= 2)
             value = (
                 F.when(n == 0, 0.0)
@@ -49,16 +49,19 @@ def field_evidence(field: str, text: Column, query_text: Column, query_tokens: C
             near = (hits >= 2) & (coverage >= 0.58) if field in ("triggers", "aliases") else F.lit(False)
             return F.struct(value.alias("value"), ((exact & multi) | short | near).alias("strong"))
 
-        return F.transform(F.array(T.tokens(phrase)), with_tokens)[0]
+        seen = F.struct(F.size(F.array_intersect(p["tokens"], query_tokens)).alias("hits"), T.contains_term(query_text, query_tokens, p["phrase"], n).alias("exact"))
+        return F.get(F.transform(F.array(seen), score), 0)
 
-    found = F.filter(F.transform(T.phrases(text), judge), lambda x: x["value"] > 0)
+    found = F.filter(F.transform(phrases, judge), lambda x: x["value"] > 0)
     # a stable order: equal values keep the order of their phrases
-    ranked = F.transform(F.array_sort(F.transform(found, lambda x, i: F.struct((-x["value"]).alias("v"), i.alias("i"), x["strong"].alias("strong")))), lambda x: x)
-    support = F.aggregate(F.slice(ranked, 2, 2), F.lit(0.0), lambda acc, x: acc - x["v"] * SUPPORT)
-    return F.when(
-        F.size(ranked) > 0,
-        F.struct(rounded(F.least(F.lit(CAP), support - F.get(ranked, 0)["v"])).alias("value"), F.get(ranked, 0)["strong"].alias("strong")),
-    ).otherwise(F.struct(F.lit(0.0).alias("value"), F.lit(False).alias("strong")))
+    ranked = F.array_sort(F.transform(found, lambda x, i: F.struct((-x["value"]).alias("v"), i.alias("i"), x["strong"].alias("strong"))))
+
+    def total(r: Column) -> Column:
+        support = F.aggregate(F.slice(r, 2, 2), F.lit(0.0), lambda acc, x: acc - x["v"] * SUPPORT)
+        value = F.when(F.size(r) > 0, rounded(F.least(F.lit(CAP), support - F.get(r, 0)["v"]))).otherwise(0.0)
+        return F.struct(value.alias("value"), F.coalesce(F.get(r, 0)["strong"], F.lit(False)).alias("strong"))
+
+    return F.get(F.transform(F.array(ranked), total), 0)
 
 
 def lexical_support(anchor_tokens: Column, query_tokens: Column) -> Column:
@@ -73,17 +76,14 @@ def signal_evidence(required: Column, positives: Column) -> Column:
     return F.when(F.size(weights) > 0, F.least(F.lit(58.0), 40.0 + F.array_max(weights))).otherwise(0.0)
 
 
-def fuzzy_penalty(negative_triggers: Column, query_tokens: Column) -> Column:
-    """Negative phrases that the query covers by 72 % or more (two tokens at least)."""
-
-    def near(phrase: Column) -> Column:
-        def judge(own: Column) -> Column:
-            hits = F.size(F.array_intersect(own, query_tokens))
-            return (F.size(own) >= 2) & (hits >= 2) & (hits >= 0.72 * F.size(own))
+def fuzzy_penalty(negative_phrases: Column, query_tokens: Column) -> Column:
+    """Negative phrases (arrays of their tokens of two characters or more) that the query covers by 72 % or more."""
 
-        return F.transform(F.array(F.filter(T.tokens(phrase), lambda t: F.length(t) > 1)), judge)[0]
+    def near(own: Column) -> Column:
+        hits = F.size(F.array_intersect(own, query_tokens))
+        return (F.size(own) >= 2) & (hits >= 2) & (hits >= 0.72 * F.size(own))
 
-    n = F.size(F.filter(negative_triggers, near))
+    n = F.size(F.filter(negative_phrases, near))
     return F.when(n > 0, F.least(F.lit(45.0), 24.0 + 8.0 * (n - 1))).otherwise(0.0)
 
 

@@ -89,9 +89,9 @@ def lang_detect(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    """Prompts and benchmark cards that share a token, with the prompt's text and tokens and the card's text."""
-    cards = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("card_text"))
-    held = T.explode_tokens(cards, F.col("card_text"), "item_id").distinct()
+    """Prompts and benchmark cards that share a token, with the prompt's text and tokens and the card's tokens and phrases."""
+    cards = read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("card_tokens"), T.phrase_tokens(F.col("text")).alias("card_phrases"))
+    held = cards.select("item_id", F.explode("card_tokens").alias("token"))
     said = prompts(spark, sf_dir).select("prompt_id", T.normalize(F.col("text")).alias("query_text"), T.tokens(F.col("text")).alias("query_tokens"))
     ids = prompt_tokens(spark, sf_dir).join(held, "token").select("prompt_id", "item_id").distinct()
     return ids.join(said, "prompt_id").join(cards, "item_id")
@@ -104,7 +104,7 @@ def _pairs(spark, sf_dir) -> DataFrame:
     SELECT prompt_id, item_id, count(*) AS hits, floor(count(*)::DOUBLE / max(n) * 10000 + 0.5) / 10000 AS coverage FROM q JOIN c USING (tok) JOIN n USING (item_id) GROUP BY ALL""",
 )
 def phrase_coverage(spark, sf_dir):
-    own = T.tokens(F.col("card_text"))
+    own = F.col("card_tokens")
     hits = F.size(F.array_intersect(own, "query_tokens"))
     return _pairs(spark, sf_dir).select("prompt_id", "item_id", hits.cast("long").alias("hits"), S.rounded(hits / F.size(own), 4).alias("coverage"))
 
@@ -115,7 +115,7 @@ def phrase_coverage(spark, sf_dir):
     SELECT prompt_id, item_id, CASE WHEN count(*) >= 2 THEN least(18.0::DOUBLE, 6 + 2.5::DOUBLE * count(*)) ELSE 0.0::DOUBLE END AS value FROM q JOIN c USING (tok) GROUP BY ALL""",
 )
 def lexical_support(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("prompt_id", "item_id", evidence.lexical_support(T.tokens(F.col("card_text")), F.col("query_tokens")).alias("value"))
+    return _pairs(spark, sf_dir).select("prompt_id", "item_id", evidence.lexical_support(F.col("card_tokens"), F.col("query_tokens")).alias("value"))
 
 
 @query(
@@ -139,7 +139,7 @@ def lexical_support(spark, sf_dir):
     SELECT prompt_id, item_id, floor(least(62.0::DOUBLE, sum(CASE WHEN k = 1 THEN value WHEN k <= 3 THEN value * 0.22::DOUBLE ELSE 0 END)) * 100 + 0.5) / 100 AS value, bool_or(k = 1 AND strong) AS strong FROM r GROUP BY ALL""",
 )
 def field_evidence(spark, sf_dir):
-    found = evidence.field_evidence("triggers", F.col("card_text"), F.col("query_text"), F.col("query_tokens"))
+    found = evidence.field_evidence("triggers", F.col("card_phrases"), F.col("query_text"), F.col("query_tokens"))
     rows = _pairs(spark, sf_dir).select("prompt_id", "item_id", found.alias("e")).where("e.value > 0")
     return rows.select("prompt_id", "item_id", "e.value", "e.strong")
 
@@ -291,8 +291,8 @@ def greedy_collapse(spark, sf_dir):
 def recall_selection(spark, sf_dir):
     """Admission, rank fusion, diversity and dynamic selection over the benchmark cards of each prompt."""
     raw = corpus.bm25f(prompt_tokens(spark, sf_dir), corpus.field_rows(read(spark, sf_dir, "benchmark"), {"summary": F.col("text")}, ["item_id"]), "item_id", {"summary": 1.5})
-    found = evidence.field_evidence("triggers", F.col("card_text"), F.col("query_text"), F.col("query_tokens"))
-    rows = _pairs(spark, sf_dir).select("prompt_id", "item_id", found.alias("e"), evidence.lexical_support(T.tokens(F.col("card_text")), F.col("query_tokens")).alias("lexical"))
+    found = evidence.field_evidence("triggers", F.col("card_phrases"), F.col("query_text"), F.col("query_tokens"))
+    rows = _pairs(spark, sf_dir).select("prompt_id", "item_id", found.alias("e"), evidence.lexical_support(F.col("card_tokens"), F.col("query_tokens")).alias("lexical"))
     score = evidence.evidence_score(F.array("e.value", "lexical"), F.lit(0.0))
     families = (F.col("e.value") >= 8).cast("int") + (F.col("lexical") >= 8).cast("int")
     scored = rows.join(raw, ["prompt_id", "item_id"]).select("prompt_id", "item_id", score.alias("score"), S.rounded(F.col("raw_score")).alias("raw_score"), families.alias("families"), (F.col("e.strong") & (F.col("e.value") >= 36)).alias("strong_anchor"), F.lit(0).alias("priority_score"))
