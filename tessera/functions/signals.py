@@ -8,6 +8,7 @@ here are this project's own short wordings of each signal's meaning.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import permutations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -131,8 +132,9 @@ def ascii_bounds(pattern: str) -> str:
 
 
 def _together(atoms: tuple[str, ...]) -> str:
-    """All atoms within SPAN code points of one of them, in any order: a lookahead for each from some place."""
-    return "(?s)" + "".join(f"(?=.{{0,{SPAN}}}?(?:{ascii_bounds(ATOMS[a])}))" for a in atoms)
+    """All atoms, in any order, each within SPAN code points of the one before it."""
+    orders = (f".{{0,{SPAN}}}?".join(f"(?:{ascii_bounds(ATOMS[a])})" for a in order) for order in permutations(atoms))
+    return "(?s)" + "|".join(orders)
 
 
 def _found(low: Column, s: Signal) -> Column:
@@ -150,9 +152,17 @@ def detect(text: Column, registry: tuple[Signal, ...] = REGISTRY) -> Column:
     Positive signals are sought in what is not negated; one that a negative signal aims at is out.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    kept = P.strip_negated(low)
-    found = F.array_compact(F.array(*[F.when(_found(kept if s.positive else low, s), F.struct(F.lit(s.id).alias("id"), F.lit("positive" if s.positive else "negative").alias("polarity"), F.lit(s.weight).alias("weight"))) for s in registry]))
-    return F.get(F.transform(F.array(found), lambda x: _suppressed(x, registry)), 0)
+
+    def seen(x: Column) -> Column:
+        named = lambda s: F.struct(F.lit(s.id).alias("id"), F.lit("positive" if s.positive else "negative").alias("polarity"), F.lit(s.weight).alias("weight"))
+        return F.array_compact(F.array(*[F.when(_found(x["kept"] if s.positive else x["low"], s), named(s)) for s in registry]))
+
+    return _once(_once(F.struct(low.alias("low"), P.strip_negated(low).alias("kept")), seen), lambda found: _suppressed(found, registry))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once for a row."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _suppressed(found: Column, registry: tuple[Signal, ...]) -> Column:
@@ -184,7 +194,7 @@ def negative_targets(signals: Column, registry: tuple[Signal, ...] = REGISTRY) -
 def intents(text: Column) -> Column:
     """Intents of what is not negated; ``execute`` removes ``explain`` and ``discuss``."""
     low = P.strip_negated(F.lower(F.coalesce(text, F.lit(""))))
-    found = F.array_compact(F.array(*[F.when(low.rlike(ascii_bounds(p)), F.lit(name)) for name, p in INTENTS.items()]))
+    found = _once(low, lambda x: F.array_compact(F.array(*[F.when(x.rlike(ascii_bounds(p)), F.lit(name)) for name, p in INTENTS.items()])))
     return F.when(F.array_contains(found, "execute"), F.array_except(found, F.array(F.lit("explain"), F.lit("discuss")))).otherwise(found)
 
 

@@ -54,9 +54,9 @@ def invalid(cards: DataFrame) -> DataFrame:
 
 def _prepared_prompts(prompts: DataFrame) -> DataFrame:
     """Envelope, signals and intents of each prompt, computed once."""
-    signals = G.detect(F.col("text"))
-    rows = P.with_envelope(prompts.select("prompt_id", "text")).withColumns({"signals": signals, "intent_modes": G.intents(F.col("text"))})
-    return rows.withColumns({"rule_signals": G.ids(F.col("signals"), "positive"), "seen": G.ids(F.col("signals")), "query_text": T.normalize(P.strip_negated(F.col("text"))), "query_tokens": T.tokens(P.strip_negated(F.col("text")))})
+    rows = P.with_envelope(prompts.select("prompt_id", "text"))
+    rows = rows.withColumns({"signals": G.detect(F.col("text")), "intent_modes": G.intents(F.col("text")), "kept": P.strip_negated(F.col("text"))})
+    return rows.withColumns({"rule_signals": G.ids(F.col("signals"), "positive"), "seen": G.ids(F.col("signals")), "query_text": T.normalize(F.col("kept")), "query_tokens": T.tokens(F.col("kept"))})
 
 
 def _card_fields() -> dict[str, Column]:
@@ -84,7 +84,10 @@ def score(prompts: DataFrame, cards: DataFrame) -> DataFrame:
         F.coalesce(F.get("topics", 0), F.get("triggers", 0), F.col("card_id").cast("string")).alias("topic"),
     )
     asked = said.select("prompt_id", "signals", "seen", "rule_signals", "intent_modes", "query_text", "query_tokens", T.normalize(F.col("text")).alias("whole"), "negatives")
-    rows = pairs.join(own, "card_id").join(asked, "prompt_id")
+    # pairs are small rows that cost much to judge: a fixed number of partitions keeps adaptive execution
+    # from merging them by size, and the windows by prompt need no further shuffle
+    parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.join(own, "card_id").repartition(parts, "prompt_id").join(asked, "prompt_id")
     found = {f"e_{name}": evidence.field_evidence(name, F.col(f"p_{name}"), F.col("query_text"), F.col("query_tokens")) for name in evidence.EXACT}
     wanted = F.array_union("required_any", "required_all")
     found |= {"e_signals": F.struct(evidence.signal_evidence(wanted, G.positives(F.col("signals"))).alias("value"), F.lit(True).alias("strong")), "e_lexical": F.struct(evidence.lexical_support(F.col("anchors"), F.col("query_tokens")).alias("value"), F.lit(False).alias("strong"))}

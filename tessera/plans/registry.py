@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analytics, retrieval  # noqa: F401
+from tessera.plans import analytics, lifecycle, retrieval  # noqa: F401
 from tessera.plans.common import ORACLES, QUERIES
 
 

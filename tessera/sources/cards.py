@@ -69,7 +69,7 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
             rows = [{"file": f} | parse_card(t or "") for f, t in zip(batch["file"].to_pylist(), batch["value"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(run, SCHEMA)
 
 

@@ -24,7 +24,7 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Data
 
     Files are split by lines inside Spark, so a long session is one row only while it is split.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path)
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     kept = F.filter(F.split("value", r"\r?\n"), lambda v: F.trim(v) != "")
     rows = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(kept).alias("at", "value"))
     return rows.select("file", (F.col("at") + 1).alias("line"), "value")

@@ -40,10 +40,11 @@ def recall_stream(payloads: DataFrame, cards: DataFrame, out: str, checkpoint: s
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def rates_stream(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events, matched and rendered events by window of event time; rows later than ``late`` are left out."""
+def rates_stream(events: DataFrame, window: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
+    """Events, matched and rendered events by window of event time; rows later than ``late`` are left out
+    (None where the stream has its watermark, as after ``once``)."""
     shown = F.size(F.array_intersect("rendered", "selected")) > 0
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"))
+    grouped = (events.withWatermark("ts", late) if late else events).groupBy(F.window("ts", window).alias("w"))
     counts = grouped.agg(F.count("*").alias("events"), F.count_if(F.size("selected") > 0).alias("matched"), F.count_if(shown).alias("rendered_events"))
     return counts.select(F.col("w.start").alias("from"), F.col("w.end").alias("to"), "events", "matched", "rendered_events")
 
