@@ -1,8 +1,8 @@
 """Recall: from prompts and cards to a few selected cards with reasons, or deliberately none.
 
 Everything is a join, an aggregate or a window keyed by prompt.  Cards meet prompts through shared
-tokens or a required signal (equi-joins); statistics are kept per ``scope`` so that cards of one
-library never change another's scores.
+tokens or a required signal (equi-joins).  ``scope`` names columns that prompts and cards share (a
+library, a project): only rows of one scope meet, and its statistics come from its cards alone.
 
 ``cards`` columns: card_id, status, title, category, summary, triggers, negative_triggers, topics,
 required_any, required_all, blocked, include, exclude (arrays), recall_policy, risk, confidence.
@@ -52,9 +52,9 @@ def invalid(cards: DataFrame) -> DataFrame:
     return with_defaults(cards).select("card_id", issue.alias("issue")).where("issue is not null")
 
 
-def _prepared_prompts(prompts: DataFrame) -> DataFrame:
+def _prepared_prompts(prompts: DataFrame, scope: list[str]) -> DataFrame:
     """Envelope, signals and intents of each prompt, computed once."""
-    rows = P.with_envelope(prompts.select("prompt_id", "text"))
+    rows = P.with_envelope(prompts.select("prompt_id", *scope, "text"))
     rows = rows.withColumns({"signals": G.detect(F.col("text")), "intent_modes": G.intents(F.col("text")), "kept": P.strip_negated(F.col("text"))})
     return rows.withColumns({"rule_signals": G.ids(F.col("signals"), "positive"), "seen": G.ids(F.col("signals")), "query_text": T.normalize(F.col("kept")), "query_tokens": T.tokens(F.col("kept"))})
 
@@ -64,16 +64,18 @@ def _card_fields() -> dict[str, Column]:
     return {"title": F.col("title"), "triggers": lines("triggers"), "aliases": lines("aliases"), "topics": lines("topics"), "intentModes": lines("include"), "requiredSignals": lines(F.concat("required_any", "required_all")), "category": F.col("category"), "summary": F.col("summary")}
 
 
-def score(prompts: DataFrame, cards: DataFrame) -> DataFrame:
+def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Every prompt and card that share a token or a signal, with scores, evidence families and the gate's reason."""
     cards = with_defaults(cards).where("status = 'active' and recall_policy <> 'off'")
-    said = _prepared_prompts(prompts)
-    plan = P.query_plan(said, "prompt_id")
-    raw = corpus.bm25f(plan, corpus.field_rows(cards, _card_fields(), ["card_id"]), "card_id")
+    scope = scope or []
+    said = _prepared_prompts(prompts, scope)
+    plan = P.query_plan(said, *scope, "prompt_id")
+    raw = corpus.bm25f(plan, corpus.field_rows(cards, _card_fields(), [*scope, "card_id"]), "card_id", scope=scope).select("prompt_id", *scope, "card_id", "raw_score")
     # a card may be admitted on a signal alone, so signals bring candidates too
-    by_signal = said.select("prompt_id", F.explode("rule_signals").alias("signal")).join(cards.select("card_id", F.explode(F.array_union("required_any", "required_all")).alias("signal")), "signal")
-    pairs = raw.unionByName(by_signal.select("prompt_id", "card_id", F.lit(0.0).alias("raw_score"))).groupBy("prompt_id", "card_id").agg(F.sum("raw_score").alias("raw_score"))
+    by_signal = said.select("prompt_id", *scope, F.explode("rule_signals").alias("signal")).join(cards.select(*scope, "card_id", F.explode(F.array_union("required_any", "required_all")).alias("signal")), [*scope, "signal"])
+    pairs = raw.unionByName(by_signal.select("prompt_id", *scope, "card_id", F.lit(0.0).alias("raw_score"))).groupBy("prompt_id", *scope, "card_id").agg(F.sum("raw_score").alias("raw_score"))
     own = cards.select(
+        *scope,
         "card_id",
         *ARRAYS,
         *[T.phrase_tokens(text).alias(f"p_{name}") for name, text in _card_fields().items() if name in evidence.EXACT],
@@ -87,7 +89,7 @@ def score(prompts: DataFrame, cards: DataFrame) -> DataFrame:
     # pairs are small rows that cost much to judge: a fixed number of partitions keeps adaptive execution
     # from merging them by size, and the windows by prompt need no further shuffle
     parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.join(own, "card_id").repartition(parts, "prompt_id").join(asked, "prompt_id")
+    rows = pairs.join(own, [*scope, "card_id"]).repartition(parts, "prompt_id").join(asked, "prompt_id")
     found = {f"e_{name}": evidence.field_evidence(name, F.col(f"p_{name}"), F.col("query_text"), F.col("query_tokens")) for name in evidence.EXACT}
     wanted = F.array_union("required_any", "required_all")
     found |= {"e_signals": F.struct(evidence.signal_evidence(wanted, G.positives(F.col("signals"))).alias("value"), F.lit(True).alias("strong")), "e_lexical": F.struct(evidence.lexical_support(F.col("anchors"), F.col("query_tokens")).alias("value"), F.lit(False).alias("strong"))}
@@ -111,12 +113,12 @@ def score(prompts: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
-def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None) -> DataFrame:
+def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
     """One row per scored candidate: scores, ``selected``, and ``reason`` why it is not selected.
 
     ``similar`` holds pairs a, b of cards that stand for each other; later ones fold into the first.
     """
-    scored = score(prompts, cards)
+    scored = score(prompts, cards, scope)
     refused = F.coalesce("gate_reason", selection.admission_reason(F.col("score"), F.col("strong_anchor"), F.size("families"), F.lit(threshold)))
     scored = scored.withColumn("refused", refused)
     admitted = scored.where("refused is null")
@@ -135,9 +137,9 @@ def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.
     return chosen.unionByName(folded).unionByName(out).drop("refused", "gate_reason")
 
 
-def match(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None) -> DataFrame:
+def match(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
     """The selected cards of each prompt with their ``rank``."""
-    rows = match_detailed(prompts, cards, limit, threshold, similar).where("selected")
+    rows = match_detailed(prompts, cards, limit, threshold, similar, scope).where("selected")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*selection.comparator("card_id")))).drop("selected", "reason")
 
 

@@ -52,6 +52,14 @@ def test_scores_ignore_other_cards(spark, cards):
     assert alone["ui-check"] == crowd["ui-check"]
 
 
+def test_scopes_are_kept_apart(spark, cards):
+    """A prompt meets its own library's cards only, with their statistics only."""
+    both = cards.withColumn("library", F.lit("a")).unionByName(cards.where("card_id = 'ui-check'").withColumns({"card_id": F.lit("other"), "library": F.lit("b")}))
+    said = ask(spark, "browser validation of the frontend page").withColumn("library", F.lit("a"))
+    apart, alone = ({r.card_id: (r.raw_score, r.score) for r in rows.collect()} for rows in (recall.score(said, both, ["library"]), recall.score(said, cards)))
+    assert apart == alone
+
+
 def test_duplicates_fold_into_the_first(spark, cards):
     twin = [("twin", *CARDS[0][1:])]
     similar = spark.createDataFrame([("ui-check", "twin")], "a string, b string")
