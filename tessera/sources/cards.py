@@ -1,8 +1,8 @@
 """Card libraries: Markdown files with a front matter, card tables, and their life cycle.
 
 Files are read whole by Spark (a card is a page of text) and parsed in Arrow batches; the front matter
-needs PyYAML, or is JSON (which YAML includes).  Life-cycle steps are joins that return the next table;
-``write_table`` stages it beside the old one, so readers never see half of it.
+needs PyYAML, or is JSON (which YAML includes).  Life-cycle steps are joins that return the next table,
+which ``write_table`` writes to a path of its own (never the one that the step reads).
 """
 
 from __future__ import annotations

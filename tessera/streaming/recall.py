@@ -24,7 +24,7 @@ def payload_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
 def recall_stream(payloads: DataFrame, cards: DataFrame, out: str, checkpoint: str, available_now: bool = False, **options) -> StreamingQuery:
     """Recall every prompt of a stream of payloads into ``out``/matches; payloads without JSON go to ``out``/dead.
 
-    ``cards`` is a table that each batch reads anew, so changes of a library take effect at once.
+    ``cards`` is the library as it was listed when the stream began; restart the stream after a change.
     """
 
     def run(batch: DataFrame, number: int) -> None:
