@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language_id, mixing, packing, simhash, toxicity
+from tessera.llm import language_id, mixing, near_copies, packing, toxicity
 from tessera.llm.common import materialize, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
     ("language_id", language_id.stage),
-    ("simhash_dedup", simhash.stage),
+    ("near_copies", near_copies.stage),
     ("mixing", mixing.stage),
     ("packing", packing.stage),
 ]
