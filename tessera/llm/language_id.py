@@ -2,8 +2,8 @@
 
 One Bloom filter per language, stored bit-sliced: position ``i`` of the table holds a mask with a
 bit for each language whose filter has bit ``i``.  The AND of an n-gram's positions returns all
-languages that contain it.  Per-language popcounts over a text, corrected for the filters' false
-positives, decide.
+languages that contain it; beyond 64 languages a mask is several words.  Per-language popcounts over
+a text, corrected for the filters' false positives, decide.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; texts with letters
 but no known n-gram get the most frequent learned language with score 0; ties go to the language
@@ -35,7 +35,8 @@ MAX_GRAMS = 200_000
 GRAM = 4
 BITS_PER_GRAM = 12
 HASHES = 3
-#: The pipeline rejects documents whose language is unknown or decided by less than this share.
+#: The pipeline rejects documents whose language is unknown or holds less than this part of their
+#: n-grams; how many languages there are, and how many share an n-gram, plays no part.
 MIN_SCORE = 0.2
 #: ASCII letters in lower case; all other ASCII bytes count as a space.
 FOLD = bytes((c | 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -58,6 +59,11 @@ class LanguageFilters:
         return out
 
 
+def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+    """Nonzero where a mask has language ``k``."""
+    return masks & masks.dtype.type(1 << k) if masks.ndim == 1 else masks[:, k // 64] & np.uint64(1 << k % 64)
+
+
 def _positions(grams: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """Positions of the n-grams under each hash function; ``size`` is a power of two."""
     shift = np.uint64(64 - size.bit_length() + 1)
@@ -90,6 +96,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": grams.astype(np.int64), "n": n.astype(np.int64)})
 
 
+def sample_ids(known: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+    """Ids of the first ``per_language`` rows of each language by the hash of the id.
+
+    Only hashes in the lowest part can be among them: twice the expected number, and some, meet in a window."""
+    parts = [(lang, -(2.0**63) + 2.0**64 * min(1.0, (2 * per_language + 1000) / n)) for lang, n in sizes.items()]
+    bounds = known.sparkSession.createDataFrame(parts, "lang string, bound double")
+    low = known.select("doc_id", "lang").join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id").cast("double") <= F.col("bound"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return low.withColumn("place", place).where(F.col("place") <= per_language).select("doc_id")
+
+
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageFilters:
     """Count n-grams of at most ``per_language`` documents of each language on the executors; at
     most ``MAX_GRAMS`` n-grams of each language reach the driver."""
@@ -98,13 +115,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageFil
     sizes = sorted((-r["n"], r["lang"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not sizes:
         return LanguageFilters()
-    if len(sizes) > 64:
-        raise ValueError("masks have 64 bits; split the languages into groups")
     languages = sorted(lang for _, lang in sizes)
-    ids = None
-    for lang in languages:
-        part = known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        ids = part if ids is None else ids.unionByName(part)
+    ids = sample_ids(known, {lang: -n for n, lang in sizes}, per_language)
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
@@ -120,41 +132,51 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageFil
 
 
 def build(languages: list[str], grams: dict[str, np.ndarray], fallback: str) -> LanguageFilters:
-    """Bit-sliced filters; masks use the narrowest unsigned type that has a bit for each language."""
+    """Bit-sliced filters; masks use the narrowest unsigned type that has a bit for each language, or
+    as many 64-bit words as needed."""
     largest = max([1, *map(len, grams.values())])
     size = 1 << max(10, (BITS_PER_GRAM * largest - 1).bit_length())
-    width = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= bits)
-    slices = np.zeros(size, width)
+    width = next((t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if len(languages) <= bits), np.uint64)
+    slices = np.zeros(size if len(languages) <= 64 else (size, -(-len(languages) // 64)), width)
     fill = np.zeros(len(languages))
     for k, lang in enumerate(languages):
         for at in _positions(grams.get(lang, np.zeros(0, np.uint64)), size):
-            slices[at] |= width(1 << k)
-        fill[k] = np.count_nonzero(slices & width(1 << k)) / size
+            if slices.ndim == 1:
+                slices[at] |= width(1 << k)
+            else:
+                slices[at, k // 64] |= width(1 << k % 64)
+        fill[k] = np.count_nonzero(_bit(slices, k)) / size
     return LanguageFilters(languages, fallback, slices, fill**HASHES)
 
 
-def decide(text: str | None, model: LanguageFilters) -> tuple[str, float]:
-    """Language of a text and its share of the corrected counts of all languages."""
+def judge(text: str | None, model: LanguageFilters) -> tuple[str, float, float]:
+    """Language of a text, its share of the corrected counts of all languages, and the part of the
+    text's n-grams that it holds."""
     if not model.languages or not has_letter(text):
-        return "und", 0.0
+        return "und", 0.0, 0.0
     masks = model.lookup(grams_of(text))
-    hits = np.array([np.count_nonzero(masks & masks.dtype.type(1 << k)) for k in range(len(model.languages))], float)
+    hits = np.array([np.count_nonzero(_bit(masks, k)) for k in range(len(model.languages))], float)
     fp = model.false_positive
     true = np.maximum(0.0, (hits - len(masks) * fp) / np.maximum(1 - fp, 1e-9))
     if not true.any():
-        return model.fallback, 0.0
+        return model.fallback, 0.0, 0.0
     best = int(true.argmax())
-    return model.languages[best], float(true[best] / true.sum())
+    return model.languages[best], float(true[best] / true.sum()), float(true[best] / len(masks))
+
+
+def decide(text: str | None, model: LanguageFilters) -> tuple[str, float]:
+    """Language of a text and its share."""
+    return judge(text, model)[:2]
 
 
 def predict(docs: DataFrame, model: LanguageFilters, carry: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``lang_score`` to all rows."""
+    """Add ``lang_pred``, ``lang_score`` (share) and ``lang_rate`` (part of the n-grams) to all rows."""
 
     def run(texts: list[str | None]) -> list:
-        found = [decide(t, model) for t in texts]
-        return [[x[0] for x in found], [x[1] for x in found]]
+        found = [judge(t, model) for t in texts]
+        return [[x[k] for x in found] for k in range(3)]
 
-    return add_columns(docs, {"lang_pred": "string", "lang_score": "double"}, run, carry)
+    return add_columns(docs, {"lang_pred": "string", "lang_score": "double", "lang_rate": "double"}, run, carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,4 +188,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is known, with their own columns."""
     found = predict(docs, fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_rate") >= MIN_SCORE)).select(*docs.columns)
