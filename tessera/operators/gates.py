@@ -70,6 +70,14 @@ def applicable(prompts: DataFrame, cards: DataFrame) -> DataFrame:
     return scoped.unionByName(everyone)
 
 
+def applies(level: Column, project: Column, module: Column, own: Column, at: Column) -> Column:
+    """Whether a card of this level, project and module applies to a prompt of project ``own`` at module
+    ``at``.  A card without a level is global; a scoped one needs both projects."""
+    same = F.when(level == "project", project == own).when(level == "project-family", family_key(project) == family_key(own))
+    known = (own != "") & (project != "")
+    return F.coalesce(level == "global", F.lit(True)) | F.coalesce(same & known & within_module(at, module), F.lit(False))
+
+
 def classify(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """Label of the first rule whose pattern occurs in the lower-cased text."""
     low = F.lower(text)

@@ -6,7 +6,8 @@ library, a project): only rows of one scope meet, and its statistics come from i
 
 ``cards`` columns: card_id, status, title, category, summary, triggers, negative_triggers, topics,
 required_any, required_all, blocked, include, exclude (arrays), recall_policy, risk, confidence.
-``prompts`` columns: prompt_id, text.  Missing card columns take the defaults of ``DEFAULTS``.
+A card may also have rule and body, and level, project_key and module_path, which say where it applies; it
+then meets only prompts whose project_key and module_path fit.  ``prompts`` columns: prompt_id, text.  Missing card columns take the defaults of ``DEFAULTS``.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from tessera.functions import prompt as P
 from tessera.functions import signals as G
 from tessera.functions import text as T
 from tessera.functions.scoring import rounded
-from tessera.operators import corpus, evidence, gates, selection
+from tessera.operators import corpus, evidence, gates, selection, similarity
 
 #: Defaults of card columns: strings, and arrays for the names in ARRAYS.
-DEFAULTS = {"status": "active", "title": "", "category": "未分类", "summary": "", "recall_policy": "should", "risk": "medium", "confidence": "medium"}
+DEFAULTS = {"status": "active", "title": "", "category": "未分类", "summary": "", "recall_policy": "should", "risk": "medium", "confidence": "medium", "rule": "", "body": ""}
 ARRAYS = ("triggers", "negative_triggers", "aliases", "topics", "required_any", "required_all", "blocked", "include", "exclude")
+#: Where a card applies; a missing column is null.
+PLACE = ("level", "project_key", "module_path")
 DIAGNOSTICS = 32
 FAMILY, ANCHOR = 8.0, 36.0
 
@@ -36,6 +39,32 @@ def with_defaults(cards: DataFrame) -> DataFrame:
     return cards.withColumns(out)
 
 
+def _or_null(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
+def near_cards(cards: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Pairs ``a``, ``b`` of recallable cards of one scope and one place that are alike by COLLAPSE or more.
+
+    Cards that share no trigger, topic or token of those and the category stay below it (0.52 at most), so
+    the others never meet.
+    """
+    scope = scope or []
+    rows = with_defaults(cards).where("status = 'active' and recall_policy <> 'off'")
+    level = F.coalesce(_or_null(cards, "level"), F.lit("global"))
+    place = [*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scope], level, *[F.coalesce(_or_null(cards, c), F.lit("")) for c in PLACE[1:]]]
+    phrases = F.concat("triggers", "topics")
+    routes = F.concat(F.transform(phrases, lambda v: F.lower(F.trim(v))), F.flatten(F.transform(phrases, T.tokens)), T.tokens(F.col("category")))
+    prefix = F.concat_ws("\x00", *place)
+    fields = ("title", "category", "summary", "triggers", "topics", "rule", "body")
+    rows = rows.select(F.struct(*scope, "card_id").alias("k"), F.struct(*fields).alias("card"), F.transform(routes, lambda v: F.concat_ws("\x00", prefix, v)).alias("routes"))
+    pairs = similarity.set_pairs(rows, "k", "routes").select("a", "b")
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(rows.select(F.col("k").alias(end), F.col("card").alias(name)), end)
+    alike = similarity.card_similarity(*[{c: F.col(f"{name}.{c}") for c in fields} for name in ("x", "y")])
+    return pairs.where(alike >= similarity.COLLAPSE).select(F.col("a.card_id").alias("a"), F.col("b.card_id").alias("b"), *[F.col(f"a.{c}").alias(c) for c in scope])
+
+
 def invalid(cards: DataFrame) -> DataFrame:
     """``card_id`` and ``issue`` of cards that break the card contract."""
     bad = lambda c, *values: ~F.col(c).isin(*values)
@@ -54,7 +83,7 @@ def invalid(cards: DataFrame) -> DataFrame:
 
 def _prepared_prompts(prompts: DataFrame, scope: list[str]) -> DataFrame:
     """Envelope, signals and intents of each prompt, computed once."""
-    rows = P.with_envelope(prompts.select("prompt_id", *scope, "text"))
+    rows = P.with_envelope(prompts.select("prompt_id", *scope, "text", *[_or_null(prompts, c).alias(f"own_{c}") for c in PLACE[1:]]))
     rows = rows.withColumns({"signals": G.detect(F.col("text")), "intent_modes": G.intents(F.col("text")), "kept": P.strip_negated(F.col("text"))})
     return rows.withColumns({"rule_signals": G.ids(F.col("signals"), "positive"), "seen": G.ids(F.col("signals")), "query_text": T.normalize(F.col("kept")), "query_tokens": T.tokens(F.col("kept"))})
 
@@ -65,7 +94,8 @@ def _card_fields() -> dict[str, Column]:
 
 
 def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Every prompt and card that share a token or a signal, with scores, evidence families and the gate's reason."""
+    """Every prompt and applicable card that share a token or a signal, with scores, evidence families and the
+    gate's reason.  Statistics come from all cards of the scope."""
     cards = with_defaults(cards).where("status = 'active' and recall_policy <> 'off'")
     scope = scope or []
     said = _prepared_prompts(prompts, scope)
@@ -78,6 +108,7 @@ def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None)
         *scope,
         "card_id",
         *ARRAYS,
+        *[_or_null(cards, c).alias(f"card_{c}") for c in PLACE],
         *[T.phrase_tokens(text).alias(f"p_{name}") for name, text in _card_fields().items() if name in evidence.EXACT],
         T.tokens(F.concat_ws("\n", "title", F.array_join("triggers", "\n"), F.array_join("topics", "\n"), "summary")).alias("anchors"),
         F.transform("negative_triggers", lambda t: F.filter(T.tokens(t), lambda x: F.length(x) > 1)).alias("negative_tokens"),
@@ -85,11 +116,12 @@ def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None)
         evidence.priority(F.col("recall_policy"), F.col("risk"), F.col("confidence")).alias("priority_score"),
         F.coalesce(F.get("topics", 0), F.get("triggers", 0), F.col("card_id").cast("string")).alias("topic"),
     )
-    asked = said.select("prompt_id", "signals", "seen", "rule_signals", "intent_modes", "query_text", "query_tokens", T.normalize(F.col("text")).alias("whole"), "negatives")
+    asked = said.select("prompt_id", "signals", "seen", "rule_signals", "intent_modes", "query_text", "query_tokens", T.normalize(F.col("text")).alias("whole"), "negatives", "own_project_key", "own_module_path")
     # pairs are small rows that cost much to judge: a fixed number of partitions keeps adaptive execution
     # from merging them by size, and the windows by prompt need no further shuffle
     parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pairs.join(own, [*scope, "card_id"]).repartition(parts, "prompt_id").join(asked, "prompt_id")
+    rows = rows.where(gates.applies(*[F.col(f"card_{c}") for c in PLACE], F.col("own_project_key"), F.col("own_module_path")))
     found = {f"e_{name}": evidence.field_evidence(name, F.col(f"p_{name}"), F.col("query_text"), F.col("query_tokens")) for name in evidence.EXACT}
     wanted = F.array_union("required_any", "required_all")
     found |= {"e_signals": F.struct(evidence.signal_evidence(wanted, G.positives(F.col("signals"))).alias("value"), F.lit(True).alias("strong")), "e_lexical": F.struct(evidence.lexical_support(F.col("anchors"), F.col("query_tokens")).alias("value"), F.lit(False).alias("strong"))}
@@ -116,7 +148,8 @@ def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None)
 def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
     """One row per scored candidate: scores, ``selected``, and ``reason`` why it is not selected.
 
-    ``similar`` holds pairs a, b of cards that stand for each other; later ones fold into the first.
+    ``similar`` holds pairs a, b of cards that stand for each other, ``near_cards`` by default; later ones
+    fold into the first.
     """
     scored = score(prompts, cards, scope)
     refused = F.coalesce("gate_reason", selection.admission_reason(F.col("score"), F.col("strong_anchor"), F.size("families"), F.lit(threshold)))
@@ -124,12 +157,12 @@ def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.
     admitted = scored.where("refused is null")
     order = selection.comparator("card_id")
     fused = selection.fuse(admitted, ["prompt_id"], "card_id")
-    if similar is not None:
-        placed = fused.withColumn("place", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*order)))
-        leaders = selection.collapse(placed, similar, ["place"])
-        fused = fused.join(leaders, ["prompt_id", "card_id"])
-    else:
-        fused = fused.withColumn("leader", F.col("card_id"))
+    similar = near_cards(cards, scope) if similar is None else similar
+    by = [c for c in scope or [] if c in similar.columns]
+    placed = fused.withColumn("place", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*order)))
+    if by:
+        placed = placed.join(prompts.select("prompt_id", *by), "prompt_id")
+    fused = fused.join(selection.collapse(placed, similar, ["place"], by), ["prompt_id", "card_id"])
     folded = fused.where("leader <> card_id").select(*scored.columns, "rank_score", F.lit(False).alias("selected"), F.concat(F.lit("duplicate-of:"), F.col("leader").cast("string")).alias("reason"))
     kept = selection.diversify(fused.where("leader = card_id").drop("leader"), ["prompt_id"], "topic", order)
     chosen = selection.select_dynamic(kept, ["prompt_id"], order, limit, threshold).select(*scored.columns, "rank_score", "selected", "reason")

@@ -51,16 +51,18 @@ def select_dynamic(candidates: DataFrame, by: list[str], order: list[Column], li
     return rows.withColumn("before", before).withColumn("reason", reason).withColumn("selected", F.col("reason").isNull()).drop("before", "fits")
 
 
-def collapse(candidates: DataFrame, similar: DataFrame, order: list[str]) -> DataFrame:
+def collapse(candidates: DataFrame, similar: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
     """Greedy collapse of near-duplicate cards per prompt: ``leader`` is the card that represents each.
 
     ``candidates``: prompt_id, card_id and the columns of ``order`` (sorted ascending; admitted cards only, a
-    few per prompt).  ``similar``: unordered pairs a, b of one card set.  Each candidate brings its own pairs
+    few per prompt).  ``similar``: unordered pairs a, b of one card set, or of the sets that the columns ``by``
+    name, which candidates then have too.  Each candidate brings its own pairs
     along by a join, so nothing is broadcast without a bound.
     """
-    both = similar.select("a", "b").unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lists = both.groupBy(F.col("a").alias("card_id")).agg(F.collect_set("b").alias("near"))
-    rows = candidates.select("prompt_id", "card_id", *order).join(lists, "card_id", "left")
+    by = by or []
+    both = similar.select("a", "b", *by).unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"), *by))
+    lists = both.groupBy(F.col("a").alias("card_id"), *by).agg(F.collect_set("b").alias("near"))
+    rows = candidates.select("prompt_id", "card_id", *by, *order).join(lists, ["card_id", *by], "left")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         leaders: list = []
