@@ -71,16 +71,21 @@ def learnable(doc_id: Column) -> Column:
 _ARROW = {"double": "float64", "integer": "int32", "long": "int64", "string": "string", "boolean": "bool_"}
 
 
-def add_columns(docs: DataFrame, new: dict[str, str], fn: Callable[[list], list], carry: list[str] | None = None) -> DataFrame:
+def private(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with columns named by place, so that no added column can clash, and its text's name."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), f"c{docs.columns.index('text')}"
+
+
+def add_columns(docs: DataFrame, new: dict[str, str], fn: Callable[[list], list], carry: list[str] | None = None, text: str = "text") -> DataFrame:
     """``carry`` columns of ``docs`` (all by default) and ``new`` ones (name to Spark type), which
     ``fn`` makes from the list of texts of an Arrow batch.  Same-named old columns are replaced;
     carried columns pass through untouched, so nulls and large integers stay exact."""
     small_batches(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
-    read_as = "__text"
-    while read_as in carry:
+    read_as = text if text in carry else "__text"
+    while read_as != text and read_as in carry:
         read_as += "_"
-    read = docs.select(*carry, F.col("text").alias(read_as))
+    read = docs.select(*carry) if read_as == text else docs.select(*carry, F.col(text).alias(read_as))
     schema = docs.select(*carry).schema
     for name, kind in new.items():
         schema = schema.add(name, kind)

@@ -146,3 +146,107 @@ def test_license_scan_equals_plain_search(spark):
 def test_licence_expressions(line, labels, value):
     found = license_scan.evaluate(line)
     assert found is None if labels is None else (found[0] == labels and found[1] == pytest.approx(value))
+
+
+def test_training_gradient_equals_differences_of_the_likelihood():
+    """Runs of unmarked tokens as matrix powers against a plain token-by-token forward pass."""
+    rng = np.random.default_rng(5)
+    counts = np.array([0, 3, 1, 0, 40])
+    n = int(counts.sum())
+    data = toxicity.Marked(counts, rng.integers(0, 30, n) * rng.integers(0, 2, n), np.array([5, 0, 700, 0, 2]), np.zeros((n, 1), np.int32), rng.integers(0, 2, n))
+    trans, bias, e = rng.normal(size=(2, 2)), -0.7, rng.normal(size=n)
+
+    def sequences():
+        at = 0
+        for c, rest in zip(counts, data.ends, strict=True):
+            marks, tags = [], []
+            for k in range(at, at + c):
+                marks += [None] * data.before[k] + [k]
+                tags += [0] * data.before[k] + [int(data.tags[k])]
+            at += c
+            yield marks + [None] * rest, tags + [0] * rest
+
+    def log_z(trans, bias, e):
+        total = 0.0
+        for marks, _ in sequences():
+            v = np.array([1.0, 0.0])
+            for k in marks:
+                v = (v @ np.exp(trans)) * [1, np.exp(bias if k is None else e[k])]
+                total += np.log(v.sum())
+                v = v / v.sum()
+        return total
+
+    p, expected = toxicity.gradient(data, e, bias, trans)
+    h = 1e-5
+    for i in range(2):
+        for j in range(2):
+            up, down = trans.copy(), trans.copy()
+            up[i, j] += h
+            down[i, j] -= h
+            assert expected[i, j] == pytest.approx((log_z(up, bias, e) - log_z(down, bias, e)) / (2 * h), rel=1e-4, abs=1e-4)
+    for k in range(0, n, 7):
+        up, down = e.copy(), e.copy()
+        up[k] += h
+        down[k] -= h
+        assert p[k] == pytest.approx((log_z(trans, bias, up) - log_z(trans, bias, down)) / (2 * h), abs=1e-4)
+    free = (log_z(trans, bias + h, e) - log_z(trans, bias - h, e)) / (2 * h)
+    assert expected[:, 1].sum() - p.sum() == pytest.approx(free, rel=1e-4, abs=1e-4)
+    seen = np.zeros((2, 2))
+    for _, tags in sequences():
+        for a, b in zip([0, *tags], tags, strict=False):
+            seen[a, b] += 1
+    assert (toxicity._seen(data) == seen).all()
+
+
+def test_plain_texts_equal_the_whole_scan():
+    model = toxicity.ToxicityModel({"bad": 6.0}, -3.0, np.array([[0.0, -1.0], [-1.0, 1.0]]), -1.0, np.zeros(3))
+    texts = ["a b c", "", None, "a " * 700, "a bad c", "x"]
+    p, lens, top, mass = toxicity._marginals(texts, model, toxicity.Emissions(model))
+    assert lens.tolist() == [0, 0, 0, 0, 3, 0] and len(p) == 3
+    for k, t in enumerate(texts):
+        words = (t or "").split()
+        e = np.array([model.bias + model.weights.get(w, 0.0) for w in words])
+        q = toxicity.forward_backward(e, np.array([len(e)]), model)[2]
+        assert mass[k] == pytest.approx(np.log1p(q[q >= 0.1].sum()))
+        assert top[k] == pytest.approx(max(-1.0, np.log(q.max() / (1 - q.max())) / 10) if len(q) else -1.0)
+
+
+def test_rare_toxic_words_of_a_large_vocabulary_are_learned(spark):
+    """More distinct words than any table of frequent ones would hold; the toxic words occur in six documents only."""
+    rng = random.Random(2)
+    rows, labels = [], []
+    for k in range(240):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(500)]
+        toxic = k % 12 == 0
+        if toxic:
+            words[rng.randrange(500)] = "vexling"
+        rows.append((k, " ".join(words), None, None, None))
+        labels.append((k, None, int(toxic)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r["doc_id"] for r in toxicity.score(docs, model).where("tox_predicted = 1").collect()} == {k for k in range(0, 240, 12)}
+
+
+def test_toxicity_stage_keeps_clashing_columns_and_rejects_nothing_unlearned(corpus, tmp_path):
+    docs, labels = corpus
+    docs = docs.withColumn("tox_predicted", F.lit("MINE")).withColumn("tox_score", F.lit(None).cast("string"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = toxicity.stage(docs.sparkSession, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r["tox_predicted"] for r in kept.collect()} == {"MINE"}
+    assert {r["doc_id"] for r in kept.where("doc_id < 400").collect()} == {k for k in range(400) if k % 4}
+    labels.where("toxic = 1").write.parquet(f"{tmp_path}/one/labels.parquet")
+    assert toxicity.stage(docs.sparkSession, docs, f"{tmp_path}/one").count() == docs.count()
+
+
+def test_held_out_labels_change_nothing(corpus, tmp_path):
+    docs, labels = corpus
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = []
+    for flip in (False, True):
+        held = toxicity.held_out(F.col("doc_id"))
+        labels.withColumn("toxic", F.when(held & F.lit(flip), 1 - F.col("toxic")).otherwise(F.col("toxic"))).write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        found.append(sorted(map(tuple, toxicity.query(docs.sparkSession, str(tmp_path)).collect()), key=repr))
+    assert found[0] == found[1]
+    known = [(r[0], r[3]) for r in found[0] if r[0] is not None and r[0] < 400 and r[1]]
+    assert len(known) > 50 and all(p == int(d % 4 == 0) for d, p in known)
+    assert all(r[3] == int(r[2] >= 0.3) for r in found[0])
