@@ -3,7 +3,7 @@
 A log of events (``conv_id``, ``seq``, ``event``, ``message_id``, ``role``, ``text``) is partitioned by
 conversation and folded in order of ``seq``: ``message`` opens a message with its text, ``delta``
 appends to it, ``edit`` replaces its text, ``regenerate`` empties it for the deltas to come, ``delete``
-removes it.  Deltas are folded per message first, so a conversation's task gets whole messages.
+removes it until a later event of another kind opens it anew.  Deltas are folded per message first, so a conversation's task gets whole messages.
 The folded messages are rendered by a chat template and read back with their loss mask.
 
 Template: ``[INST] `` user `` [/INST]``, ``<<SYS>> `` system `` <</SYS>>``, `` `` assistant `` </s>``, and
@@ -12,8 +12,10 @@ Template: ``[INST] `` user `` [/INST]``, ``<<SYS>> `` system `` <</SYS>>``, `` `
 hold a control string and every text can be read back.
 
 Defined cases: a null text is empty, a null role is the role with the empty name, a null sequence
-sorts first, equal sequences are ordered by event, message and text; a null conversation id is a conversation
-of its own; a conversation without messages left gives no row; other columns are ignored.
+sorts first; events of one message with equal sequences come as message, regenerate, edit, delete, delta, and
+those of one kind by text; an event that the log repeats (message, sequence, kind and text) counts once; events of a null or unknown
+kind are ignored; a null conversation id is a conversation of its own; a conversation without messages left
+gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from tessera.llm.common import small_batches, table
 
 QUERY = "op2_chat_format"
 
+#: Kinds of events, in the order of those with equal sequences.
+KINDS = ("message", "regenerate", "edit", "delete", "delta")
 #: Role, what stands before its text, and what after.
 TEMPLATE = (("user", "[INST] ", " [/INST]"), ("system", "<<SYS>> ", " <</SYS>>"), ("assistant", " ", " </s>"))
 OTHER = ("<<ROLE ", ">> ", " <</ROLE>>")
@@ -42,28 +46,36 @@ ESCAPED = re.compile(r"\\(.)", re.S)
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """One row per conversation: ``conv_id`` and ``messages``, an ordered array of role and text."""
-    known = events.select(
-        "conv_id",
-        F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))).alias("seq"),
-        "event",
-        "message_id",
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+    """One row per conversation: ``conv_id`` and ``messages``, an ordered array of role and text.
+
+    A message is its last restart (any event but a delta) and the deltas from there on.  Repeated
+    events are folded away before messages are collected; a conversation is one row, so it must fit a task."""
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("event"))
+    known = (
+        events.select(
+            "conv_id",
+            "message_id",
+            F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))).alias("seq"),
+            kind.alias("kind"),
+            F.coalesce("role", F.lit("")).alias("role"),
+            F.when(F.col("event") == "regenerate", F.lit("")).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
+        )
+        .where("kind > 0")
+        .groupBy("conv_id", "message_id", "seq", "kind", "text")
+        .agg(F.max("role").alias("role"))
     )
-    message = Window.partitionBy("conv_id", "message_id")
-    restart = F.max(F.when(F.col("event") != "delta", F.col("seq"))).over(message)
-    named = F.max_by("role", F.when(F.col("role") != "", F.col("seq"))).over(message)  # the last role that an event gives
-    marked = known.withColumns({"restart": restart, "opened": F.min("seq").over(message), "role": F.coalesce(named, F.lit(""))}).where(F.col("restart").isNull() | (F.col("seq") >= F.col("restart")))
-    # a text that an event brings in counts from the last event that is no delta; a regeneration brings none
-    part = F.struct("seq", (F.col("event") == "delta").alias("later"), "event", F.when(F.col("event") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text"))
-    messages = marked.groupBy("conv_id", "message_id", "opened", "role").agg(
-        F.sort_array(F.collect_list(part)).alias("parts"),
-        F.max(F.col("event") == "delete").alias("deleted"),
+    is_delta = F.col("kind") == KINDS.index("delta") + 1
+    messages = known.groupBy("conv_id", "message_id").agg(
+        F.min("seq").alias("opened"),
+        F.max(F.when(F.col("role") != "", F.struct("seq", "kind", "role")))["role"].alias("role"),  # the last that an event gives
+        F.max(F.when(~is_delta, F.struct("seq", "kind", "text"))).alias("restart"),
+        F.sort_array(F.collect_list(F.when(is_delta, F.struct("seq", "text")))).alias("deltas"),
     )
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    whole = messages.where("not deleted").select("conv_id", F.struct("opened", "role", text.alias("text"), "message_id").alias("m"))
-    turns = whole.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    later = F.filter("deltas", lambda d: F.col("restart").isNull() | (d["seq"] >= F.col("restart.seq")))
+    text = F.concat(F.coalesce(F.col("restart.text"), F.lit("")), F.array_join(F.transform(later, lambda d: d["text"]), ""))
+    whole = messages.where(F.coalesce(F.col("restart.kind"), F.lit(0)) != KINDS.index("delete") + 1)
+    turns = whole.select("conv_id", F.struct("opened", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), "message_id").alias("m"))
+    turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
     return turns.select("conv_id", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 
 
@@ -129,7 +141,7 @@ def digests(rendered: DataFrame) -> DataFrame:
             rows = [digest(f) for f in batch["formatted"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["conv_id"], *(pa.array([r[c] for r in rows], t) for c, t in _DIGEST.items())], names=["conv_id", *_DIGEST])
 
-    return rendered.select("conv_id", "formatted").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_spans string")
+    return rendered.select("conv_id", "formatted").mapInArrow(run, f"conv_id {rendered.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_spans string")
 
 
 def as_events(turns: DataFrame) -> DataFrame:
@@ -139,10 +151,21 @@ def as_events(turns: DataFrame) -> DataFrame:
     return turns.withColumn("seq", F.row_number().over(order)).select("conv_id", "seq", F.lit("message").alias("event"), F.col("seq").alias("message_id"), "role", "text")
 
 
+def streamed(events: DataFrame) -> DataFrame:
+    """The same log as a model streams it: each message opens with the first half of its text, and a delta brings the rest."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    parts = F.array(
+        F.struct(F.lit("message").alias("event"), F.col("role").alias("role"), F.substring(text, F.lit(1), half).alias("text")),
+        F.struct(F.lit("delta").alias("event"), F.lit(None).cast("string").alias("role"), F.substring(text, half + 1, F.length(text)).alias("text")),
+    )
+    return events.select("conv_id", "seq", "message_id", F.inline(parts))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
-    return digests(render(fold(as_events(turns.unionByName(probe)))))
+    return digests(render(fold(streamed(as_events(turns.unionByName(probe))))))
 
 
 _ESC = r"regexp_replace({c}, '([\\\[<>])', '\\\1', 'g')"

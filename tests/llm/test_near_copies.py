@@ -50,9 +50,17 @@ def test_stage_equals_jaccard_of_all_pairs(spark, shard):
             rows[10 * k + c] = " ".join(edited(words, min(len(words), rng.randint(0, 1 + len(words) // 30)), rng))
     rows |= {900: None, 901: "", 902: " \n", 903: rows[20].upper()}
     docs = spark.createDataFrame([*rows.items()], "doc_id long, text string")
-    assert {r["doc_id"] for r in near_copies.first_ids(docs, shard).collect()} == plain(rows)
-    if shard == near_copies.SHARD:
-        assert sorted(r["doc_id"] for r in near_copies.stage(spark, docs, "").collect()) == sorted(plain(rows))
+    assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs, shard).collect()) == sorted(plain(rows))
+
+
+def test_stage_keeps_rows_that_only_share_an_id(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
+    rows = [(1, a, "x", "MINE"), (1, b, "y", "MINE"), (1, a, "x", "MINE"), (2, a + " z", None, "MINE"), (None, b, None, "MINE"), (None, "c d", None, "MINE"), (None, "c d", None, "MINE"), (5, None, None, "MINE"), (4, " ", None, "MINE")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, node string")
+    kept = near_copies.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, a, "x", "MINE"), (1, b, "y", "MINE"), (None, "c d", None, "MINE"), (4, " ", None, "MINE")], key=repr)
+    assert near_copies.stage(spark, docs.limit(0), "").count() == 0
 
 
 def test_reworded_copies_leave_one(spark):
@@ -60,6 +68,6 @@ def test_reworded_copies_leave_one(spark):
     words = [f"w{k}" for k in range(100)]
     texts = [" ".join(words), " ".join([*words[:50], "x", *words[51:]]), " ".join([*words[:20], "y", *words[21:]])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     assert [r["doc_id"] for r in stage(spark, docs, "").collect()] == [0]
     assert simhash.with_components(docs).select("sim_component").distinct().count() > 1

@@ -139,12 +139,18 @@ def test_license_scan_equals_plain_search(spark):
         ("(MIT OR Apache-2.0) AND GPL-3.0", {"mit", "apache", "gpl"}, 0.3),
         ("GPL-2.0 WITH Classpath-exception-2.0 rest of line", {"gpl"}, 0.4),
         ("Strange-1.0", set(), 0.4),
+        ("mitre-custom", set(), 0.4),
+        ("apachefoo OR MITx", set(), 0.4),
+        ("Apache2", {"apache"}, 0.95),
+        ("GPLv3+", {"gpl"}, 0.3),
+        ("LGPL-2.1-or-later", {"lgpl"}, 0.5),
+        ("BSD-3-Clause\nOR MIT", {"bsd"}, 1.0),
         ("((MIT", {"mit"}, 1.0),
         ("or and", None, None),
     ],
 )
 def test_licence_expressions(line, labels, value):
-    found = license_scan.evaluate(line)
+    found = license_scan.evaluate(line.split("\n")[0])
     assert found is None if labels is None else (found[0] == labels and found[1] == pytest.approx(value))
 
 
@@ -250,3 +256,21 @@ def test_held_out_labels_change_nothing(corpus, tmp_path):
     known = [(r[0], r[3]) for r in found[0] if r[0] is not None and r[0] < 400 and r[1]]
     assert len(known) > 50 and all(p == int(d % 4 == 0) for d, p in known)
     assert all(r[3] == int(r[2] >= 0.3) for r in found[0])
+
+
+def test_license_query_equals_plain_labels_and_scores(spark, tmp_path):
+    """Tags, expressions over two lines and notices of whole texts, against a plain reading."""
+    rows = [
+        (1, "SPDX-License-Identifier: MIT OR GPL-2.0-only\nrest", "gpl,mit", 1.0),
+        (2, "// spdx license identifier = Apache-2.0 AND mitre-custom", "apache", 0.4),
+        (3, "SPDX-License-Identifier: MIT AND\nGPL-3.0", "mit", 1.0),  # an expression ends with its line
+        (4, "License-Expression: (MIT OR BSD-2-Clause) AND LGPL-3.0\n under the GNU General Public License", "bsd,gpl,lgpl,mit", 0.3),
+        (5, "All rights reserved. MIT License", "mit,reserved", 0.0),
+        (6, "nothing here", "", 0.0),
+        (7, None, "", 0.0),
+        (8, "spdx license identifier", "", 0.0),
+        (9, "x " * 30000 + "cc by", "cc-by", 0.9),
+    ]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan.query(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[2:] for r in rows}

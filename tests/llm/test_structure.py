@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import chat_format, gif_media, graph, language_id, minhash, mixing, packing, registry, simhash, toxicity, url_filters
+from tests.llm.test_near_copies import plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,6 +123,23 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert got == {1: [("user", "hello"), ("assistant", "good day")], 2: [("assistant", "x")], None: [("user", "")]}
 
 
+def test_fold_of_repeated_tied_and_unknown_events(spark):
+    log = [
+        (1, 1, "message", 1, "user", "hi"), (1, 1, "message", 1, "user", "hi"),  # repeated by the log
+        (2, 1, "message", 1, "user", "a"), (2, 2, "delta", 1, None, "b"), (2, 2, "delta", 1, None, "b"),
+        (3, 1, "edit", 1, "user", "new"), (3, 1, "message", 1, "user", "old"), (3, 1, "delta", 1, "user", "!"),  # one sequence, several kinds
+        (4, 1, "message", 1, "user", "kept"), (4, 2, None, 1, "user", "?"), (4, 3, "what", 1, "user", "?"),
+        (5, 1, "message", 1, "user", "x"), (5, 2, "delete", 1, None, None), (5, 3, "delta", 1, None, "late"),
+        (6, 1, "message", 1, "user", "x"), (6, 2, "delete", 1, None, None), (6, 3, "message", 1, None, "again"),
+        (7, 1, None, 1, "user", "alone"), (8, None, "message", None, None, None), (8, 2, "message", 2, "tool", "z"),
+    ]
+    events = spark.createDataFrame([(*r, "clash") for r in log], "conv_id long, seq long, event string, message_id long, role string, text string, kind string").withColumn("m", F.lit(1))
+    got = {r["conv_id"]: [tuple(m) for m in r["messages"]] for r in chat_format.fold(events).collect()}
+    assert got == {1: [("user", "hi")], 2: [("user", "ab")], 3: [("user", "new!")], 4: [("user", "kept")], 6: [("user", "again")], 8: [("", ""), ("tool", "z")]}
+    named = chat_format.digests(chat_format.render(chat_format.fold(events.withColumn("conv_id", F.concat(F.lit("c"), "conv_id")))))
+    assert {r["conv_id"] for r in named.collect()} == {f"c{k}" for k in got}
+
+
 def test_template_reads_back_any_text(spark):
     rng = random.Random(4)
     bits = ["[INST] ", " [/INST]", "</s>", "\\", "<<ROLE ", ">> ", " <</SYS>>", "a", "\n", " ", "é", "\\[", "<<SYS>> "]
@@ -133,7 +151,7 @@ def test_template_reads_back_any_text(spark):
         back = chat_format.read_back(r["formatted"])
         assert [(m["role"], m["text"]) for m in r["messages"]] == [(role, text) for role, text, _, _ in back]
     assert sum(len(r["messages"]) for r in rendered) == len(rows)
-    got = chat_format.digests(chat_format.render(chat_format.fold(chat_format.as_events(turns)))).where("conv_id is not null")
+    got = chat_format.digests(chat_format.render(chat_format.fold(chat_format.streamed(chat_format.as_events(turns))))).where("conv_id is not null")
     same(got, duck(chat_format.ORACLE_SQL, conversations=turns.where("conv_id is not null").toPandas().astype({"turn": "Int64"})).query("conv_id >= 0"))
     assert chat_format.fold(chat_format.as_events(turns.limit(0))).count() == 0
 
@@ -192,11 +210,6 @@ def test_simhash_components_and_stage(spark, docs):
         by_fp.setdefault(r["sim_fp"], set()).add(r["sim_component"])
     assert all(len(c) == 1 for c in by_fp.values())
     assert {r["sim_component"] for r in rows if not (r["text"] or "").strip()} == {300}
-    kept = simhash.stage(spark, docs, SF)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    known = {r["doc_id"]: r["sim_component"] for r in rows}
-    assert sorted(x for x in ids if x is not None) == sorted({c for d, c in known.items() if d == c and d is not None}) and ids.count(None) == 2
     assert simhash.with_components(docs.limit(0)).count() == 0
 
 
@@ -228,10 +241,16 @@ def _plain_minhash(text):
 
 
 def test_minhash_query_equals_plain_version(spark, docs, tmp_path, monkeypatch):
-    monkeypatch.setattr(minhash, "RANGE_ROWS", 25)
+    monkeypatch.setattr(minhash, "RANGES_PER_TASK", 3)
+    docs = docs.unionByName(docs.where("doc_id < 40").withColumn("doc_id", F.lit(250).cast("long")))  # an id that fills several ranges
     docs.withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
     rows = minhash.query(spark, str(tmp_path)).collect()
-    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (-x[0] if x[0] is not None else 1 << 63, x[1]))
+
+    def hashed(text):
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (-x[0] if x[0] is not None else 1 << 63, hashed(x[1]), x[1]))
     expected = []
     for k, (i, text) in enumerate(order):
         following = order[(k + 1) % len(order)][1]
@@ -259,9 +278,12 @@ def test_minhash_estimates_likeness(spark):
 
 
 def test_minhash_single_row_and_empty_table(spark):
-    one = minhash.with_next(minhash.fingerprints(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))).collect()
+    one = minhash.with_next(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0]["next_text"] == "a b c" and one[0]["next_fp"] == one[0]["fp"]
-    assert minhash.with_next(minhash.fingerprints(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+    assert minhash.with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string")
+    for ranges in (1, 2, 200):  # plans hold a bound for each range, never for each row
+        assert {(r["doc_id"], r["next_text"]) for r in minhash.with_next(rows, ranges).collect()} == {(k, f"t{(k - 1) % 50}") for k in range(50)}
 
 
 # ------------------------------------------------------------------ mixing
@@ -402,21 +424,8 @@ def test_pipeline_against_stagewise_plain_version(spark):
     toxic = {r["doc_id"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("tox_score >= 0.3").collect()}
     left = docs.where(~F.col("doc_id").isin([*toxic, -1]))
     found = language_id.predict(left, language_id.fit(left)).collect()
-    kept = [r for r in found if r["lang_pred"] != "und" and r["lang_score"] >= language_id.MIN_SCORE]
-    fps = [(r["doc_id"], simhash.fingerprint(r["text"]) & (1 << 64) - 1) for r in kept]
-    parent = {d: d for d, _ in fps}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, (a, x) in enumerate(fps):
-        for b, y in fps[i + 1 :]:
-            if (x ^ y).bit_count() <= 3:
-                p, q = find(a), find(b)
-                parent[max(p, q)] = min(p, q)
-    unique = {d for d in parent if find(d) == d}
+    kept = {r["doc_id"]: r["text"] for r in found if r["lang_pred"] != "und" and r["lang_rate"] >= language_id.MIN_SCORE}
+    unique = plain(kept)
     frame = docs.where(F.col("doc_id").isin([*unique])).toPandas()
     mixed = duck(mixing.ORACLE_SQL, documents=frame)
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
