@@ -40,7 +40,7 @@ MORE = {
 }
 #: Words of the tags that a licence expression follows.
 TAGS = ("spdx license identifier", "license expression")
-#: Identifier prefixes, longest first where one begins another, and their labels.
+#: What identifiers begin with, and their labels; a version may follow, and then any parts.
 IDENTIFIERS = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("isc", "isc"), ("bsl", "boost"), ("cc-by", "cc-by"), ("cc0", "public-domain"), ("unlicense", "public-domain"))
 #: Usability of a label's text: 1 free for any use, 0 not usable.
 USABILITY = {"mit": 1.0, "bsd": 1.0, "isc": 1.0, "boost": 1.0, "public-domain": 1.0, "apache": 0.95, "cc-by": 0.9, "cc": 0.7, "mpl": 0.6, "lgpl": 0.5, "gpl": 0.3, "agpl": 0.2, "reserved": 0.0}
@@ -49,6 +49,7 @@ EXCEPTION = 0.1
 #: ASCII letters in lower case, digits and all bytes of other letters stay; the rest are spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+FAMILY_END = re.compile(r"v?[0-9.]*(?:[-+]|$)")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -89,8 +90,9 @@ def postfix(tokens: list[str]) -> list[str]:
 
 
 def label_of(identifier: str) -> str | None:
+    """Label of an identifier whose family stands whole: ``apache2`` and ``Apache-2.0`` are ``apache``, ``apachefoo`` is not."""
     low = identifier.lower()
-    return next((label for prefix, label in IDENTIFIERS if low.startswith(prefix)), None)
+    return next((label for family, label in IDENTIFIERS if low.startswith(family) and FAMILY_END.match(low, len(family))), None)
 
 
 def expression_tokens(line: str) -> list[str]:
