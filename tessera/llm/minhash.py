@@ -6,13 +6,14 @@ hashing its number, and copies the first that holds a value.  The fingerprint pa
 bits of all bins; the likeness of two fingerprints corrects the share of equal bins for chance
 agreement of those bits.
 
-The neighbour of a document in id order is found without a global sort in one task: ranges of ids
-(from quantiles of the ids alone) are windows of their own, and the first document of each range
-is copied into the range before it.
+The neighbour of a document in id order is found without a sort in one task: ids are dealt to ranges of
+about equal numbers of rows, some for each shuffle partition, each range is a window of its own, and the first
+row of each range is copied into the range before it.  Texts are shuffled once, and fingerprints are made
+behind that shuffle, once for each row (and again for the one copy a range gets).
 
 Defined cases: a null text counts as empty; texts of fewer than five words are one shingle, and a
 wordless text is the empty shingle; equal texts have equal fingerprints; equal ids are ordered by
-text, null ids come last; in a table of one row the row follows itself; other columns are ignored.
+the hash of their text and then the text, null ids come last; in a table of one row the row follows itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ SHINGLE = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
-#: Ranges of ids that neighbours are sought in: one for so many rows.
-RANGE_ROWS = 4000
+#: Ranges of ids for each shuffle partition.
+RANGES_PER_TASK = 4
 #: White space between words.
 SPACE = r"[ \t-\r]+"
 
@@ -117,32 +118,51 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataF
     return docs.withColumn(into, densified(bin_minima(F.coalesce(F.col(text), F.lit("")))))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` (not null) and ``fp`` of all rows, with ``next_text`` and ``next_fp`` of the next row by
-    descending id; the last is followed by the first."""
-    docs = docs.select("doc_id", "text", "fp")
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    ids = docs.select(key.alias("key"))
-    n = ids.count()
-    parts = max(1, n // RANGE_ROWS)
-    bounds = sorted(set(ids.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
-    where = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("key"))) if bounds else F.lit(0)
-    ranged = docs.withColumn("key", key).withColumn("part", where.cast("int"))
-    # the first row of a range, by descending id, follows the last of the range above it
-    heads = ranged.select("key", "part").groupBy("part").agg(F.max("key").alias("key"), F.lit(True).alias("head"))
-    heads = heads.withColumn("above", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
-    copies = ranged.join(F.broadcast(heads.select("key", "above")), "key")
-    first = Window.partitionBy("above").orderBy("text")
-    copies = copies.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("part", F.col("above")).drop("above", "n")
-    rows = ranged.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
-    order = Window.partitionBy("part").orderBy("copy", F.desc("key"), "text")
-    found = rows.withColumns({"next_text": F.lead("text").over(order), "next_fp": F.lead("fp").over(order)})
-    return found.where("copy = 0").drop("copy", "key", "part")
+def _below(bounds: list[int], key: Column, inclusive: bool) -> Column:
+    """How many of the sorted bounds lie below the key (or at it), by binary search."""
+    table, n = F.array(*map(F.lit, bounds)), len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+
+    def step(at: Column, width: Column) -> Column:
+        bound = F.get(table, at + width - 1)
+        return F.when((at + width <= n) & ((bound <= key) if inclusive else (bound < key)), at + width).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``doc_id``, ``text`` (null: empty) and ``fp`` of all rows, with ``next_text`` and ``next_fp`` of the next row by
+    descending id; the last is followed by the first.
+
+    The plan holds one bound for each of ``ranges`` ranges, whose number follows the shuffle partitions and not
+    the rows; an id that many rows share spreads over as many ranges as it fills, by the hash of its texts.
+    """
+    ranges = ranges or RANGES_PER_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ids in reverse order, null last
+    key = F.bitwise_not(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
+    marks = [k / ranges for k in range(1, ranges)] or [0.5]
+    bounds = docs.select(key.alias("key")).agg(F.percentile_approx("key", marks, 10 * ranges)).first()[0] or []
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"key": key, "hash": F.xxhash64("text")})
+    part = F.lit(0)
+    if bounds:
+        low, high = _below(bounds, F.col("key"), False), _below(bounds, F.col("key"), True)
+        part = low + F.when(high > low, F.floor((F.col("hash") / 2.0**64 + 0.5) * (high - low + 1)).cast("int")).otherwise(0)
+    ranged = docs.withColumn("part", F.least(part, F.lit(ranges)).cast("int"))
+    # the first row of a range follows the last of the range before it; there is one row for each range
+    heads = ranged.groupBy("part").agg(F.min(F.struct("key", "hash")).alias("head"))
+    before = F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy()))
+    heads = heads.select("head.key", "head.hash", before.alias("before"))
+    copies = ranged.join(F.broadcast(heads), ["key", "hash"])
+    first = F.row_number().over(Window.partitionBy("before").orderBy("text"))
+    copies = copies.withColumn("n", first).where("n = 1").withColumn("part", F.col("before")).select(*ranged.columns)
+    rows = ranged.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1))).repartition("part")
+    order = Window.partitionBy("part").orderBy("copy", "key", "hash", "text")
+    found = fingerprints(rows).withColumns({"next_text": F.lead("text").over(order), "next_fp": F.lead("fp").over(order)})
+    return found.where("copy = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(fingerprints(docs))
+    rows = with_next(table(spark, sf_dir, "documents"))
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k)))
