@@ -20,10 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     left = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct(), "edges")
-    label = None
+    label, steps = None, []
     while True:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("to")), "contraction")
+        steps.append(step)
         if label is None:
             label = step.select("node", F.col("to").alias("component"))
         else:
@@ -36,4 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(left)
         left = fewer
         if left.isEmpty():
-            return materialize(label, "components")
+            found = materialize(label, "components")
+            for done in (left, *steps):
+                discard(done)
+            return found

@@ -10,7 +10,7 @@ of each local component, never all pairs; distributed contraction joins them.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and link like any other; equal
 texts, repeated rows and ties share a component; a null id is kept but never names a component
-unless all its members' ids are null; other columns are ignored.
+unless all its members' ids are null; other columns are ignored.  The pipeline's stage is in ``near_copies``.
 """
 
 from __future__ import annotations
@@ -54,9 +54,13 @@ def shingle_hashes(text: str | None, n: int = SHINGLE, seed: int = SEED) -> list
     return [digest(joined[a:b], seed) for a, b in zip(start[: len(words) - n + 1].tolist(), (stop[n - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash as a signed integer: a bit is 1 if set in over half of the hashes."""
-    hashes = np.array(shingle_hashes(text), np.uint64)
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    """64-bit SimHash of the text's shingles as a signed integer."""
+    return fingerprint_of(np.array(shingle_hashes(text, n), np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -186,11 +190,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_components(docs, ["doc_id"]).select("doc_id", F.lpad(F.lower(F.hex("sim_fp")), 16, "0").alias("fingerprint"), F.col("sim_component").alias("component_id"))
 
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with its smallest id, with its own columns.
-    Rows that repeat that id are copies too; one of them stays.  Rows without an id stay."""
-    marked = with_components(docs, ["doc_id"])
-    ids = marked.where("doc_id = sim_component").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
