@@ -15,7 +15,7 @@ from tessera.llm.common import materialize, table
 STAGES = [
     ("toxicity", toxicity.stage),
     ("language_id", language_id.stage),
-    ("near_copies", near_copies.stage),
+    ("simhash_near_dedup", near_copies.stage),
     ("mixing", mixing.stage),
     ("packing", packing.stage),
 ]
