@@ -2,17 +2,21 @@
 
 ``store`` writes a text's bytes as the 8-bit samples of a GIF animation (frames of 24 columns and up
 to 96 rows under a grey palette, LZW coded, timed; the last frame may have fewer rows); ``decode`` reads any GIF: LZW code streams, global and local
-palettes, interlacing, transparency and the disposal rules; ``features`` gives timed frames with
-colour histograms.  Files are columns of rows, one text at a time is in memory.
+palettes, interlacing, transparency and the disposal rules.  ``features`` adds the timed frames of each file, with
+a colour histogram for each channel of the canvas as shown, and ``frames`` gives a row per frame.  Files are columns
+of rows, one text at a time is in memory.
 
 Defined cases: a null text counts as empty; an empty text is one frame of padding; equal texts give
-equal files; repeated rows and null ids are kept; other columns are ignored.
+equal files; repeated rows and null ids are kept; a null, broken or cut-off file, or one whose canvas or frame has
+more than ``MAX_PIXELS`` pixels, has null digests, no frames and a reason in ``error``; ``n_bytes`` is null where a file does not
+note it; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,7 +24,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, table
 
@@ -36,6 +41,10 @@ DELAY = 4
 #: Buckets of each colour channel in a histogram.
 BUCKETS = 8
 GREY = bytes(v for v in range(256) for _ in range(3))
+#: The largest canvas or frame that is decoded; a header may claim 2**32 pixels in a few bytes.
+MAX_PIXELS = 1 << 24
+#: The comment that notes a text's bytes.
+NOTE = re.compile(rb"text bytes: (\d{1,18})")
 #: The table of LZW codes ends at 12 bits.
 LIMIT = 4096
 
@@ -168,15 +177,14 @@ def encode(payload: bytes, comment: bytes = b"") -> bytes:
 
 
 def decode(data: bytes) -> tuple[Iterator[Frame], bytes]:
-    """Frames of a GIF as shown, one at a time, and its comments."""
+    """Frames of a GIF as shown, one at a time, and the comments before them.  A broken file raises ``ValueError``,
+    an ``IndexError`` or a ``struct.error``."""
     if data[:3] != b"GIF":
         raise ValueError("not a GIF")
     width, height, packed, background, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, palette = 13, None
-    if packed & 0x80:
-        n = 2 << (packed & 7)
-        palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
-        at += 3 * n
+    if width * height > MAX_PIXELS:
+        raise ValueError("canvas too large")
+    palette, at = _palette(data, 13, packed)
     comment, k = b"", at
     while data[k : k + 1] == b"\x21" and data[k + 1] == 0xFE:
         more, k = _blocks(data, k + 2)
@@ -184,11 +192,19 @@ def decode(data: bytes) -> tuple[Iterator[Frame], bytes]:
     return _frames(data, at, width, height, palette, background), comment
 
 
+def _palette(data: bytes, at: int, packed: int) -> tuple[np.ndarray | None, int]:
+    """The colour table that the packed field announces, if any, and what follows."""
+    if not packed & 0x80:
+        return None, at
+    n = 2 << (packed & 7)
+    return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
+
+
 def _frames(data: bytes, at: int, width: int, height: int, palette: np.ndarray | None, background: int) -> Iterator[Frame]:
     ground = palette[background] if palette is not None and background < len(palette) else np.zeros(3, np.uint8)
     canvas = np.broadcast_to(ground, (height, width, 3)).copy()
     delay, disposal, transparent = 0, 0, -1
-    while at < len(data) and data[at] != 0x3B:
+    while data[at] != 0x3B:
         if data[at] == 0x21:
             kind = data[at + 1]
             block, at = _blocks(data, at + 2)
@@ -196,14 +212,18 @@ def _frames(data: bytes, at: int, width: int, height: int, palette: np.ndarray |
                 flags, delay, index = struct.unpack_from("<BHB", block)
                 disposal, transparent = flags >> 2 & 7, index if flags & 1 else -1
             continue
+        if data[at] != 0x2C:
+            raise ValueError("unknown block")
         left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
-        at += 10
-        colours = palette
-        if packed & 0x80:
-            n = 2 << (packed & 7)
-            colours = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
-            at += 3 * n
+        own, at = _palette(data, at + 10, packed)
+        colours = palette if own is None else own
+        if colours is None:
+            raise ValueError("no palette")
         root = data[at]
+        if not 1 <= root <= 8:
+            raise ValueError("bad code size")
+        if w * h > MAX_PIXELS:
+            raise ValueError("frame too large")
         stream, at = _blocks(data, at + 1)
         index = np.frombuffer(lzw_decode(stream, root, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if packed & 0x40:  # interlaced: rows come in four passes
@@ -246,51 +266,80 @@ def store(docs: DataFrame) -> DataFrame:
                 media = []
                 for text in part["text"].to_pylist():
                     payload, n = payload_of(text)
-                    media.append(encode(payload, str(n).encode()))
+                    media.append(encode(payload, b"text bytes: %d" % n))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 100), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
-
-
-def describe(data: bytes) -> dict:
-    """What a stored file tells when it is read back: payload, digests, timed frames and histograms."""
-    frames, comment = decode(data)
-    payload, n, duration = [], 0, 0
-    histogram = np.zeros((3, BUCKETS), np.int64)
-    for frame in frames:
-        left, top, w, h = frame.box
-        drawn = frame.rgb[top : top + h, left : left + w]
-        payload.append(drawn[..., 0].tobytes())
-        n, duration = n + 1, duration + frame.delay
-        for c in range(3):
-            histogram[c] += np.bincount(drawn[..., c].ravel() >> 5, minlength=BUCKETS)
-    whole = b"".join(payload)
-    counts = ["-".join(map(str, row)) for row in histogram.tolist()]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_type(docs, 'doc_id')}, media binary")
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+#: A timed frame: its place in the animation, what it drew, and its canvas' histograms.
+FRAME = ("number", "start", "delay", "left", "top", "width", "height", "red", "green", "blue")
+_HISTOGRAM = pa.list_(pa.int64())
+_FRAME = pa.struct([(c, _HISTOGRAM if c in FRAME[-3:] else pa.int64()) for c in FRAME])
+_DESCRIBED = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "frames": pa.list_(_FRAME), "error": pa.string()}
+_FRAME_DDL = "array<struct<" + ", ".join(f"{c}: {'array<long>' if c in FRAME[-3:] else 'long'}" for c in FRAME) + ">>"
+
+
+def describe(data: bytes | None) -> dict:
+    """What a file tells when it is read: payload, digests and timed frames, or why it can't be read."""
+    if data is None:
+        return {"error": "no media"}
+    try:
+        shown, comment = decode(data)
+        payload, frames, start = [], [], 0
+        for frame in shown:
+            left, top, w, h = frame.box
+            payload.append(frame.rgb[top : top + h, left : left + w, 0].tobytes())
+            histograms = [np.bincount(frame.rgb[..., c].ravel() >> 5, minlength=BUCKETS).tolist() for c in range(3)]
+            frames.append(dict(zip(FRAME, (len(frames), start, frame.delay, left, top, w, h, *histograms), strict=True)))
+            start += frame.delay
+    except (ValueError, IndexError, struct.error) as e:
+        return {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "error": str(e) if type(e) is ValueError else "cut off"}
+    whole, noted = b"".join(payload), NOTE.fullmatch(comment)
     return {
-        "n_bytes": int(comment or 0),
+        "n_bytes": int(noted[1]) if noted else None,
         "payload_bytes": len(whole),
         "payload_sha256": hashlib.sha256(whole).hexdigest(),
         "tail_crc32": zlib.crc32(whole[-32:]),
         "media_bytes": len(data),
         "media_sha256": hashlib.sha256(data).hexdigest(),
-        "feature": f"frames={n};duration={duration};r={counts[0]};g={counts[1]};b={counts[2]}",
+        "frames": frames,
     }
 
 
-_DESCRIBED = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
-
-
 def features(media: DataFrame) -> DataFrame:
-    """Read stored files back: lengths, digests and the feature string of each."""
+    """Read stored files (``doc_id``, ``media``): lengths, digests, ``frames`` (an array of timed frames) and ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [describe(m) for m in batch["media"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r[c] for r in rows], t) for c, t in _DESCRIBED.items())], names=["doc_id", *_DESCRIBED])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r.get(c) for r in rows], t) for c, t in _DESCRIBED.items())], names=["doc_id", *_DESCRIBED])
+
+    kinds = ", ".join(f"{c} {_FRAME_DDL if c == 'frames' else 'string' if t == pa.string() else 'long'}" for c, t in _DESCRIBED.items())
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {_type(media, 'doc_id')}, {kinds}")
+
+
+def frames(media: DataFrame) -> DataFrame:
+    """A row per frame of each file: ``doc_id``, its number, start and delay in hundredths of a second, the box it drew, and
+    the histogram columns ``red``, ``green`` and ``blue`` of the canvas as shown."""
+    return features(media).select("doc_id", F.inline("frames"))
+
+
+def feature_string(frames: Column) -> Column:
+    """Number of frames, duration, and the histograms of all frames together."""
+
+    def total(channel: str) -> Column:
+        none = F.array_repeat(F.lit(0).cast("long"), BUCKETS)
+        return F.array_join(F.aggregate(frames, none, lambda sums, f: F.zip_with(sums, f[channel], lambda x, y: x + y)), "-")
 
-    kinds = ", ".join(f"{c} {'string' if t == pa.string() else 'long'}" for c, t in _DESCRIBED.items())
-    return media.mapInArrow(run, f"doc_id long, {kinds}")
+    duration = F.aggregate(frames, F.lit(0).cast("long"), lambda n, f: n + f["delay"])
+    return F.concat(F.lit("frames="), F.size(frames), F.lit(";duration="), duration, *[x for c in FRAME[-3:] for x in (F.lit(f";{c[0]}="), total(c))])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(table(spark, sf_dir, "documents")))
+    found = features(store(table(spark, sf_dir, "documents")))
+    return found.withColumn("feature", feature_string(F.col("frames"))).drop("frames", "error")

@@ -397,17 +397,102 @@ def test_disposal_transparency_and_interlace():
     assert text[3] == "rrrr/rrrr/rrrr/gggg"
 
 
-def test_media_round_trip(spark, docs):
-    got = {(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in gif_media.features(gif_media.store(docs)).collect()}
-    expected = set()
+def _plain_lzw(data, root):
+    """Codes one by one with a table of strings, by the format's description."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    clear, at, out, last = 1 << root, 0, b"", None
+    table, width = {}, root + 1
+    while True:
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear:
+            table, width, last = {k: bytes([k]) for k in range(clear)} | {clear: b"", clear + 1: b""}, root + 1, None
+            continue
+        if code == clear + 1:
+            return out
+        entry = table[code] if code in table else last + last[:1]
+        out += entry
+        if last is not None and len(table) < 4096:
+            table[len(table)] = last + entry[:1]
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        last = entry
+
+
+def _plain_gif(data):
+    """Boxes, delays and samples of a GIF without local palettes, read by hand."""
+    at, found, delay = 13 + 3 * (2 << (data[10] & 7)), [], 0
+
+    def blocks(at):
+        out = b""
+        while data[at]:
+            out += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        return out, at + 1
+
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            kind = data[at + 1]
+            block, at = blocks(at + 2)
+            delay = int.from_bytes(block[1:3], "little") if kind == 0xF9 else delay
+        else:
+            box = np.frombuffer(data[at + 1 : at + 9], "<u2").tolist()
+            stream, end = blocks(at + 11)
+            found.append((box, delay, _plain_lzw(stream, data[at + 10])))
+            at = end
+    return found
+
+
+def test_media_query_equals_plain_reading(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, gif_media.query(spark, str(tmp_path)).collect()), key=repr)
+    stored = gif_media.store(docs).collect()
+    text = {}
     for r in docs.collect():
-        raw = (r["text"] or "").encode()
-        payload = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
-        expected.add((r["doc_id"], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
-    assert got == expected
+        text.setdefault(r["doc_id"], []).append(r["text"] or "")
+    expected = []
+    for r in stored:
+        parts = _plain_gif(r["media"])
+        payload = b"".join(samples for _, _, samples in parts)
+        raw = next(t.encode() for t in text[r["doc_id"]] if t.encode().ljust(max(1, -(-len(t.encode()) // 576)) * 576, b"\xff") == payload)
+        canvas, sums = np.zeros(parts[0][0][2] * parts[0][0][3], int), np.zeros(8, int)
+        for _, _, samples in parts:
+            canvas[: len(samples)] = list(samples)
+            sums += np.bincount(canvas // 32, minlength=8)
+        told = "-".join(map(str, sums))
+        feature = f"frames={len(parts)};duration={4 * len(parts)};r={told};g={told};b={told}"
+        expected.append((r["doc_id"], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(r["media"]), hashlib.sha256(r["media"]).hexdigest(), feature))
+    assert got == sorted(expected, key=repr) and len(got) == docs.count()
     assert gif_media.features(gif_media.store(docs.limit(0))).count() == 0
 
 
+def test_timed_frames_are_rows(spark):
+    palette = [0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255]
+    data = _gif([((0, 0, 4, 4), [1] * 16, 1, None, 5, 0), ((1, 1, 2, 2), [2, 3, 3, 2], 3, 3, 6, 0), ((0, 0, 1, 1), [3], 0, None, 7, 0)], palette)
+    media = spark.createDataFrame([("a", data), ("b", None)], "doc_id string, media binary")
+    rows = gif_media.frames(media).orderBy("number").collect()
+    assert [(r["doc_id"], r["number"], r["start"], r["delay"], r["left"], r["top"], r["width"], r["height"]) for r in rows] == [("a", 0, 0, 5, 0, 0, 4, 4), ("a", 1, 5, 6, 1, 1, 2, 2), ("a", 2, 11, 7, 0, 0, 1, 1)]
+    assert [(r["red"][7], r["green"][7], r["blue"][7]) for r in rows] == [(16, 0, 0), (14, 2, 0), (15, 0, 1)]
+    assert all(sum(r[c]) == 16 for r in rows for c in ("red", "green", "blue"))
+
+
+def test_foreign_and_broken_files_have_a_defined_result(spark):
+    palette = [0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255]
+    good = _gif([((0, 0, 4, 4), [1] * 16, 1, None, 5, 0)], palette)
+    comment = good[:25] + b"\x21\xfe\x05hello\x00" + good[25:]
+    huge = good[:6] + b"\xff\xff\xff\xff" + good[10:]
+    bare = b"GIF89a" + b"\x04\0\x04\0\0\0\0" + good[25:]
+    files = {"good": good, "comment": comment, "null": None, "empty": b"", "text": b"hello", "huge": huge, "bare": bare, "cut": good[:-5], "head": good[:9], "tail": good[:-1], "noise": good[:25] + b"\x99" * 40}
+    rows = {r["doc_id"]: r for r in gif_media.features(spark.createDataFrame([*files.items()], "doc_id string, media binary")).collect()}
+    assert set(rows) == set(files)
+    for name in ("good", "comment"):
+        assert rows[name]["error"] is None and rows[name]["n_bytes"] is None and len(rows[name]["frames"]) == 1 and rows[name]["payload_bytes"] == 16
+    told = {n: r["error"] for n, r in rows.items() if n not in ("good", "comment")}
+    assert told["null"] == "no media" and told["huge"] == "canvas too large" and told["bare"] == "no palette" and told["text"] == told["empty"] == "not a GIF" and told["noise"] == "unknown block"
+    assert told["cut"] == told["head"] == told["tail"] == "cut off"
+    assert all(rows[n]["payload_sha256"] is None and rows[n]["frames"] is None for n in told)
+
+
 # ------------------------------------------------------------------ registry and pipeline
 
 
