@@ -2,12 +2,14 @@
 
 One Bloom filter per language, stored bit-sliced: position ``i`` of the table holds a mask with a
 bit for each language whose filter has bit ``i``.  The AND of an n-gram's positions returns all
-languages that contain it; beyond 64 languages a mask is several words.  Per-language popcounts over
+languages that contain it; beyond 64 languages a mask is several words.  A filter holds every n-gram of its
+language's sample, and the filters' size follows the largest of them.  Per-language popcounts over
 a text, corrected for the filters' false positives, decide.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; texts with letters
-but no known n-gram get the most frequent learned language with score 0; ties go to the language
-that sorts first; without learnable rows everything is ``und``.  Other columns are ignored.
+but no known n-gram get the most frequent learned language with score 0; ties (very short texts whose n-grams
+several languages hold) go to the language of more learnable rows, then to the one that sorts first; of several texts of one id in
+a language the smallest is learned from; without learnable rows everything is ``und``.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,17 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, held_out, learnable, small_batches, table
+from tessera.llm.common import add_columns, held_out, learnable, private, small_batches, table
 
 QUERY = "op8_language_id"
 
 #: Documents of each language that the filters learn from, chosen by a hash of their id.
 SAMPLE_PER_LANGUAGE = 2000
-#: A language's filter holds n-grams seen this often, whose rate is at least this part of the best language's.
-MIN_COUNT = 4
-MIN_SHARE = 0.2
-#: The most frequent n-grams that one filter holds.
-MAX_GRAMS = 200_000
 #: Bytes of an n-gram, bits of a filter for each n-gram, and hash functions.
 GRAM = 4
 BITS_PER_GRAM = 12
@@ -47,7 +44,7 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 @dataclass
 class LanguageFilters:
     languages: list[str] = field(default_factory=list)
-    fallback: str = "und"
+    order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # language numbers, the likeliest first
     slices: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint64))
     false_positive: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
@@ -85,53 +82,47 @@ def grams_of(text: str) -> np.ndarray:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            if has_letter(text):
-                texts.setdefault(lang, []).append(grams_of(text))
-        for lang, found in texts.items():
-            grams, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": grams.astype(np.int64), "n": n.astype(np.int64)})
-
-
 def sample_ids(known: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
-    """Ids of the first ``per_language`` rows of each language by the hash of the id.
+    """``lang`` and ``doc_id`` of the first ``per_language`` ids of each language by the hash of the id.
 
     Only hashes in the lowest part can be among them: twice the expected number, and some, meet in a window."""
     parts = [(lang, -(2.0**63) + 2.0**64 * min(1.0, (2 * per_language + 1000) / n)) for lang, n in sizes.items()]
     bounds = known.sparkSession.createDataFrame(parts, "lang string, bound double")
-    low = known.select("doc_id", "lang").join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id").cast("double") <= F.col("bound"))
+    low = known.select("doc_id", "lang").join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id").cast("double") <= F.col("bound")).select("lang", "doc_id").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return low.withColumn("place", place).where(F.col("place") <= per_language).select("doc_id")
+    return low.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageFilters:
-    """Count n-grams of at most ``per_language`` documents of each language on the executors; at
-    most ``MAX_GRAMS`` n-grams of each language reach the driver."""
+    """Filters of all n-grams of at most ``per_language`` documents of each language.  Executors find each
+    language's distinct n-grams; the driver gets eight bytes for each and sets their bits."""
     small_batches(docs.sparkSession)
     known = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = sorted((-r["n"], r["lang"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageFilters()
-    languages = sorted(lang for _, lang in sizes)
-    ids = sample_ids(known, {lang: -n for n, lang in sizes}, per_language)
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    rated = counts.withColumn("rate", rate).withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
-    kept = (
-        rated.where((F.col("n") >= MIN_COUNT) & (F.col("rate") >= MIN_SHARE * F.col("best")))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-        .where(F.col("rank") <= MAX_GRAMS)
-        .select("lang", "gram")
-        .toPandas()
-    )
-    return build(languages, {lang: part["gram"].to_numpy().astype(np.uint64) for lang, part in kept.groupby("lang")}, sizes[0][1])
-
-
-def build(languages: list[str], grams: dict[str, np.ndarray], fallback: str) -> LanguageFilters:
+    languages = sorted(sizes)
+    number = {lang: k for k, lang in enumerate(languages)}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts: dict[int, list[np.ndarray]] = {}
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if has_letter(text):
+                    texts.setdefault(number[lang], []).append(grams_of(text))
+            for k, parts in texts.items():
+                grams = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_pydict({"number": np.full(len(grams), k, np.int32), "gram": grams.astype(np.int64)})
+
+    ids = sample_ids(known, sizes, per_language)
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    rows = sample.select("lang", "text").mapInArrow(found, "number int, gram long").distinct().toArrow()
+    numbers, grams = rows["number"].to_numpy(), rows["gram"].to_numpy().astype(np.uint64)
+    by_frequency = sorted(range(len(languages)), key=lambda k: (-sizes[languages[k]], k))
+    return build(languages, {lang: grams[numbers == k] for lang, k in number.items()}, by_frequency)
+
+
+def build(languages: list[str], grams: dict[str, np.ndarray], order: list[int] | None = None) -> LanguageFilters:
     """Bit-sliced filters; masks use the narrowest unsigned type that has a bit for each language, or
     as many 64-bit words as needed."""
     largest = max([1, *map(len, grams.values())])
@@ -146,7 +137,7 @@ def build(languages: list[str], grams: dict[str, np.ndarray], fallback: str) ->
             else:
                 slices[at, k // 64] |= width(1 << k % 64)
         fill[k] = np.count_nonzero(_bit(slices, k)) / size
-    return LanguageFilters(languages, fallback, slices, fill**HASHES)
+    return LanguageFilters(languages, np.array(range(len(languages)) if order is None else order, np.int64), slices, fill**HASHES)
 
 
 def judge(text: str | None, model: LanguageFilters) -> tuple[str, float, float]:
@@ -157,10 +148,10 @@ def judge(text: str | None, model: LanguageFilters) -> tuple[str, float, float]:
     masks = model.lookup(grams_of(text))
     hits = np.array([np.count_nonzero(_bit(masks, k)) for k in range(len(model.languages))], float)
     fp = model.false_positive
-    true = np.maximum(0.0, (hits - len(masks) * fp) / np.maximum(1 - fp, 1e-9))
+    true = np.round(np.maximum(0.0, (hits - len(masks) * fp) / np.maximum(1 - fp, 1e-9)), 6)
+    best = int(model.order[true[model.order].argmax()])
     if not true.any():
-        return model.fallback, 0.0, 0.0
-    best = int(true.argmax())
+        return model.languages[best], 0.0, 0.0
     return model.languages[best], float(true[best] / true.sum()), float(true[best] / len(masks))
 
 
@@ -169,14 +160,14 @@ def decide(text: str | None, model: LanguageFilters) -> tuple[str, float]:
     return judge(text, model)[:2]
 
 
-def predict(docs: DataFrame, model: LanguageFilters, carry: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageFilters, carry: list[str] | None = None, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``lang_score`` (share) and ``lang_rate`` (part of the n-grams) to all rows."""
 
     def run(texts: list[str | None]) -> list:
         found = [judge(t, model) for t in texts]
         return [[x[k] for x in found] for k in range(3)]
 
-    return add_columns(docs, {"lang_pred": "string", "lang_score": "double", "lang_rate": "double"}, run, carry)
+    return add_columns(docs, {"lang_pred": "string", "lang_score": "double", "lang_rate": "double"}, run, carry, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +177,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is known, with their own columns."""
-    found = predict(docs, fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_rate") >= MIN_SCORE)).select(*docs.columns)
+    """Pipeline stage: documents whose language is known, with their own columns, whatever they are called."""
+    model = fit(docs)
+    own, text = private(docs)
+    found = predict(own, model, text=text)
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_rate") >= MIN_SCORE)).select(*own.columns).toDF(*docs.columns)

@@ -3,7 +3,8 @@
 Each partition tokenizes its documents, cuts those longer than a sequence into pieces (the first
 takes the remainder, so the others fill sequences alone) and packs pieces best-fit decreasing.  Nearly full
 sequences are emitted; underfull ones go on as items, are merged into fewer partitions and packed
-again, until one partition is left or a round saves too little.  Only lengths, ids and checksums
+again, until one partition is left.  A merging task hands on its ``PER_TASK`` emptiest sequences at most, so
+tasks stay bounded however many sequences no other piece fits.  Only lengths, ids and checksums
 move between rounds.  Every round is written to the shared folder, so a lost executor cannot
 make two rounds disagree.
 
@@ -35,12 +36,12 @@ CAPACITY = 2048
 END_ID = 0
 #: Free tokens up to which a sequence counts as nearly full before the last round.
 SLACK = 16
-#: Pieces that one task packs at a time, and underfull sequences that a later round gives to a task.
+#: Pieces that one task packs at a time, and underfull sequences that a task of a later round hands on at most (the
+#: first of these rounds gives as many to a task, the others FAN_IN times as many).
 BLOCK = 100_000
-PER_TASK = 20_000
-#: Partitions that a round merges into one, and the least part of its sequences that a round must save to go on.
+PER_TASK = 10_000
+#: Partitions that a round merges into one.
 FAN_IN = 8
-LEAST_GAIN = 0.005
 #: Pattern that splits text before merges (fixed value of the vocabulary's byte-level scheme).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -113,9 +114,9 @@ _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 class _Packer:
     """Collects items (a size and its members' columns), packs a block of them and gives record batches."""
 
-    def __init__(self, round_no: int, slack: int):
+    def __init__(self, round_no: int, slack: int, most: int | None = None):
         self.base = (round_no << 56) | (TaskContext.get().partitionId() << 32)
-        self.slack, self.made = slack, 0
+        self.slack, self.most, self.made = slack, most, 0
         self.sizes: list[int] = []
         self.items: list[list[tuple]] = []
 
@@ -125,6 +126,7 @@ class _Packer:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         bins = best_fit(self.sizes)
+        bins.sort(key=lambda members: sum(self.sizes[k] for k in members))  # the emptiest first
         for at in range(0, len(bins), 4096):
             part = bins[at : at + 4096]
             fills, columns, ends = [], [[] for _ in range(6)], [0]
@@ -138,10 +140,11 @@ class _Packer:
                 fills.append(offset)
                 ends.append(len(columns[0]))
             ids = [self.base + self.made + k for k in range(len(part))]
+            done = [x >= CAPACITY - self.slack or (self.most is not None and at + k >= self.most) for k, x in enumerate(fills)]
             self.made += len(part)
             struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MEMBER, strict=True)], fields=list(_MEMBER))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(fills, pa.int32()), pa.array([x >= CAPACITY - self.slack for x in fills]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)],
+                [pa.array(ids, pa.int64()), pa.array(fills, pa.int32()), pa.array(done, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)],
                 names=["sequence_id", "fill", "done", "members"],
             )
         self.sizes, self.items = [], []
@@ -162,9 +165,9 @@ def _first_round(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def _next_round(bins: DataFrame, round_no: int) -> DataFrame:
+def _next_round(bins: DataFrame, round_no: int, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(round_no, SLACK)
+        packer = _Packer(round_no, SLACK, most)
         for batch in batches:
             for fill, members in zip(batch["fill"].to_pylist(), batch["members"].to_pylist(), strict=True):
                 packer.add(fill, [(m["doc_id"], m["piece"], m["start"], m["length"], m["crc"]) for m in members])
@@ -180,17 +183,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     rounds = [materialize(_first_round(docs, tokenizer or default_tokenizer()), "packing-0")]
     underfull = rounds[0].where("not done")
-    n = underfull.count()
-    parts = -(-n // PER_TASK)
-    while n:
-        made = materialize(_next_round(underfull.repartition(parts, "sequence_id"), len(rounds)), f"packing-{len(rounds)}")
+    parts = -(-underfull.count() // PER_TASK)
+    while parts:
+        made = materialize(_next_round(underfull.repartition(parts, "sequence_id"), len(rounds), PER_TASK), f"packing-{len(rounds)}")
         rounds[-1] = rounds[-1].where("done")
         rounds.append(made)
-        after = made.count()
-        if parts == 1 or n - after < LEAST_GAIN * n:
-            break
         underfull = made.where("not done")
-        n, parts = underfull.count(), -(-parts // FAN_IN)
+        parts = -(-parts // FAN_IN) if parts > 1 else 0
     whole = rounds[0]
     for more in rounds[1:]:
         whole = whole.unionByName(more)

@@ -96,7 +96,7 @@ def test_language_held_out_accuracy_and_edge_rows(corpus):
 
 def test_bit_sliced_lookup_returns_all_languages():
     grams = {"a": np.arange(1, 3000, dtype=np.uint64), "b": np.arange(2000, 5000, dtype=np.uint64), "c": np.array([7], np.uint64)}
-    model = language_id.build(["a", "b", "c"], grams, "a")
+    model = language_id.build(["a", "b", "c"], grams)
     masks = model.lookup(np.arange(1, 9000, dtype=np.uint64))
     for k, lang in enumerate("abc"):
         inside = np.isin(np.arange(1, 9000), grams[lang])
@@ -274,3 +274,57 @@ def test_license_query_equals_plain_labels_and_scores(spark, tmp_path):
     spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan.query(spark, str(tmp_path)).collect()}
     assert got == {r[0]: r[2:] for r in rows}
+
+
+def _plain_language(text, sets, order):
+    """Which language's sample holds most of the text's n-grams, with plain sets in place of filters."""
+    if not text or not re.search(r"[^\W\d_]", text):
+        return "und"
+    raw = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()) + b"   "
+    grams = [raw[k : k + 4] for k in range(len(raw) - 3)]
+    held = {lang: sum(g in s for g in grams) for lang, s in sets.items()}
+    return max(order, key=lambda lang: held[lang])  # the first of equals
+
+
+def test_language_query_equals_plain_sets_and_ignores_held_out_rows(corpus, tmp_path):
+    docs, _ = corpus
+    spark = docs.sparkSession
+    found = []
+    for flip in (False, True):
+        held = language_id.held_out(F.col("doc_id"))
+        docs.withColumn("lang", F.when(held & F.lit(flip), F.lit("zz")).otherwise(F.col("lang"))).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        found.append(sorted(map(tuple, language_id.query(spark, str(tmp_path)).collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) == docs.count()
+    rows = docs.withColumn("held", language_id.held_out(F.col("doc_id"))).collect()
+    sets, sizes = {}, {}
+    for r in rows:
+        if r["doc_id"] is not None and not r["held"] and r["lang"] is not None:
+            sizes[r["lang"]] = sizes.get(r["lang"], 0) + 1
+            raw = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (r["text"] or "").lower().encode()) + b"   "
+            if r["text"] and re.search(r"[^\W\d_]", r["text"]):
+                sets.setdefault(r["lang"], set()).update(raw[k : k + 4] for k in range(len(raw) - 3))
+    order = sorted(sizes, key=lambda lang: (-sizes[lang], lang))
+    said = {(r["doc_id"], r["text"]): _plain_language(r["text"], sets, order) for r in rows}
+    assert {(d, lang) for d, _, lang, _ in found[0]} == {(d, lang) for (d, _), lang in said.items()}
+
+
+def test_filters_hold_every_gram_of_a_large_sample(spark):
+    """More distinct n-grams than any table of frequent ones would hold, each seen once."""
+    rng = random.Random(6)
+    texts = {lang: ["".join(rng.choices(letters, k=30_000)) for _ in range(10)] for lang, letters in (("a", "abcdefghijklmnopqrstuvwxyz"), ("b", "éèêëàâôûùïü"))}
+    rows = [(k + 100 * (lang == "b"), t, lang, None, None) for lang, ts in texts.items() for k, t in enumerate(ts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.fit(docs)
+    learned = {r["doc_id"] for r in docs.where(language_id.learnable(F.col("doc_id"))).collect()}
+    for lang, k in (("a", 0), ("b", 1)):
+        for j, t in enumerate(texts[lang]):
+            if j + 100 * (lang == "b") in learned:
+                assert (language_id._bit(model.lookup(language_id.grams_of(t)), k) != 0).all()
+
+
+def test_language_stage_keeps_clashing_columns(corpus):
+    docs, _ = corpus
+    docs = docs.withColumn("lang_pred", F.lit("MINE")).withColumn("lang_rate", F.lit(0.0))
+    kept = language_id.stage(docs.sparkSession, docs, "")
+    assert kept.columns == docs.columns and {r["lang_pred"] for r in kept.collect()} == {"MINE"}
+    assert kept.where("text is null or text = ''").count() == 0 and kept.where("doc_id < 400").count() == docs.where("doc_id < 400").count()

@@ -342,6 +342,15 @@ def test_packing_is_whole_and_tight(spark, docs, monkeypatch):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_sequences_that_nothing_fits_do_not_pile_up(spark, monkeypatch):
+    """Every document fills 60 % of a sequence: no two fit, and each merging task hands on a bounded number."""
+    monkeypatch.setattr(packing, "PER_TASK", 3)
+    docs = spark.createDataFrame([(k, "a " * 1227) for k in range(60)], "doc_id long, text string").repartition(12)
+    rows = packing.pack(docs).collect()
+    ids = packing.token_ids("a " * 1227, packing.default_tokenizer())
+    assert 1100 < len(ids) < 1400 and check_packed(rows, [(k, ids.tolist()) for k in range(60)]) == 60
+
+
 def test_best_fit_against_search():
     rng = random.Random(3)
     for _ in range(20):
