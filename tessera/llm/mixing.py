@@ -47,18 +47,60 @@ def _fill(rows: DataFrame, by: list[str], budget: Column, amount: Column, weight
     return rows.withColumn("level", F.when(rest > 0, (budget - capped_before) / rest))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """``skey``, ``source_size`` and ``target`` of each source; one row per source goes through a window."""
+def _numbered(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """``skey``, ``source_size`` and ``weight`` of each source; weights repeat along the sources' order.
+
+    Sources are dealt to ranges by name, and a range's numbers begin behind those of the ranges before it."""
     sources = sizes.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
-    number = F.row_number().over(Window.partitionBy().orderBy(F.asc_nulls_last("source"))) - 1
-    sources = sources.withColumn("number", number).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")).cast("long"))
-    everything = Window.partitionBy()
-    budget = F.lit(share) * F.sum("source_size").over(everything)
-    filled = _fill(sources, [], budget, F.col("source_size"), F.col("weight"), [F.col("source_size") / F.col("weight"), F.col("number")])
-    capped = F.col("weight") * F.col("level") >= MAX_COPIES * F.col("source_size")
-    level = F.min(F.when(~capped, F.struct(F.col("source_size") / F.col("weight"), "number", "level"))).over(everything)["level"]
-    target = F.when(capped | level.isNull(), MAX_COPIES * F.col("source_size").cast("double")).otherwise(F.col("weight") * level)
-    return filled.select("skey", "source_size", target.alias("target"))
+    ranges = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(sources.repartitionByRange(ranges, F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "mixing-ranges")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))) - 1 + F.col("offset")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int")).cast("long")
+    return ranged.join(offsets, "part").select("skey", "source_size", weight.alias("weight"))
+
+
+def _level(sources: DataFrame, share: float) -> tuple[float | None, float | None]:
+    """The level that fills the sources to ``share`` of all words, and the words for each weight at which sources
+    stop meeting their cap; nothing where all do.
+
+    Sources are summed by classes of words for each weight (256 for each power of two), a window over the classes finds
+    the one where caps end, and another over that class's distinct values finds the place."""
+    per = F.col("source_size") / F.col("weight")
+    octave = F.when(per > 0, F.floor(F.log2(per) * 256)).otherwise(F.lit(-(1 << 40)))
+    known = sources.select("source_size", "weight", per.alias("per"), octave.alias("class"))
+
+    def summed(rows: DataFrame, by: str, words: Column, weight: Column, budget: Column) -> DataFrame:
+        """Level and whether the cap is met at the smallest value of each group, given the words and weight of earlier rows."""
+        sums = rows.groupBy(by).agg(F.sum("source_size").alias("words"), F.sum("weight").alias("parts"), F.min(F.struct("per", "weight", "source_size")).alias("first"))
+        earlier = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumns({"used": words + F.coalesce(F.sum("words").over(earlier), F.lit(0)), "left": weight - F.coalesce(F.sum("parts").over(earlier), F.lit(0))})
+        level = (budget - F.col("used") * MAX_COPIES) / F.col("left")
+        return sums.withColumn("level", level).withColumn("capped", F.col("first.weight") * level >= MAX_COPIES * F.col("first.source_size"))
+
+    whole = known.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("parts")).first()
+    if not whole["parts"]:
+        return None, None
+    budget = F.lit(share) * F.lit(whole["words"])
+    classes = summed(known, "class", F.lit(0), F.lit(whole["parts"]), budget)
+    classes = materialize(classes, "mixing-levels")
+    edge = classes.where("capped").orderBy(F.desc("class")).first()
+    open_ = classes.where("not capped").orderBy("class").first()
+    if edge is not None:
+        inside = summed(known.where(F.col("class") == edge["class"]), "per", F.lit(edge["used"]), F.lit(edge["left"]), budget)
+        open_ = inside.where("not capped").orderBy("per").first() or open_
+    return (open_["level"], open_["first"]["per"]) if open_ else (None, None)
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """``skey``, ``source_size`` and ``target`` of each source."""
+    sources = materialize(_numbered(sizes, weights), "mixing-sources")
+    level, caps_end = _level(sources, share)
+    full = MAX_COPIES * F.col("source_size").cast("double")
+    target = full if level is None else F.when(F.col("source_size") / F.col("weight") < caps_end, full).otherwise(F.col("weight") * F.lit(level))
+    return sources.select("skey", "source_size", target.alias("target"))
 
 
 def _with_expectation(sizes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -131,8 +173,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, with its own columns."""
-    return mix(docs).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    """Pipeline stage: each document as often as the mix takes it, with its own columns, whatever they are called."""
+    sizes = materialize(_marked(docs.select("doc_id", "source", "text")).drop("text"), "mixing-sizes")
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    mixed = _decided(docs.select(row, "doc_id", "source", "text"), _plan(sizes, WEIGHTS, SHARE))
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select("row.*").toDF(*docs.columns)
 
 
 ORACLE_SQL = r"""

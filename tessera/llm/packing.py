@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import materialize, small_batches, table
 
@@ -106,15 +107,15 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-MEMBER = "doc_id bigint, piece int, start bigint, length bigint, crc bigint, offset bigint"
-SCHEMA = f"sequence_id bigint, fill int, done boolean, members array<struct<{MEMBER.replace(' ', ':').replace(',:', ',')}>>"
-_MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("offset", pa.int64())])
+SCHEMA = "sequence_id bigint, fill int, done boolean, members array<struct<doc_id: {id}, piece: int, start: bigint, length: bigint, crc: bigint, offset: bigint>>"
+_MEMBER = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("offset", pa.int64())]
 
 
 class _Packer:
     """Collects items (a size and its members' columns), packs a block of them and gives record batches."""
 
-    def __init__(self, round_no: int, slack: int, most: int | None = None):
+    def __init__(self, round_no: int, id_type: pa.DataType, slack: int, most: int | None = None):
+        self.member = pa.struct([("doc_id", id_type), *_MEMBER])
         self.base = (round_no << 56) | (TaskContext.get().partitionId() << 32)
         self.slack, self.most, self.made = slack, most, 0
         self.sizes: list[int] = []
@@ -142,7 +143,7 @@ class _Packer:
             ids = [self.base + self.made + k for k in range(len(part))]
             done = [x >= CAPACITY - self.slack or (self.most is not None and at + k >= self.most) for k, x in enumerate(fills)]
             self.made += len(part)
-            struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MEMBER, strict=True)], fields=list(_MEMBER))
+            struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.member, strict=True)], fields=list(self.member))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(fills, pa.int32()), pa.array(done, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)],
                 names=["sequence_id", "fill", "done", "members"],
@@ -151,8 +152,11 @@ class _Packer:
 
 
 def _first_round(docs: DataFrame, path: str) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(0, SLACK)
+        packer = _Packer(0, id_type, SLACK)
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = token_ids(text, path)
@@ -162,12 +166,15 @@ def _first_round(docs: DataFrame, path: str) -> DataFrame:
                 yield from packer.flush()
         yield from packer.flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(id=kind.simpleString()))
 
 
 def _next_round(bins: DataFrame, round_no: int, most: int) -> DataFrame:
+    kind = bins.schema["members"].dataType.elementType["doc_id"].dataType
+    id_type = to_arrow_type(kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(round_no, SLACK, most)
+        packer = _Packer(round_no, id_type, SLACK, most)
         for batch in batches:
             for fill, members in zip(batch["fill"].to_pylist(), batch["members"].to_pylist(), strict=True):
                 packer.add(fill, [(m["doc_id"], m["piece"], m["start"], m["length"], m["crc"]) for m in members])
@@ -175,7 +182,7 @@ def _next_round(bins: DataFrame, round_no: int, most: int) -> DataFrame:
                 yield from packer.flush()
         yield from packer.flush()
 
-    return bins.select("fill", "members").mapInArrow(run, SCHEMA)
+    return bins.select("fill", "members").mapInArrow(run, SCHEMA.format(id=kind.simpleString()))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

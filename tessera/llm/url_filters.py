@@ -57,11 +57,13 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows of distinct ``host`` and ``path`` that some rule fits, with the longest as ``rule`` and ``own``.
 
     ``rules`` has columns verdict, host and prefix.  A host meets rules by equality with one of its
-    suffixes, so the join is an equi-join however many rules there are.
+    suffixes, so the join is an equi-join however many rules there are.  Suffixes of more labels than
+    any rule has can't meet one, so a host of very many labels gives few.
     """
     keys = urls.select("host", "path").where("host <> ''").distinct()
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    longest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(longest))), lambda i: F.array_join(F.slice(parts, -i, i), "."))
     listed = rules.select(F.col("host").alias("suffix"), "prefix", "verdict", F.concat("host", "prefix").alias("rule"))
     pairs = keys.withColumn("suffix", F.explode(F.array_distinct(suffixes))).join(listed, "suffix").where(F.startswith("path", "prefix"))
     best = F.max(F.struct(F.length("rule"), "rule", "verdict"))

@@ -105,6 +105,9 @@ def test_redirect_equivalence_and_precedence(spark):
     assert out.count() == len(rows)
     same(out.select("page_id", "host", "path", "rule", "verdict"), duck(url_filters.ORACLE_SQL, pages=pages.toPandas()))
     assert url_filters.judge(pages.limit(0), rules).count() == 0
+    hostile = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "com/en/1", None)], "page_id long, url string, html string")
+    assert [(r["rule"], r["verdict"]) for r in url_filters.judge(hostile, rules).collect()] == [("com/en/", "block")]
+    assert [r["verdict"] for r in url_filters.judge(hostile, rules.limit(0)).collect()] == ["allow"]
     more = spark.createDataFrame([("http://lone.fr/", "http://a.com/en/9")], "from string, to string")
     assert {r["verdict"] for r in url_filters.judge(pages, rules, more).where("page_id = 7").collect()} == {"block"}
 
@@ -304,6 +307,23 @@ def test_mixing_equals_sql_and_meets_targets(spark, docs, tmp_path, monkeypatch)
     copies = mixing.stage(spark, docs, SF)
     assert copies.columns == docs.columns and copies.count() == mixed.agg(F.sum("mix_copies")).first()[0]
     assert mixing.mix(docs.limit(0)).count() == 0
+    clashing = docs.withColumn("mix_copies", F.lit("MINE")).withColumn("target", F.lit("MINE"))
+    assert {(r["mix_copies"], r["target"]) for r in mixing.stage(spark, clashing, SF).collect()} == {("MINE", "MINE")}
+
+
+@pytest.mark.parametrize(("weights", "share"), [((3, 1, 2), 1.5), ((1,), 2.0), ((5, 1), 0.01), ((1, 9), 1.99), ((2, 3), 5.0)])
+def test_targets_fill_up_like_plain_water(spark, weights, share):
+    rng = random.Random(12)
+    rows = [(f"={k:03}", f"{k:03}", rng.choice([0, 1, 7, 7, 300, 5000, 10**9]) * (1 + k % 2)) for k in range(70)] + [("", None, 40)]
+    sizes = spark.createDataFrame(rows, "skey string, source string, size long")
+    got = {r["skey"]: r["target"] for r in mixing.source_targets(sizes, weights, share).collect()}
+    weight = {key: weights[k % len(weights)] for k, (key, _, _) in enumerate(rows)}
+    size = {key: n for key, _, n in rows}
+    low, high = 0.0, 1e12
+    for _ in range(200):  # the level by bisection
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(weight[k] * level, 2 * size[k]) for k in size) < share * sum(size.values()) else (low, level)
+    assert got == pytest.approx({k: min(weight[k] * high, 2.0 * size[k]) for k in size}, rel=1e-6)
 
 
 # ------------------------------------------------------------------ packing
@@ -347,6 +367,7 @@ def test_sequences_that_nothing_fits_do_not_pile_up(spark, monkeypatch):
     monkeypatch.setattr(packing, "PER_TASK", 3)
     docs = spark.createDataFrame([(k, "a " * 1227) for k in range(60)], "doc_id long, text string").repartition(12)
     rows = packing.pack(docs).collect()
+    assert {r["doc_id"] for r in packing.pack(docs.limit(3).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).collect()} <= {f"d{k}" for k in range(60)}
     ids = packing.token_ids("a " * 1227, packing.default_tokenizer())
     assert 1100 < len(ids) < 1400 and check_packed(rows, [(k, ids.tolist()) for k in range(60)]) == 60
 
