@@ -32,6 +32,8 @@ SHINGLE = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
+#: Rounds of densification before it is asked whether a text needs more.
+FIRST_ROUNDS = 6
 #: Ranges of ids for each shuffle partition.
 RANGES_PER_TASK = 4
 #: White space between words.
@@ -62,7 +64,8 @@ def bin_minima(text: Column) -> Column:
 
     Signed order keeps bins together (each bin is a range), so the first hash of a run is its minimum.
     """
-    return _bound(F.sort_array(shingle_hashes(text)), lambda s: F.filter(s, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(s, i - 1)))))
+    starts = lambda s: lambda h, i: (i == 0) | (F.shiftrightunsigned(h.bitwiseXOR(F.get(s, i - 1)), 64 - BIN_BITS) != 0)
+    return _bound(F.sort_array(shingle_hashes(text)), lambda s: F.filter(s, starts(s)))
 
 
 def _probe_orders() -> tuple[Column, Column]:
@@ -74,7 +77,8 @@ def _probe_orders() -> tuple[Column, Column]:
 def densified(minima: Column) -> Column:
     """Low-order bits of all bins, in order; an empty bin takes the value of the first full bin that its probes meet.
 
-    Round t lets every empty bin look at its t-th probe; once no bin is empty, rounds cost next to nothing.
+    Round t lets every empty bin look at its t-th probe.  A few rounds fill the bins of most texts; the rest of
+    the rounds are for those with an empty bin left.
     """
     low = lambda h: h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int")
     first, step = _probe_orders()
@@ -82,16 +86,32 @@ def densified(minima: Column) -> Column:
 
     def fill(given: Column) -> Column:
         probe = lambda b, t: (F.get(first, b) + F.get(step, b) * t).bitwiseAND(F.lit(BINS - 1))
-        return F.aggregate(
-            F.sequence(F.lit(0), F.lit(BINS - 1)),
-            given,
-            lambda v, t: F.when(F.array_contains(v, empty), F.transform(v, lambda x, b: F.when(x == empty, F.get(given, probe(b, t))).otherwise(x))).otherwise(v),
-        )
+        look = lambda v, t: F.transform(v, lambda x, b: F.when(x == empty, F.get(given, probe(b, t))).otherwise(x))
+        more = lambda v, t: F.when(F.array_contains(v, empty), look(v, t)).otherwise(v)
+        rounds = lambda a, b, v: F.aggregate(F.sequence(F.lit(a), F.lit(b - 1)), v, more)
+        rest = lambda v: F.when(F.array_contains(v, empty), rounds(FIRST_ROUNDS, BINS, v)).otherwise(v)
+        return _bound(rounds(0, FIRST_ROUNDS, given), rest)
 
     def spread(m: Column) -> Column:
-        numbers = F.transform(m, _bin)
-        placed = lambda bins: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(low(F.get(m, (F.array_position(bins, b) - 1).cast("int"))), empty))
-        return F.when(F.size(m) == BINS, F.transform(m, low)).otherwise(_bound(_bound(numbers, placed), fill))
+        one, none, ones = (F.lit(x).cast("long") for x in (1, 0, -1))
+
+        def half(upper: bool) -> Column:
+            """Bits of the full bins of one half of the bins."""
+            mine = lambda h: (_bin(h) >= BINS // 2) if upper else (_bin(h) < BINS // 2)
+            return F.aggregate(m, none, lambda bits, h: F.when(mine(h), bits.bitwiseOR(F.call_function("shiftleft", one, _bin(h)))).otherwise(bits))
+
+        def placed(halves: Column) -> Column:
+            def value(b: Column) -> Column:
+                lower, bit = b < BINS // 2, F.call_function("shiftleft", one, b)  # shifts count modulo 64
+                bits = F.when(lower, halves["low"]).otherwise(halves["high"])
+                below = F.bitwise_not(F.call_function("shiftleft", ones, b))
+                before = F.bit_count(bits.bitwiseAND(below)) + F.when(lower, 0).otherwise(F.bit_count(halves["low"]))
+                return F.when(bits.bitwiseAND(bit) != 0, low(F.get(m, before))).otherwise(empty)
+
+            return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value)
+
+        halves = F.struct(half(False).alias("low"), half(True).alias("high"))
+        return F.when(F.size(m) == BINS, F.transform(m, low)).otherwise(_bound(_bound(halves, placed), fill))
 
     return _bound(minima, spread)
 
