@@ -33,6 +33,13 @@ def document_frequency(posted: DataFrame, scope: list[str], key: str) -> DataFra
     return posted.select(*scope, key, "token").distinct().groupBy(*scope, "token").agg(F.count("*").alias("df"))
 
 
+def token_frequency(cards: DataFrame, fields: list[Column], scope: list[str]) -> DataFrame:
+    """``document_frequency`` straight from the cards: distinct tokens are found within each row, so tokens are
+    shuffled once, as counts."""
+    found = cards.select(*scope, F.explode(T.tokens(F.concat_ws("\n", *fields))).alias("token"))
+    return found.groupBy(*scope, "token").agg(F.count("*").alias("df"))
+
+
 def field_lengths(rows: DataFrame, posted: DataFrame, scope: list[str]) -> DataFrame:
     """Mean tokens of a field over all cards, empty fields included, at least 1; ``n`` cards."""
     n = rows.groupBy(*scope, "field").agg(F.count("*").alias("n"))

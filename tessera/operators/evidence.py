@@ -23,7 +23,8 @@ CONFIDENCE = {"high": 1, "medium": 0, "low": -1}
 
 
 def field_evidence(field: str, phrases: Column, query_text: Column, query_tokens: Column) -> Column:
-    """Struct of ``value`` and ``strong``: the best phrase and a part of the next two.
+    """Struct of ``value``, ``strong`` and ``phrases`` (the first three with their ``weight`` and ``kind``): the best phrase
+    and a part of the next two.
 
     ``phrases`` come from ``phrase_tokens`` of the card's field.  A phrase counts in full if it stands
     in the query, by its coverage if at least half of its tokens do, and a little if one of two does.
@@ -47,19 +48,21 @@ def field_evidence(field: str, phrases: Column, query_text: Column, query_tokens
                 .otherwise(0.0)
             )
             near = (hits >= 2) & (coverage >= 0.58) if field in ("triggers", "aliases") else F.lit(False)
-            return F.struct(value.alias("value"), ((exact & multi) | short | near).alias("strong"))
+            kind = F.when(exact, "phrase-exact").otherwise("phrase-overlap")
+            return F.struct(value.alias("value"), ((exact & multi) | short | near).alias("strong"), p["phrase"].alias("phrase"), kind.alias("kind"))
 
         seen = F.struct(F.size(F.array_intersect(p["tokens"], query_tokens)).alias("hits"), T.contains_term(query_text, query_tokens, p["phrase"], n).alias("exact"))
         return F.get(F.transform(F.array(seen), score), 0)
 
     found = F.filter(F.transform(phrases, judge), lambda x: x["value"] > 0)
     # a stable order: equal values keep the order of their phrases
-    ranked = F.array_sort(F.transform(found, lambda x, i: F.struct((-x["value"]).alias("v"), i.alias("i"), x["strong"].alias("strong"))))
+    ranked = F.array_sort(F.transform(found, lambda x, i: F.struct((-x["value"]).alias("v"), i.alias("i"), x["strong"].alias("strong"), x["phrase"].alias("phrase"), x["kind"].alias("kind"))))
 
     def total(r: Column) -> Column:
         support = F.aggregate(F.slice(r, 2, 2), F.lit(0.0), lambda acc, x: acc - x["v"] * SUPPORT)
         value = F.when(F.size(r) > 0, rounded(F.least(F.lit(CAP), support - F.get(r, 0)["v"]))).otherwise(0.0)
-        return F.struct(value.alias("value"), F.coalesce(F.get(r, 0)["strong"], F.lit(False)).alias("strong"))
+        best = F.transform(F.slice(r, 1, 3), lambda x: F.struct(x["phrase"].alias("term"), rounded(-x["v"]).alias("weight"), x["kind"].alias("kind")))
+        return F.struct(value.alias("value"), F.coalesce(F.get(r, 0)["strong"], F.lit(False)).alias("strong"), best.alias("phrases"))
 
     return F.get(F.transform(F.array(ranked), total), 0)
 
@@ -76,6 +79,13 @@ def signal_evidence(required: Column, positives: Column) -> Column:
     return F.when(F.size(weights) > 0, F.least(F.lit(58.0), 40.0 + F.array_max(weights))).otherwise(0.0)
 
 
+def exact_negatives(negatives: Column, said: Column) -> Column:
+    """Negative triggers (``text``, normalised, with its number of tokens ``n``) that stand as terms in any of the prompt's
+    texts (``text``, normalised, with its ``tokens``)."""
+    inside = lambda n: F.exists(said, lambda m: T.contains_term(m["text"], m["tokens"], n["text"], n["n"]))
+    return F.transform(F.filter(negatives, inside), lambda n: n["text"])
+
+
 def fuzzy_penalty(negative_phrases: Column, query_tokens: Column) -> Column:
     """Negative phrases (arrays of their tokens of two characters or more) that the query covers by 72 % or more."""
 

@@ -11,30 +11,45 @@ def first_reason(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(cond, F.lit(reason)) for cond, reason in checks])
 
 
-def recall_gate(card: dict[str, Column], seen: Column, positive: Column, modes: Column, negative_hit: Column, negative_targets: Column, known: list[str]) -> Column:
-    """Why a card is out, in the fixed order of checks; null if it stays.
+def recall_gate(card: dict[str, Column], seen: Column, positive: Column, modes: Column, negatives: Column, aiming: Column, known: list[str]) -> Column:
+    """Why a card is out, in the fixed order of checks: a struct of ``field``, the offending ``term`` (ids joined by +) and
+    ``kind``; null if it stays.
 
     ``card`` has the arrays blocked, required_any, required_all, include and exclude; ``seen`` and
-    ``positive`` are the prompt's signal ids, ``modes`` its intents, ``negative_hit`` whether a
-    negative phrase of the card occurs, ``negative_targets`` what its negative signals aim at.
+    ``positive`` are the prompt's signal ids, ``modes`` its intents, ``negatives`` the card's negative triggers
+    that occur, ``aiming`` the prompt's negative signals that aim at what the card requires.
     """
     ids = F.array(*map(F.lit, known))
     some = lambda a: F.size(a) > 0
-    shares = lambda a, b: F.size(F.array_intersect(a, b)) > 0
-    unknown = lambda a: some(F.array_except(a, ids))
-    any_, all_, include, exclude = card["required_any"], card["required_all"], card["include"], card["exclude"]
-    routed = shares(any_, positive) | shares(all_, positive)
-    return first_reason(
-        (unknown(card["blocked"]), "unknown-blocked-signal"),
-        (shares(card["blocked"], seen), "blocked-signal"),
-        (unknown(any_) | unknown(all_), "unknown-required-signal"),
-        (some(any_) & ~shares(any_, positive), "missing-required-any"),
-        (some(F.array_except(all_, positive)), "missing-required-all"),
-        (shares(exclude, modes) & ~(shares(include, modes) & routed), "excluded-intent"),
-        (some(include) & ~shares(include, modes), "missing-included-intent"),
-        (negative_hit, "negative-exact"),
-        (shares(negative_targets, F.array_union(any_, all_)), "negative-route"),
+    own = {k: F.array_distinct(v) for k, v in card.items()}
+    any_, all_, include, exclude = own["required_any"], own["required_all"], own["include"], own["exclude"]
+    hit_any, missing_all = F.array_intersect(any_, positive), F.array_except(all_, positive)
+    routed = some(hit_any) | some(F.array_intersect(all_, positive))
+    included, excluded = F.array_intersect(include, modes), F.array_intersect(exclude, modes)
+    none = F.array().cast("array<string>")
+    checks = (  # what offends, where any of it does
+        ("blockedSignals.unknown", F.array_except(own["blocked"], ids), "unknown-blocked-signal"),
+        ("blockedSignals", F.array_intersect(own["blocked"], seen), "blocked-signal"),
+        ("requiredSignals.unknown", F.array_except(any_, ids), "unknown-required-signal"),
+        ("requiredAllSignals.unknown", F.array_except(all_, ids), "unknown-required-signal"),
+        ("requiredSignals", F.when(some(hit_any), none).otherwise(any_), "missing-required-any"),
+        ("requiredAllSignals", missing_all, "missing-required-all"),
+        ("intentModes.exclude", F.when(some(included) & routed, none).otherwise(excluded), "excluded-intent"),
+        ("intentModes.include", F.when(some(included), none).otherwise(include), "missing-included-intent"),
+        ("negativeTriggers", F.slice(negatives, 1, 1), "negative-exact"),
+        ("ruleSignals.negative", aiming, "negative-route"),
     )
+    return F.coalesce(*[F.when(some(terms), F.struct(F.lit(field).alias("field"), F.array_join(terms, "+").alias("term"), F.lit(kind).alias("kind"))) for field, terms, kind in checks])
+
+
+def gate_reason(gate: Column) -> Column:
+    """The gate's result as ``field:term``."""
+    return F.concat(gate["field"], F.lit(":"), gate["term"])
+
+
+def filtered_by_applicability(cards: DataFrame, project: Column, module: Column) -> DataFrame:
+    """Cards of ``cards`` (``level``, ``project_key``, ``module_path``) that do not apply in one project's module."""
+    return cards.where(~applies(F.col("level"), F.col("project_key"), F.col("module_path"), project, module))
 
 
 def module_path(path: Column) -> Column:
@@ -82,3 +97,24 @@ def classify(text: Column, rules: list[tuple[str, str]], default: str) -> Column
     """Label of the first rule whose pattern occurs in the lower-cased text."""
     low = F.lower(text)
     return F.coalesce(*[F.when(low.rlike(pattern), F.lit(label)) for pattern, label in rules], F.lit(default))
+
+
+# Categories and the words that give them, in order; the last is the default.
+CATEGORY_RULES = (
+    ("(skill|docx|contract|email|邮件|合同|开源)", "开源 Skill 经验蒸馏"),
+    ("(recall|retrieval|hook|经验|召回)", "经验召回"),
+    ("(ui|ux|产品|界面|页面|交互|console|design)", "产品与 UI"),
+    ("(frontend|react|form|css|browser|responsive|前端|表单|浏览器|响应式)", "前端工程"),
+    ("(api|backend|server|database|后端|接口|数据库)", "后端与 API"),
+    ("(security|auth|secret|permission|安全|权限|隐私|密钥)", "安全"),
+    ("(test|e2e|playwright|验收|测试|冒烟)", "测试验收"),
+    ("(deploy|runtime|publish|package|git|运行时|发布|部署|打包)", "运行时与发布"),
+    ("(performance|latency|stats|observability|性能|观测|统计)", "性能与观测"),
+    ("(docs|readme|roadmap|文档|开源)", "文档与开源"),
+)
+DEFAULT_CATEGORY = "未分类"
+
+
+def infer_category(*texts: Column) -> Column:
+    """Category of a card from its title, topics, triggers, summary and rule."""
+    return classify(F.concat_ws(" ", *texts), list(CATEGORY_RULES), DEFAULT_CATEGORY)

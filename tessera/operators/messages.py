@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources import sessions
+
 
 def normalize_search(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
@@ -41,9 +43,10 @@ def context(messages: DataFrame, hits: DataFrame, session: str, position: str, n
 
 
 def session_hash(messages: DataFrame, session: str, order: list[str]) -> DataFrame:
-    """Hash of a session's messages in order."""
-    part = F.struct(*order, F.concat(F.coalesce("role", F.lit("")), F.lit("\x00"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("line"))
-    return messages.groupBy(session).agg(F.sort_array(F.collect_list(part)).alias("lines")).select(session, F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), ""), 256).alias("hash"))
+    """Hash of a session's messages in order, folded in two levels (``sessions.ordered_hash``)."""
+    placed = messages.withColumn("__place", F.row_number().over(Window.partitionBy(session).orderBy(*order)))
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit("\x00"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    return sessions.ordered_hash(placed, [session], "__place", line)
 
 
 def carry_forward(rows: DataFrame, column: str, by: list[str], order: list[Column]) -> DataFrame:

@@ -1,13 +1,16 @@
 """Recall: from prompts and cards to a few selected cards with reasons, or deliberately none.
 
-Everything is a join, an aggregate or a window keyed by prompt.  Cards meet prompts through shared
+Everything is a join, an aggregate or a window keyed by prompt.  Prepared prompts and scored pairs are written once to
+the shared folder, since several steps read them; ``keep`` collects those tables for a caller that wants to
+``discard`` them.  Cards meet prompts through shared
 tokens or a required signal (equi-joins).  ``scope`` names columns that prompts and cards share (a
 library, a project): only rows of one scope meet, and its statistics come from its cards alone.
 
 ``cards`` columns: card_id, status, title, category, summary, triggers, negative_triggers, topics,
-required_any, required_all, blocked, include, exclude (arrays), recall_policy, risk, confidence.
-A card may also have rule and body, and level, project_key and module_path, which say where it applies; it
-then meets only prompts whose project_key and module_path fit.  ``prompts`` columns: prompt_id, text.  Missing card columns take the defaults of ``DEFAULTS``.
+required_any, required_all, blocked, include, exclude (arrays), recall_policy, risk, confidence, and library_scope (a card's
+identity is its id within that).  A card may also have rule and body, and level, project_key and module_path, which
+say where it applies; it then meets only prompts whose project_key and module_path fit.  ``prompts`` columns:
+prompt_id, text.  Missing card columns take the defaults of ``DEFAULTS``.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from tessera.functions import signals as G
 from tessera.functions import text as T
 from tessera.functions.scoring import rounded
 from tessera.operators import corpus, evidence, gates, selection, similarity
+from tessera.tables import materialize
 
 #: Defaults of card columns: strings, and arrays for the names in ARRAYS.
-DEFAULTS = {"status": "active", "title": "", "category": "未分类", "summary": "", "recall_policy": "should", "risk": "medium", "confidence": "medium", "rule": "", "body": ""}
+DEFAULTS = {"status": "active", "title": "", "category": "未分类", "summary": "", "recall_policy": "should", "risk": "medium", "confidence": "medium", "rule": "", "body": "", "library_scope": "global"}
 ARRAYS = ("triggers", "negative_triggers", "aliases", "topics", "required_any", "required_all", "blocked", "include", "exclude")
 #: Where a card applies; a missing column is null.
 PLACE = ("level", "project_key", "module_path")
@@ -43,8 +47,12 @@ def _or_null(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
+STARTER = "starter-"
+
+
 def near_cards(cards: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Pairs ``a``, ``b`` of recallable cards of one scope and one place that are alike by COLLAPSE or more.
+    """Pairs ``a``, ``b`` of recallable cards of one scope and one place that stand for each other: alike by COLLAPSE or
+    more, or a starter card and one of the library's own that share a required signal.
 
     Cards that share no trigger, topic or token of those and the category stay below it (0.52 at most), so
     the others never meet.
@@ -57,12 +65,18 @@ def near_cards(cards: DataFrame, scope: list[str] | None = None) -> DataFrame:
     routes = F.concat(F.transform(phrases, lambda v: F.lower(F.trim(v))), F.flatten(F.transform(phrases, T.tokens)), T.tokens(F.col("category")))
     prefix = F.concat_ws("\x00", *place)
     fields = ("title", "category", "summary", "triggers", "topics", "rule", "body")
-    rows = rows.select(F.struct(*scope, "card_id").alias("k"), F.struct(*fields).alias("card"), F.transform(routes, lambda v: F.concat_ws("\x00", prefix, v)).alias("routes"))
+    known = F.array(*[F.lit(s.id) for s in G.REGISTRY])
+    signals = F.array_intersect(F.array_union("required_any", "required_all"), known)
+    starter = F.startswith(F.col("card_id").cast("string"), F.lit(STARTER))
+    rows = rows.select(F.struct(*scope, "card_id").alias("k"), F.struct(*fields).alias("card"), F.transform(routes, lambda v: F.concat_ws("\x00", prefix, v)).alias("routes"), F.transform(signals, lambda v: F.concat_ws("\x00", prefix, v)).alias("signals"), starter.alias("starter"))
     pairs = similarity.set_pairs(rows, "k", "routes").select("a", "b")
     for end, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(rows.select(F.col("k").alias(end), F.col("card").alias(name)), end)
     alike = similarity.card_similarity(*[{c: F.col(f"{name}.{c}") for c in fields} for name in ("x", "y")])
-    return pairs.where(alike >= similarity.COLLAPSE).select(F.col("a.card_id").alias("a"), F.col("b.card_id").alias("b"), *[F.col(f"a.{c}").alias(c) for c in scope])
+    found = pairs.where(alike >= similarity.COLLAPSE).select("a", "b")
+    sides = [rows.where(F.col("starter") == v).select(F.col("k").alias(end), F.explode("signals").alias("signal")) for v, end in ((True, "a"), (False, "b"))]
+    found = found.unionByName(sides[0].join(sides[1], "signal").select("a", "b").distinct())
+    return found.select(F.col("a.card_id").alias("a"), F.col("b.card_id").alias("b"), *[F.col(f"a.{c}").alias(c) for c in scope])
 
 
 def invalid(cards: DataFrame) -> DataFrame:
@@ -82,116 +96,214 @@ def invalid(cards: DataFrame) -> DataFrame:
 
 
 def _prepared_prompts(prompts: DataFrame, scope: list[str]) -> DataFrame:
-    """Envelope, signals and intents of each prompt, computed once."""
+    """Envelope, signals, intents and query of each prompt."""
     rows = P.with_envelope(prompts.select("prompt_id", *scope, "text", *[_or_null(prompts, c).alias(f"own_{c}") for c in PLACE[1:]]))
-    rows = rows.withColumns({"signals": G.detect(F.col("text")), "intent_modes": G.intents(F.col("text")), "kept": P.strip_negated(F.col("text"))})
-    return rows.withColumns({"rule_signals": G.ids(F.col("signals"), "positive"), "seen": G.ids(F.col("signals")), "query_text": T.normalize(F.col("kept")), "query_tokens": T.tokens(F.col("kept"))})
+    rows = rows.join(G.prompt_signals(prompts, "prompt_id"), "prompt_id")
+    rows = rows.withColumns({"rule_signals": G.ids(F.col("signals")), "signal_terms": G.signal_terms(F.col("signals"))})
+    rows = rows.withColumn("variants", F.transform(P.query_variants(rows), lambda v: v["text"]))
+    rows = rows.withColumn("query_text", T.plain(F.array_join("variants", " ")))
+    said = F.transform(F.array_distinct(F.concat("variants", "segments", "negatives")), lambda t: F.struct(T.plain(t).alias("text"), T.tokens(t).alias("tokens")))
+    return rows.withColumns({"query_tokens": T.tokens(F.col("query_text")), "said": said, "negated_tokens": F.array_distinct(F.flatten(F.transform("negatives", T.tokens)))})
 
 
 def _card_fields() -> dict[str, Column]:
     lines = lambda c: F.array_join(c, "\n")
-    return {"title": F.col("title"), "triggers": lines("triggers"), "aliases": lines("aliases"), "topics": lines("topics"), "intentModes": lines("include"), "requiredSignals": lines(F.concat("required_any", "required_all")), "category": F.col("category"), "summary": F.col("summary")}
+    return {"title": F.col("title"), "triggers": lines("triggers"), "aliases": lines("aliases"), "topics": lines("topics"), "intentModes": lines(F.concat("include", "exclude")), "requiredSignals": lines(F.array_distinct(F.concat("required_any", "required_all"))), "category": F.col("category"), "summary": F.col("summary")}
+
+
+#: A reason of a score: where it comes from, what was found, and what it gives.
+REASON = "array<struct<field:string,term:string,weight:double,kind:string>>"
+REFUSAL = -100.0
+
+
+def _reason(field, term: Column, weight: Column, kind) -> Column:
+    named = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(named(field).alias("field"), term.alias("term"), weight.cast("double").alias("weight"), named(kind).alias("kind"))
+
+
+def _reasons(rows: DataFrame, families: list[str]) -> Column:
+    """Why a pair is refused, or what its score comes from."""
+    none = F.array().cast(REASON)
+    gate = F.array(_reason(F.col("gate.field"), F.col("gate.term"), F.lit(REFUSAL), F.col("gate.kind")))
+    told = lambda f: lambda x: _reason(f, x["term"], x["weight"], x["kind"])
+    phrases = [F.transform(F.col(f"e_{f}.phrases"), told(f)) for f in families]
+    hits = F.filter(F.array_union("required_any", "required_all"), lambda i: F.map_contains_key(G.positives(F.col("signals")), i))
+    signals = F.transform(hits, lambda i: _reason("ruleSignals", i, F.col("e_signals.value"), "required-signal"))
+    shared = F.array_join(F.slice(F.array_intersect("anchors", "query_tokens"), 1, 6), "+")
+    lexical = F.when(F.col("e_lexical.value") > 0, F.array(_reason("lexical", shared, F.col("e_lexical.value"), "multi-token-support"))).otherwise(none)
+    fuzzy = F.when(F.col("penalty") > 0, F.array(_reason("negativeTriggers", F.lit("near"), -F.col("penalty"), "negative-fuzzy"))).otherwise(none)
+    return selection.compact_reasons(F.when(F.col("gate").isNotNull(), gate).otherwise(F.concat(*phrases, signals, lexical, fuzzy)))
 
 
-def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Every prompt and applicable card that share a token or a signal, with scores, evidence families and the
+def _kept(df: DataFrame, label: str, keep: list | None) -> DataFrame:
+    table = materialize(df, label)
+    if keep is not None:
+        keep.append(table)
+    return table
+
+
+def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
+    """Every prompt and applicable card that share a token or a signal, with scores, evidence families, reasons and the
     gate's reason.  Statistics come from all cards of the scope."""
     cards = with_defaults(cards).where("status = 'active' and recall_policy <> 'off'")
+    cards = cards.withColumn("card_key", F.concat_ws(":", "library_scope", "card_id"))
     scope = scope or []
-    said = _prepared_prompts(prompts, scope)
+    said = _kept(_prepared_prompts(prompts, scope), "recall-prompts", keep)
     plan = P.query_plan(said, *scope, "prompt_id")
-    raw = corpus.bm25f(plan, corpus.field_rows(cards, _card_fields(), [*scope, "card_id"]), "card_id", scope=scope).select("prompt_id", *scope, "card_id", "raw_score")
+    raw = corpus.bm25f(plan, corpus.field_rows(cards, _card_fields(), [*scope, "card_key"]), "card_key", scope=scope).select("prompt_id", *scope, "card_key", "raw_score")
     # a card may be admitted on a signal alone, so signals bring candidates too
-    by_signal = said.select("prompt_id", *scope, F.explode("rule_signals").alias("signal")).join(cards.select(*scope, "card_id", F.explode(F.array_union("required_any", "required_all")).alias("signal")), [*scope, "signal"])
-    pairs = raw.unionByName(by_signal.select("prompt_id", *scope, "card_id", F.lit(0.0).alias("raw_score"))).groupBy("prompt_id", *scope, "card_id").agg(F.sum("raw_score").alias("raw_score"))
+    by_signal = said.select("prompt_id", *scope, F.explode(G.ids(F.col("signals"), "positive")).alias("signal")).join(cards.select(*scope, "card_key", F.explode(F.array_union("required_any", "required_all")).alias("signal")), [*scope, "signal"])
+    pairs = raw.unionByName(by_signal.select("prompt_id", *scope, "card_key", F.lit(0.0).alias("raw_score"))).groupBy("prompt_id", *scope, "card_key").agg(F.sum("raw_score").alias("raw_score"))
+    fields = _card_fields()
     own = cards.select(
         *scope,
+        "card_key",
         "card_id",
+        "library_scope",
         *ARRAYS,
         *[_or_null(cards, c).alias(f"card_{c}") for c in PLACE],
-        *[T.phrase_tokens(text).alias(f"p_{name}") for name, text in _card_fields().items() if name in evidence.EXACT],
-        T.tokens(F.concat_ws("\n", "title", F.array_join("triggers", "\n"), F.array_join("topics", "\n"), "summary")).alias("anchors"),
+        *[T.phrase_tokens(text).alias(f"p_{name}") for name, text in fields.items() if name in evidence.EXACT],
+        T.tokens(F.concat_ws("\n", *[fields[f] for f in evidence.EXACT])).alias("anchors"),
         F.transform("negative_triggers", lambda t: F.filter(T.tokens(t), lambda x: F.length(x) > 1)).alias("negative_tokens"),
-        F.transform("negative_triggers", lambda t: T.normalize(t)).alias("negative_text"),
+        F.transform("negative_triggers", lambda t: F.struct(T.plain(t).alias("text"), F.size(T.tokens(t)).alias("n"))).alias("negative_texts"),
         evidence.priority(F.col("recall_policy"), F.col("risk"), F.col("confidence")).alias("priority_score"),
         F.coalesce(F.get("topics", 0), F.get("triggers", 0), F.col("card_id").cast("string")).alias("topic"),
     )
-    asked = said.select("prompt_id", "signals", "seen", "rule_signals", "intent_modes", "query_text", "query_tokens", T.normalize(F.col("text")).alias("whole"), "negatives", "own_project_key", "own_module_path")
+    asked = said.select("prompt_id", "signals", "intent_modes", "query_text", "query_tokens", "said", "negated_tokens", "own_project_key", "own_module_path")
     # pairs are small rows that cost much to judge: a fixed number of partitions keeps adaptive execution
     # from merging them by size, and the windows by prompt need no further shuffle
     parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.join(own, [*scope, "card_id"]).repartition(parts, "prompt_id").join(asked, "prompt_id")
+    rows = pairs.join(own, [*scope, "card_key"]).repartition(parts, "prompt_id").join(asked, "prompt_id")
     rows = rows.where(gates.applies(*[F.col(f"card_{c}") for c in PLACE], F.col("own_project_key"), F.col("own_module_path")))
-    found = {f"e_{name}": evidence.field_evidence(name, F.col(f"p_{name}"), F.col("query_text"), F.col("query_tokens")) for name in evidence.EXACT}
     wanted = F.array_union("required_any", "required_all")
-    found |= {"e_signals": F.struct(evidence.signal_evidence(wanted, G.positives(F.col("signals"))).alias("value"), F.lit(True).alias("strong")), "e_lexical": F.struct(evidence.lexical_support(F.col("anchors"), F.col("query_tokens")).alias("value"), F.lit(False).alias("strong"))}
-    rows = rows.withColumns(found)
-    named = [F.struct(F.lit(k[2:]).alias("family"), F.col(f"{k}.value").alias("value"), F.col(f"{k}.strong").alias("strong")) for k in found]
-    rows = rows.withColumn("evidence", F.filter(F.array(*named), lambda e: e["value"] > 0))
     card = {c: F.col(c) for c in ("blocked", "required_any", "required_all", "include", "exclude")}
-    exact_negative = F.exists("negative_text", lambda n: (n != "") & F.contains(F.col("whole"), n))
-    reason = gates.recall_gate(card, F.col("seen"), F.col("rule_signals"), F.col("intent_modes"), exact_negative, G.negative_targets(F.col("signals")), [s.id for s in G.REGISTRY])
-    penalty = evidence.fuzzy_penalty(F.col("negative_tokens"), F.col("query_tokens"))
+    aiming = F.filter(G.ids(F.col("signals"), "negative"), lambda i: F.arrays_overlap(G.targets_of(i), wanted))
+    negatives = evidence.exact_negatives(F.col("negative_texts"), F.col("said"))
+    gate = gates.recall_gate(card, G.ids(F.col("signals")), G.ids(F.col("signals"), "positive"), F.col("intent_modes"), negatives, aiming, [s.id for s in G.REGISTRY])
+    rows = rows.withColumn("gate", gate)
+    found = {f"e_{name}": evidence.field_evidence(name, F.col(f"p_{name}"), F.col("query_text"), F.col("query_tokens")) for name in evidence.EXACT}
+    found |= {"e_signals": F.struct(evidence.signal_evidence(wanted, G.positives(F.col("signals"))).alias("value"), F.lit(True).alias("strong")), "e_lexical": F.struct(evidence.lexical_support(F.col("anchors"), F.col("query_tokens")).alias("value"), F.lit(False).alias("strong"))}
+    found |= {"penalty": evidence.fuzzy_penalty(F.col("negative_tokens"), F.array_union("query_tokens", "negated_tokens"))}
+    fine = F.col("gate").isNull()  # refused pairs cost no evidence
+    rows = rows.withColumns({k: F.when(fine, v) for k, v in found.items()})
+    named = [F.struct(F.lit(k[2:]).alias("family"), F.col(f"{k}.value").alias("value"), F.col(f"{k}.strong").alias("strong")) for k in found if k.startswith("e_")]
+    rows = rows.withColumn("evidence", F.filter(F.array(*named), lambda e: F.coalesce(e["value"], F.lit(0.0)) > 0))
     return rows.select(
         "prompt_id",
+        "card_key",
         "card_id",
+        "library_scope",
+        selection.library_priority(F.col("library_scope")).alias("library_priority"),
         "topic",
         "priority_score",
-        rounded(F.col("raw_score")).alias("raw_score"),
-        reason.alias("gate_reason"),
-        F.when(reason.isNull(), evidence.evidence_score(F.transform("evidence", lambda e: e["value"]), penalty)).otherwise(0.0).alias("score"),
+        F.when(fine, rounded(F.col("raw_score"))).otherwise(0.0).alias("raw_score"),
+        gates.gate_reason(F.col("gate")).alias("gate_reason"),
+        F.when(fine, evidence.evidence_score(F.transform("evidence", lambda e: e["value"]), F.col("penalty"))).otherwise(0.0).alias("score"),
         F.transform(F.filter("evidence", lambda e: e["value"] >= FAMILY), lambda e: e["family"]).alias("families"),
         F.exists("evidence", lambda e: e["strong"] & (e["value"] >= ANCHOR)).alias("strong_anchor"),
+        _reasons(rows, [f for f in evidence.EXACT]).alias("reasons"),
     )
 
 
-def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
-    """One row per scored candidate: scores, ``selected``, and ``reason`` why it is not selected.
+def _order() -> list[Column]:
+    return selection.comparator("card_key", "library_priority")
+
+
+def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
+    """One row per scored candidate: scores, reasons, ``selected``, and ``reason`` why it is not selected.
 
     ``similar`` holds pairs a, b of cards that stand for each other, ``near_cards`` by default; later ones
     fold into the first.
     """
-    scored = score(prompts, cards, scope)
+    scored = score(prompts, cards, scope, keep)
     refused = F.coalesce("gate_reason", selection.admission_reason(F.col("score"), F.col("strong_anchor"), F.size("families"), F.lit(threshold)))
-    scored = scored.withColumn("refused", refused)
+    scored = _kept(scored.withColumn("refused", refused), "recall-scored", keep)
     admitted = scored.where("refused is null")
-    order = selection.comparator("card_id")
-    fused = selection.fuse(admitted, ["prompt_id"], "card_id")
+    fused = selection.fuse(admitted, ["prompt_id"], "card_key")
     similar = near_cards(cards, scope) if similar is None else similar
     by = [c for c in scope or [] if c in similar.columns]
-    placed = fused.withColumn("place", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*order)))
+    placed = fused.withColumn("place", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*_order())))
     if by:
         placed = placed.join(prompts.select("prompt_id", *by), "prompt_id")
-    fused = fused.join(selection.collapse(placed, similar, ["place"], by), ["prompt_id", "card_id"])
-    folded = fused.where("leader <> card_id").select(*scored.columns, "rank_score", F.lit(False).alias("selected"), F.concat(F.lit("duplicate-of:"), F.col("leader").cast("string")).alias("reason"))
-    kept = selection.diversify(fused.where("leader = card_id").drop("leader"), ["prompt_id"], "topic", order)
-    chosen = selection.select_dynamic(kept, ["prompt_id"], order, limit, threshold).select(*scored.columns, "rank_score", "selected", "reason")
+    fused = fused.join(selection.collapse(placed, similar, ["place"], by), ["prompt_id", "card_key"])
+    folded = fused.where("leader <> card_key").select(*scored.columns, "rank_score", F.lit(False).alias("selected"), F.concat(F.lit("post-selection:duplicate:"), "leader").alias("reason"))
+    kept = selection.diversify(fused.where("leader = card_key").drop("leader"), ["prompt_id"], "topic", _order())
+    chosen = selection.select_dynamic(kept, ["prompt_id"], _order(), limit, threshold).select(*scored.columns, "rank_score", "selected", "reason")
     out = scored.where("refused is not null").select(*scored.columns, F.lit(0.0).alias("rank_score"), F.lit(False).alias("selected"), F.col("refused").alias("reason"))
     return chosen.unionByName(folded).unionByName(out).drop("refused", "gate_reason")
 
 
-def match(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
+def match(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
     """The selected cards of each prompt with their ``rank``."""
-    rows = match_detailed(prompts, cards, limit, threshold, similar, scope).where("selected")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*selection.comparator("card_id")))).drop("selected", "reason")
+    rows = match_detailed(prompts, cards, limit, threshold, similar, scope, keep).where("selected")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*_order()))).drop("selected", "reason", "library_priority")
 
 
-def diagnostics(detailed: DataFrame, prompts: DataFrame) -> DataFrame:
+def diagnostics(detailed: DataFrame, prompts: DataFrame, limit: int = selection.LIMIT) -> DataFrame:
     """One row per prompt: how many cards were evaluated, admitted and selected, why none was, and the first DIAGNOSTICS candidates."""
-    order = [F.desc("selected"), *selection.comparator("card_id")]
-    ranked = detailed.withColumn("n", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*order)))
-    admitted = F.col("selected") | F.col("reason").rlike("^(post-selection|duplicate-of)")
-    shown = F.when(F.col("n") <= DIAGNOSTICS, F.struct("n", "card_id", "score", "selected", "reason"))
-    totals = ranked.groupBy("prompt_id").agg(F.count("*").alias("evaluated"), F.count_if(admitted).alias("admitted"), F.count_if("selected").alias("selected"), F.sort_array(F.collect_list(shown)).alias("candidates"))
+    eligible = F.col("selected") | F.coalesce(F.startswith("reason", F.lit("post-selection:")), F.lit(False))
+    order = [F.desc("eligible"), *_order()]
+    ranked = detailed.withColumn("eligible", eligible).withColumn("n", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*order)))
+    shown = F.when(F.col("n") <= DIAGNOSTICS, F.struct("n", "card_id", "library_scope", "score", "selected", "reason"))
+    totals = ranked.groupBy("prompt_id").agg(F.count("*").alias("evaluated"), F.count_if("eligible").alias("admitted"), F.count_if("selected").alias("selected"), F.sort_array(F.collect_list(shown)).alias("candidates"))
     rows = prompts.select("prompt_id").join(totals, "prompt_id", "left").na.fill(0, ["evaluated", "admitted", "selected"])
-    why = F.when(F.col("selected") > 0, None).when(F.col("admitted") > 0, "selection-confidence-gap").otherwise("no-candidate-passed-evidence-contract")
+    gap = "selection-limit" if limit <= 0 else "selection-confidence-gap"
+    why = F.when(F.col("selected") > 0, None).when(F.col("admitted") > 0, gap).otherwise("no-candidate-passed-evidence-contract")
     return rows.withColumn("abstain_reason", why)
 
 
+# ---------------------------------------------------------------- context
+
+
+def one_line(text: Column, chars: int = 120) -> Column:
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(plain) > chars, F.concat(F.substring(plain, 1, chars - 1), F.lit("..."))).otherwise(plain)
+
+
+def compact_list(values: Column, n: int, default: str) -> Column:
+    """The first ``n`` values on one line, or a default."""
+    said = F.array_join(F.transform(F.slice(values, 1, n), lambda v: one_line(v)), "; ")
+    return F.when(said == "", F.lit(default)).otherwise(said)
+
+
+def scope_label(level: Column, project: Column, module: Column, library: Column) -> Column:
+    """Where a card applies, in words."""
+    everywhere = F.when(library == "project", "project library, global card").otherwise("global")
+    placed = F.array_join(F.filter(F.array(level, project, module), lambda x: F.coalesce(x, F.lit("")) != ""), " / ")
+    return F.when(F.coalesce(level, F.lit("global")) == "global", everywhere).otherwise(placed)
+
+
+def markdown_link(title: Column, path: Column) -> Column:
+    return F.concat(F.lit("["), F.regexp_replace(one_line(title), r"([\\\[\]])", r"\\$1"), F.lit("](<"), F.replace(path, F.lit(">"), F.lit("%3E")), F.lit(">)"))
+
+
+def card_blocks(matches: DataFrame, cards: DataFrame) -> DataFrame:
+    """``prompt_id``, ``rank`` and ``block`` of each match: what the card says, where and why it was recalled."""
+    have = {c: _or_null(cards, c).alias(c) for c in (*PLACE, "path")}
+    own = with_defaults(cards).select("card_id", "library_scope", "title", "summary", "triggers", "negative_triggers", "topics", "risk", "recall_policy", *have.values())
+    shared = ["card_id", "library_scope"] if "library_scope" in matches.columns else ["card_id"]
+    rows = matches.join(own, shared)
+    why = F.concat(F.lit("score "), F.col("score").cast("string"))
+    if "reasons" in matches.columns:
+        first = F.coalesce(F.get(F.filter("reasons", lambda r: r["field"] == "ruleSignals"), 0), F.get("reasons", 0))
+        why = F.coalesce(F.concat(first["field"], F.lit(":"), first["term"]), why)
+    use = F.when(F.size("triggers") > 0, compact_list(F.col("triggers"), 3, "directly matches this task")).otherwise(compact_list(F.col("topics"), 3, "directly matches this task"))
+    key = F.col("card_id").cast("string")
+    lines = (
+        F.concat(F.col("rank").cast("string"), F.lit(". ["), "risk", F.lit(" risk]["), "recall_policy", F.lit("] "), "title", F.lit(" ("), key, F.lit(")")),
+        F.concat(F.lit("   Summary: "), one_line(F.when(F.col("summary") == "", "No summary.").otherwise(F.col("summary")), 220)),
+        F.concat(F.lit("   Scope: "), scope_label(F.col("level"), F.col("project_key"), F.col("module_path"), F.col("library_scope"))),
+        F.concat(F.lit("   Use if: "), use),
+        F.concat(F.lit("   Ignore if: "), compact_list(F.col("negative_triggers"), 2, "unrelated to the task")),
+        F.concat(F.lit("   Matched by: "), why),
+        F.concat(F.lit("   Link: "), markdown_link(F.col("title"), F.coalesce("path", F.concat(F.lit("cards/active/"), key, F.lit(".md"))))),
+    )
+    return rows.select("prompt_id", "card_id", "rank", F.concat_ws("\n", *lines).alias("block"))
+
+
 def render_context(matches: DataFrame, cards: DataFrame, max_chars: int = 6000, heading: str = "# Related experience") -> DataFrame:
     """``prompt_id`` and ``context``: the longest prefix of card blocks that fits the budget, all or nothing for each block."""
-    block = F.concat_ws("\n", F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), F.col("title")), F.col("summary"), F.concat(F.lit("score "), F.col("score").cast("string")))
-    rows = matches.join(with_defaults(cards).select("card_id", "title", "summary"), "card_id").withColumn("block", block)
+    rows = card_blocks(matches, cards)
     used = F.sum(F.length("block") + 1).over(Window.partitionBy("prompt_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     fits = rows.withColumn("used", used + len(heading)).where(F.col("used") <= max_chars)
     blocks = fits.groupBy("prompt_id").agg(F.sort_array(F.collect_list(F.struct("rank", "block"))).alias("b"))
@@ -202,5 +314,5 @@ def explain(prompts: DataFrame, cards: DataFrame, **options) -> DataFrame:
     """Diagnostics of each prompt beside the context that its matches give."""
     detailed = match_detailed(prompts, cards, **options)
     chosen = detailed.where("selected")
-    ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*selection.comparator("card_id"))))
+    ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*_order())))
     return diagnostics(detailed, prompts).join(render_context(ranked, cards), "prompt_id", "left")

@@ -51,36 +51,73 @@ def select_dynamic(candidates: DataFrame, by: list[str], order: list[Column], li
     return rows.withColumn("before", before).withColumn("reason", reason).withColumn("selected", F.col("reason").isNull()).drop("before", "fits")
 
 
+NEAR_SCORE, PROJECT, ANY_LIBRARY = 8.0, 2, 1
+
+
+def library_priority(scope: Column) -> Column:
+    """A project's library comes before all others."""
+    return F.when(scope == "project", PROJECT).otherwise(ANY_LIBRARY)
+
+
 def collapse(candidates: DataFrame, similar: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Greedy collapse of near-duplicate cards per prompt: ``leader`` is the card that represents each.
+    """Greedy collapse of near-duplicate cards per prompt: ``leader`` is the ``card_key`` that represents each.
 
-    ``candidates``: prompt_id, card_id and the columns of ``order`` (sorted ascending; admitted cards only, a
-    few per prompt).  ``similar``: unordered pairs a, b of one card set, or of the sets that the columns ``by``
-    name, which candidates then have too.  Each candidate brings its own pairs
-    along by a join, so nothing is broadcast without a bound.
+    ``candidates``: prompt_id, card_key, card_id, score, library_priority and the columns of ``order`` (sorted
+    ascending; admitted cards only, a few per prompt).  A card joins the first leader with its id or alike it; a card
+    of a preferred library replaces the leader if it has the same id or a score near the leader's.  ``similar``: unordered
+    pairs a, b of card ids of one card set, or of the sets that the columns ``by`` name, which candidates
+    then have too.  Each candidate brings its own pairs along by a join, so nothing is broadcast without a bound.
     """
     by = by or []
     both = similar.select("a", "b", *by).unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"), *by))
     lists = both.groupBy(F.col("a").alias("card_id"), *by).agg(F.collect_set("b").alias("near"))
-    rows = candidates.select("prompt_id", "card_id", *by, *order).join(lists, ["card_id", *by], "left")
+    rows = candidates.select("prompt_id", "card_key", "card_id", "score", "library_priority", *by, *order).join(lists, ["card_id", *by], "left")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         leaders: list = []
-        out = []
-        for r in group.sort_values([*order, "card_id"]).itertuples():
+        leader_of: dict = {}
+        for r in group.sort_values([*order, "card_key"]).itertuples():
             near = set(r.near) if r.near is not None else set()
-            leader = next((x for x in leaders if x in near or x == r.card_id), None)
-            if leader is None:
-                leaders.append(leader := r.card_id)
-            out.append((r.prompt_id, r.card_id, leader))
-        return pd.DataFrame(out, columns=["prompt_id", "card_id", "leader"])
+            at = next((k for k, x in enumerate(leaders) if x.card_id == r.card_id or x.card_id in near), None)
+            leader_of[r.card_key] = r.card_key
+            if at is None:
+                leaders.append(r)
+                continue
+            old = leaders[at]
+            if r.library_priority > old.library_priority and (r.card_id == old.card_id or r.score >= old.score - NEAR_SCORE):
+                leader_of[old.card_key], leaders[at] = r.card_key, r
+            else:
+                leader_of[r.card_key] = old.card_key
+        return pd.DataFrame({"prompt_id": group["prompt_id"].iloc[0], "card_key": list(leader_of), "leader": list(leader_of.values())})
+
+    return rows.groupBy("prompt_id").applyInPandas(fold, f"prompt_id {dict(candidates.dtypes)['prompt_id']}, card_key string, leader string")
+
 
-    kinds = dict(candidates.dtypes)
-    return rows.groupBy("prompt_id").applyInPandas(fold, f"prompt_id {kinds['prompt_id']}, card_id {kinds['card_id']}, leader {kinds['card_id']}")
+NEGATIVE_REASONS, POSITIVE_REASONS = 8, 12
+
+
+def compact_reasons(reasons: Column) -> Column:
+    """The first of each (field, term, kind), then the NEGATIVE_REASONS most negative and the POSITIVE_REASONS most
+    positive; equal weights keep their order."""
+    key = lambda r: F.struct(r["field"], r["term"], r["kind"])
+    keys = F.transform(reasons, key)
+    once = F.filter(F.transform(reasons, lambda r, i: F.struct(r.alias("r"), i.alias("i"))), lambda x: F.array_position(keys, key(x["r"])) == x["i"] + 1)
+
+    def part(negative: bool, sign: int, n: int) -> Column:
+        kept = F.filter(once, lambda x: (x["r"]["weight"] < 0) if negative else (x["r"]["weight"] >= 0))
+        ranked = F.array_sort(F.transform(kept, lambda x: F.struct((sign * x["r"]["weight"]).alias("w"), x["i"].alias("i"), x["r"].alias("r"))))
+        return F.transform(F.slice(ranked, 1, n), lambda x: x["r"])
+
+    return F.concat(part(True, 1, NEGATIVE_REASONS), part(False, -1, POSITIVE_REASONS))
 
 
 def budget_prefix(rows: DataFrame, by: list[str], order: list[Column], text: str, budget: int) -> DataFrame:
-    """The longest prefix of blocks that fits a budget of characters with two line breaks between blocks."""
+    """The longest prefix of blocks that fits a budget of characters with two line breaks between blocks.
+
+    Each block but the first takes two characters at least, so only the first rows of a group, which Spark cuts
+    before the shuffle, can belong to it."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = rows.withColumn("__place", place).where(F.col("__place") <= budget // 2 + 1).drop("__place")
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.length(text)).over(w) + 2 * (F.count("*").over(w) - 1)
     return rows.withColumn("used_chars", used).where(F.col("used_chars") <= budget)

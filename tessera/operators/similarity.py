@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -11,16 +11,43 @@ from tessera.functions.scoring import jaccard, overlap, rounded
 HINT, COLLAPSE, LESSON_TOKENS = 52.0, 64.0, 120
 
 
-def set_pairs(rows: DataFrame, key: str, tokens: str) -> DataFrame:
-    """Pairs a < b of rows that share a token, with ``shared``, ``jaccard`` and ``overlap``.
+def set_pairs(rows: DataFrame, key: str, tokens: str, least: float = 0.0) -> DataFrame:
+    """Pairs a < b of rows that share a token, with ``shared``, ``jaccard`` and ``overlap``; with ``least``, pairs of that
+    Jaccard or more only.
 
-    Shared tokens are counted by an equi-join on the token, so disjoint rows never meet.
+    Shared tokens are counted by an equi-join on the token, so disjoint rows never meet.  A pair of Jaccard ``least``
+    shares one of the first n - ceil(least * n) + 1 tokens of each, rarest first, so with ``least`` only those prefixes are
+    joined and common tokens bring few pairs together; whole sets are compared after that.
     """
-    held = rows.select(F.col(key).alias("k"), F.explode(F.array_distinct(tokens)).alias("token"))
-    sizes = held.groupBy("k").agg(F.count("*").alias("size"))
-    shared = held.alias("x").join(held.alias("y"), "token").where("x.k < y.k").groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b")).agg(F.count("*").alias("shared"))
-    both = shared.join(sizes.select(F.col("k").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("k").alias("b"), F.col("size").alias("nb")), "b")
-    return both.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("overlap"))
+    sets = rows.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("s"))
+    held = sets.select("k", F.explode("s").alias("token"))
+    if least <= 0:
+        sizes = sets.select("k", F.size("s").alias("size"))
+        shared = held.alias("x").join(held.alias("y"), "token").where("x.k < y.k").groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b")).agg(F.count("*").alias("shared"))
+        both = shared.join(sizes.select(F.col("k").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("k").alias("b"), F.col("size").alias("nb")), "b")
+    else:
+        ranked = held.join(held.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+        n = F.size("t")
+        prefix = F.slice("t", F.lit(1), (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))
+        short = ranked.select("k", n.alias("n"), F.explode(prefix).alias("x")).select("k", "n", "x.token")
+        near = short.alias("x").join(short.alias("y"), "token").where((F.col("x.k") < F.col("y.k")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9))
+        pairs = near.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+    found = both.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("overlap"))
+    return found.where(F.col("jaccard") >= least) if least > 0 else found
+
+
+def find_similar(cards: DataFrame, k: int = 3, threshold: float = HINT) -> DataFrame:
+    """The ``k`` most similar other cards of each card, from ``threshold`` on: ``a``, ``b``, ``score`` and ``rank``."""
+    fields = ("title", "category", "triggers", "topics", "summary", "rule", "body")
+    tokens = F.array_distinct(F.concat(*[T.tokens(F.array_join(c, "\n") if c in ("triggers", "topics") else F.col(c)) for c in fields], F.array(F.concat(F.lit("\x00"), F.lower(F.trim("category"))))))
+    pairs = set_pairs(cards.select("card_id", tokens.alias("tokens")), "card_id", "tokens").select("a", "b")
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(cards.select(F.col("card_id").alias(end), F.struct(*fields).alias(name)), end)
+    scored = pairs.select("a", "b", card_similarity(*[{c: F.col(f"{name}.{c}") for c in fields} for name in ("x", "y")]).alias("score")).where(F.col("score") >= threshold)
+    both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= k)
 
 
 def _lowered(values: Column) -> Column:

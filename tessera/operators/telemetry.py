@@ -39,6 +39,58 @@ def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """Hash of a small set of rows (a card set or configuration), whatever their order."""
+    """Hash of a set of rows (a card set or configuration), whatever their order.
+
+    Rows are hashed where they are, hashes are folded by their first three digits, then those folds, so one
+    task sees 4,096 hashes at most however many rows there are."""
     line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(columns)])
-    return rows.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
+    hashed = rows.select(F.sha2(line, 256).alias("h"))
+    folds = hashed.groupBy(F.substring("h", 1, 3).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    return folds.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("part", "h"))), ""), 256).alias("fingerprint"))
+
+
+def stats_report(events: DataFrame, cards: DataFrame, snapshot: dict[str, Column]) -> DataFrame:
+    """One row for each view, ``current`` (events of the snapshot; only known global cards count) and ``cumulative``: event
+    counts and rates, and for the current view the excluded events, stale cards and maintenance actions.
+
+    ``events``: event_id, selected and rendered (arrays of card ids) and the snapshot's columns.  ``cards``: card_id."""
+    of_snapshot = F.lit(True)
+    for name, value in snapshot.items():
+        of_snapshot = of_snapshot & F.col(name).eqNullSafe(value)
+    rows = events.withColumn("is_current", of_snapshot)
+    used = rows.where("is_current").select(F.explode("selected").alias("card_id")).distinct()
+    ours = rows.where("is_current").select("event_id", F.explode("selected").alias("card_id")).join(cards.select("card_id"), "card_id", "left_semi").groupBy("event_id").agg(F.collect_list("card_id").alias("own"))
+    none = F.array().cast(dict(events.dtypes)["selected"])
+    one = rows.where("is_current").join(ours, "event_id", "left").withColumn("selected", F.coalesce("own", none))
+    now = rates(one, "selected", "rendered").withColumn("view", F.lit("current"))
+    ever = rates(rows, "selected", "rendered").withColumn("view", F.lit("cumulative"))
+    idle = stale(cards.select("card_id"), used, "card_id").agg(F.sort_array(F.collect_list(F.col("card_id").cast("string"))).alias("stale"))
+    out = rows.agg(F.count_if(~F.col("is_current")).alias("excluded"), F.count("*").alias("all"))
+    return _with_actions(now.unionByName(ever), idle, out)
+
+
+def _with_actions(views: DataFrame, idle: DataFrame, totals: DataFrame) -> DataFrame:
+    """Views with what their figures call for; ``idle`` and ``totals`` have one row each."""
+    one = idle.withColumn("view", F.lit("current")).join(totals.withColumn("view", F.lit("current")), "view")
+    rows = views.join(one, "view", "left")
+    current, n = F.col("view") == "current", F.col("events")
+    idle_ids = F.when(current & (n > 0), F.col("stale")).otherwise(F.array().cast("array<string>"))
+    said = (
+        F.when(current & (F.col("all") == 0), "no events yet"),
+        F.when(current & (F.col("all") > 0) & (n == 0), "no events of the current snapshot"),
+        F.when(current & (n > 0) & (F.col("matched") == 0), "no prompt matched a card"),
+        F.when(F.size(idle_ids) > 0, F.concat(F.lit("review stale cards: "), F.array_join(idle_ids, ", "))),
+    )
+    return rows.select("view", "events", "matched", "rendered_events", "match_rate", "render_rate", "no_hit_rate", F.when(current, F.col("excluded")).alias("excluded"), idle_ids.alias("stale"), F.array_compact(F.array(*said)).alias("actions"))
+
+
+def source_state(rows: DataFrame, by: list[str], text: str, counted: dict[str, Column]) -> DataFrame:
+    """Rows, conditional counts, bytes in sum and at most of the texts of each group."""
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), *[F.count_if(c).alias(name) for name, c in counted.items()], F.sum(size).alias("bytes"), F.max(size).alias("largest"))
+
+
+def storage_audit(spark, path: str, role: Column) -> DataFrame:
+    """Files and bytes below a folder by ``role`` (an expression over ``path``), from the listing alone: no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.groupBy(role.alias("role")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("length").alias("largest"))

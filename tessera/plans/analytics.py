@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
-from tessera.operators import evaluation, gates, messages, telemetry
+from tessera.operators import curation, evaluation, evidence, gates, messages, selection, telemetry
 from tessera.operators.corpus import top_k
 from tessera.plans.common import query, read
 
@@ -53,17 +53,46 @@ def metrics_by_group(spark, sf_dir):
     return evaluation.roll_up(_cases(spark, sf_dir).withColumn("difficulty", difficulty), "difficulty")
 
 
+_BOUNDS = {"min-pass-rate": 0.2, "min-precision": 0.3, "min-mrr": 0.5, "max-no-hit": 0.0, "max-over-recall": 0.1}
+_REPORT = f"""{_CASES}, g AS (SELECT *, CASE WHEN wanted >= 3 THEN 'hard' WHEN wanted > 0 THEN 'medium' ELSE 'easy' END AS difficulty FROM m),
+    rep AS (SELECT difficulty, floor(avg(passed::INT) * 1000 + 0.5) / 1000 AS pass_rate, floor(avg(precision) * 1000 + 0.5) / 1000 AS precision, floor(coalesce(avg(CASE WHEN wanted > 0 THEN reciprocal_rank END), 0) * 1000 + 0.5) / 1000 AS mrr,
+    floor(avg((returned = 0)::INT) * 1000 + 0.5) / 1000 AS no_hit_rate, 0.0::DOUBLE AS over_recall_rate FROM g GROUP BY 1)"""
+
+
+@query(
+    "threshold_gates",
+    f"WITH {_REPORT} "
+    + " UNION ALL ".join(f"SELECT difficulty, '{flag}' AS flag, {v}::DOUBLE AS expected, {evaluation.BOUNDS[flag][0]} AS actual, {evaluation.BOUNDS[flag][0]} {'>=' if evaluation.BOUNDS[flag][1] == 'min' else '<='} {v} AS passed FROM rep" for flag, v in _BOUNDS.items()),
+)
+def threshold_gates(spark, sf_dir):
+    return evaluation.threshold_gates(metrics_by_group(spark, sf_dir), _BOUNDS, "difficulty")
+
+
 @query(
     "report_compare",
-    """WITH b AS (SELECT doc_id, quality::DOUBLE AS m FROM labels WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, toxic::DOUBLE AS m FROM labels WHERE doc_id % 2 = 0)
+    """WITH b AS (SELECT doc_id, quality::DOUBLE AS m FROM labels), n AS (SELECT CASE WHEN quality = 0 AND toxic = 1 THEN doc_id + 1000000 ELSE doc_id END AS doc_id, toxic::DOUBLE AS m FROM labels)
     SELECT coalesce(b.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'missing' WHEN b.doc_id IS NULL THEN 'added' WHEN n.m < b.m THEN 'regressed' ELSE 'kept' END AS state,
     floor((n.m - b.m) * 1000 + 0.5) / 1000 AS m_delta FROM b FULL JOIN n ON b.doc_id = n.doc_id""",
 )
 def report_compare(spark, sf_dir):
     labels = read(spark, sf_dir, "labels")
-    base = labels.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").cast("double").alias("m"))
-    following = labels.where("doc_id % 2 = 0").select("doc_id", F.col("toxic").cast("double").alias("m"))
-    return evaluation.compare(base, following, "doc_id", ["m"])
+    base = labels.select("doc_id", F.col("quality").cast("double").alias("m"))
+    moved = F.when((F.col("quality") == 0) & (F.col("toxic") == 1), F.col("doc_id") + 1000000).otherwise(F.col("doc_id"))
+    return evaluation.compare(base, labels.select(moved.alias("doc_id"), F.col("toxic").cast("double").alias("m")), "doc_id", ["m"])
+
+
+@query(
+    "report_identity",
+    """WITH f AS (SELECT unnest(['suite', 'engine_version', 'scorer_version', 'suite_fingerprint', 'card_set_fingerprint', 'config_fingerprint', 'limit', 'threshold']) AS field),
+    v AS (SELECT field, CASE field WHEN 'suite' THEN (SELECT min(r_name) FROM region) WHEN 'engine_version' THEN '2' WHEN 'limit' THEN '4' WHEN 'threshold' THEN '40' WHEN 'suite_fingerprint' THEN (SELECT max(n_name) FROM nation) END AS before,
+      CASE field WHEN 'suite' THEN (SELECT min(r_name) FROM region) WHEN 'engine_version' THEN '2' WHEN 'limit' THEN '5' WHEN 'threshold' THEN '40' WHEN 'suite_fingerprint' THEN (SELECT max(n_name) FROM nation) WHEN 'scorer_version' THEN '1' END AS after FROM f)
+    SELECT field, CASE WHEN before IS NULL OR after IS NULL THEN 'missing' ELSE 'drift' END AS issue, before, after FROM v WHERE before IS NULL OR after IS NULL OR before <> after""",
+)
+def report_identity(spark, sf_dir):
+    suite, last = read(spark, sf_dir, "region").agg(F.min("r_name").alias("suite")), read(spark, sf_dir, "nation").agg(F.max("n_name").alias("suite_fingerprint"))
+    one = suite.withColumn("k", F.lit(1)).join(last.withColumn("k", F.lit(1)), "k").withColumn("engine_version", F.lit("2"))
+    base = one.select("suite", "suite_fingerprint", "engine_version", F.lit(4).alias("limit"), F.lit(40).alias("threshold"), F.lit(" ").alias("scorer_version"))
+    return evaluation.comparable_reports(base, base.withColumn("limit", F.lit(5)).withColumn("scorer_version", F.lit("1")))
 
 
 # ---------------------------------------------------------------- telemetry
@@ -111,26 +140,67 @@ def latest_decision(spark, sf_dir):
     return telemetry.latest(read(spark, sf_dir, "events"), ["user_id"], [F.desc("event_id")]).select("user_id", F.col("event_type").alias("action"), F.col("event_id").alias("line"))
 
 
+_ACTION = "CASE event_type WHEN 'click' THEN 'accept' WHEN 'purchase' THEN 'merge' WHEN 'error' THEN 'reject' ELSE 'defer' END"
+
+
 @query(
     "curation_preview",
-    """WITH d AS (SELECT user_id, arg_max(event_type, event_id) AS action FROM events WHERE event_type <> 'view' GROUP BY 1)
-    SELECT c_custkey, action, CASE WHEN action IS NULL THEN 'undecided' WHEN action = 'error' THEN 'rejected' ELSE 'applied' END AS state FROM customer LEFT JOIN d ON c_custkey = user_id""",
+    f"""WITH d AS (SELECT user_id, arg_max({_ACTION}, event_id) AS action FROM events WHERE event_type <> 'view' GROUP BY 1)
+    SELECT c_custkey, action, coalesce(CASE action WHEN 'accept' THEN 'applied' WHEN 'merge' THEN 'merged' WHEN 'reject' THEN 'rejected' WHEN 'defer' THEN 'deferred' END, 'undecided') AS state FROM customer LEFT JOIN d ON c_custkey = user_id""",
 )
 def curation_preview(spark, sf_dir):
-    decided = telemetry.latest(read(spark, sf_dir, "events").where("event_type <> 'view'"), ["user_id"], [F.desc("event_id")]).select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("action"))
-    state = F.when(F.col("action").isNull(), "undecided").when(F.col("action") == "error", "rejected").otherwise("applied")
-    return read(spark, sf_dir, "customer").select("c_custkey").join(decided, "c_custkey", "left").withColumn("state", state)
+    found = curation.preview(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id")), _decisions(spark, sf_dir), [F.desc("line")])
+    return found.select(F.col("candidate_id").alias("c_custkey"), "action", "state")
+
+
+def _decisions(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("event_type <> 'view'")
+    return e.select(F.col("user_id").alias("candidate_id"), F.expr(_ACTION).alias("action"), F.lit(None).cast("string").alias("rewrite"), F.when(F.col("value") > 50, F.col("user_id") % 40).alias("target_card_id"), F.col("event_id").alias("line"))
+
+
+@query(
+    "apply_plan",
+    f"""WITH d AS (SELECT user_id, {_ACTION} AS action, CASE WHEN value > 50 THEN user_id % 40 END AS target, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'view'),
+    r AS (SELECT c_custkey, action, target, c_acctbal < 0 AS done, target IN (SELECT item_id FROM benchmark WHERE item_id > 10) AS known FROM customer LEFT JOIN d ON c_custkey = user_id AND n = 1)
+    SELECT c_custkey, coalesce(target, -1) AS target, CASE WHEN done THEN 'skipped' WHEN action IS NULL OR action = 'reject' THEN 'skipped' WHEN action = 'merge' AND (target IS NULL OR NOT known) THEN 'error' WHEN action = 'merge' THEN 'merge' ELSE 'draft' END AS outcome,
+    CASE WHEN done THEN 'already applied' WHEN action IS NULL THEN 'no decision' WHEN action = 'reject' THEN 'rejected' WHEN action = 'merge' AND target IS NULL THEN 'merge without target' WHEN action = 'merge' AND NOT known THEN 'merge target not found' END AS why FROM r""",
+)
+def apply_plan(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id"), "c_acctbal")
+    cards = read(spark, sf_dir, "benchmark").where("item_id > 10").select(F.col("item_id").alias("card_id"), F.lit("active").alias("status"))
+    found = curation.apply_plan(c, _decisions(spark, sf_dir), c.where("c_acctbal < 0"), cards, [F.desc("line")])
+    return found.select(F.col("candidate_id").alias("c_custkey"), F.coalesce("target_card_id", F.lit(-1)).alias("target"), "outcome", "why")
+
+
+_LINE = "n_name || chr(31) || n_nationkey || chr(31) || n_regionkey"
 
 
-@query("set_fingerprint", "SELECT sha256(string_agg(n_name || chr(31) || n_nationkey || chr(31) || n_regionkey, chr(10) ORDER BY n_name || chr(31) || n_nationkey || chr(31) || n_regionkey)) AS fingerprint FROM nation")
+@query(
+    "set_fingerprint",
+    f"WITH h AS (SELECT sha256({_LINE}) AS h FROM nation), f AS (SELECT substr(h, 1, 3) AS part, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(part || h, '' ORDER BY part)) AS fingerprint FROM f",
+)
 def set_fingerprint(spark, sf_dir):
     return telemetry.fingerprint(read(spark, sf_dir, "nation"), "n_nationkey", "n_name", "n_regionkey")
 
 
-@query("source_state", "SELECT source, count(*) AS docs, count_if(lang = 'en') AS english, sum(strlen(text)) AS bytes, max(strlen(text)) AS largest FROM documents GROUP BY 1")
+@query(
+    "stats_report",
+    f"""WITH e AS (SELECT event_id, event_type, {_SELECTED} AS s, {_SHOWN} AS r FROM events), k AS (SELECT list(item_id) AS ids FROM benchmark), c AS (SELECT event_id, list_filter(s, lambda x: list_contains(ids, x)) AS s, r FROM e, k WHERE event_type = 'click'),
+    idle AS (SELECT coalesce(list_sort(list(item_id::VARCHAR)), []) AS ids FROM benchmark WHERE item_id NOT IN (SELECT unnest(s) FROM c)),
+    v AS (SELECT 'current' AS view, * FROM c UNION ALL SELECT 'cumulative', event_id, s, r FROM e)
+    SELECT view, count(*) AS events, count_if(len(s) > 0) AS matched, count_if(len(list_intersect(s, r)) > 0) AS rendered_events, count_if(len(s) > 0)::DOUBLE / count(*) AS match_rate, count_if(len(list_intersect(s, r)) > 0)::DOUBLE / count(*) AS render_rate,
+    (count(*) - count_if(len(s) > 0))::DOUBLE / count(*) AS no_hit_rate, CASE WHEN view = 'current' THEN (SELECT count_if(event_type <> 'click') FROM e) END AS excluded, CASE WHEN view = 'current' THEN (SELECT array_to_string(ids, ',') FROM idle) ELSE '' END AS stale,
+    CASE WHEN view = 'current' AND (SELECT len(ids) FROM idle) > 0 THEN 'review stale cards: ' || (SELECT array_to_string(ids, ', ') FROM idle) ELSE '' END AS actions FROM v GROUP BY view""",
+)
+def stats_report(spark, sf_dir):
+    cards = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("card_id"))
+    out = telemetry.stats_report(_hook_events(spark, sf_dir), cards, {"event_type": F.lit("click")})
+    return out.withColumns({"stale": F.array_join("stale", ","), "actions": F.array_join("actions", "|")})
+
+
+@query("source_state", "SELECT source, count(*) AS rows, count_if(lang = 'en') AS english, sum(strlen(text)) AS bytes, max(strlen(text)) AS largest FROM documents GROUP BY 1")
 def source_state(spark, sf_dir):
-    size = F.octet_length("text")
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.count_if(F.col("lang") == "en").alias("english"), F.sum(size).alias("bytes"), F.max(size).cast("long").alias("largest"))
+    return telemetry.source_state(read(spark, sf_dir, "documents"), ["source"], "text", {"english": F.col("lang") == "en"})
 
 
 # ---------------------------------------------------------------- messages
@@ -157,7 +227,11 @@ def context_window(spark, sf_dir):
     return messages.context(m, hits, "conv_id", "turn", 2).select("conv_id", "turn", "hit", "role")
 
 
-@query("session_hash", "SELECT conv_id, sha256(string_agg(role || chr(0) || text || chr(10), '' ORDER BY turn)) AS hash FROM conversations GROUP BY 1")
+@query(
+    "session_hash",
+    """WITH h AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, sha256(role || chr(0) || text || chr(10)) AS h FROM conversations), b AS (SELECT conv_id, (place - 1) // 1024 AS block, sha256(string_agg(h, '' ORDER BY place)) AS h FROM h GROUP BY ALL)
+    SELECT conv_id, sha256(string_agg(h, '' ORDER BY block)) AS hash FROM b GROUP BY 1""",
+)
 def session_hash(spark, sf_dir):
     return messages.session_hash(read(spark, sf_dir, "conversations"), "conv_id", ["turn"])
 
@@ -221,20 +295,29 @@ def category_rules(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", gates.classify(F.col("text"), rules, "other").alias("category"))
 
 
-@query(
-    "gate_order",
-    """WITH c AS (SELECT c_custkey, [(c_custkey % 5)::INT] AS blocked, CASE WHEN c_custkey % 2 = 0 THEN [(c_custkey % 7)::INT] ELSE [] END AS req, [(c_nationkey % 4)::INT, 3] AS seen FROM customer)
-    SELECT c_custkey, CASE WHEN blocked[1] > 3 THEN 'unknown-blocked-signal' WHEN list_has_any(blocked, seen) THEN 'blocked-signal' WHEN len(req) > 0 AND req[1] > 3 THEN 'unknown-required-signal'
-    WHEN len(req) > 0 AND NOT list_has_any(req, seen) THEN 'missing-required-any' END AS reason FROM c""",
-)
+_GATE = """WITH c AS (SELECT c_custkey, [(c_custkey % 6)::VARCHAR] AS blocked, CASE WHEN c_custkey % 2 = 0 THEN [(c_custkey % 7)::VARCHAR] ELSE [] END AS req, CASE WHEN c_custkey % 3 = 0 THEN [(c_custkey % 5)::VARCHAR, (c_nationkey % 4)::VARCHAR] ELSE [] END AS req_all,
+    [(c_nationkey % 4)::VARCHAR, '3'] AS seen, [(c_nationkey % 4)::VARCHAR] AS pos, CASE WHEN c_custkey % 4 = 1 THEN ['plan'] ELSE ['explain', 'execute'] END AS modes, CASE WHEN c_custkey % 11 = 0 THEN ['plan'] ELSE [] END AS inc, CASE WHEN c_custkey % 13 = 0 THEN ['explain'] ELSE [] END AS exc,
+    CASE WHEN c_custkey % 17 = 0 THEN ['near', 'far'] ELSE [] END AS neg, CASE WHEN c_custkey % 19 = 0 THEN ['n1', 'n2'] ELSE [] END AS aim FROM customer),
+    t AS (SELECT *, list_filter(blocked, lambda x: NOT list_contains(['0', '1', '2', '3'], x)) AS ub, list_filter(blocked, lambda x: list_contains(seen, x)) AS hb, list_filter(req, lambda x: NOT list_contains(['0', '1', '2', '3'], x)) AS ua,
+      list_filter(CASE WHEN len(req_all) = 2 AND req_all[1] = req_all[2] THEN [req_all[1]] ELSE req_all END, lambda x: NOT list_contains(['0', '1', '2', '3'], x)) AS ul, list_has_any(req, pos) AS hit,
+      list_filter(CASE WHEN len(req_all) = 2 AND req_all[1] = req_all[2] THEN [req_all[1]] ELSE req_all END, lambda x: NOT list_contains(pos, x)) AS ml, list_filter(exc, lambda x: list_contains(modes, x)) AS he, list_has_any(inc, modes) AS hi FROM c)
+    SELECT c_custkey, CASE WHEN len(ub) > 0 THEN 'blockedSignals.unknown:' || array_to_string(ub, '+') WHEN len(hb) > 0 THEN 'blockedSignals:' || array_to_string(hb, '+') WHEN len(ua) > 0 THEN 'requiredSignals.unknown:' || array_to_string(ua, '+')
+      WHEN len(ul) > 0 THEN 'requiredAllSignals.unknown:' || array_to_string(ul, '+') WHEN len(req) > 0 AND NOT hit THEN 'requiredSignals:' || array_to_string(req, '+') WHEN len(ml) > 0 THEN 'requiredAllSignals:' || array_to_string(ml, '+')
+      WHEN len(he) > 0 AND NOT (hi AND (hit OR list_has_any(req_all, pos))) THEN 'intentModes.exclude:' || array_to_string(he, '+') WHEN len(inc) > 0 AND NOT hi THEN 'intentModes.include:' || array_to_string(inc, '+')
+      WHEN len(neg) > 0 THEN 'negativeTriggers:' || neg[1] WHEN len(aim) > 0 THEN 'ruleSignals.negative:' || array_to_string(aim, '+') END AS reason FROM t"""
+
+
+@query("gate_order", _GATE)
 def gate_order(spark, sf_dir):
-    text = lambda c: F.array(c.cast("string"))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    text = lambda *c: F.array(*[x.cast("string") for x in c])
+    words = lambda *w: F.array(*map(F.lit, w))
     none = F.array().cast("array<string>")
-    blocked, required = text(F.col("c_custkey") % 5), F.when(F.col("c_custkey") % 2 == 0, text(F.col("c_custkey") % 7)).otherwise(none)
-    seen = F.array((F.col("c_nationkey") % 4).cast("string"), F.lit("3"))
-    card = {"blocked": blocked, "required_any": required, "required_all": none, "include": none, "exclude": none}
-    reason = gates.recall_gate(card, seen, seen, none, F.lit(False), none, ["0", "1", "2", "3"])
-    return read(spark, sf_dir, "customer").select("c_custkey", reason.alias("reason"))
+    some = lambda cond, v: F.when(cond, v).otherwise(none)
+    card = {"blocked": text(k % 6), "required_any": some(k % 2 == 0, text(k % 7)), "required_all": some(k % 3 == 0, text(k % 5, n % 4)), "include": some(k % 11 == 0, words("plan")), "exclude": some(k % 13 == 0, words("explain"))}
+    modes = F.when(k % 4 == 1, words("plan")).otherwise(words("explain", "execute"))
+    gate = gates.recall_gate(card, F.array((n % 4).cast("string"), F.lit("3")), text(n % 4), modes, some(k % 17 == 0, words("near", "far")), some(k % 19 == 0, words("n1", "n2")), ["0", "1", "2", "3"])
+    return read(spark, sf_dir, "customer").select("c_custkey", gates.gate_reason(gate).alias("reason"))
 
 
 @query("catalog_merge", "SELECT o_custkey, arg_max(o_orderkey, (epoch_us(o_orderdate)::HUGEINT * 1000000000000 + o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
@@ -242,9 +325,9 @@ def catalog_merge(spark, sf_dir):
     return telemetry.latest(read(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@query("duplicate_ids", "SELECT text, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
+@query("duplicate_ids", "SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    return curation.duplicates(read(spark, sf_dir, "documents"), "text")
 
 
 @query(
@@ -252,19 +335,13 @@ def duplicate_ids(spark, sf_dir):
     "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'not-indexed' ELSE 'not-active' END AS issue FROM (SELECT doc_id FROM documents WHERE lang = 'en') d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
 )
 def index_drift(spark, sf_dir):
-    active = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit(1).alias("a"))
-    indexed = read(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("i"))
-    both = active.join(indexed, "doc_id", "full_outer").where("a is null or i is null")
-    return both.select("doc_id", F.when(F.col("i").isNull(), "not-indexed").otherwise("not-active").alias("issue"))
+    return curation.index_drift(read(spark, sf_dir, "documents").where("lang = 'en'"), read(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("suggestions", "SELECT a.n_name AS name, b.n_name AS suggestion, levenshtein(a.n_name, b.n_name) AS edits FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND levenshtein(a.n_name, b.n_name) <= 7")
+@query("suggestions", "SELECT a.n_name AS name, b.n_name AS suggestion, levenshtein(a.n_name, b.n_name) AS edits FROM nation a JOIN nation b ON a.n_name <> b.n_name AND levenshtein(a.n_name, b.n_name) <= 7")
 def suggestions(spark, sf_dir):
-    """Names within a few edits; rows meet by the neighbouring lengths that so few edits allow."""
-    names = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.length("n_name").alias("size"))
-    near = names.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("suggestion"), F.explode(F.sequence(F.col("size") - 7, F.col("size") + 7)).alias("size"))
-    pairs = names.join(near, "size").where("n_nationkey <> k").withColumn("edits", F.levenshtein("n_name", "suggestion").cast("long"))
-    return pairs.where("edits <= 7").select(F.col("n_name").alias("name"), "suggestion", "edits")
+    names = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    return curation.suggestions(names, names, 7).withColumn("edits", F.col("edits").cast("long"))
 
 
 @query("family_keys", "SELECT page_id, CASE WHEN contains(split_part(u, '/', 1), '.') THEN array_to_string(string_split(u, '/')[1:2], '/') ELSE array_to_string(string_split(u, '/')[1:len(string_split(u, '/')) - 1], '/') END AS family FROM (SELECT page_id, regexp_replace(url, '^[^:]*://', '') AS u FROM pages)")
@@ -272,23 +349,27 @@ def family_keys(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", gates.family_key(F.regexp_replace("url", "^[^:]*://", "")).alias("family"))
 
 
+_WEIGHT = "(event_id * i) % 41 - 20"
+
+
 @query(
     "reason_compaction",
-    """WITH e AS (SELECT user_id, event_type, round(value - 50, 2) AS weight, event_id FROM events WHERE value IS NOT NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, weight < 0 ORDER BY abs(weight) DESC, event_id) AS n FROM e)
-    SELECT user_id, event_id, event_type, weight < 0 AS negative FROM r WHERE n <= CASE WHEN weight < 0 THEN 8 ELSE 12 END""",
+    f"""WITH r AS (SELECT event_id, i, {_WEIGHT} AS w FROM events, range(1, 31) t(i)), k AS (SELECT *, row_number() OVER (PARTITION BY event_id, w < 0 ORDER BY CASE WHEN w < 0 THEN w ELSE -w END, i) AS n FROM r)
+    SELECT event_id, string_agg(i || ':' || w, ',' ORDER BY w >= 0, n) AS reasons FROM k WHERE n <= CASE WHEN w < 0 THEN 8 ELSE 12 END GROUP BY 1""",
 )
 def reason_compaction(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("value is not null").withColumn("weight", F.round(F.col("value") - 50, 2)).withColumn("negative", F.col("weight") < 0)
-    n = F.row_number().over(Window.partitionBy("user_id", "negative").orderBy(F.desc(F.abs("weight")), "event_id"))
-    return e.withColumn("n", n).where(F.col("n") <= F.when(F.col("negative"), 8).otherwise(12)).select("user_id", "event_id", "event_type", "negative")
+    """Forty reasons of each event, the last ten of which repeat earlier ones under other weights."""
+    made = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.struct((i % 30).cast("string").alias("field"), F.lit("t").alias("term"), ((F.col("event_id") * i) % 41 - 20).alias("weight"), i.cast("string").alias("i"), F.lit("k").alias("kind")))
+    found = selection.compact_reasons(made)
+    return read(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(found, lambda r: F.concat(r["i"], F.lit(":"), r["weight"].cast("string"))), ",").alias("reasons"))
 
 
-@query("priority_scores", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'O' THEN 2 ELSE 1 END + CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 2 WHEN '2' THEN 1 ELSE 0 END AS priority FROM orders")
+@query("priority_scores", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'O' THEN 2 ELSE 1 END + CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 2 WHEN '2' THEN 1 ELSE 0 END - CASE WHEN o_totalprice < 50000 THEN 1 ELSE 0 END AS priority FROM orders")
 def priority_scores(spark, sf_dir):
-    status = F.when(F.col("o_orderstatus") == "F", 4).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
-    risk = F.when(F.substring("o_orderpriority", 1, 1) == "1", 2).when(F.substring("o_orderpriority", 1, 1) == "2", 1).otherwise(0)
-    return read(spark, sf_dir, "orders").select("o_orderkey", (status + risk).alias("priority"))
+    policy = F.when(F.col("o_orderstatus") == "F", "must").when(F.col("o_orderstatus") == "O", "should").otherwise("summary")
+    risk = F.when(F.substring("o_orderpriority", 1, 1) == "1", "high").when(F.substring("o_orderpriority", 1, 1) == "2", "medium").otherwise("low")
+    confidence = F.when(F.col("o_totalprice") < 50000, "low").otherwise("medium")
+    return read(spark, sf_dir, "orders").select("o_orderkey", evidence.priority(policy, risk, confidence).alias("priority"))
 
 
 @query("rounded_scores", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 AS score FROM lineitem")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import prompt as P
-from tessera.functions import scoring as S
 from tessera.functions import signals as G
-from tessera.operators import curation, gates, recall, similarity
+from tessera.operators import curation, gates, recall, similarity, telemetry
 from tessera.plans.common import query, read, sql_tokens
 from tessera.plans.retrieval import prompts
 from tessera.sources import cards as library
@@ -17,20 +16,25 @@ from tessera.streaming import recall as streams
 # ---------------------------------------------------------------- sources
 
 
+BROKEN = 100_000
+
+
 def _session_lines(spark, sf_dir):
-    """Conversations as JSON lines in three hosts' shapes, and every 17th line broken."""
+    """Conversations as JSON lines in three hosts' shapes, with a broken line behind each conversation."""
     c = read(spark, sf_dir, "conversations")
     parts = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
     cwd = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("/w/"), F.col("conv_id").cast("string")))
     flat = F.to_json(F.struct("role", F.col("text").alias("content"), cwd.alias("cwd")))
     nested = F.to_json(F.struct(cwd.alias("cwd"), F.struct("role", parts.alias("content")).alias("message")))
     deep = F.to_json(F.struct(F.lit("response_item").alias("type"), cwd.alias("cwd"), F.struct("role", parts.alias("content")).alias("payload")))
-    value = F.when((F.col("conv_id") + F.col("turn")) % 17 == 5, F.lit("{broken")).when(F.col("turn") % 3 == 0, flat).when(F.col("turn") % 3 == 1, nested).otherwise(deep)
-    return c.select(F.concat(F.lit("/s/conv-"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), (F.col("turn") + 1).alias("line"), value.alias("value"))
+    value = F.when(F.col("turn") % 3 == 0, flat).when(F.col("turn") % 3 == 1, nested).otherwise(deep)
+    file = F.concat(F.lit("/s/conv-"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file")
+    whole = c.select(file, (F.col("turn") + 1).alias("line"), value.alias("value"))
+    return whole.unionByName(c.select(file).distinct().select("file", F.lit(BROKEN).cast("long").alias("line"), F.lit("{broken").alias("value")))
 
 
 _MESSAGES = r"""SELECT 'conv-' || conv_id AS session_id, turn + 1 AS line, role, trim(text) AS text,
-    last_value(CASE WHEN turn % 3 = 0 AND (conv_id + turn) % 17 <> 5 THEN '/w/' || conv_id END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS cwd FROM conversations WHERE (conv_id + turn) % 17 <> 5"""
+    last_value(CASE WHEN turn % 3 = 0 THEN '/w/' || conv_id END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS cwd FROM conversations"""
 
 
 @query("visible_messages", f"SELECT * FROM ({_MESSAGES}) WHERE role IN ('user', 'assistant', 'tool') AND text <> ''")
@@ -38,20 +42,26 @@ def visible_messages(spark, sf_dir):
     return sessions.visible_messages(_session_lines(spark, sf_dir), "host").select("session_id", "line", "role", "text", "cwd")
 
 
+def _sql_ordered_hash(rows: str, by: str, place: str, line: str) -> str:
+    """Hashes of lines folded by blocks of neighbouring places."""
+    return f"""(WITH h AS (SELECT {by}, {place} AS place, sha256({line}) AS h FROM {rows}), b AS (SELECT {by}, (place - 1) // {sessions.HASH_BLOCK} AS block, sha256(string_agg(h, '' ORDER BY place)) AS h FROM h GROUP BY ALL)
+    SELECT {by}, sha256(string_agg(h, '' ORDER BY block)) AS hash FROM b GROUP BY ALL)"""
+
+
 @query(
     "session_records",
-    f"""SELECT session_id, count(*) AS messages, sha256(string_agg(role || chr(0) || text || chr(10), '' ORDER BY line)) AS hash, arg_min(cwd, line) FILTER (WHERE cwd IS NOT NULL) AS cwd
-    FROM ({_MESSAGES}) WHERE role IN ('user', 'assistant', 'tool') AND text <> '' GROUP BY 1""",
+    f"""WITH m AS (SELECT * FROM ({_MESSAGES}) WHERE role IN ('user', 'assistant', 'tool') AND text <> ''), h AS {_sql_ordered_hash('m', 'session_id', 'line', "role || chr(0) || text || chr(10)")}
+    SELECT session_id, count(*) AS messages, any_value(hash) AS hash, arg_min(cwd, line) FILTER (WHERE cwd IS NOT NULL) AS cwd FROM m JOIN h USING (session_id) GROUP BY 1""",
 )
 def session_records(spark, sf_dir):
     found = sessions.session_records(sessions.visible_messages(_session_lines(spark, sf_dir), "host"))
     return found.select("session_id", "messages", "hash", "cwd")
 
 
-@query("bad_lines", "SELECT 'conv-' || conv_id AS session_id, count(*) AS bad FROM conversations WHERE (conv_id + turn) % 17 = 5 GROUP BY 1")
+@query("bad_lines", f"SELECT DISTINCT 'conv-' || conv_id AS session_id, {BROKEN} AS line FROM conversations")
 def bad_lines(spark, sf_dir):
     _, dead = sessions.split_json(_session_lines(spark, sf_dir))
-    return dead.groupBy(sessions.session_of(F.col("file"), F.lit("host")).alias("session_id")).agg(F.count("*").alias("bad"))
+    return dead.select(sessions.session_of(F.col("file"), F.lit("host")).alias("session_id"), "line")
 
 
 @query(
@@ -71,10 +81,9 @@ def hook_payloads(spark, sf_dir):
     return hooks.normalize_payloads(c.select("conv_id", "turn", value.alias("value"))).select("conv_id", "turn", "provider", "event", "text", "cwd")
 
 
-@query("storage_audit", "SELECT role, count(DISTINCT conv_id) AS files, sum(strlen(coalesce(text, ''))) AS bytes, max(strlen(coalesce(text, ''))) AS largest FROM conversations GROUP BY 1")
+@query("storage_audit", "SELECT role, count(*) AS rows, count_if(turn = 0) AS first, sum(strlen(coalesce(text, ''))) AS bytes, max(strlen(coalesce(text, ''))) AS largest FROM conversations GROUP BY 1")
 def storage_audit(spark, sf_dir):
-    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return read(spark, sf_dir, "conversations").groupBy("role").agg(F.count_distinct("conv_id").alias("files"), F.sum(size).alias("bytes"), F.max(size).alias("largest"))
+    return telemetry.source_state(read(spark, sf_dir, "conversations"), ["role"], "text", {"first": F.col("turn") == 0})
 
 
 # ---------------------------------------------------------------- prompts
@@ -114,8 +123,8 @@ def query_plan(spark, sf_dir):
 
 @query("rule_signals")
 def rule_signals(spark, sf_dir):
-    rows = prompts(spark, sf_dir).select("prompt_id", G.detect(F.col("text")).alias("signals"), G.intents(F.col("text")).alias("intents"))
-    return rows.select("prompt_id", F.array_join(G.ids(F.col("signals")), ",").alias("signals"), F.array_join("intents", ",").alias("intents"))
+    rows = G.prompt_signals(prompts(spark, sf_dir), "prompt_id")
+    return rows.select("prompt_id", F.array_join(G.ids(F.col("signals")), ",").alias("signals"), F.array_join("intent_modes", ",").alias("intents"))
 
 
 # ---------------------------------------------------------------- whole recall
@@ -124,7 +133,7 @@ def rule_signals(spark, sf_dir):
 def _cards(spark, sf_dir):
     """Benchmark items as cards: the first words are the title, sentences are triggers."""
     text = F.col("text")
-    triggers = F.slice(F.filter(F.split(text, r"[.!?]\s+"), lambda s: F.length(s) > 12), 1, 4)
+    triggers = F.filter(F.split(text, r"[.!?]\s+"), lambda s: F.length(s) > 12)
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("card_id"), F.substring(text, 1, 40).alias("title"), F.concat(F.lit("c"), (F.col("item_id") % 5).cast("string")).alias("category"), text.alias("summary"), triggers.alias("triggers"), F.array(F.concat(F.lit("t"), (F.col("item_id") % 4).cast("string"))).alias("topics"))
 
 
@@ -142,15 +151,16 @@ def recall_diagnostics(spark, sf_dir):
 @query(
     "context_blocks",
     """WITH m AS (SELECT p_size AS prompt_id, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part),
-    b AS (SELECT prompt_id, rank, '## ' || rank || '. ' || p_name || chr(10) || p_type || chr(10) || 'score 50.0' AS block FROM m JOIN part USING (p_partkey) WHERE rank <= 8),
+    b AS (SELECT prompt_id, rank, rank || '. [medium risk][should] ' || p_name || ' (' || p_partkey || ')' || chr(10) || '   Summary: ' || p_type || chr(10) || '   Scope: global' || chr(10) || '   Use if: ' || p_brand || chr(10)
+      || '   Ignore if: unrelated to the task' || chr(10) || '   Matched by: score 50.0' || chr(10) || '   Link: [' || p_name || '](<cards/active/' || p_partkey || '.md>)' AS block FROM m JOIN part USING (p_partkey) WHERE rank <= 8),
     u AS (SELECT *, 20 + sum(length(block) + 1) OVER (PARTITION BY prompt_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM b)
-    SELECT prompt_id, '# Related experience' || chr(10) || string_agg(block, chr(10) ORDER BY rank) AS context FROM u WHERE used <= 200 GROUP BY 1""",
+    SELECT prompt_id, '# Related experience' || chr(10) || string_agg(block, chr(10) ORDER BY rank) AS context FROM u WHERE used <= 900 GROUP BY 1""",
 )
 def context_blocks(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     ranked = recall.corpus.top_k(p, ["p_size"], [F.desc("p_retailprice"), F.asc("p_partkey")], 8)
     matches = ranked.select(F.col("p_size").alias("prompt_id"), F.col("p_partkey").alias("card_id"), "rank", F.lit(50.0).alias("score"))
-    return recall.render_context(matches, p.select(F.col("p_partkey").alias("card_id"), F.col("p_name").alias("title"), F.col("p_type").alias("summary")), 200)
+    return recall.render_context(matches, p.select(F.col("p_partkey").alias("card_id"), F.col("p_name").alias("title"), F.col("p_type").alias("summary"), F.array("p_brand").alias("triggers")), 900)
 
 
 _TITLE, _LESSON = "(SELECT item_id, substr(text, 1, 40) AS t FROM benchmark)", "benchmark"
@@ -214,9 +224,13 @@ def merged_lessons(spark, sf_dir):
     return curation.merge_cards(cards, candidates, ["topics"]).select("card_id", F.array_join(F.sort_array(F.array_distinct("topics")), ",").alias("topics"), "rule")
 
 
-@query("protected_sessions", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 3 = 0 AND contains(c_name, substr('Customer#' || lpad(s_suppkey::VARCHAR, 9, '0'), 10, 8)))")
+_REF = "substr('Customer#' || lpad(s_suppkey::VARCHAR, 9, '0'), 10, CASE WHEN s_nationkey < 5 THEN 7 ELSE 8 END)"
+
+
+@query("protected_sessions", f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE contains(c_name, {_REF}))")
 def protected_sessions(spark, sf_dir):
-    refs = read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.substring(F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")), 10, 8).alias("ref"))
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))
+    refs = read(spark, sf_dir, "supplier").select(F.substring(name, F.lit(10), F.when(F.col("s_nationkey") < 5, 7).otherwise(8)).alias("ref"))
     return curation.protected(read(spark, sf_dir, "customer"), refs, "c_name").select("c_custkey")
 
 
@@ -237,22 +251,23 @@ def audit_completeness(spark, sf_dir):
     return curation.incomplete(rows, ["name"], ["balance"], F.col("c_nationkey") > 20).select("c_custkey", F.array_join("missing", ",").alias("missing"))
 
 
-@query("registered_categories", "SELECT coalesce(k.source, d.source) AS category, k.source IS NOT NULL AS registered, coalesce(d.n, 0) AS cards FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 7 = 0 UNION SELECT 'unused') k FULL JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) d ON k.source = d.source")
+@query("registered_categories", "SELECT coalesce(k.source, d.source) AS category, k.source IS NOT NULL AS registered, coalesce(d.n, 0) AS cards FROM (SELECT DISTINCT source FROM documents WHERE length(source) % 2 = 0 UNION SELECT 'unused') k FULL JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) d ON k.source = d.source")
 def registered_categories(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("source").alias("category"), "doc_id")
-    known = docs.where("doc_id % 7 = 0").select("category").unionByName(spark.createDataFrame([("unused",)], "category string")).distinct()
+    known = docs.where(F.length("category") % 2 == 0).select("category").unionByName(spark.createDataFrame([("unused",)], "category string")).distinct()
     return curation.category_counts(known, docs)
 
 
 @query(
     "config_diff",
-    """WITH b AS (SELECT c_custkey AS key, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0), a AS (SELECT c_custkey AS key, CASE WHEN c_nationkey > 12 THEN 'other' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 2 = 0)
+    """WITH b AS (SELECT c_custkey AS key, c_mktsegment AS v FROM customer), a AS (SELECT CASE WHEN c_nationkey > 20 THEN c_custkey + 1000000 ELSE c_custkey END AS key, CASE WHEN c_nationkey > 12 THEN 'other' ELSE c_mktsegment END AS v FROM customer)
     SELECT * FROM (SELECT coalesce(b.key, a.key) AS key, b.v AS old, a.v AS new, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' WHEN b.v <> a.v THEN 'changed' END AS change FROM b FULL JOIN a ON a.key = b.key) WHERE change IS NOT NULL""",
 )
 def config_diff(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    before = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-    after = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.when(F.col("c_nationkey") > 12, "other").otherwise(F.col("c_mktsegment")).alias("value"))
+    before = c.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    moved = F.when(F.col("c_nationkey") > 20, F.col("c_custkey") + 1000000).otherwise(F.col("c_custkey"))
+    after = c.select(moved.alias("key"), F.when(F.col("c_nationkey") > 12, "other").otherwise(F.col("c_mktsegment")).alias("value"))
     return curation.config_diff(before, after)
 
 
@@ -284,9 +299,3 @@ def rates_by_hour(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     selected = F.when(F.col("event_type") == "view", F.array(F.lit("a"))).when(F.col("event_type") == "click", F.array(F.lit("b"))).otherwise(none)
     return streams.rates_stream(e.select("ts", selected.alias("selected"), F.when(F.col("value") > 50, F.array(F.lit("a"))).otherwise(none).alias("rendered")))
-
-
-@query("threshold_gates", "SELECT source, avg(n_chars) >= 500 AS long_enough, count_if(lang = 'en')::DOUBLE / count(*) >= 0.5 AS english, floor(avg(n_chars) * 100 + 0.5) / 100 AS mean_chars FROM documents GROUP BY 1")
-def threshold_gates(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").groupBy("source").agg(F.avg("n_chars").alias("m"), (F.count_if(F.col("lang") == "en") / F.count("*")).alias("e"))
-    return d.select("source", (F.col("m") >= 500).alias("long_enough"), (F.col("e") >= 0.5).alias("english"), S.rounded(F.col("m")).alias("mean_chars"))

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analytics, lifecycle, retrieval  # noqa: F401
+from tessera.plans import analytics, library, lifecycle, retrieval  # noqa: F401
 from tessera.plans.common import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best four benchmark cards of each user prompt by BM25F."""
-    return retrieval.bm25f_topk(spark, sf_dir)
+    """Recall: the benchmark cards that are selected for each user prompt."""
+    return lifecycle.recall_match(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

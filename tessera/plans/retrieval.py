@@ -28,8 +28,7 @@ def token_tf(spark, sf_dir):
 
 @query("token_df", f"SELECT tok AS token, count(DISTINCT doc_id) AS df FROM {sql_tokens('documents', 'doc_id', 'text')} GROUP BY ALL")
 def token_df(spark, sf_dir):
-    rows = corpus.field_rows(read(spark, sf_dir, "documents"), {"summary": F.col("text")}, ["doc_id"])
-    return corpus.document_frequency(corpus.postings(rows, ["doc_id"]), [], "doc_id")
+    return corpus.token_frequency(read(spark, sf_dir, "documents"), [F.col("text")], [])
 
 
 @query(
@@ -75,6 +74,14 @@ def bm25f_two_field(spark, sf_dir):
     return _bm25_topk(spark, sf_dir, {"title": F.substring("text", 1, 40), "summary": F.col("text")}, {"title": 4.2, "summary": 1.5}, 4)
 
 
+_EIGHT = {"title": (1, 40), "triggers": (41, 60), "aliases": (101, 30), "topics": (1, 15), "intentModes": (131, 10), "requiredSignals": (141, 20), "category": (16, 12), "summary": (1, 10000)}
+
+
+@query("bm25f_eight_field", _bm25_sql(" UNION ALL ".join(f"SELECT item_id, '{f}' AS field, substr(text, {a}, {n}) AS t FROM benchmark" for f, (a, n) in _EIGHT.items()), corpus.FIELD_WEIGHTS, 4))
+def bm25f_eight_field(spark, sf_dir):
+    return _bm25_topk(spark, sf_dir, {f: F.substring("text", a, n) for f, (a, n) in _EIGHT.items()}, corpus.FIELD_WEIGHTS, 4)
+
+
 @query("code_token_split", f"SELECT page_id, tok AS token, count(*) AS n FROM {sql_tokens('pages', 'page_id', 'url')} GROUP BY ALL")
 def code_token_split(spark, sf_dir):
     return T.explode_tokens(read(spark, sf_dir, "pages"), F.col("url"), "page_id").groupBy("page_id", "token").agg(F.count("*").alias("n"))
@@ -144,14 +151,9 @@ def field_evidence(spark, sf_dir):
     return rows.select("prompt_id", "item_id", "e.value", "e.strong")
 
 
-@query(
-    "noisy_or",
-    "SELECT user_id, floor(100 * (1 - product(1 - least(greatest(value, 0.0::DOUBLE), 100.0::DOUBLE) / 100)) * 100 + 0.5) / 100 AS score FROM (SELECT user_id, value FROM events WHERE value IS NOT NULL) GROUP BY user_id",
-)
+@query("noisy_or", "SELECT event_id, floor(100 * (1 - (1 - least(greatest(value, 0.0::DOUBLE), 100.0::DOUBLE) / 100) * (1 - least(greatest(value / 2 - 10, 0.0::DOUBLE), 100.0::DOUBLE) / 100)) * 100 + 0.5) / 100 AS score FROM events WHERE value IS NOT NULL")
 def noisy_or(spark, sf_dir):
-    kept = 1 - F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(100.0)) / 100
-    rows = read(spark, sf_dir, "events").where("value is not null").groupBy("user_id")
-    return rows.agg(S.rounded(100 * (1 - F.product(kept))).alias("score"))
+    return read(spark, sf_dir, "events").where("value is not null").select("event_id", S.rounded(S.noisy_or(F.array("value", F.col("value") / 2 - 10))).alias("score"))
 
 
 @query(
@@ -192,13 +194,13 @@ def dynamic_topk(spark, sf_dir):
 
 @query(
     "admission_reason",
-    """SELECT c_custkey, CASE WHEN s < 40 THEN 'below-threshold' WHEN NOT strong AND fam < 2 THEN 'insufficient-independent-evidence' END AS reason
-    FROM (SELECT c_custkey, (c_acctbal + 1000) / 110 AS s, c_mktsegment = 'BUILDING' AS strong, c_nationkey % 3 AS fam FROM customer)""",
+    """SELECT c_custkey, CASE WHEN s < 40 THEN 'below-threshold:' || s || '<40.0' WHEN NOT strong AND fam < 2 THEN 'insufficient-independent-evidence' END AS reason
+    FROM (SELECT c_custkey, floor((c_acctbal + 1000) / 110 * 10 + 0.5) / 10 AS s, c_mktsegment = 'BUILDING' AS strong, c_nationkey % 3 AS fam FROM customer)""",
 )
 def admission_reason(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    reason = selection.admission_reason((F.col("c_acctbal") + 1000) / 110, F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey") % 3, F.lit(40.0))
-    return c.select("c_custkey", F.regexp_replace(reason, ":.*", "").alias("reason"))
+    reason = selection.admission_reason(S.rounded((F.col("c_acctbal") + 1000) / 110, 1), F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey") % 3, F.lit(40.0))
+    return c.select("c_custkey", reason.alias("reason"))
 
 
 _SETS = f"(SELECT item_id, list(DISTINCT tok) AS s FROM {sql_tokens('benchmark', 'item_id', 'text')} GROUP BY 1)"
@@ -282,11 +284,20 @@ def slugs(spark, sf_dir):
 @query("greedy_collapse")
 def greedy_collapse(spark, sf_dir):
     """Near-duplicate benchmark cards among the best ten of each prompt fold into their first."""
-    best = _bm25_topk(spark, sf_dir, {"summary": F.col("text")}, {"summary": 1.5}, 10).select("prompt_id", F.col("item_id").alias("card_id"), "rank")
-    similar = similarity.set_pairs(_token_sets(spark, sf_dir), "item_id", "tokens").where("jaccard >= 0.2")
+    best = _bm25_topk(spark, sf_dir, {"summary": F.col("text")}, {"summary": 1.5}, 10).select("prompt_id", F.col("item_id").cast("string").alias("card_key"), F.col("item_id").alias("card_id"), F.col("raw_score").alias("score"), F.lit(1).alias("library_priority"), "rank")
+    similar = similarity.set_pairs(_token_sets(spark, sf_dir), "item_id", "tokens", 0.2)
     return selection.collapse(best, similar, ["rank"])
 
 
+@query(
+    "jaccard_pairs_pruned",
+    f"""SELECT a, b, shared, floor(j * 10000 + 0.5) / 10000 AS jaccard FROM (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.s, b.s)) AS shared, len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS j
+    FROM {_SETS} a JOIN {_SETS} b ON a.item_id < b.item_id) WHERE j >= 0.12""",
+)
+def jaccard_pairs_pruned(spark, sf_dir):
+    return similarity.set_pairs(_token_sets(spark, sf_dir), "item_id", "tokens", 0.12).select("a", "b", "shared", S.rounded(F.col("jaccard"), 4).alias("jaccard"))
+
+
 @query("recall_selection")
 def recall_selection(spark, sf_dir):
     """Admission, rank fusion, diversity and dynamic selection over the benchmark cards of each prompt."""

@@ -25,6 +25,10 @@ except ImportError:  # only front matter in JSON is read then
 TEXTS = ("card_id", "status", "title", "category", "summary", "recall_policy", "risk", "confidence", "level", "project_key", "module_path", "body")
 LISTS = ("triggers", "negative_triggers", "aliases", "topics", "required_any", "required_all", "blocked", "include", "exclude")
 SCHEMA = "file string, issue string, " + ", ".join(f"{c} string" for c in TEXTS) + ", " + ", ".join(f"{c} array<string>" for c in LISTS)
+# Headings of a card's body.
+HEADINGS = {"summary": "## 这张卡解决什么问题", "criteria": "## 使用标准", "use": "使用：", "ignore": "不要使用：", "policy": "召回策略：", "risk": "风险级别：", "rule": "## 完整规则"}
+#: Columns that recall reads, which an index holds.
+INDEXED = ("card_id", "title", "category", "status", "file", "triggers", "negative_triggers", "topics", "level", "project_key", "module_path", "include", "exclude", "required_any", "required_all", "blocked", "aliases", "recall_policy", "risk", "confidence", "summary")
 #: Columns that a patch may change.
 PATCHABLE = ("title", "category", "summary", "triggers", "negative_triggers", "topics", "aliases", "recall_policy", "risk", "confidence", "body")
 
@@ -60,17 +64,128 @@ def parse_card(text: str) -> dict:
     return out if out["card_id"] else {"issue": "no-id"}
 
 
-def read_cards(spark: SparkSession, path: str) -> DataFrame:
-    """All card files below a folder with their columns; broken ones keep their ``issue``."""
+def _some(*values: object) -> list[str]:
+    """The first that holds anything."""
+    return next((found for v in values if (found := _list(v))), [])
+
+
+def parse_legacy_card(text: str) -> dict:
+    """Columns of a card of the old form: fields at the top, under old or new names; ``issue`` tells why it is none."""
+    head, _, body = text.removeprefix("---").partition("\n---")
+    try:
+        data = (yaml.safe_load if yaml else json.loads)(head) if text.startswith("---") else None
+    except Exception:
+        data = None
+    if not isinstance(data, dict):
+        return {"issue": "no-front-matter"}
+    if data.get("schema"):
+        return {"issue": f"declares-schema:{data['schema']}"}
+    card = parse_card(text)
+    if "issue" in card:
+        return card
+    rules, hints, how = (_block(data, n) for n in ("criteria", "engine_hints", "recall"))
+    modes = data["intentModes"] if isinstance(data.get("intentModes"), dict) else _block(rules, "intent_modes")
+    card |= {
+        "triggers": _some(how.get("triggers"), data.get("triggers"), rules.get("use_when")),
+        "negative_triggers": _some(rules.get("ignore_when"), data.get("negative_triggers"), data.get("negativeTriggers")),
+        "topics": _some(how.get("topics"), data.get("topics")),
+        "required_any": _some(hints.get("positive"), data.get("requiredSignals"), data.get("required_signals")),
+        "required_all": _some(hints.get("required_all"), data.get("requiredAllSignals"), data.get("required_all_signals")),
+        "blocked": _some(hints.get("negative"), data.get("blockedSignals"), data.get("blocked_signals")),
+        "include": _list(modes.get("include")),
+        "exclude": _list(modes.get("exclude")),
+    }
+    for column, names in {"recall_policy": ("recall_policy", "recallPolicy"), "risk": ("risk",), "confidence": ("confidence",)}.items():
+        given = next((data[n] for n in names if data.get(n)), None)
+        card[column] = str(given) if given else card[column]
+    return card
+
+
+def parse_cards(files: DataFrame, parse=parse_card) -> DataFrame:
+    """Card columns of ``files`` (``file``, ``value``); broken ones keep their ``issue``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [(c, pa.string()) for c in ("file", "issue", *TEXTS)] + [(c, pa.list_(pa.string())) for c in LISTS]
         for batch in batches:
-            rows = [{"file": f} | parse_card(t or "") for f, t in zip(batch["file"].to_pylist(), batch["value"].to_pylist(), strict=True)]
+            rows = [{"file": f} | parse(t or "") for f, t in zip(batch["file"].to_pylist(), batch["value"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
+    return files.select("file", "value").mapInArrow(run, SCHEMA)
+
+
+def migration(files: DataFrame) -> DataFrame:
+    """Plan for files that are no cards of today's form (``file``, ``value``): those of the old form with their columns, the others with
+    the ``issue`` that keeps them as they are."""
+    broken = parse_cards(files).where("issue is not null").select("file")
+    return parse_cards(files.join(broken, "file", "left_semi"), parse_legacy_card)
+
+
+def strict(cards: DataFrame) -> DataFrame:
+    """Cards of a scan, none of which may have an issue: the job fails at the first that has."""
+    said = F.concat(F.lit("invalid card "), "file", F.lit(": "), "issue")
+    return cards.withColumn("issue", F.when(F.col("issue").isNull(), F.col("issue")).otherwise(F.raise_error(said).cast("string")))
+
+
+def listed(cards: DataFrame, status: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cards by id, of one status if given, and issues by file."""
+    fine = cards.where("issue is null")
+    return (fine.where(F.col("status") == status) if status else fine).orderBy("card_id"), cards.where("issue is not null").select("file", "issue").orderBy("file")
+
+
+def rule_section(body: Column) -> Column:
+    """The fenced rule of a card's body; empty without one."""
+    found = F.regexp_extract(body, rf"(?is)(?:^|\n){HEADINGS['rule'].replace(' ', chr(92) + 's+')}\s*\n+(`{{3,}})(?:text|markdown|md|agent-rule)?\s*\n(.*?)\n\1", 2)
+    return F.trim(F.coalesce(found, F.lit("")))
+
+
+def render_body(cards: DataFrame) -> DataFrame:
+    """Cards with the ``body`` that people read: what for, when, when not, and the rule in a fence."""
+    c = recall.with_defaults(cards)
+
+    def items(values: Column, default: str) -> Column:
+        said = F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""))
+        lines = F.transform(said, lambda v: F.concat(F.lit("- "), v))
+        return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.lit(f"- {default}"))
+
+    rule = F.trim("rule")
+    fence = F.when(F.contains(rule, F.lit("```")), "````").otherwise("```")
+    parts = (
+        F.lit(HEADINGS["summary"]), F.trim("summary"), F.lit(HEADINGS["criteria"]),
+        F.concat_ws("\n", F.lit(HEADINGS["use"]), items(F.col("triggers"), "the task matches this card's workflow")),
+        F.concat_ws("\n", F.lit(HEADINGS["ignore"]), items(F.col("negative_triggers"), "the task only talks about this card's workflow")),
+        F.concat(F.lit(HEADINGS["policy"]), "recall_policy", F.lit("。\n"), F.lit(HEADINGS["risk"]), "risk", F.lit("。")),
+        F.lit(HEADINGS["rule"]), F.concat(fence, F.lit("text\n"), rule, F.lit("\n"), fence),
+    )
+    return c.withColumn("body", F.concat_ws("\n\n", *parts))
+
+
+def index(cards: DataFrame) -> DataFrame:
+    """What recall reads of active cards."""
+    c = recall.with_defaults(cards).where("status = 'active'")
+    return c.select(*[F.col(n) if n in c.columns else F.lit(None).cast("string").alias(n) for n in INDEXED])
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index written as one JSON document with the list ``experiences``."""
+    shape = "struct<" + ",".join(f"{c}:{'array<string>' if c in LISTS else 'string'}" for c in INDEXED) + ">"
+    return spark.read.schema(f"experiences array<{shape}>").json(path, multiLine=True).select(F.inline("experiences"))
+
+
+def starters(spark: SparkSession) -> DataFrame:
+    """The cards that a new library begins with."""
+    rows = [
+        ("starter-goal-execution", "Carry a started goal through", "Execution", "When a goal is started in earnest, do and verify all of it instead of a first slice.", "State scope and acceptance, work through every item, verify each by its real entry, and report what is open.", ["/goal", "create a goal and start now", "execute the goal and verify it"], ["explain goals", "business goal"], ["goal", "execution"], ["goal_execute"], ["goal_example_discussion", "business_goal_discussion", "explain_only"], ["execute"], ["discuss", "explain"], "must", "high"),
+        ("starter-real-entry", "Validate through the real entry", "Validation", "Delivery is proven by the entry that people use, not by internal calls.", "Exercise the entry that the user will use, look at its output and side effects, and keep fixtures away from real data.", ["verify this end to end", "is this really usable", "validate the user flow"], ["unit-only helper change"], ["validation", "delivery"], [], [], [], [], "should", "high"),
+        ("starter-root-cause", "Fix the cause, keep it simple", "Code", "Remove the reason of a fault and stale branches rather than adding another fallback.", "Keep modules cohesive, delete what is superseded, and leave one source of truth.", ["fix the root cause", "clean up the implementation", "remove compatibility clutter"], ["throwaway script"], ["architecture", "maintenance"], ["architecture_quality"], [], [], [], "should", "medium"),
+    ]
+    names = "card_id string, title string, category string, summary string, rule string, triggers array<string>, negative_triggers array<string>, topics array<string>, required_any array<string>, blocked array<string>, include array<string>, exclude array<string>, recall_policy string, risk string"
+    return recall.with_defaults(spark.createDataFrame(rows, names)).withColumn("level", F.lit("global"))
+
+
+def read_cards(spark: SparkSession, path: str) -> DataFrame:
+    """All card files below a folder with their columns; broken ones keep their ``issue``."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(run, SCHEMA)
+    return parse_cards(files.select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
 def card_markdown(cards: DataFrame) -> DataFrame:
@@ -117,20 +232,44 @@ def add_missing(cards: DataFrame, starters: DataFrame) -> DataFrame:
 
 
 def patch(cards: DataFrame, changes: DataFrame) -> DataFrame:
-    """Cards with the non-null values of the patchable columns of ``changes`` (one row per card_id)."""
+    """Cards with the non-null values of the patchable columns of ``changes``, and nulls where its ``cleared`` (an array of
+    column names) says so.  Several changes of one card are applied one after another in order of ``place``, if there is
+    such a column, else of their values: later ones win, column by column."""
     names = [c for c in changes.columns if c in PATCHABLE and c in cards.columns]
-    renamed = changes.select("card_id", *[F.col(c).alias(f"__{c}") for c in names])
-    return cards.join(renamed, "card_id", "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in names else F.col(c) for c in cards.columns])
+    cleared = F.coalesce("cleared", F.array().cast("array<string>")) if "cleared" in changes.columns else F.array().cast("array<string>")
+    order = F.struct("place") if "place" in changes.columns else F.struct(*names)
+    told = lambda c: F.col(c).isNotNull() | F.array_contains(cleared, c)
+    last = changes.groupBy("card_id").agg(*[F.max_by(F.struct(F.col(c).alias("v")), F.when(told(c), order)).alias(f"__{c}") for c in names])
+    return cards.join(last, "card_id", "left").select(*[F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.v")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in cards.columns])
+
+
+def trigger_contract(cards: DataFrame) -> DataFrame:
+    """Violations (``card_id``, ``trigger_index``, ``trigger``, ``code``, ``signals``) of the rule that each trigger of a card gives
+    the signals that the card asks for, none that it blocks and none that aims at them."""
+    c = recall.with_defaults(cards)
+    triggers = c.select("card_id", F.posexplode("triggers").alias("trigger_index", "trigger"))
+    said = G.prompt_signals(triggers, "card_id", "trigger_index", "trigger", text="trigger")
+    rows = said.join(c.select("card_id", F.array_distinct("required_any").alias("any"), F.array_distinct("required_all").alias("all"), F.array_distinct("blocked").alias("blocked")), "card_id")
+    seen, positive = G.ids(F.col("signals")), G.ids(F.col("signals"), "positive")
+    routed = F.array_union("any", "all")
+    none = F.array().cast("array<string>")
+    checks = {
+        "required-signals-missing": F.when(F.arrays_overlap("any", positive), none).otherwise(F.col("any")),
+        "required-all-signals-missing": F.array_except("all", positive),
+        "blocked-signal-detected": F.array_intersect("blocked", seen),
+        "targeted-negative-suppression": F.filter(G.ids(F.col("signals"), "negative"), lambda i: F.arrays_overlap(G.targets_of(i), routed)),
+    }
+    found = F.array(*[F.struct(F.lit(code).alias("code"), terms.alias("signals")) for code, terms in checks.items()])
+    return rows.select("card_id", "trigger_index", "trigger", F.inline(F.filter(found, lambda x: F.size(x["signals"]) > 0)))
 
 
 def promotable(cards: DataFrame) -> DataFrame:
-    """``card_id`` and ``issues`` of drafts: unknown signals, and triggers that give none of the signals that the card requires."""
-    wanted = F.array_union("required_any", "required_all")
+    """``card_id`` and ``issues`` of drafts: unknown signals, and triggers that break the contract with the card's signals."""
     drafts = recall.with_defaults(cards).where("status = 'draft'")
-    silent = F.filter("triggers", lambda t: (F.size(wanted) > 0) & (F.size(F.array_intersect(G.ids(G.detect(t), "positive"), wanted)) == 0))
-    unknown = G.unknown_ids(F.concat(wanted, F.col("blocked")))
-    issues = F.concat(F.transform(unknown, lambda s: F.concat(F.lit("unknown-signal:"), s)), F.transform(silent, lambda t: F.concat(F.lit("trigger-without-signal:"), t)))
-    return drafts.select("card_id", issues.alias("issues"))
+    unknown = G.unknown_ids(F.concat(F.array_union("required_any", "required_all"), F.col("blocked")))
+    broken = trigger_contract(drafts).groupBy("card_id").agg(F.sort_array(F.collect_list(F.concat_ws(":", "code", F.col("trigger_index").cast("string"), F.array_join("signals", "+")))).alias("broken"))
+    issues = F.concat(F.transform("unknown", lambda s: F.concat(F.lit("unknown-signal:"), s)), F.coalesce("broken", F.array().cast("array<string>")))
+    return drafts.select("card_id", unknown.alias("unknown")).join(broken, "card_id", "left").select("card_id", issues.alias("issues"))
 
 
 def set_status(cards: DataFrame, ids: DataFrame, status: str, reason: Column | None = None) -> DataFrame:
@@ -152,3 +291,14 @@ def promote(cards: DataFrame, ids: DataFrame) -> DataFrame:
 def write_table(cards: DataFrame, path: str) -> None:
     """Write a card table, one folder per status, so that recall reads active cards alone."""
     cards.write.mode("overwrite").partitionBy("status").parquet(path)
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Append events to a log of JSON lines, one a row."""
+    events.write.mode("append").json(path)
+
+
+def operation(spark: SparkSession, name: str, **details: object) -> DataFrame:
+    """An operation as an event for the log."""
+    told = [(name, json.dumps(details, sort_keys=True, default=str))]
+    return spark.createDataFrame(told, "operation string, details string").select(F.lit("operation").alias("kind"), "operation", "details", F.current_timestamp().alias("created_at"))

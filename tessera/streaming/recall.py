@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tessera.operators import recall
 from tessera.sources import hooks
+from tessera.tables import discard, materialize
 
 EVENTS = "event_id string, ts timestamp, selected array<string>, rendered array<string>, snapshot string"
 
@@ -21,20 +22,35 @@ def payload_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
 
 
+def prompts_of(payloads: DataFrame, number: int) -> DataFrame:
+    """Prompts of a batch of JSON payloads.  A sender may repeat a turn, which counts once; payloads that name no session and
+    turn are prompts of their own."""
+    said = hooks.normalize_payloads(payloads).where("not maintenance and event = 'prompt.submit' and text <> ''")
+    named = F.col("session_id").isNotNull() & F.col("turn_id").isNotNull()
+    key = F.when(named, F.concat_ws("\x00", "session_id", "turn_id", "text")).otherwise(F.concat_ws("\x00", F.lit(str(number)), F.col("row").cast("string")))
+    return said.select(F.sha2(key, 256).alias("prompt_id"), "text", "session_id", "provider").dropDuplicates(["prompt_id"])
+
+
 def recall_stream(payloads: DataFrame, cards: DataFrame, out: str, checkpoint: str, available_now: bool = False, **options) -> StreamingQuery:
     """Recall every prompt of a stream of payloads into ``out``/matches; payloads without JSON go to ``out``/dead.
 
-    ``cards`` is the library as it was listed when the stream began; restart the stream after a change.
+    The stream fails open: a batch that recall cannot do goes to ``out``/failed with its error, and the next one
+    follows.  ``cards`` is the library as it was listed when the stream began; restart the stream after a change.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        good = F.try_parse_json("value").isNotNull()
-        batch.where(~F.coalesce(good, F.lit(False))).write.mode("overwrite").parquet(f"{out}/dead/batch={number}")
-        said = hooks.normalize_payloads(batch.where(good)).where("not maintenance and event = 'prompt.submit'")
-        key = F.coalesce(F.concat_ws(":", "session_id", "turn_id"), F.lit(""))
-        prompts = said.select(F.sha2(F.concat_ws("\x00", key, "text"), 256).alias("prompt_id"), "text", "session_id", "provider").dropDuplicates(["prompt_id"])
-        found = recall.match(prompts, cards, **options)
-        found.join(prompts.select("prompt_id", "session_id", "provider"), "prompt_id").write.mode("overwrite").parquet(f"{out}/matches/batch={number}")
+        kept: list[DataFrame] = []
+        rows = materialize(batch.select("value").withColumn("row", F.monotonically_increasing_id()), "payloads")
+        good = F.coalesce(F.try_parse_json("value").isNotNull(), F.lit(False))
+        rows.where(~good).select("value").write.mode("overwrite").parquet(f"{out}/dead/batch={number}")
+        try:
+            prompts = prompts_of(rows.where(good), number)
+            found = recall.match(prompts, cards, keep=kept, **options)
+            found.join(prompts.select("prompt_id", "session_id", "provider"), "prompt_id").write.mode("overwrite").parquet(f"{out}/matches/batch={number}")
+        except Exception as e:
+            rows.where(good).select("value", F.lit(str(e)[:2000]).alias("error")).write.mode("overwrite").parquet(f"{out}/failed/batch={number}")
+        for table in (rows, *kept):
+            discard(table)
 
     writer = payloads.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

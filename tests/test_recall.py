@@ -34,8 +34,8 @@ def test_every_loser_has_a_reason(spark, cards):
     rows = recall.match_detailed(ask(spark, "browser validation of the frontend page", "browser validation for a ui mock only"), cards).collect()
     assert all(r.selected == (r.reason is None) for r in rows)
     why = {(r.prompt_id, r.card_id): r.reason for r in rows}
-    assert why[0, "strange"] == "unknown-required-signal"
-    assert why[1, "ui-check"] == "negative-exact"
+    assert why[0, "strange"] == "requiredSignals.unknown:no_such_signal"
+    assert why[1, "ui-check"] == "negativeTriggers:ui mock only"
     assert "old" not in {r.card_id for r in rows}
 
 
@@ -64,13 +64,13 @@ def test_duplicates_fold_into_the_first(spark, cards):
     twin = [("twin", *CARDS[0][1:])]
     similar = spark.createDataFrame([("ui-check", "twin")], "a string, b string")
     rows = recall.match_detailed(ask(spark, "browser validation of the frontend page"), cards.unionByName(spark.createDataFrame(twin, CARD)), similar=similar).collect()
-    assert {r.card_id: r.reason for r in rows if r.card_id in ("twin", "ui-check")} == {"twin": None, "ui-check": "duplicate-of:twin"}
+    assert {r.card_id: r.reason for r in rows if r.card_id in ("twin", "ui-check")} == {"twin": None, "ui-check": "post-selection:duplicate:global:twin"}
 
 
 def test_context_keeps_whole_blocks(spark, cards):
     matches = spark.createDataFrame([(1, "ui-check", 1, 80.0), (1, "git-clean", 2, 60.0)], "prompt_id int, card_id string, rank int, score double")
-    whole, short = (recall.render_context(matches, cards, n).first().context for n in (6000, 110))
-    assert whole.count("## ") == 2 and short.count("## ") == 1 and whole.startswith(short)
+    whole, short = (recall.render_context(matches, cards, n).first().context for n in (6000, 500))
+    assert whole.count("   Summary: ") == 2 and short.count("   Summary: ") == 1 and whole.startswith(short)
 
 
 def test_diagnostics_cover_silent_prompts(spark, cards):
@@ -90,12 +90,12 @@ def test_envelope(spark):
     assert r.files == ["src/app.ts"] and "npm test" in r.commands
     assert {"ui", "docs", "review", "test", "package"} <= set(r.task_types) and "git" not in r.task_types
     assert {"fix", "review"} <= set(r.operations) and r.language == "mixed"
-    assert r.negatives == ["do not push to github"] and "push" in r.risks and "github" not in r.surfaces
+    assert r.negatives == ["do not push to github"] and "push" not in r.risks and "github" not in r.surfaces
 
 
 def test_signals(spark):
-    texts = ("build the frontend page", "only explain the ui, don't implement it", "the dirty worktree has files to commit", "git diff on the worktree: read-only, the diff of uncommitted files before commit", "delete the production data", "修复UI问题")
-    found = [set(r.s) for r in ask(spark, *texts).select(G.ids(G.detect(F.col("text"))).alias("s"), "prompt_id").orderBy("prompt_id").collect()]
+    texts = ("build the frontend page", "only explain the ui, don't implement it", "the dirty worktree has files to commit", "git diff on the worktree: read-only, the diff of uncommitted files before commit", "stop and wait for approval before you delete the production data", "修复UI问题")
+    found = [set(r.s) for r in G.prompt_signals(ask(spark, *texts), "prompt_id").select(G.ids(F.col("signals")).alias("s"), "prompt_id").orderBy("prompt_id").collect()]
     assert "ui_implementation" in found[0] and "ui_implementation" not in found[1]
     assert "explain_only" in found[1]
     assert "worktree_diff_operation" in found[2] and "worktree_diff_operation" not in found[3]
@@ -106,5 +106,6 @@ def test_registry_is_sound():
     known = {s.id for s in G.REGISTRY}
     assert len(known) == len(G.REGISTRY) == 46
     assert all(set(s.targets) <= known for s in G.REGISTRY)
-    assert all(a in G.ATOMS for s in G.REGISTRY for c in s.compositions for a in c)
+    assert len(G.ATOMS) == 57 and {a for s in G.REGISTRY for c in s.compositions for a in c.atoms} == set(G.ATOMS)
+    assert sum(len(s.compositions) for s in G.REGISTRY) == 28 and sum(s.instead for s in G.REGISTRY) == 5
     assert all(s.patterns or s.compositions for s in G.REGISTRY)

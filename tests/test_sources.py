@@ -53,7 +53,7 @@ def test_card_files(spark, tmp_path):
 
 def test_promotion(spark):
     cards = spark.createDataFrame([("a", "draft", "t", ["check the browser page"], ["ui_surface"]), ("b", "draft", "t", ["water plants"], ["ui_surface"]), ("c", "draft", "t", [], ["nope"])], "card_id string, status string, title string, triggers array<string>, required_any array<string>")
-    assert {r.card_id: r.issues for r in library.promotable(cards).collect()} == {"a": [], "b": ["trigger-without-signal:water plants"], "c": ["unknown-signal:nope"]}
+    assert {r.card_id: r.issues for r in library.promotable(cards).collect()} == {"a": [], "b": ["required-signals-missing:0:ui_surface"], "c": ["unknown-signal:nope"]}
     assert {r.card_id: r.status for r in library.promote(cards, cards).collect()} == {"a": "active", "b": "draft", "c": "draft"}
 
 
@@ -84,7 +84,7 @@ def test_compaction_and_doctor(spark):
     assert slim.columns == ["id"] and saved.first().saved > 0
     cards = spark.createDataFrame([("a", "active"), ("b", "draft")], "card_id string, status string")
     found = curation.doctor(cards, spark.createDataFrame([("b",)], "card_id string"), recall.invalid(cards.withColumn("title", F.lit("t"))))
-    assert {r.message for r in found.collect()} == {"not indexed: a", "indexed but not active: b"}
+    assert {r.message for r in found.collect()} == {"not-indexed: a", "not-active: b"}
 
 
 def test_recall_stream(spark, tmp_path):
