@@ -1,16 +1,15 @@
-"""Shared helpers: reading tables, the shared scratch folder, held-out split, word rules."""
+"""Shared helpers: reading tables, Arrow batches, held-out split."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.tables import discard, materialize  # noqa: F401  (what the operators write and drop tables with)
+
 #: Rows in one Arrow batch handed to Python.  Texts may be long, so batches stay small.
 ARROW_ROWS = 1000
 #: Bytes in one Arrow batch handed to Python.
@@ -27,37 +26,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset and the master is local, a temporary folder of this machine serves.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage,
-    survives lost executors and gives later joins true sizes."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` made."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text leaves 2 mod 4; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -40,6 +40,7 @@ PAD = b"\xff"
 DELAY = 4
 #: Buckets of each colour channel in a histogram.
 BUCKETS = 8
+CHANNELS = np.array([0, BUCKETS, 2 * BUCKETS], np.uint8)
 GREY = bytes(v for v in range(256) for _ in range(3))
 #: The largest canvas or frame that is decoded; a header may claim 2**32 pixels in a few bytes.
 MAX_PIXELS = 1 << 24
@@ -294,7 +295,7 @@ def describe(data: bytes | None) -> dict:
         for frame in shown:
             left, top, w, h = frame.box
             payload.append(frame.rgb[top : top + h, left : left + w, 0].tobytes())
-            histograms = [np.bincount(frame.rgb[..., c].ravel() >> 5, minlength=BUCKETS).tolist() for c in range(3)]
+            histograms = np.bincount(((frame.rgb >> 5) + CHANNELS).ravel(), minlength=3 * BUCKETS).reshape(3, BUCKETS).tolist()
             frames.append(dict(zip(FRAME, (len(frames), start, frame.delay, left, top, w, h, *histograms), strict=True)))
             start += frame.delay
     except (ValueError, IndexError, struct.error) as e:
