@@ -288,30 +288,38 @@ REFERENCE = "runtime_reference_context"
 
 
 def _views(text: Column) -> Column:
-    """Parts of a prompt's narrative, of what is not negated in it (where that differs), and of the raw text (where lines have meaning)."""
-    kind = "array<struct<view:string,part:string,said:string>>"
+    """A prompt's narrative, what is not negated in it (where that differs), and the raw text (where lines have meaning)."""
     narrative, positive, raw = F.lower(T.strip_noise(text)), F.lower(T.strip_noise(P.strip_negated(text))), F.lower(text)
     lined = raw.rlike(_whole(LINED)) | raw.rlike(T.ascii_bounds(CURRENT_BLOCK))
+    view = lambda name, said: F.struct(F.lit(name).alias("view"), said.alias("said"))
+    return F.array_compact(F.array(view("narrative", narrative), F.when(positive != narrative, view("positive", positive)), F.when(lined, view("raw", raw))))
 
-    def parts(view: str, said: Column) -> Column:
-        part = lambda name: lambda p: F.struct(F.lit(view).alias("view"), F.lit(name).alias("part"), p.alias("said"))
-        return F.concat(F.array(part("whole")(said)), F.transform(segments(said), part("segment")), F.transform(context_segments(said), part("context"))).cast(kind)
 
-    none = F.array().cast(kind)
-    return F.concat(parts("narrative", narrative), F.when(positive != narrative, parts("positive", positive)).otherwise(none), F.when(lined, parts("raw", raw)).otherwise(none))
+def _parts_of(said: Column) -> Column:
+    part = lambda name: lambda p: F.struct(F.lit(name).alias("part"), p.alias("said"))
+    return F.concat(F.array(part("whole")(said)), F.transform(segments(said), part("segment")), F.transform(context_segments(said), part("context")))
 
 
-def _shown(rows: DataFrame, registry: tuple[Signal, ...]) -> DataFrame:
-    """What each part shows: signal ids, those that a form keeps, whether it denies them, and intents."""
+def _hits(said: Column, registry: tuple[Signal, ...], among: Column | None = None) -> Column:
+    """Ids of the signals that a text shows, sought only among the given ones."""
+    sought = lambda s: F.lit(True) if among is None else F.array_contains(among, s.id)
+    return F.array_compact(F.array(*[F.when(sought(s) & _found(said, s), F.lit(s.id)) for s in registry]))
+
+
+def _shown(views: DataFrame, keys: list[str], registry: tuple[Signal, ...]) -> DataFrame:
+    """What each part of the views shows: signal ids (of those that the whole shows), those that a form keeps, whether it denies
+    them, and intents.  Most prompts show few signals, so their parts are asked for few."""
+    wholes = views.withColumn("seen", _hits(F.col("said"), registry))
+    rows = wholes.select(*keys, "view", "seen", F.inline(_parts_of(F.col("said"))))
     said = F.col("said")
-    hits = F.array_compact(F.array(*[F.when(_found(said, s), F.lit(s.id)) for s in registry]))
+    hits = F.when(F.col("part") == "whole", F.col("seen")).otherwise(_hits(said, registry, F.col("seen")))
     keeps = []
     for s in registry:
         forms = [said.rlike(_whole(p)) for p in s.kept_if] + [said.rlike(_together(c)) for c in s.compositions if s.keeps_compositions]
         for form in forms:
             keeps.append(F.when((F.col("view") == "narrative") & (F.col("part") == "whole") & form, F.lit(s.id)))
     kept = F.array_compact(F.array(*keeps)) if keeps else _strings(())
-    rows = rows.withColumns({"hits": hits, "kept": kept, "denied": said.rlike(_whole(DENIED))})
+    rows = rows.withColumns({"hits": hits, "kept": kept, "denied": said.rlike(_whole(DENIED))}).drop("seen")
     aimed = [s.id for s in registry if set(s.targets) & set(EXECUTION)]
     earnest = F.arrays_overlap("hits", _strings(EXECUTION)) & ~F.arrays_overlap("hits", _strings(aimed)) & ~said.rlike(_whole(NO_EXECUTION))
     modes = [F.when(said.rlike(_whole(INTENTS[m])) & (earnest if m == "execute" else F.lit(True)), F.lit(m)) for m in INTENT_MODES]
@@ -356,7 +364,7 @@ def prompt_signals(prompts: DataFrame, *keys: str, text: str = "text", registry:
     ``execute`` counts where a segment asks for it in earnest, and removes ``explain`` and ``discuss``.
     """
     rows = prompts.select(*keys, F.inline(_views(F.coalesce(text, F.lit("")))))
-    gathered = _shown(rows, registry).groupBy(*keys).agg(F.collect_list(F.struct("view", "part", "hits", "kept", "denied", "modes")).alias("parts"))
+    gathered = _shown(rows, list(keys), registry).groupBy(*keys).agg(F.collect_list(F.struct("view", "part", "hits", "kept", "denied", "modes")).alias("parts"))
     view = lambda name: F.filter("parts", lambda p: p["view"] == name)
     same = F.size(view("positive")) == 0
     left = F.transform(_strings(("narrative", "positive", "raw")), lambda v: _judged(F.filter("parts", lambda p: p["view"] == v), registry))

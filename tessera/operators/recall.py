@@ -68,12 +68,11 @@ def near_cards(cards: DataFrame, scope: list[str] | None = None) -> DataFrame:
     known = F.array(*[F.lit(s.id) for s in G.REGISTRY])
     signals = F.array_intersect(F.array_union("required_any", "required_all"), known)
     starter = F.startswith(F.col("card_id").cast("string"), F.lit(STARTER))
-    rows = rows.select(F.struct(*scope, "card_id").alias("k"), F.struct(*fields).alias("card"), F.transform(routes, lambda v: F.concat_ws("\x00", prefix, v)).alias("routes"), F.transform(signals, lambda v: F.concat_ws("\x00", prefix, v)).alias("signals"), starter.alias("starter"))
+    rows = rows.select(F.struct(*scope, "card_id").alias("k"), similarity.profile({c: F.col(c) for c in fields}).alias("card"), F.transform(routes, lambda v: F.concat_ws("\x00", prefix, v)).alias("routes"), F.transform(signals, lambda v: F.concat_ws("\x00", prefix, v)).alias("signals"), starter.alias("starter"))
     pairs = similarity.set_pairs(rows, "k", "routes").select("a", "b")
     for end, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(rows.select(F.col("k").alias(end), F.col("card").alias(name)), end)
-    alike = similarity.card_similarity(*[{c: F.col(f"{name}.{c}") for c in fields} for name in ("x", "y")])
-    found = pairs.where(alike >= similarity.COLLAPSE).select("a", "b")
+    found = pairs.where(similarity.profile_similarity(F.col("x"), F.col("y")) >= similarity.COLLAPSE).select("a", "b")
     sides = [rows.where(F.col("starter") == v).select(F.col("k").alias(end), F.explode("signals").alias("signal")) for v, end in ((True, "a"), (False, "b"))]
     found = found.unionByName(sides[0].join(sides[1], "signal").select("a", "b").distinct())
     return found.select(F.col("a.card_id").alias("a"), F.col("b.card_id").alias("b"), *[F.col(f"a.{c}").alias(c) for c in scope])
@@ -129,10 +128,12 @@ def _reasons(rows: DataFrame, families: list[str]) -> Column:
     phrases = [F.transform(F.col(f"e_{f}.phrases"), told(f)) for f in families]
     hits = F.filter(F.array_union("required_any", "required_all"), lambda i: F.map_contains_key(G.positives(F.col("signals")), i))
     signals = F.transform(hits, lambda i: _reason("ruleSignals", i, F.col("e_signals.value"), "required-signal"))
-    shared = F.array_join(F.slice(F.array_intersect("anchors", "query_tokens"), 1, 6), "+")
+    shared = F.array_join(F.slice("shared", 1, 6), "+")
     lexical = F.when(F.col("e_lexical.value") > 0, F.array(_reason("lexical", shared, F.col("e_lexical.value"), "multi-token-support"))).otherwise(none)
     fuzzy = F.when(F.col("penalty") > 0, F.array(_reason("negativeTriggers", F.lit("near"), -F.col("penalty"), "negative-fuzzy"))).otherwise(none)
-    return selection.compact_reasons(F.when(F.col("gate").isNotNull(), gate).otherwise(F.concat(*phrases, signals, lexical, fuzzy)))
+    told_all = F.when(F.col("gate").isNotNull(), gate).otherwise(F.concat(*phrases, signals, lexical, fuzzy))
+    compact = lambda r: F.when(F.size(r) <= 1, r).otherwise(selection.compact_reasons(r))
+    return F.get(F.transform(F.array(told_all), compact), 0)
 
 
 def _kept(df: DataFrame, label: str, keep: list | None) -> DataFrame:
@@ -169,7 +170,7 @@ def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None,
         evidence.priority(F.col("recall_policy"), F.col("risk"), F.col("confidence")).alias("priority_score"),
         F.coalesce(F.get("topics", 0), F.get("triggers", 0), F.col("card_id").cast("string")).alias("topic"),
     )
-    asked = said.select("prompt_id", "signals", "intent_modes", "query_text", "query_tokens", "said", "negated_tokens", "own_project_key", "own_module_path")
+    asked = said.select("prompt_id", "signals", "intent_modes", "query_text", "query_tokens", "negated_tokens", "own_project_key", "own_module_path")
     # pairs are small rows that cost much to judge: a fixed number of partitions keeps adaptive execution
     # from merging them by size, and the windows by prompt need no further shuffle
     parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -178,13 +179,19 @@ def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None,
     wanted = F.array_union("required_any", "required_all")
     card = {c: F.col(c) for c in ("blocked", "required_any", "required_all", "include", "exclude")}
     aiming = F.filter(G.ids(F.col("signals"), "negative"), lambda i: F.arrays_overlap(G.targets_of(i), wanted))
-    negatives = evidence.exact_negatives(F.col("negative_texts"), F.col("said"))
+    # few cards have negative triggers; only their pairs meet all texts of a prompt
+    wary = pairs.join(cards.where(F.size("negative_triggers") > 0).select(*scope, "card_key"), [*scope, "card_key"], "left_semi").join(own.select(*scope, "card_key", "negative_texts"), [*scope, "card_key"])
+    met = wary.join(said.select("prompt_id", "said"), "prompt_id").select("prompt_id", "card_key", evidence.exact_negatives(F.col("negative_texts"), F.col("said")).alias("negatives"))
+    rows = rows.join(met.where(F.size("negatives") > 0), ["prompt_id", "card_key"], "left")
+    negatives = F.coalesce("negatives", F.array().cast("array<string>"))
     gate = gates.recall_gate(card, G.ids(F.col("signals")), G.ids(F.col("signals"), "positive"), F.col("intent_modes"), negatives, aiming, [s.id for s in G.REGISTRY])
     rows = rows.withColumn("gate", gate)
     found = {f"e_{name}": evidence.field_evidence(name, F.col(f"p_{name}"), F.col("query_text"), F.col("query_tokens")) for name in evidence.EXACT}
-    found |= {"e_signals": F.struct(evidence.signal_evidence(wanted, G.positives(F.col("signals"))).alias("value"), F.lit(True).alias("strong")), "e_lexical": F.struct(evidence.lexical_support(F.col("anchors"), F.col("query_tokens")).alias("value"), F.lit(False).alias("strong"))}
-    found |= {"penalty": evidence.fuzzy_penalty(F.col("negative_tokens"), F.array_union("query_tokens", "negated_tokens"))}
+    found |= {"e_signals": F.struct(evidence.signal_evidence(wanted, G.positives(F.col("signals"))).alias("value"), F.lit(True).alias("strong")), "e_lexical": F.struct(evidence.lexical_support(F.col("shared"), F.col("shared")).alias("value"), F.lit(False).alias("strong"))}
+    penalty = evidence.fuzzy_penalty(F.col("negative_tokens"), F.array_union("query_tokens", "negated_tokens"))
+    found |= {"penalty": F.when(F.size("negative_tokens") > 0, penalty).otherwise(0.0)}
     fine = F.col("gate").isNull()  # refused pairs cost no evidence
+    rows = rows.withColumn("shared", F.when(fine, F.array_intersect("anchors", "query_tokens")))
     rows = rows.withColumns({k: F.when(fine, v) for k, v in found.items()})
     named = [F.struct(F.lit(k[2:]).alias("family"), F.col(f"{k}.value").alias("value"), F.col(f"{k}.strong").alias("strong")) for k in found if k.startswith("e_")]
     rows = rows.withColumn("evidence", F.filter(F.array(*named), lambda e: F.coalesce(e["value"], F.lit(0.0)) > 0))

@@ -44,8 +44,8 @@ def find_similar(cards: DataFrame, k: int = 3, threshold: float = HINT) -> DataF
     tokens = F.array_distinct(F.concat(*[T.tokens(F.array_join(c, "\n") if c in ("triggers", "topics") else F.col(c)) for c in fields], F.array(F.concat(F.lit("\x00"), F.lower(F.trim("category"))))))
     pairs = set_pairs(cards.select("card_id", tokens.alias("tokens")), "card_id", "tokens").select("a", "b")
     for end, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(cards.select(F.col("card_id").alias(end), F.struct(*fields).alias(name)), end)
-    scored = pairs.select("a", "b", card_similarity(*[{c: F.col(f"{name}.{c}") for c in fields} for name in ("x", "y")]).alias("score")).where(F.col("score") >= threshold)
+        pairs = pairs.join(cards.select(F.col("card_id").alias(end), profile({c: F.col(c) for c in fields}).alias(name)), end)
+    scored = pairs.select("a", "b", profile_similarity(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= threshold)
     both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= k)
 
@@ -54,24 +54,35 @@ def _lowered(values: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.lower(F.trim(v))), lambda v: v != ""))
 
 
-def card_similarity(left: dict[str, Column], right: dict[str, Column]) -> Column:
-    """0..100 from title, category, triggers, topics, summary, rule and body of two cards."""
-
-    def routing(c: dict[str, Column]) -> Column:
-        lists = F.flatten(F.transform(F.concat(F.coalesce(c["triggers"], F.array().cast("array<string>")), F.coalesce(c["topics"], F.array().cast("array<string>"))), T.tokens))
-        return F.array_distinct(F.concat(lists, T.tokens(c["category"])))
+def profile(c: dict[str, Column]) -> Column:
+    """What a card is compared by: tokens and lower-case phrases, made once for each card."""
+    none = F.array().cast("array<string>")
+    lists = F.flatten(F.transform(F.concat(F.coalesce(c["triggers"], none), F.coalesce(c["topics"], none)), T.tokens))
+    lesson = F.slice(F.array_distinct(F.concat(T.tokens(c["summary"]), T.tokens(c["rule"]), T.tokens(c["body"]))), 1, LESSON_TOKENS)
+    return F.struct(
+        T.tokens(c["title"]).alias("title"),
+        F.array_distinct(F.concat(lists, T.tokens(c["category"]))).alias("routing"),
+        lesson.alias("lesson"),
+        _lowered(c["triggers"]).alias("triggers"),
+        _lowered(c["topics"]).alias("topics"),
+        F.lower(F.trim(F.coalesce(c["category"], F.lit("")))).alias("category"),
+    )
 
-    def lesson(c: dict[str, Column]) -> Column:
-        return F.slice(F.array_distinct(F.concat(T.tokens(c["summary"]), T.tokens(c["rule"]), T.tokens(c["body"]))), 1, LESSON_TOKENS)
 
-    category = lambda c: F.lower(F.trim(F.coalesce(c["category"], F.lit(""))))
-    same = F.when((category(left) != "") & (category(left) == category(right)), 0.08).otherwise(0.0)
+def profile_similarity(a: Column, b: Column) -> Column:
+    """0..100 from two cards' profiles."""
+    same = F.when((a["category"] != "") & (a["category"] == b["category"]), 0.08).otherwise(0.0)
     total = (
-        0.30 * jaccard(T.tokens(left["title"]), T.tokens(right["title"]))
-        + 0.34 * jaccard(routing(left), routing(right))
-        + 0.14 * jaccard(lesson(left), lesson(right))
-        + 0.22 * overlap(_lowered(left["triggers"]), _lowered(right["triggers"]))
-        + 0.10 * overlap(_lowered(left["topics"]), _lowered(right["topics"]))
+        0.30 * jaccard(a["title"], b["title"])
+        + 0.34 * jaccard(a["routing"], b["routing"])
+        + 0.14 * jaccard(a["lesson"], b["lesson"])
+        + 0.22 * overlap(a["triggers"], b["triggers"])
+        + 0.10 * overlap(a["topics"], b["topics"])
         + same
     )
     return rounded(F.least(F.lit(1.0), total) * 100)
+
+
+def card_similarity(left: dict[str, Column], right: dict[str, Column]) -> Column:
+    """0..100 from title, category, triggers, topics, summary, rule and body of two cards."""
+    return profile_similarity(profile(left), profile(right))

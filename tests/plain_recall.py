@@ -107,7 +107,7 @@ def judged(text):
     seen = [s for s in G.REGISTRY if shows(text, s)]
     segments = parts_of(text, G.SEGMENT_BREAK)
     contexts = distinct(parts_of(text, G.CONTEXT_BREAK) + [m.group(0).strip(" ") for m in re.finditer(G.CURRENT_BLOCK, text, A)])
-    by_id = {s.id: s for s in G.REGISTRY}
+    by_id = {s.id: s for s in seen}  # parts are asked only for what the whole shows
     denied = set()
     for s in seen:
         own = [p for p in segments if shows(p, s)]
@@ -117,7 +117,7 @@ def judged(text):
     for s in seen:
         if s.targets:
             pool = contexts + ([] if s.id == G.REFERENCE else segments)
-            if any(any(shows(p, by_id[t]) for t in s.targets) and not shows(p, s) for p in pool):
+            if any(any(t in by_id and shows(p, by_id[t]) for t in s.targets) and not shows(p, s) for p in pool):
                 contextual.add(s.id)
             else:
                 hit |= set(s.targets)
@@ -136,7 +136,7 @@ def signals(text):
     ids = [i for i in found if (not by_id[i].positive or i in affirmed or i in kept) and not (i == G.REFERENCE and G.LINED_SIGNALS[0] in back)] + back
     modes = set()
     for p in parts_of(positive, G.SEGMENT_BREAK):
-        ours = {s.id for s in G.REGISTRY if shows(p, s)}
+        ours = {s.id for s in G.REGISTRY if shows(positive, s) and shows(p, s)}
         aimed = {s.id for s in G.REGISTRY if set(s.targets) & set(G.EXECUTION)}
         earnest = ours & set(G.EXECUTION) and not ours & aimed and not re.search("(?s)" + T.ascii_bounds(G.NO_EXECUTION), p, A)
         modes |= {m for m, q in G.INTENTS.items() if re.search("(?s)" + T.ascii_bounds(q), p, A) and (m != "execute" or earnest)}
