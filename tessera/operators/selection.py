@@ -90,7 +90,14 @@ def collapse(candidates: DataFrame, similar: DataFrame, order: list[str], by: li
                 leader_of[r.card_key] = old.card_key
         return pd.DataFrame({"prompt_id": group["prompt_id"].iloc[0], "card_key": list(leader_of), "leader": list(leader_of.values())})
 
-    return rows.groupBy("prompt_id").applyInPandas(fold, f"prompt_id {dict(candidates.dtypes)['prompt_id']}, card_key string, leader string")
+    # most prompts have no two cards that could fold: only the others are walked through, in a fixed number of tasks
+    own = Window.partitionBy("prompt_id")
+    folds = F.max(F.col("near").isNotNull()).over(own) | (F.count("*").over(own) > F.size(F.collect_set("card_id").over(own)))
+    rows = rows.withColumn("folds", folds)
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"prompt_id {dict(candidates.dtypes)['prompt_id']}, card_key string, leader string"
+    walked = rows.where("folds").drop("folds").repartition(parts, "prompt_id").groupBy("prompt_id").applyInPandas(fold, schema)
+    return walked.unionByName(rows.where("not folds").select("prompt_id", "card_key", F.col("card_key").alias("leader")))
 
 
 NEGATIVE_REASONS, POSITIVE_REASONS = 8, 12
