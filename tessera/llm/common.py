@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.tables import discard, materialize  # noqa: F401  (what the operators write and drop tables with)
 
@@ -66,3 +70,38 @@ def add_columns(docs: DataFrame, new: dict[str, str], fn: Callable[[list], list]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + arrays, names=[*carry, *new])
 
     return read.mapInArrow(run, schema)
+
+
+def _running(group: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, copies = batch.column(group), batch.column("copies").to_numpy()
+            starts = np.append(names[0].as_py() != last, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False))
+            before = seen + np.cumsum(copies) - copies
+            at = before - np.maximum.accumulate(np.where(starts, before, 0))
+            last, seen = names[-1].as_py(), int(at[-1] + copies[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(np.full(len(at), part, np.int32))], names=[*batch.schema.names, "at", "part"])
+
+    return run
+
+
+def numbered(rows: DataFrame, group: str, order: list[Column], label: str) -> DataFrame:
+    """Distinct rows of ``rows`` with ``copies``, ``at`` (how many rows of their group come before the first copy) and
+    ``total`` (rows of the group).
+
+    ``group`` is a string without nulls.  Rows are ordered by ``order``, then by all columns, so only equal rows tie, and
+    those count as one before anything is shuffled by range.  Each range numbers its own rows; how many rows
+    earlier ranges hold is added from a table of one row for each range and group in it.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    by = [F.col(group), *order, *map(F.col, rows.columns)]
+    schema = T.StructType([*counted.schema, T.StructField("at", T.LongType()), T.StructField("part", T.IntegerType())])
+    placed = materialize(counted.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_running(group), schema), label)
+    held = placed.groupBy("part", group).agg(F.sum("copies").alias("n"))
+    whole = Window.partitionBy(group)
+    ahead = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = held.select("part", group, ahead.alias("ahead"), F.sum("n").over(whole).alias("total"))
+    return placed.join(offsets, ["part", group]).select(*rows.columns, "copies", (F.col("at") + F.col("ahead")).alias("at"), "total")

@@ -18,6 +18,9 @@ MODULES = (
     "gif_media",
     "license_scan",
     "minhash",
+    "importance",
+    "merkle",
+    "pii",
 )
 
 

@@ -72,6 +72,20 @@ def test_components_equal_union_find(spark):
     assert graph.components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+@pytest.mark.parametrize("edges", [[(k, k + 1) for k in range(999)], [(5000, k) for k in range(1000)], [((k - 1) // 2, k) for k in range(1, 1000)]])
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, edges):
+    began = []
+    found = graph.components(spark.createDataFrame(edges, "x long, y long"), began)
+    assert {r["component"] for r in found.collect()} == {0}
+    assert len(began) <= 12
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 500
+
+
+def test_components_of_names_and_lone_loops(spark):
+    found = graph.components(spark.createDataFrame([("b", "b"), ("c", "d"), ("d", "d"), ("z", None)], "x string, y string"))
+    assert {tuple(r) for r in found.collect()} == {("b", "b"), ("c", "c"), ("d", "c")}
+
+
 # ------------------------------------------------------------------ URL filters
 
 
