@@ -52,27 +52,18 @@ STARTER = "starter-"
 
 def near_cards(cards: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Pairs ``a``, ``b`` of recallable cards of one scope and one place that stand for each other: alike by COLLAPSE or
-    more, or a starter card and one of the library's own that share a required signal.
-
-    Cards that share no trigger, topic or token of those and the category stay below it (0.52 at most), so
-    the others never meet.
-    """
+    more, or a starter card and one of the library's own that share a required signal."""
     scope = scope or []
     rows = with_defaults(cards).where("status = 'active' and recall_policy <> 'off'")
     level = F.coalesce(_or_null(cards, "level"), F.lit("global"))
     place = [*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scope], level, *[F.coalesce(_or_null(cards, c), F.lit("")) for c in PLACE[1:]]]
-    phrases = F.concat("triggers", "topics")
-    routes = F.concat(F.transform(phrases, lambda v: F.lower(F.trim(v))), F.flatten(F.transform(phrases, T.tokens)), T.tokens(F.col("category")))
-    prefix = F.concat_ws("\x00", *place)
     fields = ("title", "category", "summary", "triggers", "topics", "rule", "body")
     known = F.array(*[F.lit(s.id) for s in G.REGISTRY])
     signals = F.array_intersect(F.array_union("required_any", "required_all"), known)
     starter = F.startswith(F.col("card_id").cast("string"), F.lit(STARTER))
-    rows = rows.select(F.struct(*scope, "card_id").alias("k"), similarity.profile({c: F.col(c) for c in fields}).alias("card"), F.transform(routes, lambda v: F.concat_ws("\x00", prefix, v)).alias("routes"), F.transform(signals, lambda v: F.concat_ws("\x00", prefix, v)).alias("signals"), starter.alias("starter"))
-    pairs = similarity.set_pairs(rows, "k", "routes").select("a", "b")
-    for end, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(rows.select(F.col("k").alias(end), F.col("card").alias(name)), end)
-    found = pairs.where(similarity.profile_similarity(F.col("x"), F.col("y")) >= similarity.COLLAPSE).select("a", "b")
+    rows = rows.select(F.struct(*scope, "card_id").alias("k"), F.concat_ws("\x00", *place).alias("place"), similarity.profile({c: F.col(c) for c in fields}).alias("card"), signals.alias("signals"), starter.alias("starter"))
+    found = similarity.similar_pairs(rows, similarity.COLLAPSE).select("a", "b")
+    rows = rows.withColumn("signals", F.transform("signals", lambda v: F.concat_ws("\x00", "place", v)))
     sides = [rows.where(F.col("starter") == v).select(F.col("k").alias(end), F.explode("signals").alias("signal")) for v, end in ((True, "a"), (False, "b"))]
     found = found.unionByName(sides[0].join(sides[1], "signal").select("a", "b").distinct())
     return found.select(F.col("a.card_id").alias("a"), F.col("b.card_id").alias("b"), *[F.col(f"a.{c}").alias(c) for c in scope])

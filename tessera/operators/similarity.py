@@ -38,14 +38,75 @@ def set_pairs(rows: DataFrame, key: str, tokens: str, least: float = 0.0) -> Dat
     return found.where(F.col("jaccard") >= least) if least > 0 else found
 
 
+#: Components of a card's similarity and their weights (fixed values); the first three count by Jaccard, the next two by overlap.
+WEIGHTS = {"title": 0.30, "routing": 0.34, "lesson": 0.14, "triggers": 0.22, "topics": 0.10, "category": 0.08}
+_BY_JACCARD, _BY_OVERLAP = ("title", "routing", "lesson"), ("triggers", "topics")
+
+
+def _features(cards: DataFrame) -> DataFrame:
+    """A row for each member of each component of a card: ``part``, ``token`` and ``tail``, its class in the order of features."""
+    one = lambda n, tail: lambda v: F.struct(F.lit(n).alias("part"), v.alias("token"), tail(v).alias("tail"))
+    plain, last = (lambda v: F.lit(0)), (lambda v: F.lit(1))
+    routing = lambda v: F.when(F.array_contains(T.tokens(F.col("card.category")), v), 2).otherwise(0)
+    tails = {"routing": routing, "lesson": last}
+    members = [F.transform(F.col(f"card.{c}"), one(n, tails.get(c, plain))) for n, c in enumerate((*_BY_JACCARD, *_BY_OVERLAP))]
+    category = F.when(F.col("card.category") != "", F.array(one(5, lambda v: F.lit(2))(F.col("card.category")))).otherwise(F.array())
+    # one id may stand for several cards (of several libraries), which are told apart by what they hold
+    own = cards.dropDuplicates(["k", "place", "card"]).withColumn("uid", F.struct("k", F.xxhash64("card").alias("hash")))
+    return own.select("uid", "place", F.inline(F.concat(*members, category)))
+
+
+def candidate_pairs(cards: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a`` < ``b`` of cards (``k``, ``place``, ``card`` as ``profile`` gives it) of one place that may be alike by ``least``.
+
+    Features stand in one order: titles, routes and phrases from the rarest on, then lessons, then what comes from
+    categories.  A card's prefix ends where all features behind it together can't reach ``least``, and a pair that does
+    reach it shares its first common feature in both prefixes.  So only prefixes are joined, and of those only places
+    behind which both cards still hold enough.  Cards that have nothing but a category in common never meet.
+    """
+    need = (least - 0.005) / 100 - 1e-9  # scores are rounded to hundredths
+    held = _features(cards)
+    order = held.groupBy("place", "part", "token").agg(F.count("*").alias("df"), F.max("tail").alias("class"))
+    ranked = held.drop("tail").join(order, ["place", "part", "token"])
+    own = Window.partitionBy("place", "uid")
+    rest = own.orderBy("class", "df", "part", "token").rowsBetween(0, Window.unboundedFollowing)
+    names = list(WEIGHTS)
+    counts = {f"r{n}": F.sum((F.col("part") == n).cast("int")).over(rest) for n in range(6)}
+    counts |= {f"n{n}": F.sum((F.col("part") == n).cast("int")).over(own) for n in range(6)}
+    placed = ranked.withColumns(counts)
+
+    def reach(shared, sizes) -> Column:
+        """The most that ``shared`` common members of each component give."""
+        total = F.lit(0.0)
+        for n, name in enumerate(names):
+            s = shared(n)
+            if name == "category":
+                total = total + F.when(s > 0, WEIGHTS[name]).otherwise(0.0)
+            else:
+                total = total + F.when(s > 0, WEIGHTS[name] * sizes(n, s)).otherwise(0.0)
+        return total
+
+    alone = reach(lambda n: F.col(f"r{n}"), lambda n, s: s / F.col(f"n{n}") if n < 3 else F.lit(1.0))
+    short = placed.where(alone >= need).drop("df", "class")
+    x, y = short.alias("x"), short.alias("y")
+    both = reach(lambda n: F.least(f"x.r{n}", f"y.r{n}"), lambda n, s: s / (F.col(f"x.n{n}") + F.col(f"y.n{n}") - s) if n < 3 else s / F.least(f"x.n{n}", f"y.n{n}"))
+    met = x.join(y, ["place", "part", "token"]).where((F.col("x.uid.k") < F.col("y.uid.k")) & (both >= need))
+    return met.select(F.col("x.uid.k").alias("a"), F.col("y.uid.k").alias("b")).distinct()
+
+
+def similar_pairs(cards: DataFrame, least: float) -> DataFrame:
+    """``a`` < ``b`` and ``score`` of all pairs of cards (``k``, ``place``, ``card``) of one place that are alike by ``least`` (above 0) or more."""
+    pairs = candidate_pairs(cards, least)
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(cards.select(F.col("k").alias(end), F.col("card").alias(name)), end)
+    return pairs.select("a", "b", profile_similarity(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
+
+
 def find_similar(cards: DataFrame, k: int = 3, threshold: float = HINT) -> DataFrame:
     """The ``k`` most similar other cards of each card, from ``threshold`` on: ``a``, ``b``, ``score`` and ``rank``."""
     fields = ("title", "category", "triggers", "topics", "summary", "rule", "body")
-    tokens = F.array_distinct(F.concat(*[T.tokens(F.array_join(c, "\n") if c in ("triggers", "topics") else F.col(c)) for c in fields], F.array(F.concat(F.lit("\x00"), F.lower(F.trim("category"))))))
-    pairs = set_pairs(cards.select("card_id", tokens.alias("tokens")), "card_id", "tokens").select("a", "b")
-    for end, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(cards.select(F.col("card_id").alias(end), profile({c: F.col(c) for c in fields}).alias(name)), end)
-    scored = pairs.select("a", "b", profile_similarity(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= threshold)
+    profiles = cards.select(F.col("card_id").alias("k"), F.lit("").alias("place"), profile({c: F.col(c) for c in fields}).alias("card"))
+    scored = similar_pairs(profiles, threshold)
     both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= k)
 
@@ -71,15 +132,12 @@ def profile(c: dict[str, Column]) -> Column:
 
 def profile_similarity(a: Column, b: Column) -> Column:
     """0..100 from two cards' profiles."""
-    same = F.when((a["category"] != "") & (a["category"] == b["category"]), 0.08).otherwise(0.0)
-    total = (
-        0.30 * jaccard(a["title"], b["title"])
-        + 0.34 * jaccard(a["routing"], b["routing"])
-        + 0.14 * jaccard(a["lesson"], b["lesson"])
-        + 0.22 * overlap(a["triggers"], b["triggers"])
-        + 0.10 * overlap(a["topics"], b["topics"])
-        + same
-    )
+    total = F.lit(0.0)
+    for name in _BY_JACCARD:
+        total = total + WEIGHTS[name] * jaccard(a[name], b[name])
+    for name in _BY_OVERLAP:
+        total = total + WEIGHTS[name] * overlap(a[name], b[name])
+    total = total + F.when((a["category"] != "") & (a["category"] == b["category"]), WEIGHTS["category"]).otherwise(0.0)
     return rounded(F.least(F.lit(1.0), total) * 100)
 
 
