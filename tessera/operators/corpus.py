@@ -48,11 +48,11 @@ def field_lengths(rows: DataFrame, posted: DataFrame, scope: list[str]) -> DataF
     return n.join(total, [*scope, "field"], "left").select(*scope, "field", "n", average.alias("average"))
 
 
-def bm25f(query_tokens: DataFrame, rows: DataFrame, key: str, weights: dict[str, float] | None = None, scope: list[str] | None = None) -> DataFrame:
+def bm25f(query_tokens: DataFrame, rows: DataFrame, key: str, weights: dict[str, float] | None = None, scope: list[str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """``raw_score`` of every prompt and card that share a token.
 
     ``query_tokens``: scope columns, ``prompt_id``, ``token``, ``weight``.  ``rows``: as from ``field_rows``,
-    one per card and field.
+    one per card and field.  ``pairs`` (scope columns, ``prompt_id`` and the key), if given, are the only ones that are scored.
     """
     weights, scope = weights or FIELD_WEIGHTS, scope or []
     keys = [*scope, key]
@@ -65,7 +65,11 @@ def bm25f(query_tokens: DataFrame, rows: DataFrame, key: str, weights: dict[str,
     idf = bm25_idf(F.col("n"), F.col("df"))
     weighted = held.join(document_frequency(posted, scope, key), [*scope, "token"]).withColumn("idf", idf)
     value = F.col("weight") * F.col("idf") * ((K1 + 1) * F.col("wtf") / (K1 + F.col("wtf")))
-    return query_tokens.join(weighted, [*scope, "token"]).groupBy(*scope, "prompt_id", key).agg(F.sum(value).alias("raw_score"))
+    if pairs is None:
+        met = query_tokens.join(weighted, [*scope, "token"])
+    else:
+        met = query_tokens.join(pairs.select(*scope, "prompt_id", key), [*scope, "prompt_id"]).join(weighted, [*scope, key, "token"])
+    return met.groupBy(*scope, "prompt_id", key).agg(F.sum(value).alias("raw_score"))
 
 
 def top_k(scores: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -15,13 +15,15 @@ prompt_id, text.  Missing card columns take the defaults of ``DEFAULTS``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import prompt as P
 from tessera.functions import signals as G
 from tessera.functions import text as T
-from tessera.functions.scoring import rounded
+from tessera.functions.scoring import noisy_or, rounded
 from tessera.operators import corpus, evidence, gates, selection, similarity
 from tessera.tables import materialize
 
@@ -134,20 +136,15 @@ def _kept(df: DataFrame, label: str, keep: list | None) -> DataFrame:
     return table
 
 
-def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
-    """Every prompt and applicable card that share a token or a signal, with scores, evidence families, reasons and the
-    gate's reason.  Statistics come from all cards of the scope."""
-    cards = with_defaults(cards).where("status = 'active' and recall_policy <> 'off'")
-    cards = cards.withColumn("card_key", F.concat_ws(":", "library_scope", "card_id"))
-    scope = scope or []
-    said = _kept(_prepared_prompts(prompts, scope), "recall-prompts", keep)
-    plan = P.query_plan(said, *scope, "prompt_id")
-    raw = corpus.bm25f(plan, corpus.field_rows(cards, _card_fields(), [*scope, "card_key"]), "card_key", scope=scope).select("prompt_id", *scope, "card_key", "raw_score")
-    # a card may be admitted on a signal alone, so signals bring candidates too
-    by_signal = said.select("prompt_id", *scope, F.explode(G.ids(F.col("signals"), "positive")).alias("signal")).join(cards.select(*scope, "card_key", F.explode(F.array_union("required_any", "required_all")).alias("signal")), [*scope, "signal"])
-    pairs = raw.unionByName(by_signal.select("prompt_id", *scope, "card_key", F.lit(0.0).alias("raw_score"))).groupBy("prompt_id", *scope, "card_key").agg(F.sum("raw_score").alias("raw_score"))
+def _recallable(cards: DataFrame) -> DataFrame:
+    rows = with_defaults(cards).where("status = 'active' and recall_policy <> 'off'")
+    return rows.withColumn("card_key", F.concat_ws(":", "library_scope", "card_id"))
+
+
+def _own(cards: DataFrame, scope: list[str]) -> DataFrame:
+    """What prompts are judged against: phrases, anchors, gates and priority of each card."""
     fields = _card_fields()
-    own = cards.select(
+    return cards.select(
         *scope,
         "card_key",
         "card_id",
@@ -161,10 +158,58 @@ def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None,
         evidence.priority(F.col("recall_policy"), F.col("risk"), F.col("confidence")).alias("priority_score"),
         F.coalesce(F.get("topics", 0), F.get("triggers", 0), F.col("card_id").cast("string")).alias("topic"),
     )
+
+
+def _by_signal(said: DataFrame, cards: DataFrame, scope: list[str]) -> DataFrame:
+    """Prompts and cards that a required signal brings together: a card may be admitted on that alone."""
+    asked = said.select("prompt_id", *scope, F.explode(G.ids(F.col("signals"), "positive")).alias("signal"))
+    wanted = cards.select(*scope, "card_key", F.explode(F.array_union("required_any", "required_all")).alias("signal"))
+    return asked.join(wanted, [*scope, "signal"]).select("prompt_id", *scope, "card_key")
+
+
+#: What a share of evidence adds to the logarithm of the rest, at most: the chord up to the family's cap.
+_FIELD_CHORD, _LEXICAL_CHORD = -math.log(1 - evidence.CAP / 100) / evidence.CAP, -math.log(1 - 0.18) / 18
+#: The most that one shared anchor adds to lexical support, and what rounding may add to a score.
+_LEXICAL_TOKEN, SLACK = 5.5, 0.1
+
+
+def essential_postings(own: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """``card_key`` and those ``token``s of its anchors that any prompt must hold one of to give it ``threshold`` of evidence without a signal.
+
+    Evidence joins by noisy-or, so logarithms add up, and each anchor has a most that it can add.  A card's anchors stand
+    from the rarest to the commonest; where those that are left can't reach the threshold together, the rest is not
+    essential, and pairs that share nothing else never meet.
+    """
+    need = -math.log(1 - max(threshold - SLACK, 0.0) / 100)
+    most = lambda f: lambda p: F.struct(p["tokens"].alias("tokens"), (evidence.token_reach(f, p) * _FIELD_CHORD).alias("most"))
+    phrases = [F.transform(f"p_{f}", most(f)) for f in evidence.EXACT]
+    met = own.select(*scope, "card_key", F.explode(F.concat(*phrases)).alias("p")).select(*scope, "card_key", F.explode("p.tokens").alias("token"), "p.most")
+    lexical = own.select(*scope, "card_key", F.explode("anchors").alias("token"), F.lit(_LEXICAL_TOKEN * _LEXICAL_CHORD).alias("most"))
+    posted = met.unionByName(lexical).groupBy(*scope, "card_key", "token").agg(F.sum("most").alias("most"))
+    df = posted.groupBy(*scope, "token").agg(F.count("*").alias("df"))
+    left = Window.partitionBy(*scope, "card_key").orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing)
+    return posted.join(df, [*scope, "token"]).withColumn("left", F.sum("most").over(left)).where(F.col("left") >= need).select(*scope, "card_key", "token")
+
+
+def reachable(said: DataFrame, own: DataFrame, cards: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """``prompt_id``, scope and ``card_key`` of the pairs that may be admitted at ``threshold``; all others can't be."""
+    words = said.select("prompt_id", *scope, F.explode("query_tokens").alias("token"))
+    met = words.join(essential_postings(own, scope, threshold), [*scope, "token"]).select("prompt_id", *scope, "card_key").distinct()
+    phrases = own.select(*scope, "card_key", "anchors", *[f"p_{f}" for f in evidence.EXACT])
+    both = met.join(phrases, [*scope, "card_key"]).join(said.select("prompt_id", "query_tokens"), "prompt_id")
+    shared = F.col("query_tokens")
+    most = [evidence.field_reach(f, F.col(f"p_{f}"), shared) for f in evidence.EXACT]
+    values = F.array(*most, evidence.lexical_support(F.col("anchors"), shared))
+    near = both.where(noisy_or(values) >= threshold - SLACK).select("prompt_id", *scope, "card_key")
+    return near.unionByName(_by_signal(said, cards, scope)).distinct()
+
+
+def _judged(pairs: DataFrame, said: DataFrame, own: DataFrame, cards: DataFrame, scope: list[str]) -> DataFrame:
+    """Gate and evidence of every pair whose card applies."""
     asked = said.select("prompt_id", "signals", "intent_modes", "query_text", "query_tokens", "negated_tokens", "own_project_key", "own_module_path")
     # pairs are small rows that cost much to judge: a fixed number of partitions keeps adaptive execution
     # from merging them by size, and the windows by prompt need no further shuffle
-    parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pairs.join(own, [*scope, "card_key"]).repartition(parts, "prompt_id").join(asked, "prompt_id")
     rows = rows.where(gates.applies(*[F.col(f"card_{c}") for c in PLACE], F.col("own_project_key"), F.col("own_module_path")))
     wanted = F.array_union("required_any", "required_all")
@@ -185,28 +230,74 @@ def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None,
     rows = rows.withColumn("shared", F.when(fine, F.array_intersect("anchors", "query_tokens")))
     rows = rows.withColumns({k: F.when(fine, v) for k, v in found.items()})
     named = [F.struct(F.lit(k[2:]).alias("family"), F.col(f"{k}.value").alias("value"), F.col(f"{k}.strong").alias("strong")) for k in found if k.startswith("e_")]
-    rows = rows.withColumn("evidence", F.filter(F.array(*named), lambda e: F.coalesce(e["value"], F.lit(0.0)) > 0))
-    return rows.select(
-        "prompt_id",
-        "card_key",
-        "card_id",
-        "library_scope",
+    return rows.withColumn("evidence", F.filter(F.array(*named), lambda e: F.coalesce(e["value"], F.lit(0.0)) > 0))
+
+
+def _scores(rows: DataFrame, raw: Column) -> list[Column]:
+    """Columns of a judged pair."""
+    fine = F.col("gate").isNull()
+    return [
+        *map(F.col, ("prompt_id", "card_key", "card_id", "library_scope")),
         selection.library_priority(F.col("library_scope")).alias("library_priority"),
-        "topic",
-        "priority_score",
-        F.when(fine, rounded(F.col("raw_score"))).otherwise(0.0).alias("raw_score"),
+        F.col("topic"),
+        F.col("priority_score"),
+        F.when(fine, rounded(raw)).otherwise(0.0).alias("raw_score"),
         gates.gate_reason(F.col("gate")).alias("gate_reason"),
         F.when(fine, evidence.evidence_score(F.transform("evidence", lambda e: e["value"]), F.col("penalty"))).otherwise(0.0).alias("score"),
         F.transform(F.filter("evidence", lambda e: e["value"] >= FAMILY), lambda e: e["family"]).alias("families"),
         F.exists("evidence", lambda e: e["strong"] & (e["value"] >= ANCHOR)).alias("strong_anchor"),
         _reasons(rows, [f for f in evidence.EXACT]).alias("reasons"),
-    )
+    ]
+
+
+def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
+    """Every prompt and applicable card that share a token or a signal, with scores, evidence families, reasons and the
+    gate's reason.  Statistics come from all cards of the scope."""
+    cards, scope = _recallable(cards), scope or []
+    said = _kept(_prepared_prompts(prompts, scope), "recall-prompts", keep)
+    raw = corpus.bm25f(P.query_plan(said, *scope, "prompt_id"), corpus.field_rows(cards, _card_fields(), [*scope, "card_key"]), "card_key", scope=scope).select("prompt_id", *scope, "card_key", "raw_score")
+    pairs = raw.unionByName(_by_signal(said, cards, scope).withColumn("raw_score", F.lit(0.0))).groupBy("prompt_id", *scope, "card_key").agg(F.sum("raw_score").alias("raw_score"))
+    pairs = _kept(pairs, "recall-pairs", keep)  # the dearest join, read more than once
+    rows = _judged(pairs, said, _own(cards, scope), cards, scope)
+    return rows.select(*_scores(rows, F.col("raw_score")))
+
+
+def admitted(prompts: DataFrame, cards: DataFrame, threshold: float = selection.THRESHOLD, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
+    """The rows of ``score`` that pass gates and admission.  Pairs that can't reach the threshold are never joined
+    or judged, and only admitted ones get a ``raw_score``."""
+    cards, scope = _recallable(cards), scope or []
+    said = _kept(_prepared_prompts(prompts, scope), "recall-prompts", keep)
+    own = _kept(_own(cards, scope), "recall-cards", keep)
+    pairs = _kept(reachable(said, own, cards, scope, threshold), "recall-pairs", keep)
+    rows = _judged(pairs, said, own, cards, scope)
+    fit = rows.select(*scope, *_scores(rows, F.lit(0.0)))
+    refused = F.coalesce("gate_reason", selection.admission_reason(F.col("score"), F.col("strong_anchor"), F.size("families"), F.lit(threshold)))
+    fit = _kept(fit.where(refused.isNull()), "recall-admitted", keep)
+    words = P.query_plan(said.join(fit.select("prompt_id").distinct(), "prompt_id", "left_semi"), *scope, "prompt_id")
+    raw = corpus.bm25f(words, corpus.field_rows(cards, _card_fields(), [*scope, "card_key"]), "card_key", scope=scope, pairs=fit)
+    out = fit.drop("raw_score").join(raw.select("prompt_id", "card_key", rounded(F.col("raw_score")).alias("raw_score")), ["prompt_id", "card_key"], "left").na.fill(0.0, ["raw_score"])
+    return _kept(out.drop(*scope), "recall-scored", keep)
 
 
 def _order() -> list[Column]:
     return selection.comparator("card_key", "library_priority")
 
 
+def _selected(fit: DataFrame, prompts: DataFrame, cards: DataFrame, limit: int, threshold: float, similar: DataFrame | None, scope: list[str] | None) -> DataFrame:
+    """Admitted pairs with ``rank_score``, ``selected`` and ``reason`` why they are not."""
+    fused = selection.fuse(fit, ["prompt_id"], "card_key")
+    similar = near_cards(cards, scope) if similar is None else similar
+    by = [c for c in scope or [] if c in similar.columns]
+    placed = fused.withColumn("place", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*_order())))
+    if by:
+        placed = placed.join(prompts.select("prompt_id", *by), "prompt_id")
+    fused = fused.join(selection.collapse(placed, similar, ["place"], by), ["prompt_id", "card_key"])
+    folded = fused.where("leader <> card_key").select(*fit.columns, "rank_score", F.lit(False).alias("selected"), F.concat(F.lit("post-selection:duplicate:"), "leader").alias("reason"))
+    kept = selection.diversify(fused.where("leader = card_key").drop("leader"), ["prompt_id"], "topic", _order())
+    chosen = selection.select_dynamic(kept, ["prompt_id"], _order(), limit, threshold).select(*fit.columns, "rank_score", "selected", "reason")
+    return chosen.unionByName(folded)
+
+
 def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
     """One row per scored candidate: scores, reasons, ``selected``, and ``reason`` why it is not selected.
 
@@ -216,25 +307,17 @@ def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.
     scored = score(prompts, cards, scope, keep)
     refused = F.coalesce("gate_reason", selection.admission_reason(F.col("score"), F.col("strong_anchor"), F.size("families"), F.lit(threshold)))
     scored = _kept(scored.withColumn("refused", refused), "recall-scored", keep)
-    admitted = scored.where("refused is null")
-    fused = selection.fuse(admitted, ["prompt_id"], "card_key")
-    similar = near_cards(cards, scope) if similar is None else similar
-    by = [c for c in scope or [] if c in similar.columns]
-    placed = fused.withColumn("place", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*_order())))
-    if by:
-        placed = placed.join(prompts.select("prompt_id", *by), "prompt_id")
-    fused = fused.join(selection.collapse(placed, similar, ["place"], by), ["prompt_id", "card_key"])
-    folded = fused.where("leader <> card_key").select(*scored.columns, "rank_score", F.lit(False).alias("selected"), F.concat(F.lit("post-selection:duplicate:"), "leader").alias("reason"))
-    kept = selection.diversify(fused.where("leader = card_key").drop("leader"), ["prompt_id"], "topic", _order())
-    chosen = selection.select_dynamic(kept, ["prompt_id"], _order(), limit, threshold).select(*scored.columns, "rank_score", "selected", "reason")
+    chosen = _selected(scored.where("refused is null"), prompts, cards, limit, threshold, similar, scope)
     out = scored.where("refused is not null").select(*scored.columns, F.lit(0.0).alias("rank_score"), F.lit(False).alias("selected"), F.col("refused").alias("reason"))
-    return chosen.unionByName(folded).unionByName(out).drop("refused", "gate_reason")
+    return chosen.unionByName(out).drop("refused", "gate_reason")
 
 
 def match(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
-    """The selected cards of each prompt with their ``rank``."""
-    rows = match_detailed(prompts, cards, limit, threshold, similar, scope, keep).where("selected")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*_order()))).drop("selected", "reason", "library_priority")
+    """The selected cards of each prompt with their ``rank``: those that ``match_detailed`` selects, found without
+    judging pairs that can't be admitted."""
+    fit = admitted(prompts, cards, threshold, scope, keep)
+    rows = _selected(fit, prompts, cards, limit, threshold, similar, scope).where("selected")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*_order()))).drop("selected", "reason", "library_priority", "gate_reason")
 
 
 def diagnostics(detailed: DataFrame, prompts: DataFrame, limit: int = selection.LIMIT) -> DataFrame:
