@@ -8,7 +8,7 @@ of rows, one text at a time is in memory.
 
 Defined cases: a null text counts as empty; an empty text is one frame of padding; equal texts give
 equal files; repeated rows and null ids are kept; a null, broken or cut-off file, or one whose canvas or frame has
-more than ``MAX_PIXELS`` pixels, has null digests, no frames and a reason in ``error``; ``n_bytes`` is null where a file does not
+more pixels than the caller's ``max_pixels`` (``MAX_PIXELS`` by default, None for no bound), has null digests, no frames and a reason in ``error``; ``n_bytes`` is null where a file does not
 note it; other columns are ignored.
 """
 
@@ -42,7 +42,7 @@ DELAY = 4
 BUCKETS = 8
 CHANNELS = np.array([0, BUCKETS, 2 * BUCKETS], np.uint8)
 GREY = bytes(v for v in range(256) for _ in range(3))
-#: The largest canvas or frame that is decoded; a header may claim 2**32 pixels in a few bytes.
+#: The largest canvas or frame that is decoded unless the caller sets another bound; a header may claim 2**32 pixels in a few bytes.
 MAX_PIXELS = 1 << 24
 #: The comment that notes a text's bytes.
 NOTE = re.compile(rb"text bytes: (\d{1,18})")
@@ -177,20 +177,20 @@ def encode(payload: bytes, comment: bytes = b"") -> bytes:
     return b"".join(out)
 
 
-def decode(data: bytes) -> tuple[Iterator[Frame], bytes]:
+def decode(data: bytes, max_pixels: int | None = MAX_PIXELS) -> tuple[Iterator[Frame], bytes]:
     """Frames of a GIF as shown, one at a time, and the comments before them.  A broken file raises ``ValueError``,
     an ``IndexError`` or a ``struct.error``."""
     if data[:3] != b"GIF":
         raise ValueError("not a GIF")
     width, height, packed, background, _ = struct.unpack_from("<HHBBB", data, 6)
-    if width * height > MAX_PIXELS:
+    if max_pixels is not None and width * height > max_pixels:
         raise ValueError("canvas too large")
     palette, at = _palette(data, 13, packed)
     comment, k = b"", at
     while data[k : k + 1] == b"\x21" and data[k + 1] == 0xFE:
         more, k = _blocks(data, k + 2)
         comment += more
-    return _frames(data, at, width, height, palette, background), comment
+    return _frames(data, at, width, height, palette, background, max_pixels), comment
 
 
 def _palette(data: bytes, at: int, packed: int) -> tuple[np.ndarray | None, int]:
@@ -201,7 +201,7 @@ def _palette(data: bytes, at: int, packed: int) -> tuple[np.ndarray | None, int]
     return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
-def _frames(data: bytes, at: int, width: int, height: int, palette: np.ndarray | None, background: int) -> Iterator[Frame]:
+def _frames(data: bytes, at: int, width: int, height: int, palette: np.ndarray | None, background: int, max_pixels: int | None) -> Iterator[Frame]:
     ground = palette[background] if palette is not None and background < len(palette) else np.zeros(3, np.uint8)
     canvas = np.broadcast_to(ground, (height, width, 3)).copy()
     delay, disposal, transparent = 0, 0, -1
@@ -223,7 +223,7 @@ def _frames(data: bytes, at: int, width: int, height: int, palette: np.ndarray |
         root = data[at]
         if not 1 <= root <= 8:
             raise ValueError("bad code size")
-        if w * h > MAX_PIXELS:
+        if max_pixels is not None and w * h > max_pixels:
             raise ValueError("frame too large")
         stream, at = _blocks(data, at + 1)
         index = np.frombuffer(lzw_decode(stream, root, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
@@ -285,12 +285,12 @@ _DESCRIBED = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha25
 _FRAME_DDL = "array<struct<" + ", ".join(f"{c}: {'array<long>' if c in FRAME[-3:] else 'long'}" for c in FRAME) + ">>"
 
 
-def describe(data: bytes | None) -> dict:
+def describe(data: bytes | None, max_pixels: int | None = MAX_PIXELS) -> dict:
     """What a file tells when it is read: payload, digests and timed frames, or why it can't be read."""
     if data is None:
         return {"error": "no media"}
     try:
-        shown, comment = decode(data)
+        shown, comment = decode(data, max_pixels)
         payload, frames, start = [], [], 0
         for frame in shown:
             left, top, w, h = frame.box
@@ -312,22 +312,22 @@ def describe(data: bytes | None) -> dict:
     }
 
 
-def features(media: DataFrame) -> DataFrame:
+def features(media: DataFrame, max_pixels: int | None = MAX_PIXELS) -> DataFrame:
     """Read stored files (``doc_id``, ``media``): lengths, digests, ``frames`` (an array of timed frames) and ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [describe(m) for m in batch["media"].to_pylist()]
+            rows = [describe(m, max_pixels) for m in batch["media"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r.get(c) for r in rows], t) for c, t in _DESCRIBED.items())], names=["doc_id", *_DESCRIBED])
 
     kinds = ", ".join(f"{c} {_FRAME_DDL if c == 'frames' else 'string' if t == pa.string() else 'long'}" for c, t in _DESCRIBED.items())
     return media.select("doc_id", "media").mapInArrow(run, f"doc_id {_type(media, 'doc_id')}, {kinds}")
 
 
-def frames(media: DataFrame) -> DataFrame:
+def frames(media: DataFrame, max_pixels: int | None = MAX_PIXELS) -> DataFrame:
     """A row per frame of each file: ``doc_id``, its number, start and delay in hundredths of a second, the box it drew, and
     the histogram columns ``red``, ``green`` and ``blue`` of the canvas as shown."""
-    return features(media).select("doc_id", F.inline("frames"))
+    return features(media, max_pixels).select("doc_id", F.inline("frames"))
 
 
 def feature_string(frames: Column) -> Column:

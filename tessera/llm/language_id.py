@@ -85,7 +85,7 @@ def grams_of(text: str) -> np.ndarray:
 def sample_ids(known: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
     """``lang`` and ``doc_id`` of the first ``per_language`` ids of each language by the hash of the id.
 
-    Only hashes in the lowest part can be among them: twice the expected number, and some, meet in a window."""
+    ``sizes`` counts distinct ids.  Only hashes in the lowest part can be among them: twice the expected number, and some, meet in a window."""
     parts = [(lang, -(2.0**63) + 2.0**64 * min(1.0, (2 * per_language + 1000) / n)) for lang, n in sizes.items()]
     bounds = known.sparkSession.createDataFrame(parts, "lang string, bound double")
     low = known.select("doc_id", "lang").join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id").cast("double") <= F.col("bound")).select("lang", "doc_id").distinct()
@@ -98,7 +98,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageFil
     language's distinct n-grams; the driver gets eight bytes for each and sets their bits."""
     small_batches(docs.sparkSession)
     known = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    held = known.select("lang", "doc_id").groupBy("lang", "doc_id").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("ids")).collect()
+    sizes, ids = {r["lang"]: r["n"] for r in held}, {r["lang"]: r["ids"] for r in held}
     if not sizes:
         return LanguageFilters()
     languages = sorted(sizes)
@@ -114,8 +115,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageFil
                 grams = np.unique(np.concatenate(parts))
                 yield pa.RecordBatch.from_pydict({"number": np.full(len(grams), k, np.int32), "gram": grams.astype(np.int64)})
 
-    ids = sample_ids(known, sizes, per_language)
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    chosen = sample_ids(known, ids, per_language)
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     rows = sample.select("lang", "text").mapInArrow(found, "number int, gram long").distinct().toArrow()
     numbers, grams = rows["number"].to_numpy(), rows["gram"].to_numpy().astype(np.uint64)
     by_frequency = sorted(range(len(languages)), key=lambda k: (-sizes[languages[k]], k))

@@ -3,8 +3,11 @@
 Each partition tokenizes its documents, cuts those longer than a sequence into pieces (the first
 takes the remainder, so the others fill sequences alone) and packs pieces best-fit decreasing.  Nearly full
 sequences are emitted; underfull ones go on as items, are merged into fewer partitions and packed
-again, until one partition is left.  A merging task hands on its ``PER_TASK`` emptiest sequences at most, so
-tasks stay bounded however many sequences no other piece fits.  Only lengths, ids and checksums
+again, until one partition is left.  A merging task hands on its ``PER_TASK`` emptiest sequences at most and sets the
+others aside, so tasks stay bounded however many sequences no other piece fits.  What is still underfull
+after that, set aside or not, meets in one last round by classes of equal fill: the counts of at most
+``CAPACITY`` classes are packed best-fit, and the sequences of each class are numbered by ranges and dealt to the
+places of that plan, so no task takes them all.  Only lengths, ids and checksums
 move between rounds.  Every round is written to the shared folder, so a lost executor cannot
 make two rounds disagree.
 
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import materialize, small_batches, table
+from tessera.llm.common import materialize, numbered, small_batches, table
 
 QUERY = "op7_packing"
 
@@ -38,7 +41,7 @@ END_ID = 0
 #: Free tokens up to which a sequence counts as nearly full before the last round.
 SLACK = 16
 #: Pieces that one task packs at a time, and underfull sequences that a task of a later round hands on at most (the
-#: first of these rounds gives as many to a task, the others FAN_IN times as many).
+#: first of these rounds gives as many to a task, the others FAN_IN times as many); the others meet in the last round.
 BLOCK = 100_000
 PER_TASK = 10_000
 #: Partitions that a round merges into one.
@@ -107,7 +110,24 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-SCHEMA = "sequence_id bigint, fill int, done boolean, members array<struct<doc_id: {id}, piece: int, start: bigint, length: bigint, crc: bigint, offset: bigint>>"
+def best_fit_classes(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing of ``counts`` items of each size, all equal items at once: the sizes in a bin, and how many such bins."""
+    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            free = min((f for f in bins if f >= size and bins[f]), default=capacity)
+            held, n = bins[free].pop() if bins.get(free) else ((), left)
+            each = min(free // size, left)
+            used = min(n, left // each)
+            if used < n and held:
+                bins[free].append((held, n - used))
+            bins.setdefault(free - size * each, []).append((held + (size,) * each, used))
+            left -= used * each
+    return [x for group in bins.values() for x in group]
+
+
+SCHEMA = "sequence_id bigint, fill int, done boolean, aside boolean, members array<struct<doc_id: {id}, piece: int, start: bigint, length: bigint, crc: bigint, offset: bigint>>"
 _MEMBER = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("offset", pa.int64())]
 
 
@@ -141,12 +161,13 @@ class _Packer:
                 fills.append(offset)
                 ends.append(len(columns[0]))
             ids = [self.base + self.made + k for k in range(len(part))]
-            done = [x >= CAPACITY - self.slack or (self.most is not None and at + k >= self.most) for k, x in enumerate(fills)]
+            done = [x >= CAPACITY - self.slack for x in fills]
+            aside = [not full and self.most is not None and at + k >= self.most for k, full in enumerate(done)]
             self.made += len(part)
             struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.member, strict=True)], fields=list(self.member))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(fills, pa.int32()), pa.array(done, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)],
-                names=["sequence_id", "fill", "done", "members"],
+                [pa.array(ids, pa.int64()), pa.array(fills, pa.int32()), pa.array(done, pa.bool_()), pa.array(aside, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)],
+                names=["sequence_id", "fill", "done", "aside", "members"],
             )
         self.sizes, self.items = [], []
 
@@ -185,23 +206,56 @@ def _next_round(bins: DataFrame, round_no: int, most: int) -> DataFrame:
     return bins.select("fill", "members").mapInArrow(run, SCHEMA.format(id=kind.simpleString()))
 
 
+def _by_classes(underfull: DataFrame) -> DataFrame | None:
+    """Where sequences of equal fill go in the last round: ``sequence_id``, ``into`` (the sequence that takes it) and ``shift``; null if
+    no two fit together.  Only the counts of at most CAPACITY classes reach the driver."""
+    spark = underfull.sparkSession
+    counts = {r["fill"]: r["n"] for r in underfull.groupBy("fill").agg(F.count("*").alias("n")).collect()}
+    plan = [(sizes, n) for sizes, n in best_fit_classes(counts) if len(sizes) > 1]
+    if not plan:
+        return None
+    places, base, taken = [], 0, dict.fromkeys(counts, 0)
+    for sizes, n in plan:
+        shift = 0
+        for size in sizes:
+            places.append((str(size), taken[size], taken[size] + n, base, shift))
+            taken[size] += n
+            shift += size
+        base += n
+    dealt = spark.createDataFrame(places, "class string, first long, stop long, base long, shift long")
+    ranked = numbered(underfull.select(F.col("fill").cast("string").alias("class"), "sequence_id"), "class", [F.col("sequence_id")], "packing-classes")
+    met = ranked.join(dealt, "class").where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("stop")))
+    return met.select("sequence_id", (F.col("base") + F.col("at") - F.col("first") + F.lit(CLASS_BASE)).alias("into"), "shift")
+
+
+#: Ids of sequences that the last round makes begin here; rounds before it count from their number times 2**56.
+CLASS_BASE = 127 << 56
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
     small_batches(docs.sparkSession)
     rounds = [materialize(_first_round(docs, tokenizer or default_tokenizer()), "packing-0")]
+    kept, aside = [], []
     underfull = rounds[0].where("not done")
     parts = -(-underfull.count() // PER_TASK)
     while parts:
         made = materialize(_next_round(underfull.repartition(parts, "sequence_id"), len(rounds), PER_TASK), f"packing-{len(rounds)}")
-        rounds[-1] = rounds[-1].where("done")
+        kept.append(rounds[-1].where("done"))
         rounds.append(made)
-        underfull = made.where("not done")
+        aside.append(made.where("aside"))
+        underfull = made.where("not done and not aside")
         parts = -(-parts // FAN_IN) if parts > 1 else 0
-    whole = rounds[0]
-    for more in rounds[1:]:
-        whole = whole.unionByName(more)
-    rows = whole.select("sequence_id", F.explode("members").alias("m"))
-    return rows.select("m.doc_id", "m.piece", "m.start", "m.length", F.col("m.crc").alias("ids_crc32"), "sequence_id", "m.offset")
+    kept.append(rounds[-1].where("done"))
+    left = functools.reduce(DataFrame.unionByName, [underfull, *aside])
+    whole = functools.reduce(DataFrame.unionByName, [*kept, left])
+    rows = whole.select("sequence_id", "done", F.explode("members").alias("m"))
+    moved = _by_classes(left.select("fill", "sequence_id"))
+    if moved is None:
+        return rows.select("m.doc_id", "m.piece", "m.start", "m.length", F.col("m.crc").alias("ids_crc32"), "sequence_id", "m.offset")
+    rows = rows.join(moved, "sequence_id", "left")
+    offset = F.col("m.offset") + F.coalesce("shift", F.lit(0))
+    return rows.select("m.doc_id", "m.piece", "m.start", "m.length", F.col("m.crc").alias("ids_crc32"), F.coalesce("into", "sequence_id").alias("sequence_id"), offset.alias("offset"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ of each local component, never all pairs; distributed contraction joins them.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and link like any other; equal
 texts, repeated rows and ties share a component; a null id is kept but never names a component
-unless all its members' ids are null; other columns are ignored.  The pipeline's stage is in ``near_copies``.
+unless all its members' ids are null; other columns pass through (``with_components`` replaces columns named ``sim_fp`` and ``sim_component``).  The pipeline's stage is in ``near_copies``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, materialize, table
+from tessera.llm.common import add_columns, discard, materialize, table
 from tessera.llm.graph import components
 
 QUERY = "op4_simhash"
@@ -160,10 +160,12 @@ def _keys() -> list:
     return [F.shiftleft(F.shiftleft(F.lit(n).cast("long"), 13).bitwiseOR(block(i)), 13).bitwiseOR(block(j)) for n, (i, j) in enumerate(pairs)]
 
 
-def links(fingerprints: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Edges ``a``, ``b`` that connect all distinct ``fp`` within the radius, possibly through others."""
+def links(fingerprints: DataFrame, shard: int = SHARD, held: list | None = None) -> DataFrame:
+    """Edges ``a``, ``b`` that connect all distinct ``fp`` within the radius, possibly through others; ``held`` collects the table to discard after use."""
     keyed = fingerprints.select("fp", F.explode(F.array(*_keys())).alias("shard"))
     sizes = materialize(keyed.groupBy("shard").count().where(F.col("count") > shard), "hot-shards")
+    if held is not None:
+        held.append(sizes)
     if not sizes.isEmpty():
         many = F.ceil(F.col("count") / shard).cast("int")
         own = F.pmod(F.xxhash64("fp"), many).cast("int")
@@ -179,7 +181,10 @@ def with_components(docs: DataFrame, carry: list[str] | None = None) -> DataFram
     marked = add_columns(docs, {"sim_fp": "long"}, lambda texts: [[fingerprint(t) for t in texts]], carry)
     marked = materialize(marked, "fingerprints")
     firsts = materialize(marked.groupBy(F.col("sim_fp").alias("fp")).agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    linked = components(links(firsts.select("fp"))).withColumnRenamed("node", "fp").join(firsts, "fp")
+    held: list[DataFrame] = []
+    linked = components(links(firsts.select("fp"), held=held)).withColumnRenamed("node", "fp").join(firsts, "fp")
+    for done in held:
+        discard(done)
     smallest = linked.groupBy("component").agg(F.min("first").alias("sim_component"))
     named = linked.join(smallest, "component").select("fp", "sim_component")
     classes = firsts.join(named, "fp", "left").select(F.col("fp").alias("sim_fp"), F.coalesce("sim_component", "first").alias("sim_component"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import discard, materialize, table
 from tessera.llm.graph import components
 
 QUERY = "op1_url_filters"
@@ -101,6 +101,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     edges = materialize(links.select(node_of(F.col("from")).alias("a"), node_of(F.col("to")).alias("b"), "from", "to").where("a <> b"), "url-edges")
     out = urls.join(matched(urls, rules), ["host", "path"], "left")
     if edges.isEmpty():
+        discard(edges)
         return out.select("row.*", "host", "path", "rule", F.coalesce("own", F.lit(DEFAULT)).alias("verdict"))
     ends = edges.select(F.col("from").alias("url")).unionByName(edges.select(F.col("to").alias("url"))).distinct()
     ends = ends.select(node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()

@@ -41,3 +41,14 @@ def test_sample_is_the_first_by_hash(spark):
     got = {r["doc_id"] for r in language_id.sample_ids(docs, {"a": 8000, "b": 1000}, 1500).collect()}
     first = docs.where("lang = 'a'").orderBy(F.xxhash64("doc_id"), "doc_id").limit(1500).collect()
     assert got == {r["doc_id"] for r in first} | {k for k in range(9000) if k % 9 == 0}
+
+
+def test_repeated_ids_leave_the_sample_whole(spark):
+    """400 ids, each 100 times: a sample of 100 documents takes 100 of them, and sees all their n-grams."""
+    docs = spark.range(40000).selectExpr("id % 400 AS doc_id", "concat('w', id % 400) AS text", "'a' AS lang")
+    known = docs.where(language_id.learnable(F.col("doc_id")))
+    assert language_id.sample_ids(known, {"a": known.select("doc_id").distinct().count()}, 100).count() == 100
+    want = {r["doc_id"] for r in known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect()}
+    model = language_id.fit(docs, 100)
+    grams = {g for k in want for g in language_id.grams_of(f"w{k}").tolist()}
+    assert len(grams) * language_id.HASHES >= int((model.slices != 0).sum()) > len(grams)

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import importance, merkle, pii
+from tessera.llm import importance, merkle, packing, pii, simhash
 
 
 def sha(text):
@@ -270,3 +270,55 @@ def test_private_data_query_equals_sql(spark, tmp_path):
     whole = pii.detect(frame).collect()
     assert len(whole) == len(rows) and all((r["redacted"] is None) == (r["text"] is None) for r in whole)
     assert pii.detect(frame.where("false")).count() == 0
+
+
+# ------------------------------------------------------------------ whole queries of earlier operators
+
+
+def test_simhash_query_equals_all_pairs(spark, tmp_path):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("ab cd") for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    rows = list(enumerate(base)) + [(100 + k, base[k] + " zz") for k in range(40)] + [(200, None), (201, ""), (202, " \n"), (None, base[1]), (7, base[7]), (300, "A B C D " * 400), (301, "a b c d " * 400)]
+    folder = written(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, sim_fp int"), tmp_path / "a")
+    got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.query(spark, folder).collect()]
+    prints = [(k, simhash.fingerprint(t) & (1 << 64) - 1) for k, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, a) in enumerate(prints):
+        for j, (_, b) in enumerate(prints[:i]):
+            if (a ^ b).bit_count() <= 3:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(prints):
+        least[find(i)] = min((x for x in (least.get(find(i)), k) if x is not None), default=None)
+    assert sorted(got, key=repr) == sorted([(k, f"{fp:016x}", least[find(i)]) for i, (k, fp) in enumerate(prints)], key=repr)
+
+
+def test_packing_query_returns_whole_documents(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["alpha", "Beta,", "中文", "x1"]) for _ in range(rng.choice([0, 3, 700, 3000])))) for k in range(40)] + [(90, None), (None, "lost"), (3, "again")]
+    folder = written(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, piece int"), tmp_path / "a")
+    got, sequences = {}, {}
+    for r in packing.query(spark, folder).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    want = {}
+    for k, text in rows:
+        ids = [*(tokenizer.encode(text, add_special_tokens=False).ids if text else []), 0]
+        first = len(ids) % 2048 or 2048
+        for a, b in [(0, first)] + [(x, x + 2048) for x in range(first, len(ids), 2048)]:
+            want.setdefault(k, []).append((a, b - a, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a:b]))))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    for parts in sequences.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+    total = sum(n for parts in sequences.values() for _, n in parts)
+    assert len(sequences) <= -(-total // 2048) + 1

@@ -386,6 +386,32 @@ def test_sequences_that_nothing_fits_do_not_pile_up(spark, monkeypatch):
     assert 1100 < len(ids) < 1400 and check_packed(rows, [(k, ids.tolist()) for k in range(60)]) == 60
 
 
+def test_sequences_set_aside_still_meet(spark, monkeypatch):
+    """Two tasks of one block each: what the emptiest crowd out of the merge fits into it by classes."""
+    sizes = [1400] * 40 + [600] * 40 + [30] * 60
+    monkeypatch.setattr(packing, "PER_TASK", 2)
+    monkeypatch.setattr(packing, "BLOCK", 1)
+    monkeypatch.setattr(packing, "token_ids", lambda text, path: np.arange(int(text), dtype="<u4"))
+    docs = spark.createDataFrame([(k, str(n)) for k, n in enumerate(sizes)], "doc_id long, text string").repartition(7)
+    rows = packing.pack(docs).collect()
+    assert check_packed(rows, [(k, list(range(n))) for k, n in enumerate(sizes)]) <= 42
+
+
+def test_best_fit_of_classes_equals_best_fit():
+    rng = random.Random(4)
+    for _ in range(300):
+        counts = {rng.randint(1, 99): rng.randint(1, 50) for _ in range(rng.randint(1, 12))}
+        plan = packing.best_fit_classes(counts, 100)
+        packed = {}
+        for sizes, n in plan:
+            assert sum(sizes) <= 100 and n > 0
+            for size in sizes:
+                packed[size] = packed.get(size, 0) + n
+        assert packed == counts
+        plain = packing.best_fit([s for s, n in counts.items() for _ in range(n)], 100)
+        assert sum(n for _, n in plan) <= 1.02 * len(plain) + 1
+
+
 def test_best_fit_against_search():
     rng = random.Random(3)
     for _ in range(20):
