@@ -200,7 +200,9 @@ def library_findings(spark, sf_dir):
 @query(
     "maintenance_prompts",
     """WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text || chr(10) || 'please run tessera doctor now' WHEN 1 THEN 'about tessera doctor' WHEN 2 THEN '$ tessera configure' ELSE '  > npx tessera config set' END AS text FROM conversations)
-    SELECT conv_id, turn, list_any_value([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '(?i)^\\s*(?:(?:please|请|帮我)\\s*)?(?:(?:run|execute|运行|执行)\\s*)?[$>`\\s]*(?:npx\\s+)?tessera\\s+(?:init|uninstall|source|doctor|config|experience|hook|project|reflect)(?:[^A-Za-z0-9_]|$)')]) IS NOT NULL AS maintenance FROM t""",
+    SELECT conv_id, turn, coalesce(list_bool_or(list_transform(string_split(text, chr(10)), lambda x: list_bool_or(list_transform([list_slice(regexp_extract_all(lower(x), '[A-Za-z0-9_@./-]+'), 1, 8)],
+      lambda w: list_bool_or(list_transform([list_position(list_transform(w, lambda y: y IN ('please', 'run', 'execute', 'npx')), false)], lambda i: w[i] = 'tessera'
+        AND w[i + 1] IN ('init', 'uninstall', 'source', 'doctor', 'config', 'experience', 'hook', 'project', 'reflect'))))) AND regexp_matches(x, '^[\\s`$>]*[A-Za-z]'))), false) AS maintenance FROM t""",
 )
 def maintenance_prompts(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
@@ -211,13 +213,13 @@ def maintenance_prompts(spark, sf_dir):
 
 @query(
     "rendered_cards",
-    """WITH m AS (SELECT p_size AS prompt_id, p_partkey FROM part), c AS (SELECT p_size AS prompt_id, string_agg('show ' || p_partkey || ' ', chr(10)) AS context FROM part WHERE p_retailprice > 1200 GROUP BY 1)
+    """WITH m AS (SELECT p_size AS prompt_id, p_partkey FROM part), c AS (SELECT p_size AS prompt_id, string_agg('show ' || p_partkey || ' ', chr(10)) AS context FROM part WHERE p_retailprice > 960 GROUP BY 1)
     SELECT prompt_id, array_to_string(list_sort(list(p_partkey)), ',') AS rendered FROM m JOIN c USING (prompt_id) WHERE contains(context, 'show ' || p_partkey || ' ') GROUP BY 1""",
 )
 def rendered_cards(spark, sf_dir):
     p = read(spark, sf_dir, "part").select(F.col("p_size").alias("prompt_id"), F.col("p_partkey").alias("card_id"), "p_retailprice")
     marker = F.concat(F.lit("show "), F.col("card_id").cast("string"), F.lit(" "))
-    contexts = p.where("p_retailprice > 1200").groupBy("prompt_id").agg(F.array_join(F.collect_list(marker), "\n").alias("context"))
+    contexts = p.where("p_retailprice > 960").groupBy("prompt_id").agg(F.array_join(F.collect_list(marker), "\n").alias("context"))
     return hooks.rendered_ids(p, contexts, marker).select("prompt_id", F.array_join("rendered", ",").alias("rendered"))
 
 

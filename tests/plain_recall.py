@@ -75,10 +75,19 @@ def head_tail(values, n):
 
 
 def commands(text):
-    tool = "(?:" + "|".join((*T.COMMAND_NAMES, *T.OWN_COMMANDS)) + r")\s+(?=[A-Za-z0-9_./:@=-])"
-    quoted = [c.strip(" ") for c in re.findall("`([^`]+)`", text) if re.match(f"(?i){tool}", c.strip(" "), A)]
-    bare = bounded(rf"(?i)(?:^|[\n;]|\b(?:{'|'.join(T.COMMAND_VERBS)})\s+)({tool}[^。\n;`，,]+)").findall(text)
-    return distinct(c.strip(" ")[: T.COMMAND_CHARS] for c in quoted + bare)
+    tools = {*T.COMMAND_NAMES, *T.OWN_COMMANDS}
+
+    def begins(words, i):
+        return words[i].lower() in tools and i + 1 < len(words) and re.match("[A-Za-z0-9_./:@=-]", words[i + 1]) is not None
+
+    marks = text.split("`")
+    out = [c for k, c in enumerate(marks) if k % 2 and k < len(marks) - 1 and begins(re.split(r"\s+", c.strip(" "), flags=A), 0)]
+    for line in re.split("[\n;]", text):
+        for k, clause in enumerate(re.split("[。`，,]", line)):
+            words = re.split(r"\s+", clause.strip(" "), flags=A)
+            starts = [i for i in range(len(words)) if begins(words, i) and (k == 0 if i == 0 else words[i - 1].lower() in T.COMMAND_VERBS)]
+            out += [" ".join(words[starts[0] :])] if starts else []
+    return distinct(c.strip(" ")[: T.COMMAND_CHARS] for c in out)
 
 
 # ------------------------------------------------------------------ signals
@@ -100,18 +109,18 @@ def together(text, c):
 
 
 def parts_of(text, pattern):
-    return [p for p in (x.strip(" ") for x in re.split(pattern, text, flags=A)) if p]
+    return [p for p in (x.strip(" ") for x in re.split(pattern, text, flags=A | re.I)) if p]
 
 
 def judged(text):
     seen = [s for s in G.REGISTRY if shows(text, s)]
     segments = parts_of(text, G.SEGMENT_BREAK)
-    contexts = distinct(parts_of(text, G.CONTEXT_BREAK) + [m.group(0).strip(" ") for m in re.finditer(G.CURRENT_BLOCK, text, A)])
+    contexts = distinct(parts_of(text, G.CONTEXT_BREAK) + [m.group(0).strip(" ") for m in re.finditer(G.CURRENT_BLOCK, text, A | re.I)])
     by_id = {s.id: s for s in seen}  # parts are asked only for what the whole shows
     denied = set()
     for s in seen:
         own = [p for p in segments if shows(p, s)]
-        if s.positive and own and all(re.search("(?s)" + T.ascii_bounds(G.DENIED), p, A) for p in own):
+        if s.positive and own and all(any(re.search(q, p, A | re.I) for q in G.DENIED) and not (s.id in G.NO_DENIAL and re.search(G.NO_DENIAL[s.id], p, A | re.I)) for p in own):
             denied.add(s.id)
     hit, contextual = set(), set()
     for s in seen:
@@ -127,7 +136,7 @@ def judged(text):
 def signals(text):
     narrative, positive = strip_noise(text).lower(), strip_noise(strip_negated(text)).lower()
     raw = text.lower()
-    lined = re.search("(?s)" + T.ascii_bounds(G.LINED), raw, A) or re.search(T.ascii_bounds(G.CURRENT_BLOCK), raw, A)
+    lined = re.search(G.LINED, raw, A | re.I) or re.search(G.CURRENT_BLOCK, raw, A | re.I)
     found = judged(narrative)
     by_id = {s.id: s for s in G.REGISTRY}
     affirmed = found if positive == narrative else judged(positive)
@@ -138,8 +147,8 @@ def signals(text):
     for p in parts_of(positive, G.SEGMENT_BREAK):
         ours = {s.id for s in G.REGISTRY if shows(positive, s) and shows(p, s)}
         aimed = {s.id for s in G.REGISTRY if set(s.targets) & set(G.EXECUTION)}
-        earnest = ours & set(G.EXECUTION) and not ours & aimed and not re.search("(?s)" + T.ascii_bounds(G.NO_EXECUTION), p, A)
-        modes |= {m for m, q in G.INTENTS.items() if re.search("(?s)" + T.ascii_bounds(q), p, A) and (m != "execute" or earnest)}
+        earnest = ours & set(G.EXECUTION) and not ours & aimed and not re.search(G.NO_EXECUTION, p, A | re.I)
+        modes |= {m for m, patterns in G.INTENTS.items() if any(re.search(q, p, A | re.I) for q in patterns) and (m != "execute" or earnest)}
     return ids, [m for m in G.INTENT_MODES if m in modes and not ("execute" in modes and m in ("explain", "discuss"))]
 
 
