@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import reciprocal_rank_fusion, rounded
+from tessera.tables import discard, materialize
 
 LIMIT, THRESHOLD, GAP = 4, 40.0, 18.0
 COLLAPSE = 64.0
@@ -59,45 +59,72 @@ def library_priority(scope: Column) -> Column:
     return F.when(scope == "project", PROJECT).otherwise(ANY_LIBRARY)
 
 
-def collapse(candidates: DataFrame, similar: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+def _earlier_pairs(rows: DataFrame, similar: DataFrame, by: list[str]) -> DataFrame:
+    """``prompt_id``, ``v`` and ``w``: places of candidates and of earlier ones of their prompt with the same id or alike."""
+    both = similar.select("a", "b", *by).unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"), *by))
+    later = rows.select("prompt_id", F.col("place").alias("v"), F.col("card_id").alias("a"), *by)
+    earlier = rows.select("prompt_id", F.col("place").alias("w"), "card_id", *by)
+    alike = later.join(both, ["a", *by]).join(earlier.withColumnRenamed("card_id", "b"), ["prompt_id", "b", *by])
+    same = later.withColumnRenamed("a", "card_id").join(earlier.drop(*by), ["prompt_id", "card_id"])
+    return alike.select("prompt_id", "v", "w").unionByName(same.select("prompt_id", "v", "w")).where("w < v").distinct()
+
+
+def collapse(candidates: DataFrame, similar: DataFrame, order: list[str], by: list[str] | None = None, rounds: list[int] | None = None) -> DataFrame:
     """Greedy collapse of near-duplicate cards per prompt: ``leader`` is the ``card_key`` that represents each.
 
     ``candidates``: prompt_id, card_key, card_id, score, library_priority and the columns of ``order`` (sorted
-    ascending; admitted cards only, a few per prompt).  A card joins the first leader with its id or alike it; a card
+    ascending).  A card joins the first leader with its id or alike it; a card
     of a preferred library replaces the leader if it has the same id or a score near the leader's.  ``similar``: unordered
     pairs a, b of card ids of one card set, or of the sets that the columns ``by`` name, which candidates
-    then have too.  Each candidate brings its own pairs along by a join, so nothing is broadcast without a bound.
+    then have too.
+
+    The greedy order is kept without walking through it: in each round, all candidates are decided whose earlier like ones are decided
+    and whose possible leaders no undecided candidate in between may still replace.  Rounds are joins over the pairs of
+    like candidates and grow with the longest chain of such pairs in ascending order, not with the candidates.
+    ``rounds``, if given, collects how many were decided in each.
     """
     by = by or []
-    both = similar.select("a", "b", *by).unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"), *by))
-    lists = both.groupBy(F.col("a").alias("card_id"), *by).agg(F.collect_set("b").alias("near"))
-    rows = candidates.select("prompt_id", "card_key", "card_id", "score", "library_priority", *by, *order).join(lists, ["card_id", *by], "left")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        leaders: list = []
-        leader_of: dict = {}
-        for r in group.sort_values([*order, "card_key"]).itertuples():
-            near = set(r.near) if r.near is not None else set()
-            at = next((k for k, x in enumerate(leaders) if x.card_id == r.card_id or x.card_id in near), None)
-            leader_of[r.card_key] = r.card_key
-            if at is None:
-                leaders.append(r)
-                continue
-            old = leaders[at]
-            if r.library_priority > old.library_priority and (r.card_id == old.card_id or r.score >= old.score - NEAR_SCORE):
-                leader_of[old.card_key], leaders[at] = r.card_key, r
-            else:
-                leader_of[r.card_key] = old.card_key
-        return pd.DataFrame({"prompt_id": group["prompt_id"].iloc[0], "card_key": list(leader_of), "leader": list(leader_of.values())})
-
-    # most prompts have no two cards that could fold: only the others are walked through, in a fixed number of tasks
-    own = Window.partitionBy("prompt_id")
-    folds = F.max(F.col("near").isNotNull()).over(own) | (F.count("*").over(own) > F.size(F.collect_set("card_id").over(own)))
-    rows = rows.withColumn("folds", folds)
-    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = f"prompt_id {dict(candidates.dtypes)['prompt_id']}, card_key string, leader string"
-    walked = rows.where("folds").drop("folds").repartition(parts, "prompt_id").groupBy("prompt_id").applyInPandas(fold, schema)
-    return walked.unionByName(rows.where("not folds").select("prompt_id", "card_key", F.col("card_key").alias("leader")))
+    place = F.row_number().over(Window.partitionBy("prompt_id").orderBy(*order, "card_key"))
+    rows = candidates.select("prompt_id", "card_key", "card_id", "score", "library_priority", *by, place.alias("place"))
+    pairs = materialize(_earlier_pairs(rows, similar, by), "collapse-pairs")
+    if pairs.isEmpty():
+        discard(pairs)
+        return rows.select("prompt_id", "card_key", F.col("card_key").alias("leader"))
+    ends = pairs.select("prompt_id", F.col("v").alias("place")).unionByName(pairs.select("prompt_id", F.col("w").alias("place"))).distinct()
+    own = rows.join(ends, ["prompt_id", "place"]).select("prompt_id", "place", "card_id", "score", "library_priority")
+    null = lambda kind: F.lit(None).cast(kind)
+    # leads: whether it is or was a leader; slot: the place of the first leader of its line; gone: the place of what replaced it
+    state = materialize(own.withColumns({"leads": null("boolean"), "slot": null("int"), "gone": null("int"), "leader": null("int")}), "collapse-state")
+    while True:
+        open_ = state.where("leads is null")
+        if open_.isEmpty():
+            break
+        v, w = open_.select("prompt_id", F.col("place").alias("v"), F.col("library_priority").alias("rank")), state.select("prompt_id", F.col("place").alias("w"), F.struct("slot", "place", "library_priority", "score", "card_id").alias("at"), "leads", "gone")
+        met = pairs.join(v, ["prompt_id", "v"]).join(w, ["prompt_id", "w"])
+        pending = met.where(F.col("rank") > F.col("at.library_priority")).groupBy("prompt_id", "w").agg(F.min("v").alias("next"))
+        met = met.join(pending, ["prompt_id", "w"], "left")
+        waits = F.col("leads").isNull() | (F.col("leads") & F.coalesce(F.col("next") < F.col("v"), F.lit(False)))
+        leads = F.coalesce(F.col("leads"), F.lit(False)) & F.coalesce(F.col("gone") > F.col("v"), F.lit(True))
+        told = met.groupBy("prompt_id", F.col("v").alias("place")).agg(F.max(waits).alias("waits"), F.min(F.when(leads, F.col("at"))).alias("best"))
+        ready = open_.drop("leads", "slot", "gone", "leader").join(told, ["prompt_id", "place"], "left").where(~F.coalesce("waits", F.lit(False)))
+        near = (F.col("card_id") == F.col("best.card_id")) | (F.col("score") >= F.col("best.score") - NEAR_SCORE)
+        takes = F.coalesce((F.col("library_priority") > F.col("best.library_priority")) & near, F.lit(False))
+        heads = F.col("best").isNull() | takes
+        decided = ready.select("prompt_id", "place", heads.alias("heads"), F.when(takes, F.col("best.slot")).otherwise(F.col("place")).alias("new_slot"), F.when(heads, F.col("place")).otherwise(F.col("best.place")).alias("new_leader"), F.when(takes, F.col("best.place")).alias("over"))
+        decided = materialize(decided, "collapse-decided")
+        if rounds is not None:
+            rounds.append(decided.count())
+        out = decided.where("over is not null").select("prompt_id", F.col("over").alias("place"), F.col("new_leader").alias("by"))
+        turned = state.join(decided.drop("over"), ["prompt_id", "place"], "left").join(out, ["prompt_id", "place"], "left")
+        columns = {"leads": F.coalesce("leads", "heads"), "slot": F.coalesce("slot", "new_slot"), "gone": F.coalesce("gone", "by"), "leader": F.coalesce("by", "leader", "new_leader")}
+        following = materialize(turned.withColumns(columns).select(*state.columns), "collapse-state")
+        discard(state)
+        discard(decided)
+        state = following
+    heads = rows.select("prompt_id", F.col("place").alias("leader"), F.col("card_key").alias("leader_key"))
+    named = state.select("prompt_id", "place", "leader").join(heads, ["prompt_id", "leader"])
+    discard(pairs)
+    return rows.join(named.select("prompt_id", "place", "leader_key"), ["prompt_id", "place"], "left").select("prompt_id", "card_key", F.coalesce("leader_key", "card_key").alias("leader"))
 
 
 NEGATIVE_REASONS, POSITIVE_REASONS = 8, 12

@@ -61,6 +61,30 @@ def test_collapse_follows_the_greedy_rule(spark):
     assert got == want
 
 
+def test_collapse_needs_few_rounds(spark):
+    """One prompt, 3,000 candidates in random order, each like its neighbour: rounds follow ascending chains, not candidates."""
+    rng = random.Random(1)
+    n = 3000
+    places = rng.sample(range(n), n)
+    rows = spark.createDataFrame([(1, str(k), k, 50.0, 1, places[k]) for k in range(n)], "prompt_id int, card_key string, card_id int, score double, library_priority int, place int")
+    similar = spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "a int, b int")
+    rounds = []
+    got = {int(r.card_key): int(r.leader) for r in selection.collapse(rows, similar, ["place"], rounds=rounds).collect()}
+    want, leaders = {}, set()
+    for k in sorted(range(n), key=places.__getitem__):
+        near = [x for x in (k - 1, k + 1) if x in leaders]
+        want[k] = min(near, key=places.__getitem__) if near else k
+        if not near:
+            leaders.add(k)
+    assert got == want and sum(rounds) == n and len(rounds) <= 12
+
+
+def test_collapse_without_like_cards_keeps_all(spark):
+    rows = spark.createDataFrame([(1, "a:1", 1, 50.0, 1, 0), (1, "a:2", 2, 50.0, 1, 1), (2, "a:1", 1, 50.0, 1, 0)], "prompt_id int, card_key string, card_id int, score double, library_priority int, place int")
+    kept = selection.collapse(rows, spark.createDataFrame([(1, 9)], "a int, b int"), ["place"]).collect()
+    assert len(kept) == 3 and all(r.card_key == r.leader for r in kept)
+
+
 def test_pruned_pairs_are_whole(spark):
     rng = random.Random(4)
     sets = {k: sorted({rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))}) for k in range(60)}
