@@ -48,27 +48,39 @@ def field_lengths(rows: DataFrame, posted: DataFrame, scope: list[str]) -> DataF
     return n.join(total, [*scope, "field"], "left").select(*scope, "field", "n", average.alias("average"))
 
 
-def bm25f(query_tokens: DataFrame, rows: DataFrame, key: str, weights: dict[str, float] | None = None, scope: list[str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def token_weights(posted: DataFrame, average: DataFrame, df: DataFrame, key: str, weights: dict[str, float] | None = None, scope: list[str] | None = None) -> DataFrame:
+    """What each token of each card is worth, whatever the query: scope, key, ``token``, ``wtf`` and ``idf``.
+
+    ``posted`` has ``field``, ``token``, ``tf`` and the field's ``length``; ``average`` is as from ``field_lengths``, ``df`` as from
+    ``document_frequency``."""
+    weights, scope = weights or FIELD_WEIGHTS, scope or []
+    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    part = weight[F.col("field")] * F.col("tf") / (1 - B + B * F.col("length") / F.col("average"))
+    held = posted.join(average, [*scope, "field"]).groupBy(*scope, key, "token").agg(F.sum(part).alias("wtf"), F.max("n").alias("n"))
+    return held.join(df, [*scope, "token"]).withColumn("idf", bm25_idf(F.col("n"), F.col("df"))).select(*scope, key, "token", "wtf", "idf")
+
+
+def with_lengths(posted: DataFrame, keys: list[str]) -> DataFrame:
+    return posted.withColumn("length", F.sum("tf").over(Window.partitionBy(*keys, "field")))
+
+
+def bm25f(query_tokens: DataFrame, rows: DataFrame | None, key: str, weights: dict[str, float] | None = None, scope: list[str] | None = None, pairs: DataFrame | None = None, kept: DataFrame | None = None) -> DataFrame:
     """``raw_score`` of every prompt and card that share a token.
 
     ``query_tokens``: scope columns, ``prompt_id``, ``token``, ``weight``.  ``rows``: as from ``field_rows``,
     one per card and field.  ``pairs`` (scope columns, ``prompt_id`` and the key), if given, are the only ones that are scored.
+    ``kept``: token weights that a kept corpus holds, instead of ``rows``.
     """
-    weights, scope = weights or FIELD_WEIGHTS, scope or []
-    keys = [*scope, key]
-    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    posted = postings(rows, keys)
-    length = F.sum("tf").over(Window.partitionBy(*keys, "field"))
-    average = field_lengths(rows, posted, scope)  # a few rows per scope
-    part = weight[F.col("field")] * F.col("tf") / (1 - B + B * F.col("length") / F.col("average"))
-    held = posted.withColumn("length", length).join(average, [*scope, "field"]).groupBy(*keys, "token").agg(F.sum(part).alias("wtf"), F.max("n").alias("n"))
-    idf = bm25_idf(F.col("n"), F.col("df"))
-    weighted = held.join(document_frequency(posted, scope, key), [*scope, "token"]).withColumn("idf", idf)
+    scope = scope or []
+    if kept is None:
+        posted = postings(rows, [*scope, key])
+        average = field_lengths(rows, posted, scope)  # a few rows per scope
+        kept = token_weights(with_lengths(posted, [*scope, key]), average, document_frequency(posted, scope, key), key, weights, scope)
     value = F.col("weight") * F.col("idf") * ((K1 + 1) * F.col("wtf") / (K1 + F.col("wtf")))
     if pairs is None:
-        met = query_tokens.join(weighted, [*scope, "token"])
+        met = query_tokens.join(kept, [*scope, "token"])
     else:
-        met = query_tokens.join(pairs.select(*scope, "prompt_id", key), [*scope, "prompt_id"]).join(weighted, [*scope, key, "token"])
+        met = query_tokens.join(pairs.select(*scope, "prompt_id", key), [*scope, "prompt_id"]).join(kept, [*scope, key, "token"])
     return met.groupBy(*scope, "prompt_id", key).agg(F.sum(value).alias("raw_score"))
 
 

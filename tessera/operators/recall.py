@@ -262,9 +262,9 @@ def score(prompts: DataFrame, cards: DataFrame, scope: list[str] | None = None,
     return rows.select(*_scores(rows, F.col("raw_score")))
 
 
-def admitted(prompts: DataFrame, cards: DataFrame, threshold: float = selection.THRESHOLD, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
+def admitted(prompts: DataFrame, cards: DataFrame, threshold: float = selection.THRESHOLD, scope: list[str] | None = None, keep: list | None = None, corpus_kept: DataFrame | None = None) -> DataFrame:
     """The rows of ``score`` that pass gates and admission.  Pairs that can't reach the threshold are never joined
-    or judged, and only admitted ones get a ``raw_score``."""
+    or judged, and only admitted ones get a ``raw_score``, from ``corpus_kept`` (``kept.token_weights``) if it is given."""
     cards, scope = _recallable(cards), scope or []
     said = _kept(_prepared_prompts(prompts, scope), "recall-prompts", keep)
     own = _kept(_own(cards, scope), "recall-cards", keep)
@@ -274,7 +274,7 @@ def admitted(prompts: DataFrame, cards: DataFrame, threshold: float = selection.
     refused = F.coalesce("gate_reason", selection.admission_reason(F.col("score"), F.col("strong_anchor"), F.size("families"), F.lit(threshold)))
     fit = _kept(fit.where(refused.isNull()), "recall-admitted", keep)
     words = P.query_plan(said.join(fit.select("prompt_id").distinct(), "prompt_id", "left_semi"), *scope, "prompt_id")
-    raw = corpus.bm25f(words, corpus.field_rows(cards, _card_fields(), [*scope, "card_key"]), "card_key", scope=scope, pairs=fit)
+    raw = corpus.bm25f(words, corpus.field_rows(cards, _card_fields(), [*scope, "card_key"]), "card_key", scope=scope, pairs=fit, kept=corpus_kept)
     out = fit.drop("raw_score").join(raw.select("prompt_id", "card_key", rounded(F.col("raw_score")).alias("raw_score")), ["prompt_id", "card_key"], "left").na.fill(0.0, ["raw_score"])
     return _kept(out.drop(*scope), "recall-scored", keep)
 
@@ -312,10 +312,10 @@ def match_detailed(prompts: DataFrame, cards: DataFrame, limit: int = selection.
     return chosen.unionByName(out).drop("refused", "gate_reason")
 
 
-def match(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None, keep: list | None = None) -> DataFrame:
+def match(prompts: DataFrame, cards: DataFrame, limit: int = selection.LIMIT, threshold: float = selection.THRESHOLD, similar: DataFrame | None = None, scope: list[str] | None = None, keep: list | None = None, corpus_kept: DataFrame | None = None) -> DataFrame:
     """The selected cards of each prompt with their ``rank``: those that ``match_detailed`` selects, found without
     judging pairs that can't be admitted."""
-    fit = admitted(prompts, cards, threshold, scope, keep)
+    fit = admitted(prompts, cards, threshold, scope, keep, corpus_kept)
     rows = _selected(fit, prompts, cards, limit, threshold, similar, scope).where("selected")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(*_order()))).drop("selected", "reason", "library_priority", "gate_reason")
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import prompt as P
 from tessera.functions import signals as G
-from tessera.operators import curation, gates, recall, similarity, telemetry
+from tessera.operators import corpus, curation, gates, kept, recall, similarity, telemetry
 from tessera.plans.common import query, read, sql_tokens
 from tessera.plans.retrieval import prompts
 from tessera.sources import cards as library
 from tessera.sources import hooks, sessions
 from tessera.streaming import recall as streams
+from tessera.tables import materialize, remove, shared_folder
 
 # ---------------------------------------------------------------- sources
 
@@ -183,6 +186,46 @@ def card_similarity(spark, sf_dir):
     return both.select("a", "b", similarity.card_similarity(*[{c: F.col(f"card_{k}.{c}") for c in names} for k in "ab"]).alias("score"))
 
 
+# ---------------------------------------------------------------- a kept corpus
+
+
+def _changed_library(spark, sf_dir):
+    """A library that is built, changed twice and compacted once in between: its folder."""
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    part = read(spark, sf_dir, "part")
+    fields = {"title": F.col("p_name"), "category": F.col("p_brand"), "summary": F.col("p_type")}
+    rows = lambda cards, title=fields["title"]: corpus.field_rows(cards, {**fields, "title": title}, ["p_partkey"])
+    gone = lambda where: part.where(where).select("p_partkey")
+    kept.apply(spark, path, rows(part), key="p_partkey")
+    kept.apply(spark, path, rows(part.where("p_size > 45"), F.concat(F.lit("renewed "), "p_name", F.lit(" item"))), gone("p_size < 5"), key="p_partkey")
+    kept.compact(spark, path, key="p_partkey")
+    kept.apply(spark, path, rows(part.where("p_size = 3")), gone("p_size = 46"), key="p_partkey")
+    return path
+
+
+def _from_kept(spark, sf_dir, label, find):
+    path = _changed_library(spark, sf_dir)
+    found = materialize(find(path), label)
+    remove(spark, path)
+    return found
+
+
+_KEPT = "(SELECT p_partkey, CASE WHEN p_size > 45 THEN 'renewed ' || p_name || ' item' ELSE p_name END AS title, p_brand AS category, p_type AS summary FROM part WHERE (p_size >= 5 OR p_size = 3) AND p_size <> 46)"
+_KEPT_FIELDS = f"(SELECT p_partkey, unnest(['title', 'category', 'summary']) AS field, unnest([title, category, summary]) AS t FROM {_KEPT})"
+
+
+@query("kept_frequency", f"SELECT tok AS token, count(DISTINCT p_partkey) AS df FROM {sql_tokens(_KEPT_FIELDS, 'p_partkey', 't')} GROUP BY 1")
+def kept_frequency(spark, sf_dir):
+    """Document frequencies of a library after upserts, removals and a compaction: those of a rebuild."""
+    return _from_kept(spark, sf_dir, "kept-frequency", lambda path: kept.document_frequency(spark, path))
+
+
+@query("kept_fields", f"SELECT f.field, (SELECT count(*) FROM {_KEPT}) AS n, sum(x.n)::BIGINT AS total FROM (SELECT field, count(*) AS n FROM {sql_tokens(_KEPT_FIELDS, 'field, p_partkey', 't')} GROUP BY 1) x JOIN (SELECT DISTINCT field FROM {_KEPT_FIELDS}) f USING (field) GROUP BY 1, 2")
+def kept_fields(spark, sf_dir):
+    """Cards and tokens of each field after the same changes."""
+    return _from_kept(spark, sf_dir, "kept-fields", lambda path: kept.field_lengths(spark, path).drop("average"))
+
+
 # ---------------------------------------------------------------- libraries and curation
 
 

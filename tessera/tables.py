@@ -31,10 +31,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, folder: str) -> tuple:
+    """A path of any file system that Spark knows, and that file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path, files = _at(spark, folder)
+    files.delete(path, True)
+
+
+def exists(spark: SparkSession, file: str) -> bool:
+    path, files = _at(spark, file)
+    return files.exists(path)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, sorted; none if it does not exist."""
+    path, files = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` made."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, folder)
