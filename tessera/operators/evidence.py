@@ -32,7 +32,7 @@ def field_evidence(field: str, phrases: Column, query_text: Column, query_tokens
 
     def judge(p: Column) -> Column:
         n = F.size(p["tokens"])
-        multi = (n >= 2) | (F.length(F.regexp_replace(p["phrase"], f"[^{T.HAN}]", "")) >= 3)
+        multi = _many(p)
 
         def score(seen: Column) -> Column:
             hits, exact = seen["hits"], seen["exact"]
@@ -51,7 +51,7 @@ def field_evidence(field: str, phrases: Column, query_text: Column, query_tokens
             kind = F.when(exact, "phrase-exact").otherwise("phrase-overlap")
             return F.struct(value.alias("value"), ((exact & multi) | short | near).alias("strong"), p["phrase"].alias("phrase"), kind.alias("kind"))
 
-        seen = F.struct(F.size(F.array_intersect(p["tokens"], query_tokens)).alias("hits"), T.contains_term(query_text, query_tokens, p["phrase"], n).alias("exact"))
+        seen = F.struct(F.size(F.array_intersect(p["tokens"], query_tokens)).alias("hits"), T.contains_phrase(query_text, query_tokens, p).alias("exact"))
         return F.get(F.transform(F.array(seen), score), 0)
 
     found = F.filter(F.transform(phrases, judge), lambda x: x["value"] > 0)
@@ -67,15 +67,18 @@ def field_evidence(field: str, phrases: Column, query_text: Column, query_tokens
     return F.get(F.transform(F.array(ranked), total), 0)
 
 
-def _most_exact(field: str, n: Column, multi: Column) -> Column:
-    return F.when(multi, EXACT[field] + F.least(F.lit(10.0), 2.0 * n)).otherwise(max(SINGLE[field], 30.0 if field == "topics" else 44.0))
+def _many(p: Column) -> Column:
+    """Whether a phrase has several terms."""
+    return (F.size(p["tokens"]) >= 2) | (p["han"] >= 3)
 
 
-def _multi(p: Column, n: Column) -> Column:
-    return (n >= 2) | (F.length(F.regexp_replace(p["phrase"], f"[^{T.HAN}]", "")) >= 3)
+def most_exact(field: str, p: Column) -> Column:
+    """What a phrase gives at most where it stands in a prompt."""
+    many = EXACT[field] + F.least(F.lit(10.0), 2.0 * F.size(p["tokens"]))
+    return F.when(_many(p), many).otherwise(max(SINGLE[field], 30.0 if field == "topics" else 44.0))
 
 
-def _odd(p: Column) -> Column:
+def odd(p: Column) -> Column:
     """Phrases that may stand in a text whose tokens hold only some of theirs: Han runs, compounds, single letters."""
     return p["phrase"].rlike(f"[{T.HAN}._/-]") | F.exists(p["tokens"], lambda t: F.length(t) < 2)
 
@@ -83,26 +86,16 @@ def _odd(p: Column) -> Column:
 def token_reach(field: str, p: Column) -> Column:
     """The most that one shared token of a phrase adds to the field's evidence, however many are shared."""
     n = F.size(p["tokens"])
-    exact, some = _most_exact(field, n, _multi(p, n)), F.greatest(n, F.lit(1))
+    exact, some = most_exact(field, p), F.greatest(n, F.lit(1))
     per_token = F.greatest(exact / some, F.when(n >= 2, PARTIAL[field] / some).otherwise(0.0), F.when(n == 2, PARTIAL[field] * 0.28).otherwise(0.0))
-    return F.when(_odd(p), exact).otherwise(per_token)
+    return F.when(odd(p), exact).otherwise(per_token)
 
 
-def field_reach(field: str, phrases: Column, query_tokens: Column) -> Column:
-    """An upper bound of ``field_evidence`` that looks at tokens only: a phrase counts as exact as soon as it may be."""
-
-    def most(p: Column) -> Column:
-        n = F.size(p["tokens"])
-
-        def of(hits: Column) -> Column:
-            whole = F.when((hits == n) | (_odd(p) & (hits > 0)), _most_exact(field, n, _multi(p, n)))
-            part = F.when((hits >= 2) & (2 * hits >= n), PARTIAL[field] * hits / n).when((hits == 1) & (n == 2), PARTIAL[field] * 0.28).otherwise(0.0)
-            return F.when(n == 0, 0.0).otherwise(F.greatest(F.coalesce(whole, F.lit(0.0)), part))
-
-        return F.get(F.transform(F.array(F.size(F.array_intersect(p["tokens"], query_tokens))), of), 0)
-
-    ranked = F.sort_array(F.transform(phrases, most), asc=False)
-    return F.least(F.lit(CAP), F.coalesce(F.get(ranked, 0), F.lit(0.0)) + SUPPORT * (F.coalesce(F.get(ranked, 1), F.lit(0.0)) + F.coalesce(F.get(ranked, 2), F.lit(0.0))))
+def phrase_reach(partial: Column, hits: Column, n: Column, odd_: Column, exact: Column) -> Column:
+    """The most that a phrase gives if ``hits`` of its ``n`` tokens are shared: it counts as exact as soon as it may be."""
+    whole = F.when((hits == n) | (odd_ & (hits > 0)), exact).otherwise(0.0)
+    part = F.when((hits >= 2) & (2 * hits >= n), partial * hits / n).when((hits == 1) & (n == 2), partial * 0.28).otherwise(0.0)
+    return F.when(n == 0, 0.0).otherwise(F.greatest(whole, part))
 
 
 def lexical_support(anchor_tokens: Column, query_tokens: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.functions import prompt as P
 from tessera.functions import signals as G
 from tessera.functions import text as T
-from tessera.functions.scoring import noisy_or, rounded
+from tessera.functions.scoring import rounded
 from tessera.operators import corpus, evidence, gates, selection, similarity
 from tessera.tables import materialize
 
@@ -88,7 +88,11 @@ def invalid(cards: DataFrame) -> DataFrame:
 
 
 def _prepared_prompts(prompts: DataFrame, scope: list[str]) -> DataFrame:
-    """Envelope, signals, intents and query of each prompt."""
+    """Envelope, signals, intents and query of each prompt.
+
+    Prompts are small rows that cost much, so they are dealt to a fixed number of tasks, however few files they come from."""
+    parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prompts = prompts.repartition(parts, "prompt_id")
     rows = P.with_envelope(prompts.select("prompt_id", *scope, "text", *[_or_null(prompts, c).alias(f"own_{c}") for c in PLACE[1:]]))
     rows = rows.join(G.prompt_signals(prompts, "prompt_id"), "prompt_id")
     rows = rows.withColumns({"rule_signals": G.ids(F.col("signals")), "signal_terms": G.signal_terms(F.col("signals"))})
@@ -173,34 +177,44 @@ _FIELD_CHORD, _LEXICAL_CHORD = -math.log(1 - evidence.CAP / 100) / evidence.CAP,
 _LEXICAL_TOKEN, SLACK = 5.5, 0.1
 
 
-def essential_postings(own: DataFrame, scope: list[str], threshold: float) -> DataFrame:
-    """``card_key`` and those ``token``s of its anchors that any prompt must hold one of to give it ``threshold`` of evidence without a signal.
+def phrase_postings(own: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """A row for each token of each phrase of a card: ``field``, ``phrase`` (its number), ``token``, what bounds its evidence (``n``,
+    ``odd``, ``exact``), and whether the token is ``essential``: whether a prompt can reach ``threshold`` without a signal only by it or a rarer one.
 
-    Evidence joins by noisy-or, so logarithms add up, and each anchor has a most that it can add.  A card's anchors stand
-    from the rarest to the commonest; where those that are left can't reach the threshold together, the rest is not
-    essential, and pairs that share nothing else never meet.
+    Evidence joins by noisy-or, so logarithms add up, and each token has a most that it can add.  A card's tokens stand
+    from the rarest to the commonest; those behind which the rest can't reach the threshold together are not essential.
     """
     need = -math.log(1 - max(threshold - SLACK, 0.0) / 100)
-    most = lambda f: lambda p: F.struct(p["tokens"].alias("tokens"), (evidence.token_reach(f, p) * _FIELD_CHORD).alias("most"))
-    phrases = [F.transform(f"p_{f}", most(f)) for f in evidence.EXACT]
-    met = own.select(*scope, "card_key", F.explode(F.concat(*phrases)).alias("p")).select(*scope, "card_key", F.explode("p.tokens").alias("token"), "p.most")
-    lexical = own.select(*scope, "card_key", F.explode("anchors").alias("token"), F.lit(_LEXICAL_TOKEN * _LEXICAL_CHORD).alias("most"))
-    posted = met.unionByName(lexical).groupBy(*scope, "card_key", "token").agg(F.sum("most").alias("most"))
-    df = posted.groupBy(*scope, "token").agg(F.count("*").alias("df"))
+    bounds = lambda f: lambda p, i: F.struct(F.lit(f).alias("field"), i.alias("phrase"), p["tokens"].alias("tokens"), F.size(p["tokens"]).alias("n"), evidence.odd(p).alias("odd"), evidence.most_exact(f, p).alias("exact"), evidence.token_reach(f, p).alias("most"))
+    phrases = F.concat(*[F.transform(f"p_{f}", bounds(f)) for f in evidence.EXACT])
+    posted = own.select(*scope, "card_key", F.inline(phrases)).withColumn("token", F.explode("tokens")).drop("tokens")
+    most = F.sum("most") * _FIELD_CHORD + _LEXICAL_TOKEN * _LEXICAL_CHORD
+    tokens = posted.groupBy(*scope, "card_key", "token").agg(most.alias("gives"))
+    df = tokens.groupBy(*scope, "token").agg(F.count("*").alias("df"))
     left = Window.partitionBy(*scope, "card_key").orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing)
-    return posted.join(df, [*scope, "token"]).withColumn("left", F.sum("most").over(left)).where(F.col("left") >= need).select(*scope, "card_key", "token")
+    marked = tokens.join(df, [*scope, "token"]).select(*scope, "card_key", "token", (F.sum("gives").over(left) >= need).alias("essential"))
+    return posted.drop("most").join(marked, [*scope, "card_key", "token"])
+
 
+def reachable(said: DataFrame, own: DataFrame, cards: DataFrame, scope: list[str], threshold: float, keep: list | None = None) -> DataFrame:
+    """``prompt_id``, scope and ``card_key`` of the pairs that may be admitted at ``threshold``; all others can't be.
 
-def reachable(said: DataFrame, own: DataFrame, cards: DataFrame, scope: list[str], threshold: float) -> DataFrame:
-    """``prompt_id``, scope and ``card_key`` of the pairs that may be admitted at ``threshold``; all others can't be."""
+    Prompts meet cards by essential tokens only; what else the pairs found share is looked up from the card's few other
+    tokens.  Shared tokens of each phrase bound what it gives, and those bounds the score."""
+    posted = _kept(phrase_postings(own, scope, threshold), "recall-postings", keep)
     words = said.select("prompt_id", *scope, F.explode("query_tokens").alias("token"))
-    met = words.join(essential_postings(own, scope, threshold), [*scope, "token"]).select("prompt_id", *scope, "card_key").distinct()
-    phrases = own.select(*scope, "card_key", "anchors", *[f"p_{f}" for f in evidence.EXACT])
-    both = met.join(phrases, [*scope, "card_key"]).join(said.select("prompt_id", "query_tokens"), "prompt_id")
-    shared = F.col("query_tokens")
-    most = [evidence.field_reach(f, F.col(f"p_{f}"), shared) for f in evidence.EXACT]
-    values = F.array(*most, evidence.lexical_support(F.col("anchors"), shared))
-    near = both.where(noisy_or(values) >= threshold - SLACK).select("prompt_id", *scope, "card_key")
+    met = words.join(posted.where("essential"), [*scope, "token"])
+    pairs = met.select("prompt_id", *scope, "card_key").distinct()
+    more = pairs.join(posted.where("not essential"), [*scope, "card_key"]).join(words, ["prompt_id", *scope, "token"])
+    pair = ["prompt_id", *scope, "card_key"]
+    shared = met.unionByName(more).groupBy(*pair, "field", "phrase").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("exact").alias("exact"))
+    partial = F.element_at(F.create_map(*[F.lit(x) for f, v in evidence.PARTIAL.items() for x in (f, v)]), F.col("field"))
+    value = evidence.phrase_reach(partial, F.col("hits"), F.col("n"), F.col("odd"), F.col("exact"))
+    fields = shared.groupBy(*pair, "field").agg(F.sum("hits").alias("hits"), F.max(value).alias("best"), F.sum(value).alias("sum"))
+    reach = F.least(F.lit(evidence.CAP), F.col("best") + evidence.SUPPORT * (F.col("sum") - F.col("best")))
+    rest = F.exp(F.sum(F.log1p(-reach / 100)))  # the product of what the fields leave
+    lexical = F.when(F.sum("hits") >= 2, F.least(F.lit(18.0), 6 + 2.5 * F.sum("hits"))).otherwise(0.0)
+    near = fields.groupBy(*pair).agg((100 * (1 - rest * (1 - lexical / 100))).alias("most")).where(F.col("most") >= threshold - SLACK).select(*pair)
     return near.unionByName(_by_signal(said, cards, scope)).distinct()
 
 
@@ -233,6 +247,22 @@ def _judged(pairs: DataFrame, said: DataFrame, own: DataFrame, cards: DataFrame,
     return rows.withColumn("evidence", F.filter(F.array(*named), lambda e: F.coalesce(e["value"], F.lit(0.0)) > 0))
 
 
+#: What a judged pair's scores and reasons come from, besides its evidence by family.
+_JUDGED = ("prompt_id", "card_key", "card_id", "library_scope", "topic", "priority_score", "gate", "evidence", "penalty", "shared", "required_any", "required_all", "signals")
+
+
+def _score() -> Column:
+    return evidence.evidence_score(F.transform("evidence", lambda e: e["value"]), F.col("penalty"))
+
+
+def _families() -> Column:
+    return F.transform(F.filter("evidence", lambda e: e["value"] >= FAMILY), lambda e: e["family"])
+
+
+def _strong() -> Column:
+    return F.exists("evidence", lambda e: e["strong"] & (e["value"] >= ANCHOR))
+
+
 def _scores(rows: DataFrame, raw: Column) -> list[Column]:
     """Columns of a judged pair."""
     fine = F.col("gate").isNull()
@@ -243,9 +273,9 @@ def _scores(rows: DataFrame, raw: Column) -> list[Column]:
         F.col("priority_score"),
         F.when(fine, rounded(raw)).otherwise(0.0).alias("raw_score"),
         gates.gate_reason(F.col("gate")).alias("gate_reason"),
-        F.when(fine, evidence.evidence_score(F.transform("evidence", lambda e: e["value"]), F.col("penalty"))).otherwise(0.0).alias("score"),
-        F.transform(F.filter("evidence", lambda e: e["value"] >= FAMILY), lambda e: e["family"]).alias("families"),
-        F.exists("evidence", lambda e: e["strong"] & (e["value"] >= ANCHOR)).alias("strong_anchor"),
+        F.when(fine, _score()).otherwise(0.0).alias("score"),
+        _families().alias("families"),
+        _strong().alias("strong_anchor"),
         _reasons(rows, [f for f in evidence.EXACT]).alias("reasons"),
     ]
 
@@ -268,11 +298,15 @@ def admitted(prompts: DataFrame, cards: DataFrame, threshold: float = selection.
     cards, scope = _recallable(cards), scope or []
     said = _kept(_prepared_prompts(prompts, scope), "recall-prompts", keep)
     own = _kept(_own(cards, scope), "recall-cards", keep)
-    pairs = _kept(reachable(said, own, cards, scope, threshold), "recall-pairs", keep)
+    pairs = _kept(reachable(said, own, cards, scope, threshold, keep), "recall-pairs", keep)
     rows = _judged(pairs, said, own, cards, scope)
-    fit = rows.select(*scope, *_scores(rows, F.lit(0.0)))
-    refused = F.coalesce("gate_reason", selection.admission_reason(F.col("score"), F.col("strong_anchor"), F.size("families"), F.lit(threshold)))
-    fit = _kept(fit.where(refused.isNull()), "recall-admitted", keep)
+    passes = F.col("gate").isNull() & selection.admission_reason(_score(), _strong(), F.size(_families()), F.lit(threshold)).isNull()
+    named = [c for c in rows.columns if c.startswith("e_")]
+    # a column that is not deterministic, and is written, keeps the filter above the evidence; below it, all evidence would be found
+    # again for each use
+    rows = rows.withColumn("judged", F.monotonically_increasing_id())
+    fit = _kept(rows.where(passes).select(*scope, "judged", *_JUDGED, *named), "recall-admitted", keep)  # reasons are told of these alone
+    fit = fit.select(*scope, *_scores(fit, F.lit(0.0)))
     words = P.query_plan(said.join(fit.select("prompt_id").distinct(), "prompt_id", "left_semi"), *scope, "prompt_id")
     raw = corpus.bm25f(words, corpus.field_rows(cards, _card_fields(), [*scope, "card_key"]), "card_key", scope=scope, pairs=fit, kept=corpus_kept)
     out = fit.drop("raw_score").join(raw.select("prompt_id", "card_key", rounded(F.col("raw_score")).alias("raw_score")), ["prompt_id", "card_key"], "left").na.fill(0.0, ["raw_score"])
