@@ -145,6 +145,31 @@ def recall_match(spark, sf_dir):
     return recall.match(prompts(spark, sf_dir), _cards(spark, sf_dir), threshold=20.0).drop("families")
 
 
+_NAMED = "(SELECT p_name AS name, min(p_partkey) AS card_id FROM part GROUP BY 1)"
+
+
+@query(
+    "recall_gated",
+    f"""WITH k AS (SELECT *, card_id % 4 AS kind FROM {_NAMED}), p AS (SELECT p_partkey AS prompt_id, k.*, CASE WHEN p_size % 4 = 1 AND kind <> 1 THEN 0 ELSE p_size % 4 END AS asks FROM part JOIN k ON p_name = name)
+    SELECT prompt_id, card_id, floor(100 * (100 * (1 - 0.58::DOUBLE * 0.89::DOUBLE * CASE WHEN kind = 1 THEN 0.46::DOUBLE ELSE 1.0::DOUBLE END)) + 0.5) / 100 AS score, true AS strong_anchor,
+      CASE WHEN kind = 1 THEN 'lexical,signals,title' ELSE 'lexical,title' END AS families
+    FROM p WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN asks = 1 WHEN 2 THEN asks <> 2 ELSE asks <> 3 END""",
+)
+def recall_gated(spark, sf_dir):
+    """Recall at its own threshold, where gates decide: cards that need a signal, that a signal blocks, and with negative triggers."""
+    part = read(spark, sf_dir, "part")
+    cards = part.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("card_id"))
+    kind, noun = F.col("card_id") % 4, F.element_at(F.split("title", " "), -1)
+    some = lambda k, value: F.when(kind == k, F.array(value)).otherwise(F.array().cast("array<string>"))
+    cards = cards.withColumns({"category": F.lit("parts"), "required_any": some(1, F.lit("git_operation")), "blocked": some(2, F.lit("explain_only")), "negative_triggers": some(3, F.concat(F.lit("legacy "), noun))})
+    named = part.join(cards.select(F.col("title").alias("p_name"), "card_id"), "p_name")
+    asks = F.when((F.col("p_size") % 4 == 1) & (kind != 1), 0).otherwise(F.col("p_size") % 4)
+    said = F.concat(F.element_at(F.array(F.lit("please look at the "), F.lit("git push the "), F.lit("only explain the "), F.lit("please look at the ")), asks + 1), "p_name")
+    text = F.when(asks == 3, F.concat(said, F.lit(" and the legacy "), F.element_at(F.split("p_name", " "), -1))).otherwise(said)
+    found = recall.match(named.select(F.col("p_partkey").alias("prompt_id"), text.alias("text")), cards).where("rank = 1")
+    return found.select("prompt_id", "card_id", "score", "strong_anchor", F.array_join(F.array_sort("families"), ",").alias("families"))
+
+
 @query("recall_diagnostics")
 def recall_diagnostics(spark, sf_dir):
     said = prompts(spark, sf_dir)
