@@ -38,15 +38,22 @@ def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+#: Digits of a hash by which hashes are folded, one level after the other.
+FOLDS = (6, 3)
+
+
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
     """Hash of a set of rows (a card set or configuration), whatever their order.
 
-    Rows are hashed where they are, hashes are folded by their first three digits, then those folds, so one
-    task sees 4,096 hashes at most however many rows there are."""
+    Rows are hashed where they are and equal ones become one with a count; hashes are folded by their first six digits, those
+    folds by three, and those at last, so with n different rows a task folds n / 16**6 or 4,096 of them at a time, whichever is more."""
     line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(columns)])
-    hashed = rows.select(F.sha2(line, 256).alias("h"))
-    folds = hashed.groupBy(F.substring("h", 1, 3).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return folds.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("part", "h"))), ""), 256).alias("fingerprint"))
+    counted = rows.select(F.sha2(line, 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    folds = counted.select(F.col("h").alias("part"), F.concat("h", F.when(F.col("n") > 1, F.concat(F.lit(":"), "n")).otherwise("")).alias("h"))
+    fold = lambda: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256)
+    for digits in FOLDS:
+        folds = folds.groupBy(F.substring("part", 1, digits).alias("part")).agg(fold().alias("h")).select("part", F.concat("part", "h").alias("h"))
+    return folds.agg(fold().alias("fingerprint"))
 
 
 def stats_report(events: DataFrame, cards: DataFrame, snapshot: dict[str, Column]) -> DataFrame:

@@ -172,15 +172,17 @@ def apply_plan(spark, sf_dir):
     return found.select(F.col("candidate_id").alias("c_custkey"), F.coalesce("target_card_id", F.lit(-1)).alias("target"), "outcome", "why")
 
 
-_LINE = "n_name || chr(31) || n_nationkey || chr(31) || n_regionkey"
+_LINE = "p_name || chr(31) || p_size || chr(31) || p_type"
 
 
 @query(
     "set_fingerprint",
-    f"WITH h AS (SELECT sha256({_LINE}) AS h FROM nation), f AS (SELECT substr(h, 1, 3) AS part, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(part || h, '' ORDER BY part)) AS fingerprint FROM f",
+    f"""WITH h AS (SELECT h, h || CASE WHEN count(*) > 1 THEN ':' || count(*) ELSE '' END AS t FROM (SELECT sha256({_LINE}) AS h FROM part) GROUP BY 1),
+    f AS (SELECT substr(h, 1, 6) AS part, sha256(string_agg(t, '' ORDER BY h)) AS h FROM h GROUP BY 1), g AS (SELECT substr(part, 1, 3) AS part, sha256(string_agg(part || h, '' ORDER BY part)) AS h FROM f GROUP BY 1)
+    SELECT sha256(string_agg(part || h, '' ORDER BY part)) AS fingerprint FROM g""",
 )
 def set_fingerprint(spark, sf_dir):
-    return telemetry.fingerprint(read(spark, sf_dir, "nation"), "n_nationkey", "n_name", "n_regionkey")
+    return telemetry.fingerprint(read(spark, sf_dir, "part"), "p_type", "p_name", "p_size")
 
 
 @query(
