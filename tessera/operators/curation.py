@@ -173,9 +173,9 @@ def category_counts(known: DataFrame, cards: DataFrame) -> DataFrame:
     return both.select("category", F.coalesce("registered", F.lit(False)).alias("registered"), F.coalesce("cards", F.lit(0)).alias("cards"))
 
 
-def sorted_categories(counts: DataFrame) -> DataFrame:
-    """Most cards first, then by name."""
-    return counts.orderBy(F.desc("cards"), "category")
+def sorted_categories(counts: DataFrame, collation: str = "zh") -> DataFrame:
+    """Most cards first, then by name as a reader of Chinese sorts (Han by pinyin, then Latin); names that collate alike by code point."""
+    return counts.orderBy(F.desc("cards"), F.collate("category", collation), "category")
 
 
 def upsert_category(categories: DataFrame, named: DataFrame, now: Column) -> DataFrame:

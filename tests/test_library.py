@@ -200,3 +200,9 @@ def test_projects_and_applicability(spark, tmp_path):
     assert warnings[0] == "global: OSError"
     placed = spark.createDataFrame([("a", "global", None, None), ("b", "project", "k", None), ("c", "project", "other", None)], "card_id string, level string, project_key string, module_path string")
     assert [r.card_id for r in gates.filtered_by_applicability(placed, F.lit("k"), F.lit("m")).collect()] == ["c"]
+
+
+def test_categories_sort_by_pinyin(spark):
+    rows = [("性能与观测", 1), ("测试验收", 1), ("文档与开源", 1), ("安全", 1), ("docs", 1), ("前端工程", 1), ("产品与 UI", 5)]
+    found = curation.sorted_categories(spark.createDataFrame(rows, "category string, cards int")).collect()
+    assert [r.category for r in found] == ["产品与 UI", "安全", "测试验收", "前端工程", "文档与开源", "性能与观测", "docs"]
