@@ -277,3 +277,16 @@ def sql_functions(spark, sf_dir):
     functions.register(spark)
     read(spark, sf_dir, "part").createOrReplaceTempView("tessera_part")
     return spark.sql("SELECT p_partkey, floor(jaccard(split(p_name, ' '), split(lower(p_type), ' ')) * 10000 + 0.5D) / 10000 AS jaccard, floor(noisy_or(array(CAST(p_size AS DOUBLE), 25.0D)) * 100 + 0.5D) / 100 AS noisy, rrf(p_size, 1) AS fused FROM tessera_part")
+
+
+@query(
+    "sql_search",
+    """WITH m AS (SELECT conv_id, turn, text, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS t FROM conversations),
+    s AS (SELECT conv_id, turn, length(text) AS chars, CASE WHEN contains(t, 'the ing') THEN 107 WHEN contains(t, 'the') AND contains(t, 'ing') THEN 16 ELSE 0 END AS score FROM m)
+    SELECT * FROM s WHERE score > 0""",
+)
+def sql_search(spark, sf_dir):
+    """Search by a table function, in SQL alone."""
+    read(spark, sf_dir, "conversations").createOrReplaceTempView("tessera_messages")
+    functions.register_search(spark, "tessera_messages", "conv_id", "turn")
+    return spark.sql("SELECT conv_id, turn, length(text) AS chars, score FROM search_messages(' The   ING ')")

@@ -6,6 +6,8 @@ Sinks are append-only tables keyed by batch; a batch that runs again writes its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -31,11 +33,11 @@ def prompts_of(payloads: DataFrame, number: int) -> DataFrame:
     return said.select(F.sha2(key, 256).alias("prompt_id"), "text", "session_id", "provider").dropDuplicates(["prompt_id"])
 
 
-def recall_stream(payloads: DataFrame, cards: DataFrame, out: str, checkpoint: str, available_now: bool = False, **options) -> StreamingQuery:
+def recall_stream(payloads: DataFrame, cards: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str, available_now: bool = False, **options) -> StreamingQuery:
     """Recall every prompt of a stream of payloads into ``out``/matches; payloads without JSON go to ``out``/dead.
 
     The stream fails open: a batch that recall cannot do goes to ``out``/failed with its error, and the next one
-    follows.  ``cards`` is the library as it was listed when the stream began; restart the stream after a change.
+    follows.  ``cards`` is the library as it was listed when the stream began, or a function that lists it anew for each batch.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -45,7 +47,7 @@ def recall_stream(payloads: DataFrame, cards: DataFrame, out: str, checkpoint: s
         rows.where(~good).select("value").write.mode("overwrite").parquet(f"{out}/dead/batch={number}")
         try:
             prompts = prompts_of(rows.where(good), number)
-            found = recall.match(prompts, cards, keep=kept, **options)
+            found = recall.match(prompts, cards() if callable(cards) else cards, keep=kept, **options)
             found.join(prompts.select("prompt_id", "session_id", "provider"), "prompt_id").write.mode("overwrite").parquet(f"{out}/matches/batch={number}")
         except Exception as e:
             rows.where(good).select("value", F.lit(str(e)[:2000]).alias("error")).write.mode("overwrite").parquet(f"{out}/failed/batch={number}")
