@@ -40,7 +40,6 @@ PAD = b"\xff"
 DELAY = 4
 #: Buckets of each colour channel in a histogram.
 BUCKETS = 8
-CHANNELS = np.array([0, BUCKETS, 2 * BUCKETS], np.uint8)
 GREY = bytes(v for v in range(256) for _ in range(3))
 #: The largest canvas or frame that is decoded unless the caller sets another bound; a header may claim 2**32 pixels in a few bytes.
 MAX_PIXELS = 1 << 24
@@ -63,37 +62,41 @@ def _schedule(root: int) -> tuple[np.ndarray, np.ndarray]:
 def lzw_encode(samples: bytes, root: int = 8) -> bytes:
     """LZW code stream of samples below 2**root (little-endian bits, clear code first)."""
     clear = 1 << root
-    codes, widths, run = [], [np.array([root + 1])], 0
+    codes, widths = [], [np.array([root + 1])]
     schedule = _schedule(root)[0]
+    # codes are kept eight bits up, so that a sample joins them as it is
     known: dict[int, int] = {}
-    add, get, following = codes.append, known.get, clear + 2
-    add(clear)
+    add, get, following, limit = codes.append, known.get, clear + 2 << 8, LIMIT << 8
+    add(clear << 8)
     it = iter(samples)
     prefix = next(it, None)
+    if prefix is not None:
+        prefix <<= 8
     for c in it:
-        key = prefix << 8 | c
+        key = prefix | c
         n = get(key)
-        if n is not None:
+        if n:
             prefix = n
             continue
         add(prefix)
-        run += 1
         known[key] = following
-        following += 1
-        prefix = c
-        if following == LIMIT:
-            add(clear)
+        following += 256
+        prefix = c << 8
+        if following == limit:
+            add(clear << 8)
+            run = LIMIT - clear - 2
             widths.append(schedule[: run + 1])
-            run, following = 0, clear + 2
+            following = clear + 2 << 8
             known.clear()
+    run = (following >> 8) - clear - 2
     if prefix is not None:
         add(prefix)
         run += 1
-    add(clear + 1)
+    add(clear + 1 << 8)
     widths.append(schedule[: run + 1])
     bits = np.concatenate(widths)
     at = np.cumsum(bits) - bits
-    value = np.array(codes, np.int64) << (at & 7)
+    value = (np.array(codes, np.int64) >> 8) << (at & 7)
     first, size = at >> 3, int(at[-1] + bits[-1] + 7) >> 3
     out = sum(np.bincount(first + k, (value >> 8 * k) & 255, size + 2) for k in range(3))
     return out[:size].astype(np.uint8).tobytes()
@@ -124,25 +127,33 @@ def lzw_decode(data: bytes, root: int, expected: int) -> bytes:
     return bytes(out[:expected])
 
 
+@functools.lru_cache(maxsize=8)
+def _singles(clear: int) -> tuple[bytes, ...]:
+    """Strings of the codes that a table begins with; clear and end codes stand for nothing."""
+    return (*(bytes([k]) for k in range(clear)), b"", b"")
+
+
 def _expand(codes: list[int], clear: int, out: bytearray) -> None:
-    """Append the strings of codes.  Entry clear + 2 + j is the string of code j and the byte after it, so all entries are slices of the output."""
-    starts: list[int] = []
-    mark, single, base, at = starts.append, out.append, clear + 2, len(out)
-    try:
-        for c in codes:
-            mark(at)
-            if c < clear:
-                single(c)
-                at += 1
-                continue
-            j = c - base
-            first, stop = starts[j], starts[j + 1]
-            out += out[first : stop + 1]
-            if stop == at:  # the entry ends with the byte that this very string begins with
-                single(out[first])
-            at += stop + 1 - first
-    except IndexError:
-        raise ValueError("code beyond the table") from None
+    """Append the strings of the codes between two clear codes."""
+    if not codes:
+        return
+    if codes[0] >= clear:
+        raise ValueError("code beyond the table")
+    table = [*_singles(clear)]
+    add, last = table.append, table[codes[0]]
+    parts = [last]
+    say = parts.append
+    for c in codes[1:]:
+        try:
+            entry = table[c]
+        except IndexError:  # the string that this very code completes
+            if c != len(table):
+                raise ValueError("code beyond the table") from None
+            entry = last + last[:1]
+        add(last + entry[:1])
+        say(entry)
+        last = entry
+    out += b"".join(parts)
 
 
 @dataclass
@@ -285,6 +296,13 @@ _DESCRIBED = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha25
 _FRAME_DDL = "array<struct<" + ", ".join(f"{c}: {'array<long>' if c in FRAME[-3:] else 'long'}" for c in FRAME) + ">>"
 
 
+def _histograms(rgb: np.ndarray) -> list[list[int]]:
+    """Pixels by bucket for each channel, from one count of the pixels' three buckets together."""
+    red, green, blue = (rgb[..., k].astype(np.intp) >> 5 for k in range(3))
+    count = np.bincount((red << 6 | green << 3 | blue).ravel(), minlength=BUCKETS**3).reshape((BUCKETS,) * 3)
+    return [count.sum(axis).tolist() for axis in ((1, 2), (0, 2), (0, 1))]
+
+
 def describe(data: bytes | None, max_pixels: int | None = MAX_PIXELS) -> dict:
     """What a file tells when it is read: payload, digests and timed frames, or why it can't be read."""
     if data is None:
@@ -295,7 +313,7 @@ def describe(data: bytes | None, max_pixels: int | None = MAX_PIXELS) -> dict:
         for frame in shown:
             left, top, w, h = frame.box
             payload.append(frame.rgb[top : top + h, left : left + w, 0].tobytes())
-            histograms = np.bincount(((frame.rgb >> 5) + CHANNELS).ravel(), minlength=3 * BUCKETS).reshape(3, BUCKETS).tolist()
+            histograms = _histograms(frame.rgb)
             frames.append(dict(zip(FRAME, (len(frames), start, frame.delay, left, top, w, h, *histograms), strict=True)))
             start += frame.delay
     except (ValueError, IndexError, struct.error) as e:
