@@ -546,6 +546,17 @@ def test_timed_frames_are_rows(spark):
     assert all(sum(r[c]) == 16 for r in rows for c in ("red", "green", "blue"))
 
 
+def test_pixel_bound_is_the_callers():
+    data = gif_media.encode(b"a" * 4 * gif_media.UNIT)
+    assert gif_media.describe(data, 1000)["error"] == "canvas too large"
+    assert gif_media.describe(data, None) == gif_media.describe(data) and "error" not in gif_media.describe(data)
+
+
+def test_histograms_count_each_channel():
+    rgb = np.random.default_rng(1).integers(0, 256, (7, 5, 3)).astype(np.uint8)
+    assert gif_media._histograms(rgb) == [np.bincount(rgb[..., k].ravel() // 32, minlength=8).tolist() for k in range(3)]
+
+
 def test_foreign_and_broken_files_have_a_defined_result(spark):
     palette = [0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255]
     good = _gif([((0, 0, 4, 4), [1] * 16, 1, None, 5, 0)], palette)
