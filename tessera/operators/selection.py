@@ -132,17 +132,24 @@ NEGATIVE_REASONS, POSITIVE_REASONS = 8, 12
 
 def compact_reasons(reasons: Column) -> Column:
     """The first of each (field, term, kind), then the NEGATIVE_REASONS most negative and the POSITIVE_REASONS most
-    positive; equal weights keep their order."""
-    key = lambda r: F.struct(r["field"], r["term"], r["kind"])
-    keys = F.transform(reasons, key)
-    once = F.filter(F.transform(reasons, lambda r, i: F.struct(r.alias("r"), i.alias("i"))), lambda x: F.array_position(keys, key(x["r"])) == x["i"] + 1)
-
-    def part(negative: bool, sign: int, n: int) -> Column:
-        kept = F.filter(once, lambda x: (x["r"]["weight"] < 0) if negative else (x["r"]["weight"] >= 0))
-        ranked = F.array_sort(F.transform(kept, lambda x: F.struct((sign * x["r"]["weight"]).alias("w"), x["i"].alias("i"), x["r"].alias("r"))))
+    positive; equal weights keep their order.
+
+    Reasons are sorted by what names them, so that repeats stand side by side.  Each step is bound by a lambda, which evaluates it once
+    for a row: a column that is used twice would be found twice."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+    named = lambda r: (r["field"], r["term"], r["kind"])
+    # the hash decides nearly all comparisons; what it leaves open, the names do
+    numbered = F.transform(reasons, lambda r, i: F.struct(F.xxhash64(*named(r)).alias("h"), F.struct(*named(r)).alias("k"), i.alias("i"), r.alias("r")))
+    repeats = lambda x, before: (x["h"] == before["h"]) & (x["k"] == before["k"])
+    first = lambda own: F.filter(own, lambda x, j: (j == 0) | ~repeats(x, F.get(own, j - 1)))
+
+    def part(kept: Column, negative: bool, sign: int, n: int) -> Column:
+        mine = F.filter(kept, lambda x: (x["r"]["weight"] < 0) if negative else (x["r"]["weight"] >= 0))
+        ranked = F.sort_array(F.transform(mine, lambda x: F.struct((sign * x["r"]["weight"]).alias("w"), x["i"].alias("i"), x["r"].alias("r"))))
         return F.transform(F.slice(ranked, 1, n), lambda x: x["r"])
 
-    return F.concat(part(True, 1, NEGATIVE_REASONS), part(False, -1, POSITIVE_REASONS))
+    both = lambda kept: F.concat(part(kept, True, 1, NEGATIVE_REASONS), part(kept, False, -1, POSITIVE_REASONS))
+    return once(F.sort_array(numbered), lambda own: once(first(own), both))
 
 
 def budget_prefix(rows: DataFrame, by: list[str], order: list[Column], text: str, budget: int) -> DataFrame:

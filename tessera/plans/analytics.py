@@ -9,6 +9,7 @@ from tessera.functions import scoring as S
 from tessera.operators import curation, evaluation, evidence, gates, messages, selection, telemetry
 from tessera.operators.corpus import top_k
 from tessera.plans.common import query, read
+from tessera.tables import dealt
 
 # ---------------------------------------------------------------- evaluation
 
@@ -363,7 +364,7 @@ def reason_compaction(spark, sf_dir):
     """Forty reasons of each event, the last ten of which repeat earlier ones under other weights."""
     made = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.struct((i % 30).cast("string").alias("field"), F.lit("t").alias("term"), ((F.col("event_id") * i) % 41 - 20).alias("weight"), i.cast("string").alias("i"), F.lit("k").alias("kind")))
     found = selection.compact_reasons(made)
-    return read(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(found, lambda r: F.concat(r["i"], F.lit(":"), r["weight"].cast("string"))), ",").alias("reasons"))
+    return dealt(read(spark, sf_dir, "events").select("event_id"), "event_id").select("event_id", F.array_join(F.transform(found, lambda r: F.concat(r["i"], F.lit(":"), r["weight"].cast("string"))), ",").alias("reasons"))
 
 
 @query("priority_scores", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'O' THEN 2 ELSE 1 END + CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 2 WHEN '2' THEN 1 ELSE 0 END - CASE WHEN o_totalprice < 50000 THEN 1 ELSE 0 END AS priority FROM orders")
