@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import curation, gates
 from tessera.plans.common import query, read
 from tessera.sources import cards, evals, hooks, projects, sessions
+from tessera.tables import dealt
 
 _NONE = "[]::VARCHAR[]"
 
@@ -31,7 +32,7 @@ def _cards(spark, sf_dir):
 )
 def card_round_trip(spark, sf_dir):
     """Cards written as files and parsed again."""
-    written = cards.card_markdown(cards.render_body(_cards(spark, sf_dir)))
+    written = cards.card_markdown(cards.render_body(dealt(_cards(spark, sf_dir), "card_id")))
     c = cards.parse_cards(written.select(F.col("card_id").alias("file"), F.col("markdown").alias("value")))
     joined = lambda n: F.array_join(n, "|")
     return c.select("card_id", "status", "title", "category", "summary", joined("triggers").alias("triggers"), joined("negative_triggers").alias("negative"), joined("topics").alias("topics"), joined("required_any").alias("required"), joined("include").alias("include"), F.concat_ws("/", "level", "project_key").alias("place"), cards.rule_section(F.col("body")).alias("rule"), "issue")
