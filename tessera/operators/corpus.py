@@ -80,7 +80,7 @@ def bm25f(query_tokens: DataFrame, rows: DataFrame | None, key: str, weights: di
     if pairs is None:
         met = query_tokens.join(kept, [*scope, "token"])
     else:
-        met = query_tokens.join(pairs.select(*scope, "prompt_id", key), [*scope, "prompt_id"]).join(kept, [*scope, key, "token"])
+        met = query_tokens.join(pairs.select(*scope, "prompt_id", key).hint("merge"), [*scope, "prompt_id"]).join(kept, [*scope, key, "token"])
     return met.groupBy(*scope, "prompt_id", key).agg(F.sum(value).alias("raw_score"))
 
 

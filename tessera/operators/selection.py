@@ -64,8 +64,8 @@ def _earlier_pairs(rows: DataFrame, similar: DataFrame, by: list[str]) -> DataFr
     both = similar.select("a", "b", *by).unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"), *by))
     later = rows.select("prompt_id", F.col("place").alias("v"), F.col("card_id").alias("a"), *by)
     earlier = rows.select("prompt_id", F.col("place").alias("w"), "card_id", *by)
-    alike = later.join(both, ["a", *by]).join(earlier.withColumnRenamed("card_id", "b"), ["prompt_id", "b", *by])
-    same = later.withColumnRenamed("a", "card_id").join(earlier.drop(*by), ["prompt_id", "card_id"])
+    alike = later.join(both, ["a", *by]).join(earlier.withColumnRenamed("card_id", "b").hint("merge"), ["prompt_id", "b", *by])
+    same = later.withColumnRenamed("a", "card_id").join(earlier.drop(*by).hint("merge"), ["prompt_id", "card_id"])
     return alike.select("prompt_id", "v", "w").unionByName(same.select("prompt_id", "v", "w")).where("w < v").distinct()
 
 
@@ -91,7 +91,7 @@ def collapse(candidates: DataFrame, similar: DataFrame, order: list[str], by: li
         discard(pairs)
         return rows.select("prompt_id", "card_key", F.col("card_key").alias("leader"))
     ends = pairs.select("prompt_id", F.col("v").alias("place")).unionByName(pairs.select("prompt_id", F.col("w").alias("place"))).distinct()
-    own = rows.join(ends, ["prompt_id", "place"]).select("prompt_id", "place", "card_id", "score", "library_priority")
+    own = rows.join(ends.hint("merge"), ["prompt_id", "place"]).select("prompt_id", "place", "card_id", "score", "library_priority")
     null = lambda kind: F.lit(None).cast(kind)
     # leads: whether it is or was a leader; slot: the place of the first leader of its line; gone: the place of what replaced it
     state = materialize(own.withColumns({"leads": null("boolean"), "slot": null("int"), "gone": null("int"), "leader": null("int")}), "collapse-state")
@@ -100,13 +100,13 @@ def collapse(candidates: DataFrame, similar: DataFrame, order: list[str], by: li
         if open_.isEmpty():
             break
         v, w = open_.select("prompt_id", F.col("place").alias("v"), F.col("library_priority").alias("rank")), state.select("prompt_id", F.col("place").alias("w"), F.struct("slot", "place", "library_priority", "score", "card_id").alias("at"), "leads", "gone")
-        met = pairs.join(v, ["prompt_id", "v"]).join(w, ["prompt_id", "w"])
+        met = pairs.join(v.hint("merge"), ["prompt_id", "v"]).join(w.hint("merge"), ["prompt_id", "w"])
         pending = met.where(F.col("rank") > F.col("at.library_priority")).groupBy("prompt_id", "w").agg(F.min("v").alias("next"))
-        met = met.join(pending, ["prompt_id", "w"], "left")
+        met = met.join(pending.hint("merge"), ["prompt_id", "w"], "left")
         waits = F.col("leads").isNull() | (F.col("leads") & F.coalesce(F.col("next") < F.col("v"), F.lit(False)))
         leads = F.coalesce(F.col("leads"), F.lit(False)) & F.coalesce(F.col("gone") > F.col("v"), F.lit(True))
         told = met.groupBy("prompt_id", F.col("v").alias("place")).agg(F.max(waits).alias("waits"), F.min(F.when(leads, F.col("at"))).alias("best"))
-        ready = open_.drop("leads", "slot", "gone", "leader").join(told, ["prompt_id", "place"], "left").where(~F.coalesce("waits", F.lit(False)))
+        ready = open_.drop("leads", "slot", "gone", "leader").join(told.hint("merge"), ["prompt_id", "place"], "left").where(~F.coalesce("waits", F.lit(False)))
         near = (F.col("card_id") == F.col("best.card_id")) | (F.col("score") >= F.col("best.score") - NEAR_SCORE)
         takes = F.coalesce((F.col("library_priority") > F.col("best.library_priority")) & near, F.lit(False))
         heads = F.col("best").isNull() | takes
@@ -115,16 +115,16 @@ def collapse(candidates: DataFrame, similar: DataFrame, order: list[str], by: li
         if rounds is not None:
             rounds.append(decided.count())
         out = decided.where("over is not null").select("prompt_id", F.col("over").alias("place"), F.col("new_leader").alias("by"))
-        turned = state.join(decided.drop("over"), ["prompt_id", "place"], "left").join(out, ["prompt_id", "place"], "left")
+        turned = state.join(decided.drop("over").hint("merge"), ["prompt_id", "place"], "left").join(out.hint("merge"), ["prompt_id", "place"], "left")
         columns = {"leads": F.coalesce("leads", "heads"), "slot": F.coalesce("slot", "new_slot"), "gone": F.coalesce("gone", "by"), "leader": F.coalesce("by", "leader", "new_leader")}
         following = materialize(turned.withColumns(columns).select(*state.columns), "collapse-state")
         discard(state)
         discard(decided)
         state = following
     heads = rows.select("prompt_id", F.col("place").alias("leader"), F.col("card_key").alias("leader_key"))
-    named = state.select("prompt_id", "place", "leader").join(heads, ["prompt_id", "leader"])
+    named = state.select("prompt_id", "place", "leader").join(heads.hint("merge"), ["prompt_id", "leader"])
     discard(pairs)
-    return rows.join(named.select("prompt_id", "place", "leader_key"), ["prompt_id", "place"], "left").select("prompt_id", "card_key", F.coalesce("leader_key", "card_key").alias("leader"))
+    return rows.join(named.select("prompt_id", "place", "leader_key").hint("merge"), ["prompt_id", "place"], "left").select("prompt_id", "card_key", F.coalesce("leader_key", "card_key").alias("leader"))
 
 
 NEGATIVE_REASONS, POSITIVE_REASONS = 8, 12
