@@ -264,12 +264,21 @@ def _together(c: Composition) -> str:
     return "(?s)" + "|".join(f"(?={own[a]})" + "".join(near[b] for b in c.atoms if b != a) for a in c.atoms)
 
 
+def _composed(low: Column, c: Composition) -> Column:
+    """Whether a text shows a composition.  Each of its atoms must stand somewhere, which is sought first: that reads a text once,
+    while their nearness is tried at every place."""
+    hit = low.rlike("(?s)" + T.ascii_bounds(ATOMS[c.atoms[0]]))
+    for a in c.atoms[1:]:
+        hit = hit & low.rlike("(?s)" + T.ascii_bounds(ATOMS[a]))
+    return hit & low.rlike(_together(c))
+
+
 def _found(low: Column, s: Signal) -> Column:
     hit = F.lit(False)
     if s.patterns and not s.instead:
         hit = low.rlike(_whole("|".join(s.patterns)))
     for c in s.compositions:
-        hit = hit | low.rlike(_together(c))
+        hit = hit | _composed(low, c)
     return hit
 
 
@@ -329,7 +338,7 @@ def _shown(views: DataFrame, keys: list[str], registry: tuple[Signal, ...]) -> D
     hits = F.when(F.col("part") == "whole", F.col("seen")).otherwise(_hits(said, registry, F.col("seen")))
     keeps = []
     for s in registry:
-        forms = [said.rlike(_whole(p)) for p in s.kept_if] + [said.rlike(_together(c)) for c in s.compositions if s.keeps_compositions]
+        forms = [said.rlike(_whole(p)) for p in s.kept_if] + [_composed(said, c) for c in s.compositions if s.keeps_compositions]
         for form in forms:
             keeps.append(F.when((F.col("view") == "narrative") & (F.col("part") == "whole") & form, F.lit(s.id)))
     kept = F.array_compact(F.array(*keeps)) if keeps else _strings(())
